@@ -1,0 +1,56 @@
+"""Finding, masking and reporting secrets in text, as Spark DataFrame operations."""
+
+from .operators.backup import backup, forget, restore
+from .operators.catalogue import BUILTIN_RULES, CATEGORIES, Rule, custom_rule
+from .operators.detect import detect, findings
+from .operators.mask import mask, protect, redact, vault_of
+from .operators.normalise import normalise, redact_findings
+from .operators.score import classify
+from .operators.unmask import unmask_inline, unmask_numbered, unmask_vault
+from .plans.evaluate import confusion, evaluate, missed
+from .plans.report import by_category, max_risk, per_file, repeated_secrets, summary
+from .sources.corpus import list_corpus, load_corpus
+from .sources.reports import write_redacted, write_report
+from .sources.rule_config import load_rules, parse_rules, usable_rules
+from .streaming.live import finding_counts, mask_stream, new_secrets, protect_stream
+
+__all__ = [
+    "BUILTIN_RULES",
+    "CATEGORIES",
+    "Rule",
+    "backup",
+    "by_category",
+    "classify",
+    "confusion",
+    "custom_rule",
+    "detect",
+    "evaluate",
+    "finding_counts",
+    "findings",
+    "forget",
+    "list_corpus",
+    "load_corpus",
+    "load_rules",
+    "mask",
+    "mask_stream",
+    "max_risk",
+    "missed",
+    "new_secrets",
+    "normalise",
+    "parse_rules",
+    "per_file",
+    "protect",
+    "protect_stream",
+    "redact",
+    "redact_findings",
+    "repeated_secrets",
+    "restore",
+    "summary",
+    "unmask_inline",
+    "unmask_numbered",
+    "unmask_vault",
+    "usable_rules",
+    "vault_of",
+    "write_redacted",
+    "write_report",
+]

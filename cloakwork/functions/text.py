@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE_BREAK = r"\r?\n"
+# All Unicode white space and the byte order mark; plain ``\s`` is ASCII only.
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def split_lines(text: Column) -> Column:
@@ -22,7 +24,7 @@ def join_lines(lines: Column, original: Column) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Strip all white space at both ends (Spark's own ``trim`` strips blanks only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def count_newlines(text: Column) -> Column:

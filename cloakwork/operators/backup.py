@@ -25,7 +25,7 @@ def backup(
     wanted = df.select(*ids, F.col(text_col).alias("text"))
     if not only_masked:
         return wanted
-    found = found_in(F.col("text"), custom, scope)
+    found = found_in("text", custom, scope)
     return wanted.where(F.size(found) > 0)
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -338,19 +338,22 @@ def summary_of(found: Column) -> Column:
     return F.when(F.size(found) > 0, F.concat(total, F.lit(": "), F.array_join(parts, ", "))).otherwise(total)
 
 
+@lru_cache(maxsize=64)
+def scan_column(text_col: str, rules: tuple[Rule, ...], scope: str) -> Column:
+    """``scan_of`` a named column; kept, because building it takes some hundred calls into the JVM."""
+    return let(F.col(text_col), lambda text: scan_of(text, rules, scope))
+
+
 def found_in(
-    text: Column,
+    text_col: str,
     custom: Sequence[Rule] = (),
     scope: str = "document",
     entropy: bool = False,
     min_confidence: float = 0.0,
 ) -> Column:
-    """The findings of a text as an array of structs."""
-    rules = rule_set(custom, entropy=entropy)
-    return let(
-        text,
-        lambda t: let(scan_of(t, rules, scope), lambda scan: finding_list(scan, min_confidence)),
-    )
+    """The findings of a text column as an array of structs."""
+    scan = scan_column(text_col, rule_set(custom, entropy=entropy), scope)
+    return let(scan, lambda x: finding_list(x, min_confidence))
 
 
 def detect(
@@ -377,7 +380,7 @@ def detect(
         )
 
     keep = [F.col(f"`{c}`") for c in df.columns]
-    found = found_in(F.col(text_col), custom, scope, entropy, min_confidence)
+    found = found_in(text_col, custom, scope, entropy, min_confidence)
     return df.select(*keep, let(found, result).alias("__cw")).select(*keep, "__cw.*")
 
 
@@ -395,7 +398,7 @@ def findings(
     """One row per finding, in the canonical schema."""
     ids = [F.col(f"`{c}`") for c in id_cols]
     path = F.col(path_col) if path_col else F.lit(None).cast("string")
-    found = found_in(F.col(text_col), custom, scope, entropy, min_confidence)
+    found = found_in(text_col, custom, scope, entropy, min_confidence)
     # An outer explode: for the plain one the optimizer would test "has findings" in a filter of its own,
     # and so run the detection twice.
     rows = df.select(*ids, path.alias("path"), F.explode_outer(found).alias("f"))

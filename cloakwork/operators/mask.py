@@ -17,7 +17,7 @@ from ..functions.crypto import seal
 from ..functions.text import join_lines, quote_literal
 from ..functions.tokens import inline_token, mask_token, vault_id, vault_token
 from .catalogue import Rule, rule_set
-from .detect import finding_list, scan_of
+from .detect import finding_list, scan_column
 
 MODES = ("category", "number", "inline", "vault")
 
@@ -165,7 +165,9 @@ def protect(
             return F.array().cast("array<struct<token_id:string,payload:string,category:string>>")
         return F.transform(finding_list(scan), vault_row)
 
-    def result(text: Column, scan: Column, numbers: Column) -> Column:
+    text = F.col(text_col)
+
+    def result(scan: Column, numbers: Column) -> Column:
         return F.struct(
             masked_text(text, scan, token(numbers)).alias("masked_text"),
             F.coalesce(F.size(numbers), F.lit(0)).alias("n_findings"),
@@ -174,11 +176,8 @@ def protect(
         )
 
     whole = let(
-        F.col(text_col),
-        lambda text: let(
-            scan_of(text, rules, scope),
-            lambda scan: let(_unit_numbers(scan), lambda numbers: result(text, scan, numbers)),
-        ),
+        scan_column(text_col, rules, scope),
+        lambda scan: let(_unit_numbers(scan), lambda numbers: result(scan, numbers)),
     )
     return df.select(*keep, whole.alias("__cw")).select(*keep, "__cw.*")
 
