@@ -17,6 +17,7 @@ rest of its first and last line; in line scope only its marker line is seen.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from functools import lru_cache, reduce
 
@@ -40,8 +41,10 @@ from .score import confidence_of, context_of, entropy_of, features_of, risk_of
 # Beyond this many custom rules their patterns travel as one array literal instead of one expression each.
 COMPILED_LIMIT = 200
 
+CHUNK_SIZE = 50
+
 # Unicode noncharacter, never valid in exchanged text: stands for a line feed inside a key block.
-_BLOCK_FEED = "﷐"
+_BLOCK_FEED = "\ufdd0"
 
 _SPAN = "array<struct<s:int,e:int,m:int,prio:int>>"
 
@@ -214,6 +217,22 @@ def _units(text: Column, block: Column, pattern: str) -> Column:
     return F.when(block, unfolded).otherwise(F.split(text, LINE_BREAK, -1))
 
 
+def _chunks(rules: Sequence[Rule]) -> list[range]:
+    """Neighbouring rules whose patterns can be tried together as alternatives of one pattern."""
+    chunks: list[range] = []
+    for i, rule in enumerate(rules):
+        # References to groups and named groups do not survive being joined.
+        alone = re.search(r"\\[1-9]|\\k<|\(\?<[A-Za-z]", rule.pattern) is not None
+        last = chunks[-1] if chunks else range(0)
+        joins = not alone and last and len(last) < CHUNK_SIZE and last.step == 1
+        if joins:
+            chunks[-1] = range(last.start, i + 1)
+        else:
+            # The step only marks a chunk that takes no more rules.
+            chunks.append(range(i, i + 1, 2 if alone else 1))
+    return chunks
+
+
 def scan_of(text: Column, rules: Sequence[Rule] = BUILTIN_RULES, scope: str = "document") -> Column:
     """Units of a text with their findings, ``array<struct<text, found>>``; null for a text without hits."""
     if scope not in ("document", "line"):
@@ -226,7 +245,13 @@ def scan_of(text: Column, rules: Sequence[Rule] = BUILTIN_RULES, scope: str = "d
     data = _as_data(rules)
 
     def bulk_hits(part: Column, candidates: Column) -> Column:
-        return F.filter(candidates, lambda rule: part.rlike(rule["pattern"]))
+        return F.filter(candidates, lambda rule: F.rlike(part, rule["pattern"]))
+
+    def bulk_of(chunk: range) -> Column:
+        either = "|".join(f"(?:{bulk[i].pattern})" for i in chunk)
+        some = text.rlike(either if len(chunk) > 1 else bulk[chunk[0]].pattern)
+        own = F.slice(data, chunk[0] + 1, len(chunk))
+        return F.when(some, bulk_hits(text, own)).otherwise(F.slice(data, 1, 0))
 
     def find(unit: Column, hits: Column) -> Column:
         here = F.array_compact(
@@ -261,7 +286,8 @@ def scan_of(text: Column, rules: Sequence[Rule] = BUILTIN_RULES, scope: str = "d
     def hits(gates: Column) -> Column:
         fields = [_flags(text, single, gates).alias("one")]
         if bulk:
-            fields.append(bulk_hits(text, F.slice(data, 1, len(bulk))).alias("bulk"))
+            chunks = [bulk_of(chunk) for chunk in _chunks(bulk)]
+            fields.append(F.when(text.isNotNull(), F.flatten(F.array(*chunks))).alias("bulk"))
         return F.struct(*fields)
 
     return let(_gates(text, single), lambda gates: let(hits(gates), scan))

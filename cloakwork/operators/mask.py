@@ -29,7 +29,10 @@ def _segment(text: Column, k: Column) -> Column:
 
 
 def _cut(unit: Column, found: Column) -> Column:
-    """Segments of a line: plain text (k = -1) and the k-th finding in turn."""
+    """Segments of a line: plain text (k = -1) and findings in turn.
+
+    k is the number of the finding in the line, or of the first one with the same value.
+    """
 
     def step(state: Column, x: Column) -> Column:
         f, k = x["f"], x["k"]
@@ -41,9 +44,14 @@ def _cut(unit: Column, found: Column) -> Column:
         rest = F.substring(unit, state["pos"] + 1, F.length(unit))
         return F.concat(state["out"], F.array(_segment(rest, F.lit(-1))))
 
-    counted = F.transform(found, lambda f, k: F.struct(f.alias("f"), k.alias("k")))
+    def counted(values: Column) -> Column:
+        return F.transform(
+            found, lambda f: F.struct(f.alias("f"), (F.array_position(values, f["value"]) - 1).alias("k"))
+        )
+
     start = F.struct(F.lit(0).alias("pos"), F.array().cast(_SEGMENTS).alias("out"))
-    return F.aggregate(counted, start, step, finish)
+    values = F.transform(found, lambda f: f["value"])
+    return F.aggregate(let(values, counted), start, step, finish)
 
 
 def _cut_repeats(segments: Column, found: Column) -> Column:

@@ -1,0 +1,1092 @@
+"""Every operator as a query over the given tables, with the SQL that checks it.
+
+A query is ``(spark, directory) -> DataFrame``; most have an SQL text for the same result on the same
+tables.  Each reads its tables whole.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.crypto import fingerprint, seal, unseal
+from ..functions.text import decode_entities, join_lines, plain_number, shannon_bits, split_lines, trim_space
+from ..functions.tokens import UUID4, is_vault_token, token_id, vault_id, vault_token
+from ..operators.backup import backup, forget, restore
+from ..operators.catalogue import BUILTIN_RULES, custom_rule, rule_set
+from ..operators.detect import detect, findings
+from ..operators.mask import mask, protect, redact, vault_of
+from ..operators.normalise import csv_line, normalise, redact_findings
+from ..operators.score import classify
+from ..operators.unmask import unmask_inline, unmask_numbered, unmask_vault
+from ..session import scratch_dir, stored
+from ..sources.corpus import cap, cap_per_root, is_scannable
+from ..sources.reports import csv_report, html_report, json_findings
+from ..sources.rule_config import CONFIG_NAMES, first_candidate, parse_rules, usable_rules
+from ..streaming.live import finding_counts, mask_stream, new_secrets, protect_stream
+from . import report
+from .evaluate import confusion, evaluate, missed
+from .oracle import (
+    WRAPPED_DOCUMENTS,
+    detect_sql,
+    entropy_sql,
+    hash_sql,
+    masked_sql,
+    pick_sql,
+    quote,
+    value_sql,
+    wrapped_sql,
+)
+from .planted import (
+    BLOCKS,
+    CUSTOM,
+    CUSTOM_PATTERN,
+    PLANTS,
+    Plant,
+    any_line,
+    hash_of,
+    line_of,
+    note,
+    value_of,
+    wrapped,
+)
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+# Any fixed key does for a check: results never show ciphertext.
+KEY = bytes(range(32))
+OTHER_KEY = bytes(range(1, 33))
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def wrapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with a secret planted in a line below it."""
+    return documents(spark, sf_dir).select("doc_id", wrapped(F.col("text"), F.col("doc_id")).alias("text"))
+
+
+def orders_text(spark: SparkSession, sf_dir: str, text: Callable[[Column], Column]) -> DataFrame:
+    """One text per order, made from its key."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(key.alias("doc_id"), text(key).alias("text"))
+
+
+# --- Detection on the documents as they are -------------------------------------------------------------
+
+_DOCUMENTS = "SELECT doc_id, text FROM documents"
+
+
+@query(detect_sql(_DOCUMENTS) + "SELECT category, count(*) AS n_findings FROM found GROUP BY category")
+def findings_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_category(findings(documents(spark, sf_dir)))
+
+
+@query(
+    detect_sql(_DOCUMENTS)
+    + """SELECT doc_id, ordinal, line, col, rule_id, category, value, sha256(value) AS fingerprint FROM found"""
+)
+def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(documents(spark, sf_dir)).select(
+        "doc_id", "ordinal", "line", F.col("column").alias("col"), "rule_id", "category", "value", "fingerprint"
+    )
+
+
+@query(masked_sql(_DOCUMENTS) + "SELECT * FROM masked")
+def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask(documents(spark, sf_dir)).drop("text")
+
+
+@query(detect_sql("SELECT item_id AS doc_id, text FROM benchmark") + """
+SELECT s.doc_id, count(f.doc_id)::INTEGER AS n_findings FROM src s LEFT JOIN found f ON s.doc_id = f.doc_id
+GROUP BY s.doc_id""")
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
+    return detect(texts).select("doc_id", "n_findings")
+
+
+_DECODED = """SELECT page_id AS doc_id, replace(replace(replace(replace(replace(
+  html, '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM pages"""
+
+
+@query(detect_sql(_DECODED) + "SELECT doc_id, ordinal, line, col, category, value FROM found")
+def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("doc_id"), decode_entities(F.col("html")).alias("text")
+    )
+    return findings(pages).select("doc_id", "ordinal", "line", F.col("column").alias("col"), "category", "value")
+
+
+# --- Detection with a planted secret in every document -----------------------------------------------------
+
+
+@query(
+    detect_sql(WRAPPED_DOCUMENTS)
+    + """SELECT doc_id, ordinal, line, col, rule_id, category, value,
+  round(entropy_score, 6) AS entropy_score, context_score, round(confidence, 6) AS confidence,
+  round(risk, 2) AS risk,
+  array_to_string(['regex'] || CASE WHEN entropy_score >= 0.6 THEN ['entropy'] ELSE [] END
+    || CASE WHEN context_score > 0 THEN ['context'] ELSE [] END, ',') AS features
+FROM found"""
+)
+def scored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = findings(wrapped_documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "ordinal",
+        "line",
+        F.col("column").alias("col"),
+        "rule_id",
+        "category",
+        "value",
+        F.round("entropy_score", 6).alias("entropy_score"),
+        "context_score",
+        F.round("confidence", 6).alias("confidence"),
+        "risk",
+        F.array_join("features", ",").alias("features"),
+    )
+
+
+_PER_DOCUMENT = """, names AS (
+  SELECT doc_id, category, count(*) AS n, max(risk) AS risk FROM found GROUP BY doc_id, category),
+docs AS (
+  SELECT doc_id, sum(n)::INTEGER AS n, max(risk) AS risk,
+    string_agg(category || '=' || n, ', ' ORDER BY category) AS parts FROM names GROUP BY doc_id)
+"""
+
+
+@query(
+    detect_sql(WRAPPED_DOCUMENTS)
+    + _PER_DOCUMENT
+    + """SELECT s.doc_id, coalesce(n, 0)::INTEGER AS n_findings, round(coalesce(risk, 0), 2) AS max_risk,
+  CASE WHEN n IS NULL THEN '0 finding(s)' ELSE n || ' finding(s): ' || parts END AS summary
+FROM src s LEFT JOIN docs d ON s.doc_id = d.doc_id"""
+)
+def detection_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(wrapped_documents(spark, sf_dir)).select("doc_id", "n_findings", "max_risk", "summary")
+
+
+@query(detect_sql(WRAPPED_DOCUMENTS) + "SELECT doc_id, max(risk) AS max_risk FROM found GROUP BY doc_id")
+def max_risk_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.max_risk(findings(wrapped_documents(spark, sf_dir)))
+
+
+@query(
+    detect_sql(WRAPPED_DOCUMENTS)
+    + "SELECT sha256(value) AS fingerprint, category, count(*) AS n_findings FROM found GROUP BY ALL"
+)
+def finding_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.repeated_secrets(findings(wrapped_documents(spark, sf_dir)))
+
+
+@query(
+    detect_sql(WRAPPED_DOCUMENTS)
+    + "SELECT doc_id, ordinal, category, value FROM found WHERE confidence >= 0.95"
+)
+def confident_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``min_confidence`` numbers what is left as it was found."""
+    found = findings(wrapped_documents(spark, sf_dir), min_confidence=0.95)
+    return found.select("doc_id", "ordinal", "category", "value")
+
+
+@query(masked_sql(WRAPPED_DOCUMENTS) + "SELECT * FROM masked")
+def masked_wrapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask(wrapped_documents(spark, sf_dir)).drop("text")
+
+
+@query(masked_sql(WRAPPED_DOCUMENTS, "'[REDACTED_'||ordinal||']'") + "SELECT doc_id, masked_text FROM masked")
+def token_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask(wrapped_documents(spark, sf_dir), mode="number").select("doc_id", "masked_text")
+
+
+@query(masked_sql(WRAPPED_DOCUMENTS) + "SELECT doc_id, masked_text AS redacted_text, n_findings AS replacements FROM masked")
+def replacements_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(wrapped_documents(spark, sf_dir))
+
+
+@query(masked_sql(WRAPPED_DOCUMENTS) + "SELECT doc_id, secret_lines FROM masked")
+def secret_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask(wrapped_documents(spark, sf_dir)).select("doc_id", "secret_lines")
+
+
+_CONVERSATIONS = (
+    "SELECT conv_id * 1000 + turn AS doc_id, "
+    + wrapped_sql("text", "(conv_id * 1000 + turn)")
+    + " AS text FROM conversations"
+)
+
+
+def _messages(rows: DataFrame) -> DataFrame:
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    return rows.select(key.alias("doc_id"), wrapped(F.col("text"), key).alias("text"))
+
+
+@query(masked_sql(_CONVERSATIONS) + "SELECT * FROM masked")
+def masked_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask(_messages(table(spark, sf_dir, "conversations"))).drop("text")
+
+
+# --- One planted category at a time ----------------------------------------------------------------------
+
+
+def _planted_sql(plant: Plant) -> str:
+    return f"""SELECT o_orderkey AS doc_id, '{plant.category}' AS category,
+  {value_sql(plant, "o_orderkey")} AS value, 2::INTEGER AS line, {len(plant.before) + 1}::INTEGER AS col FROM orders"""
+
+
+def _register_planted(plant: Plant) -> None:
+    def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = orders_text(spark, sf_dir, lambda key: note(plant, key))
+        return findings(texts).select("doc_id", "category", "value", "line", F.col("column").alias("col"))
+
+    planted.__name__ = f"planted_{plant.category}"
+    query(_planted_sql(plant))(planted)
+
+
+for _plant in PLANTS + BLOCKS:
+    _register_planted(_plant)
+
+
+_DOCUMENT_CUSTOM = custom_rule("internal_api_key", CUSTOM_PATTERN, "api_key")
+
+
+@query(_planted_sql(CUSTOM).replace("AS category,", "AS category, 'internal_api_key' AS rule_id,"))
+def custom_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = orders_text(spark, sf_dir, lambda key: note(CUSTOM, key))
+    found = findings(texts, custom=[_DOCUMENT_CUSTOM])
+    return found.select("doc_id", "category", "rule_id", "value", "line", F.col("column").alias("col"))
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, 'org' || (o_orderkey % 250) AS rule_id,
+  'ORG' || (o_orderkey % 250) || '_' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 16) AS value FROM orders"""
+)
+def many_custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More rules than are compiled one by one."""
+    rules = [custom_rule(f"org{i}", f"ORG{i}_[0-9a-f]{{16}}") for i in range(250)]
+
+    def text(key: Column) -> Column:
+        name = (key % 250).cast("string")
+        return F.concat(F.lit("ref ORG"), name, F.lit("_"), F.substring(hash_of(key), 1, 16), F.lit("."))
+
+    found = findings(orders_text(spark, sf_dir, text), custom=rules)
+    return found.select("doc_id", "rule_id", "value")
+
+
+@query(
+    f"""SELECT o_orderkey AS doc_id, 'custom' AS category,
+  CASE WHEN o_orderkey % 2 = 0 THEN '/page/p' || o_orderkey ELSE '/page/=' || o_orderkey END AS value,
+  CASE WHEN o_orderkey % 2 = 0 THEN 0.2 ELSE
+    round(0.5 + 0.1 * least(1.0, {entropy_sql("('/page/=' || o_orderkey)")} / 5), 6) END AS confidence
+FROM orders"""
+)
+def path_like_custom_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def text(key: Column) -> Column:
+        tail = F.when(key % 2 == 0, F.lit("p")).otherwise(F.lit("="))
+        return F.concat(F.lit("see /page/"), tail, key.cast("string"))
+
+    found = findings(orders_text(spark, sf_dir, text), custom=[custom_rule("page", "/page/[p=][0-9]+")])
+    return found.select("doc_id", "category", "value", F.round("confidence", 6).alias("confidence"))
+
+
+_URL = "postgres://app:'||substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 12)||'@db.example.com/x"
+
+
+@query(
+    f"""SELECT o_orderkey AS doc_id, 1::INTEGER AS ordinal,
+  CASE o_orderkey % 4 WHEN 0 THEN 'database' WHEN 1 THEN 'github' WHEN 2 THEN 'aws' ELSE 'openai' END AS category,
+  CASE o_orderkey % 4 WHEN 0 THEN '{_URL}'
+    WHEN 1 THEN 'ghp_' || substr({hash_sql("o_orderkey")}, 1, 36)
+    WHEN 2 THEN 'AKIA' || upper(substr({hash_sql("o_orderkey")}, 1, 16)) || substr({hash_sql("o_orderkey")}, 20, 40)
+    ELSE 'zz:sk-' || substr({hash_sql("o_orderkey")}, 1, 24) END AS value
+FROM orders"""
+)
+def overlap_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts on which two rules match overlapping spans."""
+
+    def text(key: Column) -> Column:
+        h = hash_of(key)
+        turn = F.pmod(key, F.lit(4))
+        url = F.concat(
+            F.lit("DB_PASSWORD=postgres://app:"), F.substring(h, 1, 12), F.lit("@db.example.com/x")
+        )
+        azure = F.concat(F.lit("AccountKey=AKIA"), F.upper(F.substring(h, 1, 16)), F.substring(h, 20, 40))
+        return (
+            F.when(turn == 0, url)
+            .when(turn == 1, F.concat(F.lit("const token = 'ghp_"), F.substring(h, 1, 36), F.lit("';")))
+            .when(turn == 2, azure)
+            .otherwise(F.concat(F.lit("password=zz:sk-"), F.substring(h, 1, 24)))
+        )
+
+    return findings(orders_text(spark, sf_dir, text)).select("doc_id", "ordinal", "category", "value")
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, (o_orderkey % 5 + 1)::INTEGER AS line, (o_orderkey % 7 + 3)::INTEGER AS col FROM orders"""
+)
+def location_line_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def text(key: Column) -> Column:
+        return F.concat(
+            F.repeat(F.lit("é😀\n"), (key % 5).cast("int")),
+            F.repeat(F.lit("ß"), (key % 7).cast("int")),
+            F.lit("k=AKIA"),
+            F.upper(F.substring(hash_of(key), 1, 16)),
+        )
+
+    return findings(orders_text(spark, sf_dir, text)).select("doc_id", "line", F.col("column").alias("col"))
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, 2::INTEGER AS line, 'private_key' AS category,
+  '-----BEGIN RSA PRIVATE KEY-----' AS value FROM orders"""
+)
+def private_key_line_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line by line only the marker of a key block is seen."""
+    texts = orders_text(spark, sf_dir, lambda key: note(BLOCKS[0], key))
+    return findings(texts, scope="line").select("doc_id", "line", "category", "value")
+
+
+_ENTROPY_SOURCE = f"""SELECT o_orderkey AS doc_id, CASE o_orderkey % 3
+  WHEN 0 THEN 'blob ' || to_base64(encode({hash_sql("o_orderkey")}))
+  WHEN 1 THEN 'hash ' || md5(CAST(o_orderkey AS VARCHAR)) ELSE 'word ' || repeat('abc', 20) END AS text FROM orders"""
+
+
+@query(
+    detect_sql(_ENTROPY_SOURCE, rule_set(entropy=True))
+    + "SELECT doc_id, rule_id, category, value FROM found"
+)
+def entropy_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def text(key: Column) -> Column:
+        blob = F.regexp_replace(F.base64(F.encode(hash_of(key), "UTF-8")), "[\r\n]", "")
+        return (
+            F.when(key % 3 == 0, F.concat(F.lit("blob "), blob))
+            .when(key % 3 == 1, F.concat(F.lit("hash "), F.md5(key.cast("string"))))
+            .otherwise(F.concat(F.lit("word "), F.repeat(F.lit("abc"), 20)))
+        )
+
+    found = findings(orders_text(spark, sf_dir, text), entropy=True)
+    return found.select("doc_id", "rule_id", "category", "value")
+
+
+@query(f"SELECT p_partkey, round({entropy_sql('p_name')}, 6) AS bits FROM part")
+def entropy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(shannon_bits(F.col("p_name")), 6).alias("bits"))
+
+
+@query(
+    f"""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN
+  CASE WHEN {pick_sql("o_orderkey", lambda p: quote(p.category))} IN
+    ({", ".join(quote(r.category) for r in BUILTIN_RULES if r.group == 0)})
+  THEN {pick_sql("o_orderkey", lambda p: quote(p.category))} ELSE 'generic' END
+  ELSE 'password' END AS category FROM orders"""
+)
+def classified_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vague findings get a category by the shape of their value, others keep theirs."""
+    key = F.col("o_orderkey")
+    turn = F.pmod(key, F.lit(len(PLANTS)))
+    value = value_of(PLANTS[-1], key)
+    for i, plant in reversed(list(enumerate(PLANTS[:-1]))):
+        value = F.when(turn == i, value_of(plant, key)).otherwise(value)
+    given = F.when(key % 3 == 0, F.lit("generic")).otherwise(F.lit("password"))
+    valued = table(spark, sf_dir, "orders").select(key.alias("doc_id"), value.alias("value"), given.alias("given"))
+    return valued.select("doc_id", classify(F.col("value"), F.col("given")).alias("category"))
+
+
+# --- Lines ---------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1)::INTEGER AS line_no
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
+)
+def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("i", "line"))
+    return lines.select("doc_id", "line", (F.col("i") + 1).alias("line_no"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(13)||chr(10)) ELSE text END AS text
+FROM documents"""
+)
+def line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    mixed = documents(spark, sf_dir).select("doc_id", text.alias("text"))
+    return mixed.select("doc_id", join_lines(split_lines(F.col("text")), F.col("text")).alias("text"))
+
+
+def _crlf_sql(value: str) -> str:
+    return f"""SELECT o_orderkey AS doc_id, 'a' || chr(13)||chr(10) || 'password = ''' || {value} || '''' ||
+  chr(13)||chr(10) || 'end' || chr(13)||chr(10) AS masked_text FROM orders"""
+
+
+@query(_crlf_sql("'[REDACTED_password]'"))
+def crlf_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plant = next(p for p in PLANTS if p.category == "password")
+
+    def text(key: Column) -> Column:
+        return F.concat(F.lit("a\r\n"), line_of(plant, key), F.lit("\r\nend\r\n"))
+
+    return mask(orders_text(spark, sf_dir, text)).select("doc_id", "masked_text")
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, 'password=[REDACTED_password] again [REDACTED_password]x' || chr(10)
+  || 'p' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 12) AS masked_text, 1::INTEGER AS n_findings FROM orders"""
+)
+def repeats_in_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence in the line goes, other lines are left alone."""
+
+    def text(key: Column) -> Column:
+        value = F.concat(F.lit("p"), F.substring(hash_of(key), 1, 12))
+        return F.concat(F.lit("password="), value, F.lit(" again "), value, F.lit("x\n"), value)
+
+    return mask(orders_text(spark, sf_dir, text)).select("doc_id", "masked_text", "n_findings")
+
+
+@query("SELECT doc_id, TRUE AS stable FROM documents")
+def masking_is_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = stored(mask(wrapped_documents(spark, sf_dir)).select("doc_id", F.col("masked_text").alias("text")), "once")
+    return mask(once).select("doc_id", (F.col("masked_text") == F.col("text")).alias("stable"))
+
+
+# --- Restoring -------------------------------------------------------------------------------------------
+
+
+@query(WRAPPED_DOCUMENTS)
+def token_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = stored(protect(wrapped_documents(spark, sf_dir), mode="number", key=KEY).drop("text"), "numbered")
+    restored = unmask_numbered(done.drop("vault"), vault_of(done), KEY)
+    return restored.select("doc_id", F.col("restored_text").alias("text"))
+
+
+@query(WRAPPED_DOCUMENTS)
+def vault_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = stored(protect(wrapped_documents(spark, sf_dir), mode="vault", key=KEY, salt="s").drop("text"), "vault")
+    restored = unmask_vault(done.drop("vault"), vault_of(done), KEY)
+    return restored.select("doc_id", F.col("restored_text").alias("text"))
+
+
+@query(
+    detect_sql(WRAPPED_DOCUMENTS)
+    + """SELECT s.doc_id, any_value(s.text) AS text, count(f.doc_id)::INTEGER AS tokens_seen,
+  count(f.doc_id)::INTEGER AS tokens_restored
+FROM src s LEFT JOIN found f ON s.doc_id = f.doc_id GROUP BY s.doc_id"""
+)
+def inline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mask(wrapped_documents(spark, sf_dir), mode="inline", key=KEY).select("doc_id", "masked_text")
+    return unmask_inline(done, KEY).select(
+        "doc_id", F.col("restored_text").alias("text"), "tokens_seen", "tokens_restored"
+    )
+
+
+@query("SELECT doc_id, TRUE AS unchanged, 0::INTEGER AS tokens_restored FROM documents")
+def wrong_key_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mask(wrapped_documents(spark, sf_dir), mode="inline", key=KEY).select("doc_id", "masked_text")
+    return unmask_inline(done, OTHER_KEY).select(
+        "doc_id", (F.col("restored_text") == F.col("masked_text")).alias("unchanged"), "tokens_restored"
+    )
+
+
+_ODD = "KEY=[REDACTED_ffff] a [REDACTED_private_key] b [REDACTED_XYZ]"
+
+
+@query(f"SELECT o_orderkey AS doc_id, '{_ODD}' AS text, 2::INTEGER AS tokens_seen FROM orders")
+def unknown_token_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens without a vault row stay; a category mask is no token at all."""
+    texts = orders_text(spark, sf_dir, lambda key: F.lit(_ODD)).withColumnRenamed("text", "masked_text")
+    key = F.col("doc_id")
+    vault = texts.select(
+        "doc_id",
+        F.lit("9f3a").alias("token_id"),
+        seal(F.md5(key.cast("string")), KEY, key.cast("string")).alias("payload"),
+        F.lit("generic").alias("category"),
+    )
+    restored = unmask_numbered(texts, vault, KEY)
+    return restored.select("doc_id", F.col("restored_text").alias("text"), "tokens_seen")
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, 'KEY=' || md5(CAST(o_orderkey AS VARCHAR)) || chr(10) || 'PASS='
+  || CASE WHEN o_orderkey % 2 = 0 THEN 'root' || o_orderkey ELSE '[REDACTED_2b71]' END AS text,
+  2::INTEGER AS tokens_seen, (CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END)::INTEGER AS tokens_restored
+FROM orders"""
+)
+def restore_from_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokens per text; every other second payload is sealed with another key and stays masked."""
+    texts = orders_text(spark, sf_dir, lambda key: F.lit("KEY=[REDACTED_9f3a]\nPASS=[REDACTED_2b71]"))
+    texts = texts.withColumnRenamed("text", "masked_text")
+    key = F.col("doc_id")
+    where = key.cast("string")
+    root = F.concat(F.lit("root"), where)
+    second = F.when(key % 2 == 0, seal(root, KEY, where)).otherwise(seal(root, OTHER_KEY, where))
+    rows = F.array(
+        F.struct(F.lit("9f3a").alias("token_id"), seal(F.md5(where), KEY, where).alias("payload")),
+        F.struct(F.lit("2b71").alias("token_id"), second.alias("payload")),
+    )
+    vault = stored(texts.select("doc_id", F.inline(rows)), "payloads")
+    return unmask_numbered(texts, vault, KEY).select(
+        "doc_id", F.col("restored_text").alias("text"), "tokens_seen", "tokens_restored"
+    )
+
+
+@query(
+    detect_sql(WRAPPED_DOCUMENTS)
+    + "SELECT doc_id, CAST(ordinal AS VARCHAR) AS token_id, category, value FROM found"
+)
+def vault_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token map, opened again."""
+    vault = vault_of(protect(wrapped_documents(spark, sf_dir), mode="number", key=KEY))
+    return vault.select("doc_id", "token_id", "category", unseal(F.col("payload"), KEY).alias("value"))
+
+
+@query(
+    detect_sql(_DOCUMENTS)
+    + """SELECT s.doc_id, CASE WHEN s.doc_id IN (SELECT doc_id FROM found) THEN s.text END AS original_text FROM src s"""
+)
+def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only documents with findings are backed up; the others restore to null."""
+    docs = documents(spark, sf_dir)
+    return restore(docs.select("doc_id"), backup(docs))
+
+
+@query("SELECT doc_id, text FROM documents WHERE doc_id % 2 = 1")
+def backup_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    done = docs.where(F.col("doc_id") % 2 == 0).select("doc_id")
+    return forget(backup(docs, only_masked=False), done)
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, md5(CAST(o_orderkey AS VARCHAR)) AS plain, TRUE AS other_key_fails, TRUE AS garbage_fails,
+  80::INTEGER AS payload_length, sha256(md5(CAST(o_orderkey AS VARCHAR))) AS fingerprint FROM orders"""
+)
+def sealed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """12 bytes IV, 16 bytes tag and 32 bytes of text make 80 characters of base64."""
+    key = F.col("o_orderkey").cast("string")
+    plain = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.md5(key).alias("plain"))
+    sealed = plain.select("doc_id", "plain", seal(F.col("plain"), KEY, F.col("doc_id").cast("string")).alias("payload"))
+    payload = F.col("payload")
+    return sealed.select(
+        "doc_id",
+        unseal(payload, KEY).alias("plain"),
+        unseal(payload, OTHER_KEY).isNull().alias("other_key_fails"),
+        unseal(F.reverse(payload), KEY).isNull().alias("garbage_fails"),
+        F.length(payload).alias("payload_length"),
+        fingerprint(F.col("plain")).alias("fingerprint"),
+    )
+
+
+_CANDIDATE = """CASE o_orderkey % 4 WHEN 0 THEN substr(h, 1, 8)||'-'||substr(h, 9, 4)||'-4'||substr(h, 14, 3)||'-a'||
+  substr(h, 18, 3)||'-'||substr(h, 21, 12)
+  WHEN 1 THEN upper(substr(h, 1, 8)||'-'||substr(h, 9, 4)||'-4'||substr(h, 14, 3)||'-9'||substr(h, 18, 3)||'-'||substr(h, 21, 12))
+  WHEN 2 THEN substr(h, 1, 8)||'-'||substr(h, 9, 4)||'-1'||substr(h, 14, 3)||'-a'||substr(h, 18, 3)||'-'||substr(h, 21, 12)
+  ELSE '' END"""
+
+
+@query(
+    f"""SELECT o_orderkey AS doc_id, nullif(id, '') AS token_id,
+  regexp_matches('CLOAKWORK_TOKEN_' || id, '(?i)^CLOAKWORK_TOKEN_{UUID4}$') AS valid, TRUE AS own_valid
+FROM (SELECT o_orderkey, {_CANDIDATE} AS id FROM (SELECT o_orderkey, {hash_sql("o_orderkey")} AS h FROM orders))"""
+)
+def vault_token_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    h = hash_of(key)
+
+    def uuid(version: str, variant: str) -> Column:
+        return F.concat(
+            F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-" + version), F.substring(h, 14, 3),
+            F.lit("-" + variant), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12),
+        )
+
+    given = (
+        F.when(key % 4 == 0, uuid("4", "a"))
+        .when(key % 4 == 1, F.upper(uuid("4", "9")))
+        .when(key % 4 == 2, uuid("1", "a"))
+        .otherwise(F.lit(""))
+    )
+    token = vault_token(given)
+    own = vault_token(vault_id("salt", key.cast("string")))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("doc_id"),
+        token_id(token).alias("token_id"),
+        is_vault_token(token).alias("valid"),
+        is_vault_token(own).alias("own_valid"),
+    )
+
+
+# --- Reports ---------------------------------------------------------------------------------------------
+
+
+def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat findings with gaps, one per line item."""
+    number = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(number % 3 != 0, F.concat(F.lit('src/a,"'), F.col("l_suppkey").cast("string"), F.lit('".env'))).alias("filePath"),
+        F.when(number % 2 == 0, number).alias("line"),
+        F.when(F.col("l_returnflag") != "A", F.concat(F.lit("kind-"), F.col("l_returnflag"))).alias("category"),
+        F.when(number % 4 == 0, F.lit(None))
+        .when(number % 4 == 1, F.concat(F.lit("[REDACTED_"), F.col("l_partkey").cast("string"), F.lit("]")))
+        .otherwise(F.concat(F.lit("raw "), F.col("l_partkey").cast("string")))
+        .alias("redactedValue"),
+        F.when(number % 5 != 0, F.col("l_discount")).alias("riskScore"),
+        F.when(number % 5 != 1, F.col("l_tax")).alias("confidence"),
+    )
+
+
+_LOOSE = """WITH loose AS (
+  SELECT coalesce(CASE WHEN l_linenumber % 3 <> 0 THEN 'src/a,"' || l_suppkey || '".env' END, 'clipboard') AS path,
+    CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS line,
+    coalesce(CASE WHEN l_returnflag <> 'A' THEN 'kind-' || l_returnflag END, 'unknown') AS category,
+    coalesce(CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN '[REDACTED_' || l_partkey || ']'
+      ELSE 'raw ' || l_partkey END, '[REDACTED]') AS raw_value,
+    coalesce(CASE WHEN l_linenumber % 5 <> 0 THEN l_discount END, 0.0) AS risk,
+    coalesce(CASE WHEN l_linenumber % 5 <> 1 THEN l_tax END, 0.5) AS confidence
+  FROM lineitem),
+safe AS (
+  SELECT *, CASE WHEN contains(raw_value, '[REDACTED') THEN raw_value ELSE '[REDACTED_' || category || ']' END AS value
+  FROM loose)
+"""
+
+
+def _shown_line() -> Column:
+    """0 where there is none, so that results compare as whole numbers."""
+    return F.coalesce("line", F.lit(0)).alias("line")
+
+
+@query(
+    _LOOSE
+    + """SELECT raw_value AS value, category, path, coalesce(line, 0)::INTEGER AS line, TRUE AS no_column, TRUE AS regex_match,
+  0.0::DOUBLE AS entropy_score, 0.0::DOUBLE AS context_score, confidence, risk, 0::INTEGER AS n_features FROM safe"""
+)
+def normalised_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise(_loose(spark, sf_dir)).select(
+        "value", "category", "path", _shown_line(), F.col("column").isNull().alias("no_column"), "regex_match",
+        "entropy_score", "context_score", "confidence", "risk", F.size("features").alias("n_features"),
+    )
+
+
+@query(_LOOSE + "SELECT value, category, path, coalesce(line, 0)::INTEGER AS line, risk FROM safe")
+def redacted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = redact_findings(normalise(_loose(spark, sf_dir)))
+    return safe.select("value", "category", "path", _shown_line(), "risk")
+
+
+def _plain_sql(value: str) -> str:
+    return f"regexp_replace(CAST({value} AS VARCHAR), '\\.0$', '')"
+
+
+_CSV = f"""SELECT category || ',' || value || ',' || {_plain_sql("risk")} || ',' || {_plain_sql("confidence")} || ',' ||
+  CASE WHEN contains(loc, '"') THEN '"' || replace(loc, '"', '""') || '"' ELSE loc END AS text
+FROM (SELECT *, path || CASE WHEN line IS NULL THEN '' ELSE ':' || line END AS loc FROM safe)"""
+
+
+@query(_LOOSE + _CSV)
+def csv_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = redact_findings(normalise(_loose(spark, sf_dir)))
+    return safe.select(csv_line(safe).alias("text"))
+
+
+@query(
+    _LOOSE
+    + f"""SELECT 0::INTEGER AS section, 'category,value,risk,confidence,location' AS text
+UNION ALL SELECT 1::INTEGER, text FROM ({_CSV})"""
+)
+def csv_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csv_report(_loose(spark, sf_dir)).select("section", "text")
+
+
+@query(
+    _LOOSE
+    + f"""SELECT '<tr><td>' || category || '</td><td>' || value || '</td><td>' || {_plain_sql("risk")} || '</td><td>' ||
+  {_plain_sql("confidence")} || '</td><td>' || replace(path, '"', '&quot;') || '</td></tr>' AS text FROM safe"""
+)
+def html_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_report(_loose(spark, sf_dir)).where("section = 1").select("text")
+
+
+@query(
+    _LOOSE
+    + """SELECT value, category, path AS file_path, path AS location_path, coalesce(line, 0)::INTEGER AS location_line,
+  confidence, risk, TRUE AS regex_match FROM safe"""
+)
+def json_report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_findings(_loose(spark, sf_dir)).select(
+        "value",
+        "category",
+        F.col("filePath").alias("file_path"),
+        F.col("location.filePath").alias("location_path"),
+        F.coalesce("location.line", F.lit(0)).alias("location_line"),
+        F.col("detection.confidence").alias("confidence"),
+        F.col("detection.risk").alias("risk"),
+        F.col("detection.regexMatch").alias("regex_match"),
+    )
+
+
+def _flat_summary(found: DataFrame) -> DataFrame:
+    one = report.summary(found)
+    pairs = F.transform(
+        F.array_sort(F.map_entries("risk_distribution")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))
+    )
+    return one.select("total_findings", "score", F.array_join(pairs, ", ").alias("risk_distribution"))
+
+
+def _summary_sql(source: str) -> str:
+    return f"""SELECT sum(n)::BIGINT AS total_findings, round(100 - least(100, sum(r) / sum(n)), 2) AS score,
+  string_agg(category || '=' || n, ', ' ORDER BY category) AS risk_distribution
+FROM (SELECT category, count(*) AS n, sum(risk * 100) AS r FROM {source} GROUP BY category)"""
+
+
+@query(detect_sql(WRAPPED_DOCUMENTS) + _summary_sql("found"))
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_summary(findings(wrapped_documents(spark, sf_dir)))
+
+
+@query(_LOOSE + _summary_sql("safe"))
+def loose_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_summary(normalise(_loose(spark, sf_dir)))
+
+
+@query(
+    detect_sql(WRAPPED_DOCUMENTS)
+    + """SELECT source, count(*) AS n_findings, round(100 - least(100, avg(risk * 100)), 2) AS score
+FROM found JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source"""
+)
+def security_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of each source of documents."""
+    text = wrapped(F.col("text"), F.col("doc_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text.alias("text"))
+    found = findings(docs, id_cols=["doc_id", "source"])
+    score = F.round(100 - F.least(F.lit(100.0), F.avg(F.col("risk") * 100)), 2)
+    return found.groupBy("source").agg(F.count("*").alias("n_findings"), score.alias("score"))
+
+
+@query(
+    detect_sql(WRAPPED_DOCUMENTS)
+    + """SELECT 'corpus/' || doc_id || '.txt' AS path, count(*) AS n_findings, max(risk) AS max_risk
+FROM found GROUP BY doc_id"""
+)
+def findings_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("corpus/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    docs = wrapped_documents(spark, sf_dir).withColumn("path", path)
+    return report.per_file(findings(docs, path_col="path"))
+
+
+# --- Evaluation ------------------------------------------------------------------------------------------
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled texts: real secrets, harmless look-alikes, fixtures (found but harmless), keys cut short."""
+    key = F.col("o_orderkey")
+    h = hash_of(key)
+    turn = F.pmod(key, F.lit(8))
+    uuid = F.concat_ws(
+        "-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)
+    )
+    text = (
+        F.when(turn < 4, any_line(key))
+        .when(turn == 4, F.concat(F.lit("const uuid = '"), uuid, F.lit("';")))
+        .when(turn == 5, F.concat(F.lit("const hash = '"), F.substring(h, 1, 32), F.lit("';")))
+        .when(turn == 6, F.concat(F.lit("fixture AKIA"), F.upper(F.substring(h, 1, 16))))
+        .otherwise(F.concat(F.lit("cut sk-"), F.substring(h, 1, 8)))
+    )
+    kind = (
+        F.when(turn < 4, F.lit("secret")).when(turn == 4, F.lit("uuid")).when(turn == 5, F.lit("hash"))
+        .when(turn == 6, F.lit("fixture")).otherwise(F.lit("cut"))
+    )
+    return table(spark, sf_dir, "orders").select(
+        key.alias("doc_id"), text.alias("text"), ((turn < 4) | (turn == 7)).alias("should_detect"), kind.alias("category")
+    )
+
+
+_OUTCOMES = """WITH outcome AS (
+  SELECT o_orderkey AS doc_id, o_orderkey % 8 < 4 OR o_orderkey % 8 = 7 AS should_detect,
+    o_orderkey % 8 < 4 OR o_orderkey % 8 = 6 AS detected,
+    CASE WHEN o_orderkey % 8 < 4 THEN 'secret' WHEN o_orderkey % 8 = 4 THEN 'uuid' WHEN o_orderkey % 8 = 5 THEN 'hash'
+      WHEN o_orderkey % 8 = 6 THEN 'fixture' ELSE 'cut' END AS category FROM orders),
+counts AS (
+  SELECT {by} count(*) FILTER (WHERE should_detect AND detected) AS tp,
+    count(*) FILTER (WHERE NOT should_detect AND detected) AS fp,
+    count(*) FILTER (WHERE should_detect AND NOT detected) AS fn,
+    count(*) FILTER (WHERE NOT should_detect AND NOT detected) AS tn FROM outcome {group})
+SELECT {by} tp, fp, fn, tn, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS precision,
+  coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS recall, coalesce(fp / nullif(fp + tn, 0), 0)::DOUBLE AS fp_rate
+FROM counts"""
+
+
+@query(_OUTCOMES.format(by="", group=""))
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusion(evaluate(_samples(spark, sf_dir)))
+
+
+@query(_OUTCOMES.format(by="category,", group="GROUP BY category"))
+def per_category_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusion(evaluate(_samples(spark, sf_dir)), by=["category"])
+
+
+@query("SELECT o_orderkey AS doc_id, 'cut' AS category FROM orders WHERE o_orderkey % 8 = 7")
+def missed_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missed(evaluate(_samples(spark, sf_dir))).select("doc_id", "category")
+
+
+# --- Sources ---------------------------------------------------------------------------------------------
+
+# Path below a root, and whether it is scanned.
+_PATHS = (
+    ("src/a.ts", True),
+    ("src/B.PY", True),
+    ("conf/.env", True),
+    ("conf/prod.env", True),
+    ("conf/.envrc", False),
+    ("lib/node_modules/x.js", False),
+    ("building/x.md", True),
+    ("build/x.md", False),
+    ("img/logo.png", False),
+    ("Makefile", False),
+    ("out", False),
+)
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 11 "
+    + " ".join(f"WHEN {i} THEN {str(ok).upper()}" for i, (_, ok) in enumerate(_PATHS))
+    + " END AS scanned FROM part"
+)
+def scannable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = F.array(*[F.lit(p) for p, _ in _PATHS])
+    chosen = F.get(paths, (F.col("p_partkey") % len(_PATHS)).cast("int"))
+    listed = table(spark, sf_dir, "part").select("p_partkey", chosen.alias("path"))
+    return listed.select("p_partkey", is_scannable(F.col("path")).alias("scanned"))
+
+
+@query("SELECT source, doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20")
+def file_cap_per_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    kept = cap_per_root(docs.select("source", "doc_id"), 20, "source", ["doc_id"])
+    return docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 50")
+def file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap(documents(spark, sf_dir), 50, ["doc_id"])
+
+
+# Configuration files by turn; {k} is the customer's key.  Names, patterns and categories expected of each.
+_CONFIGS: tuple[tuple[str, tuple[tuple[str, str, str], ...]], ...] = (
+    (
+        'rules:\n  - name: "token-{k}"\n    pattern: "itok_[a-z]{{32}}"\n    category: "custom"\n',
+        (("token-{k}", "itok_[a-z]{{32}}", "custom"),),
+    ),
+    ('rules:\n  - name: "broken"\n    category: "custom"\n', ()),
+    ("rules:\n  - pattern: a{k}[0-9]+\n", (("custom-pattern", "a{k}[0-9]+", "custom"),)),
+    (
+        "# head\n\n\t rules:\n  - name: c{k}\n  # inner\n    pattern: abc[0-9]+ # kept\n\n",
+        (("c{k}", "abc[0-9]+ # kept", "custom"),),
+    ),
+    ("rules: []\n", ()),
+    (
+        "name: early\ncustomPatterns:\r\n- name: one\r\n  pattern: 'o_{k}'\r\n-\r\n  name: two\r\n  pattern: https?://x:[0-9]+\r\n"
+        "  category: api_key\r\n",
+        (("one", "o_{k}", "custom"), ("two", "https?://x:[0-9]+", "api_key")),
+    ),
+    (
+        "rules:\n- name: first\n  name: last{k}\n  severity: high\n  pattern: p\nrules:\n  category: x\n",
+        (("last{k}", "p", "x"),),
+    ),
+    ("this is not : yaml at :: all {{{{ ]]]", ()),
+)
+
+
+def _pieces(template: str) -> list[str]:
+    """The template around the places of the key, with doubled braces undone."""
+    return [p.replace("{{", "{").replace("}}", "}") for p in template.split("{k}")]
+
+
+def _fill(template: str, key: Column) -> Column:
+    first, *rest = _pieces(template)
+    return F.concat(F.lit(first), *[c for piece in rest for c in (key.cast("string"), F.lit(piece))])
+
+
+def _fill_sql(template: str) -> str:
+    return "||c_custkey||".join(quote(piece) for piece in _pieces(template))
+
+
+def _config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per customer a .yaml file, and for two in three also the preferred .yml file."""
+    key = F.col("c_custkey")
+    turn = F.pmod(key, F.lit(len(_CONFIGS)))
+    text = _fill(_CONFIGS[-1][0], key)
+    for i, (template, _) in reversed(list(enumerate(_CONFIGS[:-1]))):
+        text = F.when(turn == i, _fill(template, key)).otherwise(text)
+    root = F.concat(F.lit("/work/"), key.cast("string"))
+    customers = table(spark, sf_dir, "customer")
+    plain = _fill("rules:\n- name: fallback\n  pattern: f{k}\n", key)
+    yml = customers.where(key % 3 != 0).select(
+        root.alias("root"), F.concat(root, F.lit("/" + CONFIG_NAMES[0])).alias("path"), text.alias("text")
+    )
+    yaml = customers.select(
+        root.alias("root"), F.concat(root, F.lit("/" + CONFIG_NAMES[1])).alias("path"), plain.alias("text")
+    )
+    return yml.unionByName(yaml)
+
+
+def _expected_rules() -> str:
+    branches = [
+        "SELECT '/work/' || c_custkey AS root, 1::BIGINT AS item, 'fallback' AS name, 'f' || c_custkey AS pattern, "
+        "'custom' AS category FROM customer WHERE c_custkey % 3 = 0"
+    ]
+    for i, (_, rules) in enumerate(_CONFIGS):
+        for item, rule in enumerate(rules, 1):
+            name, pattern, category = (_fill_sql(part) for part in rule)
+            branches.append(
+                f"SELECT '/work/' || c_custkey, {item}, {name}, {pattern}, {category} FROM customer "
+                f"WHERE c_custkey % 3 <> 0 AND c_custkey % {len(_CONFIGS)} = {i}"
+            )
+    return " UNION ALL ".join(branches)
+
+
+@query(_expected_rules())
+def rule_config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_rules(first_candidate(_config_files(spark, sf_dir)))
+    return parsed.select("root", "item", "name", "pattern", "category")
+
+
+@query(
+    """SELECT n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN '[unclosed' ELSE n_name || '_[0-9]+' END AS pattern,
+  n_nationkey % 5 <> 0 AS usable FROM nation"""
+)
+def rule_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that do not compile are set apart before any plan is built."""
+    key = F.col("n_nationkey")
+    pattern = F.when(key % 5 == 0, F.lit("[unclosed")).otherwise(F.concat(F.col("n_name"), F.lit("_[0-9]+")))
+    rules = table(spark, sf_dir, "nation").select(
+        key.alias("item"), F.col("n_name").alias("name"), pattern.alias("pattern"), F.lit("custom").alias("category")
+    )
+    good, rejected = usable_rules(rules)
+    kept = spark.createDataFrame([(r.name, r.pattern) for r in good], "name string, pattern string")
+    return kept.withColumn("usable", F.lit(True)).unionByName(
+        rejected.select("name", "pattern", F.lit(False).alias("usable"))
+    )
+
+
+# --- Small column functions ------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name AS trimmed FROM customer")
+def trimmed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padded = F.concat(F.lit("\t  "), F.col("c_name"), F.lit("　\r\n"))
+    return table(spark, sf_dir, "customer").select("c_custkey", trim_space(padded).alias("trimmed"))
+
+
+@query(
+    """SELECT c_custkey, regexp_replace(CAST(round(c_acctbal) AS VARCHAR), '\\.0$', '') AS whole,
+  regexp_replace(CAST(c_acctbal AS VARCHAR), '\\.0$', '') AS plain FROM customer"""
+)
+def plain_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    balance = F.col("c_acctbal")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", plain_number(F.round(balance)).alias("whole"), plain_number(balance).alias("plain")
+    )
+
+
+# --- Streams ---------------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = table(spark, sf_dir, name).schema
+    # As a pattern, because a stream takes a plain path for a directory.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.[p]arquet")
+
+
+def _drained(stream: DataFrame, purpose: str) -> DataFrame:
+    """Everything the stream has to give, through a file sink."""
+    spark = stream.sparkSession
+    path = scratch_dir(spark, purpose)
+    running = (
+        stream.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", scratch_dir(spark, f"{purpose}-log"))
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query(masked_sql(_CONVERSATIONS) + "SELECT * FROM masked")
+def stream_masked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(mask_stream(_messages(_stream(spark, sf_dir, "conversations"))).drop("text"), "masked")
+
+
+@query(_CONVERSATIONS)
+def stream_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked stream and its vault, put together again."""
+    out, vault, log = (scratch_dir(spark, name) for name in ("stream-out", "stream-vault", "stream-log"))
+    running = protect_stream(
+        _messages(_stream(spark, sf_dir, "conversations")),
+        out_path=out,
+        vault_path=vault,
+        checkpoint=log,
+        mode="number",
+        key=KEY,
+    )
+    running.awaitTermination()
+    masked = spark.read.parquet(out).select("doc_id", "masked_text")
+    restored = unmask_numbered(masked, spark.read.parquet(vault), KEY)
+    return restored.select("doc_id", F.col("restored_text").alias("text"))
+
+
+def _event_messages(rows: DataFrame) -> DataFrame:
+    key = F.col("event_id")
+    return rows.select(key.alias("doc_id"), "ts", F.concat(F.col("props"), F.lit("\n"), any_line(key)).alias("text"))
+
+
+@query(
+    f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start,
+  strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS window_end,
+  {pick_sql("event_id", lambda p: quote(p.category))} AS category, count(*) AS n_findings FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+GROUP BY ALL"""
+)
+def stream_finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark has closed."""
+    counts = _drained(finding_counts(_event_messages(_stream(spark, sf_dir, "events")), "ts"), "counts")
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm").alias(c) for c in ("window_start", "window_end")]
+    return counts.select(*shown, "category", "n_findings")
+
+
+@query(
+    f"""SELECT DISTINCT sha256({pick_sql("(user_id % 1000)", lambda p: value_sql(p, "(user_id % 1000)"))}) AS fingerprint,
+  {pick_sql("(user_id % 1000)", lambda p: quote(p.category))} AS category FROM events"""
+)
+def stream_new_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user sends the same secret again and again."""
+    key = F.col("user_id") % 1000
+    messages = _stream(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts", any_line(key).alias("text"))
+    return _drained(new_secrets(messages, "ts", delay="400 days"), "secrets").select("fingerprint", "category")
+
+
+# The flagship query: every document, masked.
+FLAGSHIP = "masked_wrapped_documents"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -17,6 +17,11 @@ def mask_stream(messages: DataFrame, text_col: str = "text", **options) -> DataF
     return mask(messages, text_col, **options)
 
 
+def _timed(messages: DataFrame, ts_col: str, delay: str) -> DataFrame:
+    """With a watermark; a timestamp without time zone is read in the session's zone."""
+    return messages.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, delay)
+
+
 def finding_counts(
     messages: DataFrame,
     ts_col: str,
@@ -27,9 +32,7 @@ def finding_counts(
     delay: str = "10 minutes",
 ) -> DataFrame:
     """Findings per category and time window; late messages are accepted for ``delay``."""
-    found = findings(
-        messages.withWatermark(ts_col, delay), text_col, id_cols=[*id_cols, ts_col]
-    )
+    found = findings(_timed(messages, ts_col, delay), text_col, id_cols=[*id_cols, ts_col])
     return (
         found.groupBy(F.window(ts_col, window).alias("w"), "category")
         .agg(F.count("*").alias("n_findings"))
@@ -48,9 +51,7 @@ def new_secrets(
     delay: str = "1 day",
 ) -> DataFrame:
     """Each secret once while it keeps turning up within ``delay``; state is bounded by the watermark."""
-    found = findings(
-        messages.withWatermark(ts_col, delay), text_col, id_cols=[*id_cols, ts_col]
-    )
+    found = findings(_timed(messages, ts_col, delay), text_col, id_cols=[*id_cols, ts_col])
     return found.select("fingerprint", "category", ts_col).dropDuplicatesWithinWatermark(["fingerprint", "category"])
 
 
