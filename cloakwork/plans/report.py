@@ -24,10 +24,11 @@ def summary(findings: DataFrame) -> DataFrame:
     counts = F.array_sort(F.collect_list(F.struct("category", "n")))
     total = F.coalesce(F.sum("n"), F.lit(0))
     mean = F.sum("risk") / F.sum("n")
+    score = F.round(100 - F.least(F.lit(100.0), mean), 2)
     return per_category.agg(
         total.alias("total_findings"),
         F.map_from_entries(counts).alias("risk_distribution"),
-        F.coalesce(F.round(100 - F.least(F.lit(100.0), mean), 2), F.lit(100.0)).alias("score"),
+        F.when(total > 0, score).otherwise(F.lit(100.0)).alias("score"),
     ).withColumn("generated_at", F.current_timestamp())
 
 

@@ -157,7 +157,9 @@ def load_corpus(
             raise ValueError(f"a cap may keep at most {MAX_CAPPED_PATHS} files")
     corpus = spark.createDataFrame([], _SCHEMA)
     if wanted:
-        root, below = _located(F.col("_metadata.file_path"), present)
+        # File metadata spells paths as URLs; a plus sign there is just a plus sign.
+        url = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+        root, below = _located(F.url_decode(url), present)
         corpus = (
             _reader(spark)
             .load(wanted)

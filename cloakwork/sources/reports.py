@@ -13,6 +13,7 @@ from ..functions.text import encode_entities, plain_number
 from ..operators.mask import protect
 from ..operators.normalise import csv_line, normalise, redact_findings
 from ..plans.report import generated_text, summary
+from ..session import stored
 
 FORMATS = ("json", "csv", "html")
 
@@ -121,10 +122,11 @@ def html_report(findings: DataFrame) -> DataFrame:
 def write_report(findings: DataFrame, fmt: str, path: str, mode: str = "errorifexists") -> None:
     """Write findings as ``json`` (``summary`` and ``findings`` below the path), ``csv`` or ``html``.
 
-    Findings feed both the summary and the details; persist or store them first if they are costly.
+    Findings feed both the summary and the details, so they are stored once, redacted, before either.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {', '.join(FORMATS)}, not {fmt!r}")
+    findings = stored(redact_findings(normalise(findings)), "report")
     if fmt == "json":
         json_findings(findings).write.mode(mode).json(f"{path}/findings")
         json_summary(findings).write.mode(mode).text(f"{path}/summary")
