@@ -166,21 +166,38 @@ ENTROPY_RULE = Rule(
 _RARE_FIRST = "JZXQKVGz_:/-x.=kwbIASyvpghmfcudltrsnoiae"
 
 
-def gate_pattern(rules: Iterable[Rule], fold: bool) -> str:
-    """One regular expression that finds the anchors (with tails) of all these rules in a single pass.
+def _class(chars: Iterable[str]) -> str:
+    return "[" + "".join(re.escape(c) for c in sorted(set(chars))) + "]"
 
-    It steps over the text looking only for the rarest character of each anchor and looks behind and
-    ahead from there, which costs about as much as searching for one literal.
-    """
-    by_pivot: dict[str, list[str]] = {}
+
+def _gate_branches(rules: Iterable[Rule]) -> dict[str, list[str]]:
+    """For each pivot character, the ways to look ahead and behind from it."""
+    branches: dict[str, list[str]] = {}
     for rule in rules:
         for anchor in rule.anchors:
             at = min(range(len(anchor)), key=lambda i: (_RARE_FIRST + anchor).index(anchor[i]))
             head, rest = rule.lead + re.escape(anchor[: at + 1]), re.escape(anchor[at + 1 :]) + rule.tail
-            by_pivot.setdefault(anchor[at], []).append(f"(?={rest})(?<={head})")
-    chars = "".join(re.escape(c) for c in sorted(by_pivot))
-    groups = "|".join(f"(?<={re.escape(c)})(?:{'|'.join(b)})" for c, b in sorted(by_pivot.items()))
-    return f"(?i)[{chars}](?:{groups})" if fold else f"[{chars}](?:{groups})"
+            branches.setdefault(anchor[at], []).append(f"(?={rest})(?<={head})")
+    return branches
+
+
+def gate_pattern(rules: Sequence[Rule]) -> str:
+    """One regular expression that finds the anchors (with lead and tail) of all these rules in one pass.
+
+    It steps over the text looking only for the rarest character of each anchor and looks behind and
+    ahead from there, which costs about as much as searching for one literal.
+    """
+    pivots: list[str] = []
+    sides: list[str] = []
+    for fold in (False, True):
+        branches = _gate_branches(r for r in rules if r.fold is fold)
+        if not branches:
+            continue
+        own = _class([c for p in branches for c in ((p.lower(), p.upper()) if fold else (p,))])
+        groups = "|".join(f"(?<={re.escape(p)})(?:{'|'.join(b)})" for p, b in sorted(branches.items()))
+        pivots.append(own[1:-1])
+        sides.append(f"(?<={own})" + (f"(?i:{groups})" if fold else f"(?:{groups})"))
+    return f"[{''.join(pivots)}](?:{'|'.join(sides)})"
 
 
 def custom_rule(name: str, pattern: str, category: str | None = None) -> Rule:

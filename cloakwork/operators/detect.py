@@ -3,8 +3,7 @@
 Everything here is a narrow projection: no shuffle, no Python worker.  The work is staged so that the
 common case (a text without secrets) costs little:
 
-1. ``gate``: one pass each for the case-sensitive and the case-insensitive rules looks for any of their
-   literals at all.
+1. ``gate``: one pass over the text looks for the literals of all rules at once.
 2. ``hits``: only where the gate is open, which rules match the text?
 3. ``scan``: only for texts with a hit, cut the text into units (lines) and, per unit, extract the
    matches of the rules that hit, place them by offset and merge overlapping ones.
@@ -19,7 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,13 +54,21 @@ FINDING_FIELDS = (
 
 
 def _gates(text: Column, rules: Sequence[Rule]) -> Column:
-    """Does the text hold an anchor of any case-sensitive rule; of any rule that ignores case?"""
+    """Does the text hold an anchor of any case-sensitive rule; of any rule that ignores case?
+
+    One pass over the text asks for both; only where that succeeds they are told apart.
+    """
+    anchored = [r for r in rules if r.anchors]
+    no, never = F.lit(False), F.struct(F.lit(False).alias("exact"), F.lit(False).alias("fold"))
 
     def gate(fold: bool) -> Column:
-        group = [r for r in rules if r.anchors and r.fold is fold]
-        return text.rlike(gate_pattern(group, fold)) if group else F.lit(False)
+        group = [r for r in anchored if r.fold is fold]
+        return text.rlike(gate_pattern(group)) if group else no
 
-    return F.struct(gate(False).alias("exact"), gate(True).alias("fold"))
+    if not anchored:
+        return never
+    both = F.struct(gate(False).alias("exact"), gate(True).alias("fold"))
+    return F.when(text.rlike(gate_pattern(anchored)), both).otherwise(never)
 
 
 def _flags(text: Column, rules: Sequence[Rule], gates: Column) -> Column:
@@ -71,10 +78,9 @@ def _flags(text: Column, rules: Sequence[Rule], gates: Column) -> Column:
         matched = text.rlike(rule.pattern)
         if not rule.anchors:
             return matched
-        if not rule.fold:
-            seen = [F.contains(text, F.lit(a)) for a in rule.anchors]
-            matched = reduce(lambda x, y: x | y, seen) & matched
-        return gates["fold" if rule.fold else "exact"] & matched
+        # The rule's own anchors first: that is several times faster than the pattern itself.
+        own = text.rlike(gate_pattern([rule]))
+        return gates["fold" if rule.fold else "exact"] & own & matched
 
     return F.when(text.isNotNull(), F.array(*[flag(rule) for rule in rules]))
 
@@ -103,17 +109,21 @@ def _as_data(rules: Sequence[Rule]) -> Column:
 
 def _match(text: Column, rule: Column) -> Column:
     """All matches of one rule in a text, with the text between them."""
-    full = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    gaps = F.split(text, rule["pattern"], -1)
-    # A split drops the empty piece before an empty match at the very start; put it back.
-    gaps = F.when(F.size(gaps) == F.size(full), F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
-    return F.struct(
-        rule["prio"].alias("prio"),
-        rule["min_entropy"].alias("least_bits"),
-        full.alias("full"),
-        F.regexp_extract_all(text, rule["pattern"], rule["group"]).alias("val"),
-        gaps.alias("gaps"),
-    )
+
+    def parts(full: Column, gaps: Column) -> Column:
+        # A split drops the empty piece before an empty match at the very start; put it back.
+        dropped = F.size(gaps) == F.size(full)
+        captured = F.regexp_extract_all(text, rule["pattern"], rule["group"])
+        return F.struct(
+            rule["prio"].alias("prio"),
+            rule["min_entropy"].alias("least_bits"),
+            full.alias("full"),
+            F.when(rule["group"] == 0, full).otherwise(captured).alias("val"),
+            F.when(dropped, F.concat(F.array(F.lit("")), gaps)).otherwise(gaps).alias("gaps"),
+        )
+
+    whole = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
+    return let(whole, lambda full: let(F.split(text, rule["pattern"], -1), lambda gaps: parts(full, gaps)))
 
 
 def _place(match: Column) -> Column:
@@ -188,8 +198,8 @@ def _describe(text: Column, span: Column, rules: Column) -> Column:
             rule["name"].alias("rule_id"),
             F.when(open_ssh, F.lit("ssh")).otherwise(rule["category"]).alias("category"),
             value.alias("value"),
-            entropy_of(value).alias("entropy_score"),
-            context_of(F.substring(text, opening + 1, span["s"] - opening)).alias("context_score"),
+            # What stands before the value: scores are worked out later, masking does without.
+            F.substring(text, opening + 1, span["s"] - opening).alias("window"),
             rule["base"].alias("base"),
             rule["severity"].alias("severity"),
         )
@@ -306,10 +316,18 @@ def _numbered(scan: Column) -> Column:
         return i + 1 + F.aggregate(before, F.lit(0), lambda total, x: total + x["n"])
 
     def scored(f: Column, line: Column) -> Column:
-        confidence = confidence_of(
-            f["value"], f["category"], f["base"], f["entropy_score"], f["context_score"]
+        scores = F.struct(
+            line.alias("line"),
+            f.alias("f"),
+            entropy_of(f["value"]).alias("entropy"),
+            context_of(f["window"]).alias("context"),
         )
-        return F.struct(line.alias("line"), f.alias("f"), confidence.alias("confidence"))
+        return let(scores, rated)
+
+    def rated(x: Column) -> Column:
+        f = x["f"]
+        confidence = confidence_of(f["value"], f["category"], f["base"], x["entropy"], x["context"])
+        return x.withField("confidence", confidence)
 
     def of_unit(shifts: Column, x: Column, i: Column) -> Column:
         return F.transform(x["found"], lambda f: scored(f, first_line(shifts, i) + f["line"]))
@@ -324,11 +342,11 @@ def _numbered(scan: Column) -> Column:
             f["category"].alias("category"),
             f["value"].alias("value"),
             F.lit(True).alias("regex_match"),
-            f["entropy_score"].alias("entropy_score"),
-            f["context_score"].alias("context_score"),
+            x["entropy"].alias("entropy_score"),
+            x["context"].alias("context_score"),
             x["confidence"].alias("confidence"),
             risk_of(f["severity"], x["confidence"]).alias("risk"),
-            features_of(F.lit(True), f["entropy_score"], f["context_score"]).alias("features"),
+            features_of(F.lit(True), x["entropy"], x["context"]).alias("features"),
         )
 
     def all_of(shifts: Column) -> Column:

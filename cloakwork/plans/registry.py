@@ -22,7 +22,7 @@ from ..operators.normalise import csv_line, normalise, redact_findings
 from ..operators.score import classify
 from ..operators.unmask import unmask_inline, unmask_numbered, unmask_vault
 from ..session import scratch_dir, stored
-from ..sources.corpus import cap, cap_per_root, is_scannable
+from ..sources.corpus import cap, cap_per_root, is_scannable, spread
 from ..sources.reports import csv_report, html_report, json_findings
 from ..sources.rule_config import CONFIG_NAMES, first_candidate, parse_rules, usable_rules
 from ..streaming.live import finding_counts, mask_stream, new_secrets, protect_stream
@@ -78,7 +78,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def wrapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,9 @@ def wrapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_text(spark: SparkSession, sf_dir: str, text: Callable[[Column], Column]) -> DataFrame:
     """One text per order, made from its key."""
-    key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(key.alias("doc_id"), text(key).alias("text"))
+    return spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))).select(
+        "doc_id", text(F.col("doc_id")).alias("text")
+    )
 
 
 # --- Detection on the documents as they are -------------------------------------------------------------
@@ -131,7 +132,7 @@ _DECODED = """SELECT page_id AS doc_id, replace(replace(replace(replace(replace(
 
 @query(detect_sql(_DECODED) + "SELECT doc_id, ordinal, line, col, category, value FROM found")
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
         F.col("page_id").alias("doc_id"), decode_entities(F.col("html")).alias("text")
     )
     return findings(pages).select("doc_id", "ordinal", "line", F.col("column").alias("col"), "category", "value")
@@ -243,7 +244,7 @@ def _messages(rows: DataFrame) -> DataFrame:
 
 @query(masked_sql(_CONVERSATIONS) + "SELECT * FROM masked")
 def masked_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mask(_messages(table(spark, sf_dir, "conversations"))).drop("text")
+    return mask(_messages(spread(table(spark, sf_dir, "conversations")))).drop("text")
 
 
 # --- One planted category at a time ----------------------------------------------------------------------
@@ -774,7 +775,8 @@ FROM found JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY s
 def security_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of each source of documents."""
     text = wrapped(F.col("text"), F.col("doc_id"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text.alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = docs.select("doc_id", "source", text.alias("text"))
     found = findings(docs, id_cols=["doc_id", "source"])
     score = F.round(100 - F.least(F.lit(100.0), F.avg(F.col("risk") * 100)), 2)
     return found.groupBy("source").agg(F.count("*").alias("n_findings"), score.alias("score"))
@@ -813,7 +815,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(turn < 4, F.lit("secret")).when(turn == 4, F.lit("uuid")).when(turn == 5, F.lit("hash"))
         .when(turn == 6, F.lit("fixture")).otherwise(F.lit("cut"))
     )
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(
         key.alias("doc_id"), text.alias("text"), ((turn < 4) | (turn == 7)).alias("should_detect"), kind.alias("category")
     )
 

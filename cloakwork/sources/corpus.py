@@ -24,6 +24,16 @@ MAX_CAPPED_PATHS = 100_000
 _SCHEMA = "root string, path string, text string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a corpus that was read in fewer partitions than there are cores out to all of them.
+
+    Detection is bound by computing, so a small corpus gains from it; one of the size of a cluster has more
+    partitions than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_scannable(path: Column) -> Column:
     """By its path below the root: a listed extension (any case) or ``.env``, and in no skipped directory."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
