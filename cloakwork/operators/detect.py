@@ -183,16 +183,18 @@ def _merge(spans: Column) -> Column:
     return let(spans, lambda found: F.aggregate(F.array_sort(found), F.array().cast(_SPAN), step))
 
 
-def _describe(text: Column, span: Column, rules: Column) -> Column:
+def _describe(text: Column, span: Column, many_lines: Column, rules: Column) -> Column:
     """One finding inside a unit; ``line`` is still relative to the unit (0 = its first line)."""
 
     def finding(x: Column) -> Column:
-        rule, value, before = x["rule"], x["value"], x["before"]
+        rule, value = x["rule"], x["value"]
+        before = F.substring(text, F.lit(1), span["s"])
         open_ssh = (rule["category"] == "private_key") & value.startswith("-----BEGIN OPENSSH")
+        in_line = F.when(many_lines, F.length(F.substring_index(before, "\n", -1))).otherwise(span["s"])
         opening = F.greatest(span["m"] - 40, F.lit(0))
         return F.struct(
-            count_newlines(before).alias("line"),
-            (F.length(F.substring_index(before, "\n", -1)) + 1).alias("column"),
+            F.when(many_lines, count_newlines(before)).otherwise(F.lit(0)).alias("line"),
+            (in_line + 1).alias("column"),
             span["s"].alias("s"),
             span["e"].alias("e"),
             rule["name"].alias("rule_id"),
@@ -207,7 +209,6 @@ def _describe(text: Column, span: Column, rules: Column) -> Column:
     parts = F.struct(
         F.get(rules, span["prio"]).alias("rule"),
         F.substring(text, span["s"] + 1, span["e"] - span["s"]).alias("value"),
-        F.substring(text, F.lit(1), span["s"]).alias("before"),
     )
     return let(parts, finding)
 
@@ -276,7 +277,10 @@ def scan_of(text: Column, rules: Sequence[Rule] = BUILTIN_RULES, scope: str = "d
         if bulk:
             chosen = F.concat(bulk_hits(unit, hits["bulk"]), chosen)
         spans = F.flatten(F.transform(chosen, lambda rule: let(_match(unit, rule), _place)))
-        return F.transform(_merge(spans), lambda span: _describe(unit, span, data))
+        return let(
+            F.contains(unit, F.lit("\n")),
+            lambda many: F.transform(_merge(spans), lambda span: _describe(unit, span, many, data)),
+        )
 
     blocks = [i for i, rule in enumerate(single) if rule.multiline] if scope == "document" else []
 

@@ -79,11 +79,19 @@ def _cut_repeats(segments: Column, found: Column) -> Column:
 
         return F.flatten(F.transform(state, one))
 
-    return F.aggregate(values, segments, step)
+    def cut(x: Column) -> Column:
+        # Few values come back in the rest of the line, so only those are looked for piece by piece.
+        again = F.filter(values, lambda v: F.contains(x["plain"], v["v"]))
+        return F.aggregate(again, x["segments"], step)
+
+    plain = F.transform(segments, lambda y: F.when(y["k"] == -1, y["t"]).otherwise(F.lit("")))
+    return let(
+        F.struct(segments.alias("segments"), F.array_join(plain, "\n").alias("plain")), cut
+    )
 
 
 def _masked_unit(x: Column, token: Callable[[Column, Column], Column]) -> Column:
-    segments = _cut_repeats(_cut(x["text"], x["found"]), x["found"])
+    segments = let(_cut(x["text"], x["found"]), lambda cut: _cut_repeats(cut, x["found"]))
     shown = F.transform(
         segments,
         lambda segment: F.when(segment["k"] == -1, segment["t"]).otherwise(
@@ -105,9 +113,19 @@ def masked_text(
     return F.when(found, join_lines(F.transform(scan, unit), text)).otherwise(text)
 
 
-def _unit_numbers(scan: Column) -> Column:
-    """For each finding of the document, in order, the number of its unit."""
-    return F.flatten(F.transform(scan, lambda x, i: F.array_repeat(i, F.size(x["found"]))))
+def _found_before(scan: Column) -> Column:
+    """For each unit, how many findings the units before it have.
+
+    One mark per unit followed by one per finding: a unit's mark stands at its own number plus the findings
+    before it, so all counts come from one walk.
+    """
+    marks = F.flatten(
+        F.transform(
+            scan, lambda x: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), F.size(x["found"])))
+        )
+    )
+    places = F.array_compact(F.transform(marks, lambda unit, at: F.when(unit, at)))
+    return F.transform(places, lambda at, i: at - i)
 
 
 def _place(ids: Sequence[Column], *numbers: Column) -> Column:
@@ -147,16 +165,14 @@ def protect(
     def reference(n: Column) -> Column:
         return vault_id(salt, _place(ids, n))
 
-    def token(numbers: Column) -> Callable[[Column, Column, Column], Column]:
+    def token(before: Column) -> Callable[[Column, Column, Column], Column]:
         def spell(f: Column, i: Column, k: Column) -> Column:
-            ordinal = F.array_position(numbers, i) + k
             if mode == "category":
                 return mask_token(f["category"])
-            if mode == "number":
-                return mask_token(ordinal.cast("string"))
-            if mode == "vault":
-                return vault_token(reference(ordinal))
-            return inline_token(seal(f["value"], key, _place(ids, i, k)))
+            if mode == "inline":
+                return inline_token(seal(f["value"], key, _place(ids, i, k)))
+            ordinal = F.get(before, i) + k + 1
+            return mask_token(ordinal.cast("string")) if mode == "number" else vault_token(reference(ordinal))
 
         return spell
 
@@ -175,19 +191,23 @@ def protect(
 
     text = F.col(text_col)
 
-    def result(scan: Column, numbers: Column) -> Column:
+    def result(scan: Column, before: Column) -> Column:
+        sizes = F.transform(scan, lambda x: F.size(x["found"]))
+        total = F.aggregate(sizes, F.lit(0), lambda n, size: n + size)
         return F.struct(
-            masked_text(text, scan, token(numbers)).alias("masked_text"),
-            F.coalesce(F.size(numbers), F.lit(0)).alias("n_findings"),
-            F.coalesce(F.size(F.array_distinct(numbers)), F.lit(0)).alias("secret_lines"),
+            masked_text(text, scan, token(before)).alias("masked_text"),
+            F.coalesce(total, F.lit(0)).alias("n_findings"),
+            F.coalesce(F.size(F.filter(sizes, lambda size: size > 0)), F.lit(0)).alias("secret_lines"),
             vault(scan).alias("vault"),
         )
 
-    whole = let(
-        scan_column(text_col, rules, scope),
-        lambda scan: let(_unit_numbers(scan), lambda numbers: result(scan, numbers)),
-    )
-    return df.select(*keep, whole.alias("__cw")).select(*keep, "__cw.*")
+    def whole(scan: Column) -> Column:
+        if mode in ("category", "inline"):
+            return result(scan, F.lit(None))
+        return let(_found_before(scan), lambda before: result(scan, before))
+
+    done = let(scan_column(text_col, rules, scope), whole)
+    return df.select(*keep, done.alias("__cw")).select(*keep, "__cw.*")
 
 
 def mask(df: DataFrame, text_col: str = "text", **options) -> DataFrame:

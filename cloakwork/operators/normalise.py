@@ -96,18 +96,19 @@ def location_text(path: Column, line: Column) -> Column:
 
 
 def csv_cell(text: Column) -> Column:
-    flat = F.regexp_replace(text, r"\r?\n", " ")
+    flat = F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, r"\r?\n", " ")).otherwise(text)
     quoted = F.concat(F.lit('"'), F.replace(flat, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(flat.rlike('[",]'), quoted).otherwise(flat)
+    special = F.contains(text, F.lit('"')) | F.contains(text, F.lit(","))
+    return F.when(special, quoted).otherwise(flat)
 
 
 def csv_line(df: DataFrame) -> Column:
     """One report line of a redacted, normalised finding."""
-    cells = (
-        df["category"],
-        df["value"],
+    return F.concat_ws(
+        ",",
+        csv_cell(df["category"]),
+        csv_cell(df["value"]),
         plain_number(df["risk"]),
         plain_number(df["confidence"]),
-        location_text(df["path"], df["line"]),
+        csv_cell(location_text(df["path"], df["line"])),
     )
-    return F.concat_ws(",", *[csv_cell(c) for c in cells])

@@ -76,12 +76,21 @@ def _untouched(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def _entries(vault: DataFrame, by: Sequence[Column]) -> DataFrame:
-    """Payloads by token id as one map per key; a repeated id (a replayed write) counts once."""
-    once = vault.groupBy(*by, F.col("token_id")).agg(F.max("payload").alias("payload"))
-    return once.groupBy(*[F.col(c) for c in once.columns if c not in ("token_id", "payload")]).agg(
-        F.map_from_entries(F.collect_list(F.struct("token_id", "payload"))).alias(_MAP)
-    )
+def _entries(vault: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Payloads by token id as one map per row key, in one shuffle.
+
+    A token id that comes twice (a replayed write) counts once.
+    """
+
+    def once(rows: Column) -> Column:
+        def last(x: Column, i: Column) -> Column:
+            following = F.get(rows, i + 1)["token_id"]
+            return following.isNull() | (following != x["token_id"])
+
+        return F.map_from_entries(F.filter(rows, last))
+
+    rows = F.array_sort(F.collect_set(F.struct("token_id", "payload")))
+    return vault.groupBy(*ids).agg(rows.alias("rows")).select(*ids, once(F.col("rows")).alias(_MAP))
 
 
 def unmask_numbered(
@@ -98,7 +107,7 @@ def unmask_numbered(
     """
     ids = list(id_cols)
     has_token = F.coalesce(F.col(text_col).rlike(MASK_TOKEN), F.lit(False))
-    maps = _entries(vault, [F.col(c) for c in ids])
+    maps = _entries(vault, ids)
     joined = df.where(has_token).join(maps, ids, "left")
     ordered = joined.select(*[F.col(f"`{c}`") for c in df.columns], F.col(_MAP))
     done = _restored(
@@ -132,7 +141,7 @@ def unmask_vault(
         *ids, F.explode(F.array_distinct(F.transform(tokens, lambda t: F.lower(t)))).alias("token_id")
     )
     payloads = vault.groupBy("token_id").agg(F.max("payload").alias("payload"))
-    maps = _entries(pairs.join(payloads, "token_id"), [F.col(c) for c in ids])
+    maps = _entries(pairs.join(payloads, "token_id"), ids)
     joined = masked.join(maps, ids, "left").select(*[F.col(f"`{c}`") for c in df.columns], F.col(_MAP))
     done = _restored(joined, pattern, name, key, text_col)
     return done.unionByName(_untouched(df.where(~has_token), text_col))

@@ -75,17 +75,22 @@ def _reader(spark: SparkSession):
     )
 
 
-def _existing(spark: SparkSession, roots: Sequence[str]) -> list[str]:
-    def exists(root: str) -> bool:
+def _open(spark: SparkSession, roots: Sequence[str]) -> tuple[list[str], DataFrame | None]:
+    """The roots that exist, and a reader over them.  Listing is costly, so all are tried together first."""
+
+    def load(paths: list[str]) -> DataFrame | None:
         try:
-            _reader(spark).load(root)
+            return _reader(spark).load(paths)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in str(error):
-                return False
+                return None
             raise
-        return True
 
-    return [root for root in roots if exists(root)]
+    files = load(list(roots))
+    if files is not None:
+        return list(roots), files
+    present = [root for root in roots if load([root]) is not None] if len(roots) > 1 else []
+    return present, load(present) if present else None
 
 
 def _dot_env_files(root: str) -> list[str]:
@@ -127,15 +132,33 @@ def read_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
     return paths.select(*[f.name for f in fields]).mapInPandas(read, f"{schema}, text string")
 
 
-def list_corpus(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+def _listing(files: DataFrame, roots: Sequence[str]) -> DataFrame:
+    root, below = _located(F.col("path"), roots)
+    path = F.concat_ws("/", root, below)
+    return files.select(root.alias("root"), path.alias("path"), "length", is_scannable(below).alias("scanned"))
+
+
+def _contents(files: DataFrame, roots: Sequence[str]) -> DataFrame:
+    # File metadata spells paths as URLs; a plus sign there is just a plus sign.  The filter uses nothing
+    # else, so that files are dropped from the list before any is opened.
+    url = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    root, below = _located(F.url_decode(url), roots)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return files.where(is_scannable(below)).select(
+        root.alias("root"), F.concat_ws("/", root, below).alias("path"), text.alias("text")
+    )
+
+
+def _names(roots: str | Sequence[str]) -> list[str]:
+    return [roots] if isinstance(roots, str) else list(roots)
+
+
+def list_corpus(spark: SparkSession, roots: str | Sequence[str]) -> DataFrame:
     """Every file below the roots with its size and whether it would be scanned; contents are not read."""
-    present = _existing(spark, roots)
-    if not present:
+    present, files = _open(spark, _names(roots))
+    if files is None:
         return spark.createDataFrame([], "root string, path string, length long, scanned boolean")
-    root, below = _located(F.col("path"), present)
-    return _reader(spark).load(present).select(
-        root.alias("root"), F.concat_ws("/", root, below).alias("path"), "length", is_scannable(below).alias("scanned")
-    )
+    return _listing(files, present)
 
 
 def load_corpus(
@@ -152,40 +175,23 @@ def load_corpus(
     A cap keeps the first files by path; it is worked out on the list of paths, also before reading.
     Roots that do not exist count as empty.
     """
-    names = [roots] if isinstance(roots, str) else list(roots)
-    present = _existing(spark, names)
-    if not present:
+    present, files = _open(spark, _names(roots))
+    if files is None:
         return spark.createDataFrame([], _SCHEMA)
-    wanted = present
-    if max_files is not None or max_files_per_root is not None:
-        paths = list_corpus(spark, present).where("scanned").select("root", "path")
+
+    def capped(df: DataFrame) -> DataFrame:
         if max_files_per_root is not None:
-            paths = cap_per_root(paths, max_files_per_root)
-        paths = cap(paths, min(max_files or MAX_CAPPED_PATHS + 1, MAX_CAPPED_PATHS + 1))
-        wanted = [row.path for row in paths.collect()]
+            df = cap_per_root(df, max_files_per_root)
+        return df if max_files is None else cap(df, max_files)
+
+    if max_files is not None or max_files_per_root is not None:
+        paths = capped(_listing(files, present).where("scanned").select("root", "path"))
+        wanted = [row.path for row in paths.limit(MAX_CAPPED_PATHS + 1).collect()]
         if len(wanted) > MAX_CAPPED_PATHS:
             raise ValueError(f"a cap may keep at most {MAX_CAPPED_PATHS} files")
-    corpus = spark.createDataFrame([], _SCHEMA)
-    if wanted:
-        # File metadata spells paths as URLs; a plus sign there is just a plus sign.
-        url = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-        root, below = _located(F.url_decode(url), present)
-        corpus = (
-            _reader(spark)
-            .load(wanted)
-            .where(is_scannable(below))
-            .select(
-                root.alias("root"),
-                F.concat_ws("/", root, below).alias("path"),
-                F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
-            )
-        )
+        files = _reader(spark).load(wanted) if wanted else None
+    corpus = spark.createDataFrame([], _SCHEMA) if files is None else _contents(files, present)
     hidden = [(_plain(r), p) for r in present for p in _dot_env_files(r)] if dot_env else []
-    if hidden:
-        extra = read_paths(spark.createDataFrame(hidden, "root string, path string"))
-        corpus = corpus.unionByName(extra)
-        if max_files_per_root is not None:
-            corpus = cap_per_root(corpus, max_files_per_root)
-        if max_files is not None:
-            corpus = cap(corpus, max_files)
-    return corpus
+    if not hidden:
+        return corpus
+    return capped(corpus.unionByName(read_paths(spark.createDataFrame(hidden, "root string, path string"))))
