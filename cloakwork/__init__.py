@@ -9,7 +9,7 @@ from .operators.score import classify
 from .operators.unmask import unmask_inline, unmask_numbered, unmask_vault
 from .plans.evaluate import confusion, evaluate, missed
 from .plans.report import by_category, max_risk, per_file, repeated_secrets, summary
-from .sources.corpus import list_corpus, load_corpus
+from .sources.corpus import list_corpus, load_corpus, spread, unread_files
 from .sources.reports import write_redacted, write_report
 from .sources.rule_config import load_rules, parse_rules, usable_rules
 from .streaming.live import finding_counts, mask_stream, new_secrets, protect_stream
@@ -45,10 +45,12 @@ __all__ = [
     "redact_findings",
     "repeated_secrets",
     "restore",
+    "spread",
     "summary",
     "unmask_inline",
     "unmask_numbered",
     "unmask_vault",
+    "unread_files",
     "usable_rules",
     "vault_of",
     "write_redacted",

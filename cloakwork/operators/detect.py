@@ -23,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bind import let
+from ..functions.bind import let, walk
 from ..functions.crypto import fingerprint
 from ..functions.text import LINE_BREAK, count_newlines, shannon_bits
 from .catalogue import (
@@ -45,7 +45,9 @@ CHUNK_SIZE = 50
 # Unicode noncharacter, never valid in exchanged text: stands for a line feed inside a key block.
 _BLOCK_FEED = "\ufdd0"
 
-_SPAN = "array<struct<s:int,e:int,m:int,prio:int>>"
+# Start and end of the value, start of the whole match, the rule, and the value unless spans were merged.
+_SPAN = "struct<s:int,e:int,m:int,prio:int,v:string>"
+_SPANS = f"array<{_SPAN}>"
 
 FINDING_FIELDS = (
     "ordinal", "line", "column", "rule_id", "category", "value", "regex_match", "entropy_score",
@@ -143,44 +145,44 @@ def _place(match: Column) -> Column:
         random = F.when(least_bits > 0, shannon_bits(value) >= least_bits).otherwise(F.lit(True))
         return (value != "") & ~masked & random
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["pos"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + x["gap"]
         end = begin + x["size"]
         span = F.struct(
             (end - F.length(x["v"])).alias("s"),
             end.alias("e"),
             begin.alias("m"),
             match["prio"].alias("prio"),
+            x["v"].alias("v"),
         )
-        return F.struct(
-            end.alias("pos"),
-            F.when(keep(x["v"]), F.concat(state["spans"], F.array(span)))
-            .otherwise(state["spans"])
-            .alias("spans"),
-        )
+        return end, F.when(keep(x["v"]), F.array(span)).otherwise(F.array().cast(_SPANS))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(steps, start, step, lambda state: state["spans"])
+    return let(steps, lambda items: walk(items, F.lit(0), _SPANS, step)["out"])
 
 
 def _merge(spans: Column) -> Column:
     """Union of overlapping spans; the best rule (lowest priority number) names the union."""
 
     def join(last: Column, x: Column) -> Column:
+        same = (last["s"] == x["s"]) & (last["e"] == x["e"])
         return F.struct(
             last["s"].alias("s"),
             F.greatest(last["e"], x["e"]).alias("e"),
             F.least(last["m"], x["m"]).alias("m"),
             F.least(last["prio"], x["prio"]).alias("prio"),
+            F.when(same, last["v"]).alias("v"),
         )
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        return F.when(
-            x["s"] < last["e"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(join(last, x)))
-        ).otherwise(F.concat(done, F.array(x)))
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        overlaps = x["s"] < last["e"]
+        done = F.when(overlaps, F.array().cast(_SPANS)).otherwise(F.array(last))
+        return F.when(overlaps, join(last, x)).otherwise(x), done
 
-    return let(spans, lambda found: F.aggregate(F.array_sort(found), F.array().cast(_SPAN), step))
+    # Starts from a span before the text, which is dropped again.
+    none = F.struct(*[F.lit(-1).alias(name) for name in ("s", "e", "m", "prio")], F.lit(None).cast("string").alias("v"))
+    merged = let(F.array_sort(spans), lambda found: walk(found, none.cast(_SPAN), _SPANS, step))
+    whole = let(merged, lambda x: F.concat(x["out"], F.array(x["carry"])))
+    return F.filter(whole, lambda span: span["s"] >= 0)
 
 
 def _describe(text: Column, span: Column, many_lines: Column, rules: Column) -> Column:
@@ -191,7 +193,6 @@ def _describe(text: Column, span: Column, many_lines: Column, rules: Column) ->
         before = F.substring(text, F.lit(1), span["s"])
         open_ssh = (rule["category"] == "private_key") & value.startswith("-----BEGIN OPENSSH")
         in_line = F.when(many_lines, F.length(F.substring_index(before, "\n", -1))).otherwise(span["s"])
-        opening = F.greatest(span["m"] - 40, F.lit(0))
         return F.struct(
             F.when(many_lines, count_newlines(before)).otherwise(F.lit(0)).alias("line"),
             (in_line + 1).alias("column"),
@@ -200,15 +201,15 @@ def _describe(text: Column, span: Column, many_lines: Column, rules: Column) ->
             rule["name"].alias("rule_id"),
             F.when(open_ssh, F.lit("ssh")).otherwise(rule["category"]).alias("category"),
             value.alias("value"),
-            # What stands before the value: scores are worked out later, masking does without.
-            F.substring(text, opening + 1, span["s"] - opening).alias("window"),
+            # Where the text that counts as context begins: scores are worked out only when asked for.
+            F.greatest(span["m"] - 40, F.lit(0)).alias("context_from"),
             rule["base"].alias("base"),
             rule["severity"].alias("severity"),
         )
 
     parts = F.struct(
         F.get(rules, span["prio"]).alias("rule"),
-        F.substring(text, span["s"] + 1, span["e"] - span["s"]).alias("value"),
+        F.coalesce(span["v"], F.substring(text, span["s"] + 1, span["e"] - span["s"])).alias("value"),
     )
     return let(parts, finding)
 
@@ -319,12 +320,13 @@ def _numbered(scan: Column) -> Column:
         before = F.filter(shifts, lambda x: x["i"] < i)
         return i + 1 + F.aggregate(before, F.lit(0), lambda total, x: total + x["n"])
 
-    def scored(f: Column, line: Column) -> Column:
+    def scored(text: Column, f: Column, line: Column) -> Column:
+        window = F.substring(text, f["context_from"] + 1, f["s"] - f["context_from"])
         scores = F.struct(
             line.alias("line"),
             f.alias("f"),
             entropy_of(f["value"]).alias("entropy"),
-            context_of(f["window"]).alias("context"),
+            context_of(window).alias("context"),
         )
         return let(scores, rated)
 
@@ -334,7 +336,7 @@ def _numbered(scan: Column) -> Column:
         return x.withField("confidence", confidence)
 
     def of_unit(shifts: Column, x: Column, i: Column) -> Column:
-        return F.transform(x["found"], lambda f: scored(f, first_line(shifts, i) + f["line"]))
+        return F.transform(x["found"], lambda f: scored(x["text"], f, first_line(shifts, i) + f["line"]))
 
     def finish(x: Column, k: Column) -> Column:
         f = x["f"]
@@ -444,7 +446,9 @@ def findings(
     min_confidence: float = 0.0,
 ) -> DataFrame:
     """One row per finding, in the canonical schema."""
-    ids = [F.col(f"`{c}`") for c in id_cols]
+    ids = [F.col(f"`{c}`") for c in id_cols if c != "path"]
+    if path_col is None and "path" in id_cols:
+        path_col = "path"
     path = F.col(path_col) if path_col else F.lit(None).cast("string")
     found = found_in(text_col, custom, scope, entropy, min_confidence)
     # An outer explode: for the plain one the optimizer would test "has findings" in a filter of its own,

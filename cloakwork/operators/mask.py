@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bind import let
+from ..functions.bind import let, walk
 from ..functions.crypto import seal
 from ..functions.text import join_lines, quote_literal
 from ..functions.tokens import inline_token, mask_token, vault_id, vault_token
@@ -34,14 +34,13 @@ def _cut(unit: Column, found: Column) -> Column:
     k is the number of the finding in the line, or of the first one with the same value.
     """
 
-    def step(state: Column, x: Column) -> Column:
-        f, k = x["f"], x["k"]
-        plain = F.substring(unit, state["pos"] + 1, f["s"] - state["pos"])
-        more = F.array(_segment(plain, F.lit(-1)), _segment(f["value"], k))
-        return F.struct(f["e"].alias("pos"), F.concat(state["out"], more).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        f = x["f"]
+        plain = F.substring(unit, at + 1, f["s"] - at)
+        return f["e"], F.array(_segment(plain, F.lit(-1)), _segment(f["value"], x["k"]))
 
     def finish(state: Column) -> Column:
-        rest = F.substring(unit, state["pos"] + 1, F.length(unit))
+        rest = F.substring(unit, state["carry"] + 1, F.length(unit))
         return F.concat(state["out"], F.array(_segment(rest, F.lit(-1))))
 
     def counted(values: Column) -> Column:
@@ -49,9 +48,9 @@ def _cut(unit: Column, found: Column) -> Column:
             found, lambda f: F.struct(f.alias("f"), (F.array_position(values, f["value"]) - 1).alias("k"))
         )
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_SEGMENTS).alias("out"))
     values = F.transform(found, lambda f: f["value"])
-    return F.aggregate(let(values, counted), start, step, finish)
+    numbered = let(values, counted)
+    return let(let(numbered, lambda items: walk(items, F.lit(0), _SEGMENTS, step)), finish)
 
 
 def _cut_repeats(segments: Column, found: Column) -> Column:

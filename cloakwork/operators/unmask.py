@@ -140,8 +140,9 @@ def unmask_vault(
     pairs = masked.select(
         *ids, F.explode(F.array_distinct(F.transform(tokens, lambda t: F.lower(t)))).alias("token_id")
     )
-    payloads = vault.groupBy("token_id").agg(F.max("payload").alias("payload"))
-    maps = _entries(pairs.join(payloads, "token_id"), ids)
+    # Joined as they are, without an aggregate on either side: so a token that turns up in very many texts
+    # is split over several tasks by the adaptive skew handling of the join.
+    maps = _entries(pairs.join(vault.select("token_id", "payload"), "token_id"), ids)
     joined = masked.join(maps, ids, "left").select(*[F.col(f"`{c}`") for c in df.columns], F.col(_MAP))
     done = _restored(joined, pattern, name, key, text_col)
     return done.unionByName(_untouched(df.where(~has_token), text_col))

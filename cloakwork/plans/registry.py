@@ -22,8 +22,8 @@ from ..operators.normalise import csv_line, normalise, redact_findings
 from ..operators.score import classify
 from ..operators.unmask import unmask_inline, unmask_numbered, unmask_vault
 from ..session import scratch_dir, stored
-from ..sources.corpus import cap, cap_per_root, is_scannable, spread
-from ..sources.reports import csv_report, html_report, json_findings
+from ..sources.corpus import cap, cap_per_root, is_scannable, load_corpus, spread
+from ..sources.reports import csv_report, html_report, json_findings, json_summary, write_redacted, write_report
 from ..sources.rule_config import CONFIG_NAMES, first_candidate, parse_rules, usable_rules
 from ..streaming.live import finding_counts, mask_stream, new_secrets, protect_stream
 from . import report
@@ -793,6 +793,44 @@ def findings_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.per_file(findings(docs, path_col="path"))
 
 
+@query(masked_sql(WRAPPED_DOCUMENTS) + "SELECT doc_id, masked_text AS text FROM masked")
+def redacted_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked corpus as written."""
+    path = scratch_dir(spark, "redacted")
+    write_redacted(wrapped_documents(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@query(_LOOSE + f"SELECT 'category,value,risk,confidence,location' AS text UNION ALL {_CSV}")
+def written_csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "csv")
+    write_report(_loose(spark, sf_dir), "csv", path)
+    return spark.read.text(path).select(F.col("value").alias("text"))
+
+
+@query(_LOOSE + "SELECT value, category, path, coalesce(line, 0)::BIGINT AS line, risk FROM safe")
+def written_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "json")
+    write_report(_loose(spark, sf_dir), "json", path)
+    schema = "value string, category string, filePath string, line long, detection struct<risk:double>"
+    found = spark.read.schema(schema).json(f"{path}/findings")
+    return found.select("value", "category", F.col("filePath").alias("path"), _shown_line(), "detection.risk")
+
+
+@query(
+    detect_sql(WRAPPED_DOCUMENTS)
+    + """SELECT count(*)::BIGINT AS total_findings, round(100 - least(100, avg(risk * 100)), 2) AS score,
+  count(DISTINCT category)::INTEGER AS categories FROM found"""
+)
+def json_report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pretty-printed summary, parsed again."""
+    schema = "totalFindings long, score double, riskDistribution map<string,long>"
+    parsed = json_summary(findings(wrapped_documents(spark, sf_dir))).select(F.from_json("summary", schema).alias("s"))
+    return parsed.select(
+        F.col("s.totalFindings").alias("total_findings"), "s.score", F.size("s.riskDistribution").alias("categories")
+    )
+
+
 # --- Evaluation ------------------------------------------------------------------------------------------
 
 
@@ -852,6 +890,14 @@ def missed_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Sources ---------------------------------------------------------------------------------------------
 
+@query(detect_sql(WRAPPED_DOCUMENTS) + "SELECT category, count(*) AS n_findings FROM found GROUP BY category")
+def corpus_tree_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as text files below a folder, and that folder scanned."""
+    root = scratch_dir(spark, "tree")
+    wrapped_documents(spark, sf_dir).select("text").write.option("maxRecordsPerFile", 200).text(root)
+    return report.by_category(findings(load_corpus(spark, root), id_cols=["path"]))
+
+
 # Path below a root, and whether it is scanned.
 _PATHS = (
     ("src/a.ts", True),

@@ -195,3 +195,8 @@ def load_corpus(
     if not hidden:
         return corpus
     return capped(corpus.unionByName(read_paths(spark.createDataFrame(hidden, "root string, path string"))))
+
+
+def unread_files(listing: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Files that were to be scanned but could not be read, or were left out by a cap."""
+    return listing.where("scanned").join(corpus.select("path"), "path", "left_anti")

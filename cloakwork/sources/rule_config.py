@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,10 +110,10 @@ def load_rules(spark: SparkSession, roots: Sequence[str], names: Sequence[str] =
 
 
 def compiles(spark: SparkSession, pattern: str) -> bool:
-    """Whether the regular expression is valid, asked of the engine that will run it."""
+    """Whether the regular expression is valid, asked of the library that will run it."""
     try:
-        spark.sql("SELECT '' RLIKE :pattern", args={"pattern": pattern}).collect()
-    except PySparkException:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
         return False
     return True
 

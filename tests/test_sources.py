@@ -34,6 +34,7 @@ def test_caps(spark, tmp_path):
     many, few = tree(tmp_path / "many", 75, True), tree(tmp_path / "few", 3, True)
     assert scan(spark, many).count() == 75
     capped = cw.load_corpus(spark, many, max_files=50)
+    assert cw.unread_files(list_corpus(spark, many), capped).count() == 25
     assert sorted(r.path for r in capped.collect()) == [f"{many}/file{i:02d}.env" for i in range(50)]
     per_root = cw.load_corpus(spark, [many, few], max_files_per_root=5).groupBy("root").count()
     assert {r.root: r["count"] for r in per_root.collect()} == {many: 5, few: 3}
