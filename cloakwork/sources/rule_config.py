@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,7 +113,7 @@ def compiles(spark: SparkSession, pattern: str) -> bool:
     """Whether the regular expression is valid, asked of the library that will run it."""
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except IllegalArgumentException:
         return False
     return True
 
