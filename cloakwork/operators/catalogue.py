@@ -83,7 +83,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
     Rule(
         "private_key",
         "private_key",
-        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)?",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?-----END [A-Z ]*PRIVATE KEY-----)?",
         anchors=("PRIVATE KEY-----",),
         multiline=True,
     ),

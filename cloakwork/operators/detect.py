@@ -48,6 +48,10 @@ _BLOCK_FEED = "\ufdd0"
 # Start and end of the value, start of the whole match, the rule, and the value unless spans were merged.
 _SPAN = "struct<s:int,e:int,m:int,prio:int,v:string>"
 _SPANS = f"array<{_SPAN}>"
+_FOUND = (
+    "array<struct<line:int,column:int,s:int,e:int,rule_id:string,category:string,value:string,"
+    "context_from:int,base:double,severity:double>>"
+)
 
 FINDING_FIELDS = (
     "ordinal", "line", "column", "rule_id", "category", "value", "regex_match", "entropy_score",
@@ -265,23 +269,37 @@ def scan_of(text: Column, rules: Sequence[Rule] = BUILTIN_RULES, scope: str = "d
         own = F.slice(data, chunk[0] + 1, len(chunk))
         return F.when(some, bulk_hits(text, own)).otherwise(F.slice(data, 1, 0))
 
+    anchored = [r for r in single if r.anchors]
+
+    none = F.array().cast("array<int>")
+
+    def matching(unit: Column, hits: Column, with_anchors: bool) -> Column:
+        """Numbers of the rules that hit the text and match this unit."""
+        numbers = [
+            F.when(F.get(hits["one"], F.lit(i)) & unit.rlike(rule.pattern), F.lit(i + len(bulk)))
+            for i, rule in enumerate(single)
+            if bool(rule.anchors) is with_anchors
+        ]
+        return F.array_compact(F.array(*numbers)) if numbers else none
+
     def find(unit: Column, hits: Column) -> Column:
-        here = F.array_compact(
-            F.array(
-                *[
-                    F.when(F.get(hits["one"], F.lit(i)) & unit.rlike(rule.pattern), F.lit(i + len(bulk)))
-                    for i, rule in enumerate(single)
-                ]
-            )
-        )
+        here = matching(unit, hits, False)
+        if anchored:
+            # Most lines have no anchor, and one look tells.
+            gated = F.when(unit.rlike(gate_pattern(anchored)), matching(unit, hits, True)).otherwise(none)
+            here = gated if len(anchored) == len(single) else F.concat(here, gated)
         chosen = F.transform(here, lambda i: F.get(data, i))
         if bulk:
             chosen = F.concat(bulk_hits(unit, hits["bulk"]), chosen)
-        spans = F.flatten(F.transform(chosen, lambda rule: let(_match(unit, rule), _place)))
-        return let(
-            F.contains(unit, F.lit("\n")),
-            lambda many: F.transform(_merge(spans), lambda span: _describe(unit, span, many, data)),
-        )
+
+        def found(rules_here: Column) -> Column:
+            spans = F.flatten(F.transform(rules_here, lambda rule: let(_match(unit, rule), _place)))
+            return let(
+                F.contains(unit, F.lit("\n")),
+                lambda many: F.transform(_merge(spans), lambda span: _describe(unit, span, many, data)),
+            )
+
+        return let(chosen, lambda c: F.when(F.size(c) > 0, found(c)).otherwise(F.array().cast(_FOUND)))
 
     blocks = [i for i, rule in enumerate(single) if rule.multiline] if scope == "document" else []
 

@@ -86,11 +86,14 @@ def wrapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", wrapped(F.col("text"), F.col("doc_id")).alias("text"))
 
 
+def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+
+
 def orders_text(spark: SparkSession, sf_dir: str, text: Callable[[Column], Column]) -> DataFrame:
     """One text per order, made from its key."""
-    return spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))).select(
-        "doc_id", text(F.col("doc_id")).alias("text")
-    )
+    key = F.col("o_orderkey")
+    return order_keys(spark, sf_dir).select(key.alias("doc_id"), text(key).alias("text"))
 
 
 # --- Detection on the documents as they are -------------------------------------------------------------
@@ -409,7 +412,7 @@ def classified_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, plant in reversed(list(enumerate(PLANTS[:-1]))):
         value = F.when(turn == i, value_of(plant, key)).otherwise(value)
     given = F.when(key % 3 == 0, F.lit("generic")).otherwise(F.lit("password"))
-    valued = table(spark, sf_dir, "orders").select(key.alias("doc_id"), value.alias("value"), given.alias("given"))
+    valued = order_keys(spark, sf_dir).select(key.alias("doc_id"), value.alias("value"), given.alias("given"))
     return valued.select("doc_id", classify(F.col("value"), F.col("given")).alias("category"))
 
 
@@ -584,7 +587,7 @@ def backup_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sealed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """12 bytes IV, 16 bytes tag and 32 bytes of text make 80 characters of base64."""
     key = F.col("o_orderkey").cast("string")
-    plain = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.md5(key).alias("plain"))
+    plain = order_keys(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), F.md5(key).alias("plain"))
     sealed = plain.select("doc_id", "plain", seal(F.col("plain"), KEY, F.col("doc_id").cast("string")).alias("payload"))
     payload = F.col("payload")
     return sealed.select(
@@ -627,7 +630,7 @@ def vault_token_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     token = vault_token(given)
     own = vault_token(vault_id("salt", key.cast("string")))
-    return table(spark, sf_dir, "orders").select(
+    return order_keys(spark, sf_dir).select(
         key.alias("doc_id"),
         token_id(token).alias("token_id"),
         is_vault_token(token).alias("valid"),
@@ -641,7 +644,10 @@ def vault_token_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat findings with gaps, one per line item."""
     number = F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_discount", "l_tax"
+    )
+    return spread(items).select(
         F.when(number % 3 != 0, F.concat(F.lit('src/a,"'), F.col("l_suppkey").cast("string"), F.lit('".env'))).alias("filePath"),
         F.when(number % 2 == 0, number).alias("line"),
         F.when(F.col("l_returnflag") != "A", F.concat(F.lit("kind-"), F.col("l_returnflag"))).alias("category"),
@@ -853,7 +859,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(turn < 4, F.lit("secret")).when(turn == 4, F.lit("uuid")).when(turn == 5, F.lit("hash"))
         .when(turn == 6, F.lit("fixture")).otherwise(F.lit("cut"))
     )
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(
+    return order_keys(spark, sf_dir).select(
         key.alias("doc_id"), text.alias("text"), ((turn < 4) | (turn == 7)).alias("should_detect"), kind.alias("category")
     )
 
