@@ -31,10 +31,6 @@ def count_newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def is_blank(text: Column) -> Column:
-    return F.coalesce(trim_space(text) == "", F.lit(True))
-
-
 def decode_entities(text: Column) -> Column:
     """Undo the five basic HTML entities; the ampersand last, so that nothing is decoded twice."""
     # Entity spellings.

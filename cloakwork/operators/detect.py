@@ -42,8 +42,11 @@ COMPILED_LIMIT = 200
 
 CHUNK_SIZE = 50
 
-# Unicode noncharacter, never valid in exchanged text: stands for a line feed inside a key block.
-_BLOCK_FEED = "\ufdd0"
+# Inside texts with key blocks: an escape character (a Unicode noncharacter, hardly ever in a text), what
+# stands for a line feed in a block, and what stands for the escape character itself.
+_ESCAPE = "\ufdd0"
+_BLOCK_FEED = _ESCAPE + "0"
+_ESCAPED = _ESCAPE + "1"
 
 # Start and end of the value, start of the whole match, the rule, and the value unless spans were merged.
 _SPAN = "struct<s:int,e:int,m:int,prio:int,v:string>"
@@ -220,17 +223,23 @@ def _describe(text: Column, span: Column, many_lines: Column, rules: Column) ->
 
 def _units(text: Column, block: Column, pattern: str) -> Column:
     """Lines of the text, with each multi-line key block kept inside one unit."""
-    blocks = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.zip_with(
-        F.split(text, pattern, -1),
-        blocks,
-        lambda gap, found: F.concat(
-            gap, F.coalesce(F.replace(found, F.lit("\n"), F.lit(_BLOCK_FEED)), F.lit(""))
-        ),
+
+    def swap(value: Column, old: str, new: str) -> Column:
+        return F.replace(value, F.lit(old), F.lit(new))
+
+    def folded(escaped: Column) -> Column:
+        pieces = F.zip_with(
+            F.split(escaped, pattern, -1),
+            F.regexp_extract_all(escaped, F.lit(pattern), 0),
+            lambda gap, found: F.concat(gap, F.coalesce(swap(found, "\n", _BLOCK_FEED), F.lit(""))),
+        )
+        return F.split(F.array_join(pieces, ""), LINE_BREAK, -1)
+
+    units = F.transform(
+        let(swap(text, _ESCAPE, _ESCAPED), folded),
+        lambda u: swap(swap(u, _BLOCK_FEED, "\n"), _ESCAPED, _ESCAPE),
     )
-    folded = F.split(F.array_join(pieces, ""), LINE_BREAK, -1)
-    unfolded = F.transform(folded, lambda u: F.replace(u, F.lit(_BLOCK_FEED), F.lit("\n")))
-    return F.when(block, unfolded).otherwise(F.split(text, LINE_BREAK, -1))
+    return F.when(block, units).otherwise(F.split(text, LINE_BREAK, -1))
 
 
 def _chunks(rules: Sequence[Rule]) -> list[range]:

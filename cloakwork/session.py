@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,15 +32,17 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
 
     Only where none is named and the session runs on this machine, a temporary folder is used.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if base is None:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="cloakwork-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+    base = spark.conf.get(CHECKPOINT_DIR, None) or _local_folder(spark.conf.get("spark.master", "local"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def _local_folder(master: str) -> str:
+    if not master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="cloakwork-")
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to shared scratch space and read it back: what follows starts from the files."""
     path = scratch_dir(df.sparkSession, purpose)
