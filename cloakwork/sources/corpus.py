@@ -21,6 +21,9 @@ SKIPPED_DIRS = ("node_modules", "out", "dist", "build", ".git", "venv", "env")
 # A cap is carried out by handing the chosen paths to the reader, so it has to stay small.
 MAX_CAPPED_PATHS = 100_000
 
+# Folders to find from the driver before the rest of a tree is walked by tasks.
+WALK_WIDTH = 256
+
 _SCHEMA = "root string, path string, text string"
 
 
@@ -93,20 +96,53 @@ def _open(spark: SparkSession, roots: Sequence[str]) -> tuple[list[str], DataFra
     return present, load(present) if present else None
 
 
-def _dot_env_files(root: str) -> list[str]:
-    """Spark's file listing leaves out names with a leading dot, so ``.env`` files are looked up apart."""
+def _look_into(folder: str) -> tuple[list[str], list[str]]:
+    """The ``.env`` file of a folder, if any, and the folders below it that are scanned."""
     from pyarrow import fs
 
-    system, base = fs.FileSystem.from_uri(root)
-    found: list[str] = []
-    pending = [base]
-    while pending:
-        for info in system.get_file_info(fs.FileSelector(pending.pop(), allow_not_found=True)):
-            if info.type == fs.FileType.Directory and info.base_name not in SKIPPED_DIRS:
-                pending.append(info.path)
-            elif info.type == fs.FileType.File and info.base_name == ".env":
-                found.append(info.path)
-    return found
+    system, inner = fs.FileSystem.from_uri(folder)
+    files, folders = [], []
+    for info in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+        path = f"{folder.rstrip('/')}/{info.base_name}"
+        if info.type == fs.FileType.Directory and info.base_name not in SKIPPED_DIRS:
+            folders.append(path)
+        elif info.type == fs.FileType.File and info.base_name == ".env":
+            files.append(path)
+    return files, folders
+
+
+def _dot_env_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame | None:
+    """``.env`` files below the roots; null if there are certainly none.
+
+    Spark's file listing leaves out names with a leading dot.  The top of the trees is looked through here;
+    once there are enough folders, what lies below them is left to tasks.
+    """
+    pending = [(root, root) for root in roots]
+    found: list[tuple[str, str]] = []
+    while pending and len(pending) < WALK_WIDTH:
+        level, pending = pending, []
+        for root, folder in level:
+            files, folders = _look_into(folder)
+            found += [(root, path) for path in files]
+            pending += [(root, path) for path in folders]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for root, top in zip(batch["root"], batch["path"]):
+                folders = [top]
+                while folders:
+                    files, more = _look_into(folders.pop())
+                    folders += more
+                    rows += [(root, path) for path in files]
+            yield pd.DataFrame(rows, columns=["root", "path"])
+
+    schema = "root string, path string"
+    here = spark.createDataFrame(found, schema) if found else None
+    if not pending:
+        return here
+    below = spark.createDataFrame(pending, schema).repartition(len(pending)).mapInPandas(walk, schema)
+    return below if here is None else here.unionByName(below)
 
 
 def read_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
@@ -191,10 +227,12 @@ def load_corpus(
             raise ValueError(f"a cap may keep at most {MAX_CAPPED_PATHS} files")
         files = _reader(spark).load(wanted) if wanted else None
     corpus = spark.createDataFrame([], _SCHEMA) if files is None else _contents(files, present)
-    hidden = [(_plain(r), p) for r in present for p in _dot_env_files(r)] if dot_env else []
-    if not hidden:
+    hidden = _dot_env_files(spark, present) if dot_env else None
+    if hidden is None:
         return corpus
-    return capped(corpus.unionByName(read_paths(spark.createDataFrame(hidden, "root string, path string"))))
+    root, below = _located(F.col("path"), present)
+    extra = read_paths(hidden).select(root.alias("root"), F.concat_ws("/", root, below).alias("path"), "text")
+    return capped(corpus.unionByName(extra))
 
 
 def unread_files(listing: DataFrame, corpus: DataFrame) -> DataFrame:

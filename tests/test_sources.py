@@ -66,6 +66,18 @@ def test_what_is_scanned(spark, tmp_path):
     assert listed["a.ts"] and not listed["node_modules/x/d.js"] and not listed["logo.png"]
 
 
+def test_dot_env_files_of_wide_trees(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("cloakwork.sources.corpus.WALK_WIDTH", 3)
+    for name in (".env", "a/.env", "b/x/.env", "c/y/z/.env", "d/venv/.env", "e/out/q/.env"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(s.OPENAI)
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        rows = cw.load_corpus(spark, root).collect()
+        assert {r.path.removeprefix(f"{tmp_path}/") for r in rows} == {".env", "a/.env", "b/x/.env", "c/y/z/.env"}
+        assert {(r.root, r.text) for r in rows} == {(str(tmp_path), s.OPENAI)}
+
+
 def test_skipped_files_are_not_read(spark, tmp_path):
     root = tmp_path / "w"
     tree(root, 3, True)
