@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork import mask
-from cloakwork.plans.registry import QUERIES
+from cloakwork.plans.queries import QUERIES
 from cloakwork.session import local_session
 
 HEADLINE = (

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import cloakwork as cw
-from cloakwork.plans.registry import KEY, QUERIES, _messages, _stream
+from cloakwork.plans.queries import KEY, QUERIES
+from cloakwork.plans.queries.common import messages_text
+from cloakwork.plans.queries.streams import table_stream
 from cloakwork.session import scratch_dir
 
 
@@ -17,7 +19,7 @@ def test_a_batch_run_again_leaves_the_same_rows(spark, small):
     def run():
         # A fresh log makes the stream start over with batch 0, as after a failure before its commit.
         cw.protect_stream(
-            _messages(_stream(spark, small, "conversations")),
+            messages_text(table_stream(spark, small, "conversations")),
             out_path=out, vault_path=vault, checkpoint=scratch_dir(spark, "log"), mode="number", key=KEY,
         ).awaitTermination()
         return [sorted(map(str, spark.read.parquet(p).collect())) for p in (out, vault)]
