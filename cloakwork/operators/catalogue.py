@@ -200,8 +200,17 @@ def gate_pattern(rules: Sequence[Rule]) -> str:
     return f"[{''.join(pivots)}](?:{'|'.join(sides)})"
 
 
-def custom_rule(name: str, pattern: str, category: str | None = None) -> Rule:
-    return Rule(name, category or "custom", pattern, base=0.5, custom=True)
+# Parts of a pattern that let it match a line break.
+_CROSSES_LINES = ("\\n", "\\R", "[\\s\\S]", "(?s")
+
+
+def custom_rule(
+    name: str, pattern: str, category: str | None = None, multiline: bool | None = None
+) -> Rule:
+    """A rule of the user's own; ``multiline`` is told from the pattern unless it is given."""
+    if multiline is None:
+        multiline = any(part in pattern for part in _CROSSES_LINES)
+    return Rule(name, category or "custom", pattern, base=0.5, custom=True, multiline=multiline)
 
 
 def rule_set(

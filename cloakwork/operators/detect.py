@@ -9,8 +9,8 @@ common case (a text without secrets) costs little:
    matches of the rules that hit, place them by offset and merge overlapping ones.
 
 Rules are applied line by line, so the cost of placing and merging depends on the length of a line, not
-of the document.  In document scope a multi-line private key block forms one unit together with the
-rest of its first and last line; in line scope only its marker line is seen.
+of the document.  In document scope the match of a multi-line rule, such as a private key block, forms one
+unit together with the rest of its first and last line; in line scope only its marker line is seen.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -221,25 +221,36 @@ def _describe(text: Column, span: Column, many_lines: Column, rules: Column) ->
     return let(parts, finding)
 
 
-def _units(text: Column, block: Column, pattern: str) -> Column:
-    """Lines of the text, with each multi-line key block kept inside one unit."""
+def _units(text: Column, blocks: Sequence[tuple[Column, str]]) -> Column:
+    """Lines of the text, with each match of the multi-line patterns kept inside one unit.
+
+    ``blocks`` are the patterns, each with whether it matches the text at all.
+    """
 
     def swap(value: Column, old: str, new: str) -> Column:
         return F.replace(value, F.lit(old), F.lit(new))
 
-    def folded(escaped: Column) -> Column:
-        pieces = F.zip_with(
-            F.split(escaped, pattern, -1),
-            F.regexp_extract_all(escaped, F.lit(pattern), 0),
-            lambda gap, found: F.concat(gap, F.coalesce(swap(found, "\n", _BLOCK_FEED), F.lit(""))),
-        )
-        return F.split(F.array_join(pieces, ""), LINE_BREAK, -1)
+    def folded(escaped: Column, block: tuple[Column, str]) -> Column:
+        some, pattern = block
 
+        def fold(t: Column) -> Column:
+            pieces = F.zip_with(
+                F.split(t, pattern, -1),
+                F.regexp_extract_all(t, F.lit(pattern), 0),
+                lambda gap, found: F.concat(gap, F.coalesce(swap(found, "\n", _BLOCK_FEED), F.lit(""))),
+            )
+            return F.when(some, F.array_join(pieces, "")).otherwise(t)
+
+        return let(escaped, fold)
+
+    lines = F.split(text, LINE_BREAK, -1)
+    if not blocks:
+        return lines
     units = F.transform(
-        let(swap(text, _ESCAPE, _ESCAPED), folded),
+        F.split(reduce(folded, blocks, swap(text, _ESCAPE, _ESCAPED)), LINE_BREAK, -1),
         lambda u: swap(swap(u, _BLOCK_FEED, "\n"), _ESCAPED, _ESCAPE),
     )
-    return F.when(block, units).otherwise(F.split(text, LINE_BREAK, -1))
+    return F.when(reduce(lambda x, y: x | y, [some for some, _ in blocks]), units).otherwise(lines)
 
 
 def _chunks(rules: Sequence[Rule]) -> list[range]:
@@ -310,12 +321,13 @@ def scan_of(text: Column, rules: Sequence[Rule] = BUILTIN_RULES, scope: str = "d
 
         return let(chosen, lambda c: F.when(F.size(c) > 0, found(c)).otherwise(F.array().cast(_FOUND)))
 
-    blocks = [i for i, rule in enumerate(single) if rule.multiline] if scope == "document" else []
+    blocks = [rule for rule in rules if rule.multiline] if scope == "document" else []
 
     def units(hits: Column) -> Column:
-        if not blocks:
-            return F.split(text, LINE_BREAK, -1)
-        return _units(text, F.get(hits["one"], F.lit(blocks[0])), single[blocks[0]].pattern)
+        def matches(rule: Rule) -> Column:
+            return F.get(hits["one"], F.lit(single.index(rule))) if rule in single else text.rlike(rule.pattern)
+
+        return _units(text, [(matches(rule), rule.pattern) for rule in blocks])
 
     def scan(hits: Column) -> Column:
         some = F.array_contains(hits["one"], True)
