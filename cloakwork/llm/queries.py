@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, near_dedup
+from . import bpe, decontaminate, fingerprint, langid, line_dedup, near_dedup, url_lists
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,114 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256(F.coalesce("text", F.lit(""))).alias("text_sha256"),
         ((F.col("n_removed") == 0) | (F.trim("text") != "")).alias("kept"),
     )
+
+
+@query()
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = fingerprint.with_next(docs, "doc_id", ["text"], parts)
+    edited = fingerprint.edited_text(F.col("text"), F.col("next_text"))
+    rows = rows.select("doc_id", "text", "next_text", F.explode_outer(F.array(edited)).alias("edited"))
+    marks = F.struct(
+        fingerprint.fingerprint(F.col("text")).alias("own"),
+        fingerprint.fingerprint(F.col("edited")).alias("edited"),
+        fingerprint.fingerprint(F.col("next_text")).alias("following"),
+    )
+    rows = rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        sha256(F.col("edited")).alias("edited_sha256"),
+        F.explode_outer(F.array(marks)).alias("m"),
+    )
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.col("m.own").alias("fingerprint"),
+        F.col("m.edited").alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("m.own"), F.col("m.edited")).alias("near_edited"),
+        fingerprint.likeness(F.col("m.own"), F.col("m.following")).alias("near_next"),
+    )
+
+
+# The lists of the URL query follow from the addresses themselves: each host, domain and folder may have entries in
+# two lists, by the digits of a hash, added on one day and some of them taken away and added again later.
+_DAY0 = "2024-01-01 00:00:00"
+
+
+def _digits(text: Column, at: int, n: int) -> Column:
+    return F.conv(F.substring(F.md5(text), at, n), 16, 10).cast("int")
+
+
+def captures_of(pages: DataFrame) -> DataFrame:
+    """Pages with a time of fetching within a year, to the minute."""
+    minutes = _digits(F.concat(F.lit("fetched"), F.col("page_id").cast("string")), 1, 6) % (366 * 1440)
+    at = F.timestamp_seconds(F.unix_seconds(F.lit(_DAY0).cast("timestamp")) + minutes * 60)
+    return pages.select("page_id", "url", at.alias("fetched_at"))
+
+
+def list_changes(pages: DataFrame) -> DataFrame:
+    """Dated changes of two lists over the keys that occur in the addresses."""
+    keys = pages.select(F.explode(url_lists.address_keys(F.col("url"))).alias("k")).select(F.col("k.key").alias("key")).distinct()
+    lists = keys.select("key", F.explode(F.array(F.lit("abuse"), F.lit("curated"))).alias("list"))
+    named = F.concat("list", F.lit(":"), "key")
+    listed = lists.where(_digits(named, 1, 2) < 96).select(
+        "list",
+        "key",
+        F.when(_digits(named, 3, 1) < 10, "block").otherwise("allow").alias("action"),
+        F.explode(F.sequence(F.lit(0), _digits(named, 4, 1) % 4)).alias("step"),
+        named.alias("named"),
+    )
+    # Changes in turn add the entry and take it away.
+    day = (_digits(F.col("named"), 6, 2) + F.col("step") * (20 + _digits(F.col("named"), 8, 2) % 60)) % 400
+    at = F.timestamp_seconds(F.unix_seconds(F.lit(_DAY0).cast("timestamp")) + (day - 20) * 86400)
+    return listed.select("list", "key", "action", at.alias("at"), (F.col("step") % 2 == 0).alias("added"))
+
+
+@query(
+    """
+    WITH p AS (
+      SELECT page_id, url,
+        lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
+        regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+        TIMESTAMP '2024-01-01 00:00:00'
+          + to_minutes(CAST(('0x' || substr(md5('fetched' || CAST(page_id AS VARCHAR)), 1, 6)) AS INTEGER) % 527040) AS fetched_at
+      FROM pages
+    ), h AS (
+      SELECT *, string_split(host, '.') AS labels, string_split(path, '/') AS parts FROM p WHERE host <> ''
+    ), k AS (
+      SELECT page_id, fetched_at, i AS depth, array_to_string(labels[len(labels) - i + 1 : len(labels)], '.') AS key
+      FROM h, unnest(range(1, len(labels) + 1)) AS t(i)
+      UNION ALL
+      SELECT page_id, fetched_at, len(labels) + i AS depth, host || array_to_string(parts[1:i], '/') AS key
+      FROM h, unnest(range(2, len(parts) + 1)) AS t(i)
+    ), l AS (
+      SELECT list, key, list || ':' || key AS named FROM (SELECT DISTINCT key FROM k), (VALUES ('abuse'), ('curated')) AS v(list)
+    ), d AS (
+      SELECT *, CAST('0x' || substr(md5(named), 3, 1) AS INTEGER) AS d3, CAST('0x' || substr(md5(named), 4, 1) AS INTEGER) AS d4,
+        CAST('0x' || substr(md5(named), 6, 2) AS INTEGER) AS d6, CAST('0x' || substr(md5(named), 8, 2) AS INTEGER) AS d8
+      FROM l WHERE CAST('0x' || substr(md5(named), 1, 2) AS INTEGER) < 96
+    ), c AS (
+      SELECT list, key, CASE WHEN d3 < 10 THEN 'block' ELSE 'allow' END AS action,
+        TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST((d6 + s * (20 + d8 % 60)) % 400 - 20 AS INTEGER)) AS moment, s % 2 = 0 AS added
+      FROM d, unnest(range(0, d4 % 4 + 1)) AS t(s)
+    ), o AS (
+      SELECT list, key, action, moment, bool_and(added) AS added FROM c GROUP BY ALL
+    ), i AS (
+      SELECT *, lead(moment) OVER (PARTITION BY list, key, action ORDER BY moment) AS until FROM o
+    ), m AS (
+      SELECT page_id, depth, list, key, action, row_number() OVER (
+        PARTITION BY page_id ORDER BY depth DESC, CASE WHEN action = 'block' THEN 0 ELSE 1 END, list, key) AS r
+      FROM k JOIN i USING (key) WHERE i.added AND k.fetched_at >= i.moment AND (i.until IS NULL OR k.fetched_at < i.until)
+    )
+    SELECT pages.page_id, m.action, m.key AS entry, m.list, coalesce(m.action, 'allow') <> 'block' AS kept
+    FROM pages LEFT JOIN m ON m.page_id = pages.page_id AND m.r = 1
+    """
+)
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_lists.evaluate(captures_of(pages), list_changes(pages), "url", "fetched_at")
+    return found.select(
+        "page_id", "action", "entry", "list", (F.coalesce("action", F.lit("allow")) != "block").alias("kept")
+    )
