@@ -7,7 +7,8 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, line_dedup, near_dedup, url_lists
+from ..session import stored
+from . import bpe, decontaminate, fingerprint, langid, licenses, line_dedup, masked_lm, near_dedup, secrets, url_lists
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -239,3 +240,78 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "page_id", "action", "entry", "list", (F.coalesce("action", F.lit("allow")) != "block").alias("kept")
     )
+
+
+@query()
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return masked_lm.score(docs, masked_lm.train(docs))
+
+
+def files_of(docs: DataFrame) -> DataFrame:
+    """Documents as files: a folder for every source, language and 64 numbers in a row.  A text of fewer than 80
+    characters stands for the licence file of its folder."""
+    number = F.col("doc_id").cast("string")
+    name = F.when(F.length("text") < 80, F.concat(F.lit("LICENSE."), number)).otherwise(F.concat(number, F.lit(".txt")))
+    folder = F.floor(F.col("doc_id") / 64).cast("string")
+    return docs.select("doc_id", F.concat_ws("/", "source", "lang", folder, name).alias("path"), "text")
+
+
+@query()
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = files_of(table(spark, sf_dir, "documents"))
+    found = licenses.scan(files.select("path", "text"), licenses.templates(spark))
+    return found.select(
+        F.regexp_extract("path", r"([0-9]+)(?:\.txt)?$", 1).cast("long").alias("doc_id"),
+        "path",
+        "license",
+        F.round("cosine", 6).alias("cosine"),
+        "origin",
+    )
+
+
+def labelled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with known answers: texts around the numbers of orders, half of them with a secret.
+
+    Secrets are passwords, tokens and access keys; the others are revisions, checksums, order and card numbers and
+    names with numbers, of the same alphabets and lengths.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").distinct()
+    digest = F.md5(F.concat(F.lit("finding"), F.col("o_orderkey").cast("string")))
+    long_hex = F.substring(F.concat(digest, F.md5(digest)), 1, 40)
+    upper = F.upper(F.substring(F.translate(F.base64(F.md5(digest).cast("binary")), "+/=", "AZQ"), 1, 16))
+    number = F.substring(F.translate(long_hex, "abcdef", "012345"), 1, 16)
+    customer = F.concat(F.lit("Customer"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    texts = [
+        (1, F.concat(F.lit("the password="), F.substring(long_hex, 1, 18), F.lit(" is for"))),
+        (1, F.concat(F.lit("and token = \""), long_hex, F.lit("\" here"))),
+        (1, F.concat(F.lit("of AKIA"), upper, F.lit(" to"))),
+        (1, F.concat(F.lit("secret: "), F.substring(long_hex, 3, 24), F.lit(" must"))),
+        (0, F.concat(F.lit("in commit "), long_hex, F.lit(" of"))),
+        (0, F.concat(F.lit("with checksum="), F.substring(long_hex, 1, 32), F.lit(" for"))),
+        (0, F.concat(F.lit("paid with "), number, F.lit(" and"))),
+        (0, F.concat(F.lit("by "), customer, F.lit(" in"))),
+    ]
+    kind = _digits(F.concat(F.lit("kind"), F.col("o_orderkey").cast("string")), 1, 1) % len(texts)
+    text = F.coalesce(*[F.when(kind == i, t) for i, (_, t) in enumerate(texts)])
+    label = F.get(F.array(*[F.lit(l) for l, _ in texts]), kind)
+    rows = orders.select("o_orderkey", text.alias("text"), label.alias("is_secret"))
+    found = secrets.candidates(rows, "o_orderkey", "text")
+    return found.join(rows.select(F.col("o_orderkey").alias("id"), "is_secret"), "id")
+
+
+@query()
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("path"))
+    corpus = secrets.corpus_of(docs)
+    forest = secrets.train(labelled_findings(spark, sf_dir), corpus)
+    found = secrets.classify(stored(secrets.candidates(docs, path_col="path"), "candidates"), corpus, forest)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "nth",
+        sha256(F.col("value")).alias("value_sha256"),
+        F.length("value").alias("length"),
+        "before",
+        F.round("probability", 6).alias("probability"),
+        "is_secret",
+    )
