@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
@@ -28,8 +28,10 @@ from tokenizers.pre_tokenizers import Split
 END = "\n"
 END_SUFFIX = "</w>"
 
+_IDS = ArrayType(IntegerType())
+
 # Words kept by one task: beyond it, the lexicon is started anew.  Bounds memory, never results.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 
 
 def latin(pattern: str) -> str:
@@ -69,6 +71,11 @@ class WordTrie:
         self._apart: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        """Drop what has been worked out for pairs of tokens; it would grow with the corpus."""
+        self._apart.clear()
+        self._ends.clear()
+
     def apart(self, left: int, right: int) -> bool:
         """Whether two tokens side by side stay two tokens.
 
@@ -250,6 +257,7 @@ class Codec:
         new = set(chain.from_iterable(found)) - self.cache.keys()
         if new and len(self.cache) + len(new) > MAX_WORDS:
             self.cache = {}
+            self.trie.forget()
             new = set(chain.from_iterable(found))
         table = self.table
         shown = {w: "".join([table[b] for b in w.encode("utf-8", "surrogatepass")]) for w in new if isinstance(w, str)}
@@ -262,13 +270,18 @@ class Codec:
         sizes = np.fromiter(map(len, flat), np.int64, len(flat)) // 4
         return np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(flat), np.int32)
 
+    def encoded(self, texts: list[str]) -> pa.ListArray:
+        offsets, ids = self.encode(texts)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
-        """The tokens' texts with a space between them; ids outside the vocabulary have none."""
+        """The tokens' texts with a space between them; ids outside the vocabulary have none, nor have nulls."""
         at = pc.index_in(ids.values, value_set=self.known_ids)
         if at.null_count:
             return pa.array([self._decode_one(x) for x in ids.to_pylist()], pa.string())
         offsets = ids.offsets
-        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.token_texts.take(at)), " ")
+        texts = pc.binary_join(pa.ListArray.from_arrays(offsets, self.token_texts.take(at)), " ")
+        return pc.if_else(ids.is_null(), "", texts) if ids.null_count else texts
 
     def _decode_one(self, ids: list[int] | None) -> str:
         return " ".join([self.text_of[i] for i in ids or [] if i in self.text_of])
@@ -279,51 +292,64 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-# Texts encoded at a time.
+# Texts encoded, and handed on, at a time.
 _AT_ONCE = 256
 
 
-def encode(text: Column, vocabulary: str) -> Column:
-    """Token ids of each whole text, ``array<int>``; no text (null) has no ids.
+def _in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), _AT_ONCE):
+            yield batch.slice(at, _AT_ONCE)
 
-    ``vocabulary`` is the path of a public vocabulary file that every executor has.
-    """
 
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(vocabulary)
-        for batch in batches:
-            parts = []
-            for at in range(0, len(batch), _AT_ONCE):
-                texts = [t or "" for t in batch.slice(at, _AT_ONCE).to_pylist()]
-                offsets, flat = own.encode(texts)
-                parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+def _texts(column: pa.Array) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
+
 
-    return ids(text)
+def _with(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
+    kept = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n not in new}
+    return pa.RecordBatch.from_arrays([*kept.values(), *new.values()], names=[*kept, *new])
 
 
-def decode(ids: Column, vocabulary: str) -> Column:
-    """The text of each array of token ids, special tokens included; null has the empty text."""
+def _mapped(docs: DataFrame, step: Callable[[Codec, pa.RecordBatch], dict[str, pa.Array]], path: str, new: StructType) -> DataFrame:
+    """Rows with the new columns last, in place of any of their names."""
 
-    @F.arrow_udf("string")
-    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(vocabulary)
-        for batch in batches:
-            parts = [own.decode(batch.slice(at, _AT_ONCE)) for at in range(0, len(batch), _AT_ONCE)]
-            yield pc.fill_null(pa.concat_arrays(parts), "") if parts else pa.array([], pa.string())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in _in_batches(batches):
+            yield _with(batch, step(own, batch))
 
-    return texts(ids)
+    kept = [f for f in docs.schema.fields if f.name not in new.fieldNames()]
+    return docs.mapInArrow(run, StructType([*kept, *new.fields]))
+
+
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """Every row with the token ids of its whole text, ``array<int>``; a null text has none.
+
+    ``vocabulary`` is the path of a public vocabulary file that every executor has.
+    """
+    new = StructType([StructField(ids_col, _IDS)])
+    return _mapped(docs, lambda own, b: {ids_col: own.encoded(_texts(b[text_col]))}, vocabulary, new)
+
+
+def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """Every row with the text of its token ids, special tokens included; null ids have the empty text."""
+    new = StructType([StructField(decoded_col, StringType())])
+    return _mapped(docs, lambda own, b: {decoded_col: own.decode(b[ids_col])}, vocabulary, new)
 
 
 def tokenize(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """Every row with its token ids and the text they decode to; no shuffle.
+    """Every row with its token ids and the text they decode to, in one pass without a shuffle.
 
     Null texts count as empty: no ids, empty decoded text.  Empty tables stay empty, repeated rows are encoded
     alike, long texts are encoded whole, other columns pass (``ids_col`` and ``decoded_col`` replace columns of
     their names).  A task keeps the encodings of at most ``MAX_WORDS`` distinct words, besides those of the
-    batch at hand.
+    texts at hand.
     """
-    return docs.withColumn(ids_col, encode(F.col(text_col), vocabulary)).withColumn(
-        decoded_col, decode(F.col(ids_col), vocabulary)
-    )
+    new = StructType([StructField(ids_col, _IDS), StructField(decoded_col, StringType())])
+
+    def step(own: Codec, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        ids = own.encoded(_texts(batch[text_col]))
+        return {ids_col: ids, decoded_col: own.decode(ids)}
+
+    return _mapped(docs, step, vocabulary, new)

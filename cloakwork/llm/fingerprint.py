@@ -63,14 +63,7 @@ def paragraphs(mark: Column) -> Column:
 
 def leaves(mark: Column) -> Column:
     """The leaves in order, eight digits each."""
-    digits = F.translate(F.substring(mark, 33, 2**31 - 1), ":/", "")
-    return let(
-        digits,
-        lambda d: F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1)), F.lit(_LEAF)), lambda i: i <= F.length(d)),
-            lambda i: F.substr(d, i, F.lit(_LEAF)),
-        ),
-    )
+    return F.regexp_extract_all(F.translate(F.substring(mark, 33, 2**31 - 1), ":/", ""), F.lit(f"(.{{{_LEAF}}})"), F.lit(1))
 
 
 def likeness(mark: Column, other: Column) -> Column:

@@ -56,7 +56,7 @@ class TextModel:
     def scores(self, text: str | None) -> tuple[np.ndarray, int, float]:
         """Log-likelihood by language, the number of trigrams, and by how much the best beats no language, each."""
         codes = _codes(text or "")
-        if len(codes) < _FEW_LETTERS:
+        if len(codes) < _FEW_LETTERS or not self.languages:
             return np.zeros(len(self.languages)), len(codes), 0.0
         sums = self.table[:, codes].sum(axis=1)
         own = sums[:-1]

@@ -27,8 +27,14 @@ _TREES, _DEPTH, _SEED = 30, 6, 7
 # Added to the counts of a neighbouring word, half to either side.
 _SMOOTHING = 2.0
 
-# The word or name before, what stands between, the value, and the word after.
-_CANDIDATE = rf"([\p{{L}}\p{{N}}_]*)([^\p{{L}}\p{{N}}\n]{{0,4}})(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])([A-Za-z0-9_+/-]{{{MIN_LENGTH},}}={{0,2}})(?=[^\p{{L}}\p{{N}}]{{0,4}}([\p{{L}}\p{{N}}_]*))"
+# The word or name before, what stands between, the value, and the word after.  Nothing is tried twice, so that a run
+# of any length costs in proportion.
+_NAME = r"[\p{L}\p{N}_]"
+_CANDIDATE = (
+    rf"(?:(?<!{_NAME})({_NAME}++)[^\p{{L}}\p{{N}}_\n]{{1,4}}+)?"
+    rf"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])([A-Za-z0-9_+/-]{{{MIN_LENGTH},}}+={{0,2}}+)"
+    rf"(?=[^\p{{L}}\p{{N}}_]{{0,4}}+({_NAME}*+))"
+)
 
 FEATURES = [
     "length",
@@ -53,7 +59,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text_col).alias("text"))
     hits = F.arrays_zip(
-        *[F.regexp_extract_all("text", F.lit(_CANDIDATE), F.lit(g)).alias(n) for g, n in ((1, "before"), (3, "value"), (4, "after"))]
+        *[F.regexp_extract_all("text", F.lit(_CANDIDATE), F.lit(g)).alias(n) for g, n in ((1, "before"), (2, "value"), (3, "after"))]
     )
     found = rows.where(F.col("text").rlike(r"[0-9]")).select("id", "path", F.posexplode_outer(hits).alias("nth", "hit"))
     found = found.where("hit is not null")
