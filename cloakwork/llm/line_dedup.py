@@ -23,68 +23,68 @@ MAX_DISTANCE = 3
 # Bits by block: 63 in all.
 BLOCKS = (13, 13, 13, 12, 12)
 
-# The hash bits of words are added up in fields of nine bits, seven to a number, nine numbers: at most as many words
-# at a time as a field can count.
+# The hash bits of words are added up in fields of nine bits, seven to a number, nine numbers.  At most 255 words at a
+# time, so that the top bit of each field stays free for comparing.
 _FIELD, _FIELDS, _SUMS = 9, 7, 9
-_AT_ONCE = 2**_FIELD - 1
-_MASK = sum(1 << (_FIELD * i) for i in range(_FIELDS))
+_AT_ONCE = 2 ** (_FIELD - 1) - 1
+_ONES = sum(1 << (_FIELD * i) for i in range(_FIELDS))
+_TOPS = _ONES << (_FIELD - 1)
 
 
 def words_of(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``(k1, k2, pos, words)`` of the lines that have enough words."""
-    cut = docs.select(*row_key(id_col, text_col), F.posexplode_outer(F.split(text_col, "\n")).alias("pos", "line"))
-    own = cut.select(*KEY, "pos", F.explode_outer(F.array(words_of(F.col("line")))).alias("words"))
-    return own.where(F.size("words") >= min_words)
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(k1, k2, pos, line)``."""
+    return docs.select(*row_key(id_col, text_col), F.posexplode_outer(F.split(text_col, "\n")).alias("pos", "line"))
 
 
 def _line_id() -> Column:
     return F.xxhash64("words").alias("line_id")
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """``(k1, k2, pos, line_id, simhash)``: one row per line."""
+def _majority(sums: list[Column], total: Column) -> Column:
+    """The bits that more than half of ``total`` words have: all fields of a number are compared at once."""
+    least = (F.floor(total / 2) + 1).cast("long")
+    bits = [
+        F.shiftrightunsigned((s + F.lit(_TOPS) - least * F.lit(_ONES)).bitwiseAND(F.lit(_TOPS)), _FIELD - 1 - k)
+        for k, s in enumerate(sums)
+    ]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+
+
+def _hashed(lines: DataFrame, min_words: int) -> DataFrame:
+    """``(k1, k2, pos, line_id, raw, simhash)``: one row per line that has enough words.
+
+    ``line_id`` stands for the words of a line, ``raw`` for the line as it is.
+    """
+    # The arrays of one element keep the words from being worked out once more for every mention.
+    own = lines.select(*KEY, "pos", F.xxhash64("line").alias("raw"), F.explode_outer(F.array(words_of(F.col("line")))).alias("words"))
     long_words = F.filter("words", lambda w: F.octet_length(w) > 3)
     # Short words are in every line and say little; a line of nothing else has to do with them.
     features = let(long_words, lambda some: F.when(F.size(some) > 0, some).otherwise(F.col("words")))
-    words = lines.select(*KEY, "pos", _line_id(), F.explode_outer(F.array(features)).alias("features"))
-    words = words.select(*KEY, "pos", "line_id", F.size("features").alias("total"), F.posexplode_outer("features").alias("at", "word"))
-    words = words.select(
-        *KEY, "pos", "line_id", "total", F.floor(F.col("at") / _AT_ONCE).cast("int").alias("part"), F.xxhash64("word").alias("h")
-    )
-    sums = words.groupBy(*KEY, "pos", "line_id", "total", "part").agg(
-        *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_MASK))).alias(f"s{k}") for k in range(_SUMS)]
+    own = own.where(F.size("words") >= min_words)
+    words = own.select(*KEY, "pos", "raw", _line_id(), F.explode_outer(F.array(features)).alias("features"))
+    words = words.select(*KEY, "pos", "raw", "line_id", F.size("features").alias("total"), F.posexplode_outer("features").alias("at", "word"))
+    part = F.floor(F.col("at") / _AT_ONCE).cast("int").alias("part")
+    words = words.select(*KEY, "pos", "raw", "line_id", "total", part, F.xxhash64("word").alias("h"))
+    sums = words.groupBy(*KEY, "pos", "raw", "line_id", "total", "part").agg(
+        *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_ONES))).alias(f"s{k}") for k in range(_SUMS)]
     )
-
-    def field(k: int, j: int) -> Column:
-        return F.shiftrightunsigned(f"s{k}", _FIELD * j).bitwiseAND(F.lit(_AT_ONCE))
-
-    def packed(count) -> Column:
-        bits = [
-            F.when(count(k, j) * 2 > F.col("total"), F.lit(1 << (_FIELD * j + k))).otherwise(F.lit(0).cast("long"))
-            for j in range(_FIELDS)
-            for k in range(_SUMS)
-        ]
-        return reduce(lambda x, y: x.bitwiseOR(y), bits).alias("simhash")
-
+    names = [f"s{k}" for k in range(_SUMS)]
     whole = F.col("total") <= _AT_ONCE
-    counts = F.array(*[field(k, j) for j in range(_FIELDS) for k in range(_SUMS)])
-    found = stored(
-        sums.select(
-            *KEY, "pos", "line_id", "total", F.when(whole, packed(field)).alias("simhash"), F.when(~whole, counts).alias("counts")
-        ),
-        "lines",
-    )
-    one = found.where("simhash is not null").select(*KEY, "pos", "line_id", "simhash")
-    many = (
-        found.where("simhash is null")
-        .groupBy(*KEY, "pos", "line_id", "total")
-        .agg(*[F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(_FIELDS * _SUMS)])
-    )
-    many = many.select(*KEY, "pos", "line_id", packed(lambda k, j: F.col(f"c{j * _SUMS + k}")))
+    bits = _majority([F.col(n) for n in names], F.col("total"))
+    found = sums.select(*KEY, "pos", "raw", "line_id", "total", F.when(whole, bits).alias("simhash"), F.when(~whole, F.array(*names)).alias("sums"))
+    found = stored(found, "lines")
+    one = found.where("simhash is not null").select(*KEY, "pos", "raw", "line_id", "simhash")
+    # Lines of more words: their parts are added up bit by bit.
+    field = lambda k, j: F.shiftrightunsigned(F.get("sums", F.lit(k)), _FIELD * j).bitwiseAND(F.lit(2**_FIELD - 1))
+    places = [(k, j) for k in range(_SUMS) for j in range(_FIELDS)]
+    many = found.where("simhash is null").groupBy(*KEY, "pos", "raw", "line_id", "total")
+    many = many.agg(*[F.sum(field(k, j)).alias(f"c{k}_{j}") for k, j in places])
+    each = [F.when(F.col(f"c{k}_{j}") * 2 > F.col("total"), F.lit(1 << (_FIELD * j + k))).otherwise(F.lit(0).cast("long")) for k, j in places]
+    many = many.select(*KEY, "pos", "raw", "line_id", reduce(lambda x, y: x.bitwiseOR(y), each).alias("simhash"))
     return one.unionByName(many)
 
 
@@ -101,16 +101,21 @@ def _blocks(simhash: Column) -> Column:
 
 def line_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """All lines ``(k1, k2, pos, line_id)``, and the group of each line that is not alone ``(line_id, group)``."""
-    lines = _lines(docs, id_col, text_col, min_words)
-    hashed = stored(_hashed(lines), "line-hashes")
-    # Equal words have equal hashes, so any of them will do.
-    distinct = hashed.groupBy("line_id").agg(F.max("simhash").alias("simhash"), F.count(F.lit(1)).alias("copies"))
+    lines = _lines(docs, id_col, text_col)
+    hashed = stored(_hashed(lines, min_words), "line-hashes")
+    # Equal words have equal hashes, so any of them will do; of lines with equal words, so will any.
+    distinct = hashed.groupBy("line_id").agg(
+        F.max("simhash").alias("simhash"), F.min("raw").alias("raw"), F.count(F.lit(1)).alias("copies")
+    )
     distinct = stored(distinct, "distinct-lines")
 
     def texts(ids: DataFrame) -> DataFrame:
-        own = lines.select(_line_id().alias("id"), F.array_join("words", " ").alias("words"))
-        own = own.join(ids, "id", "left_semi").groupBy("id").agg(F.first("words").alias("words"))
-        return stored(own.join(distinct.select(F.col("line_id").alias("id"), "simhash"), "id"), "line-texts")
+        wanted = distinct.join(ids.withColumnRenamed("id", "line_id"), "line_id", "left_semi")
+        wanted = stored(wanted.select(F.col("line_id").alias("id"), "raw", "simhash"), "wanted-lines")
+        own = lines.select(F.xxhash64("line").alias("raw"), "line").join(wanted.select("raw"), "raw", "left_semi")
+        own = own.groupBy("raw").agg(F.first("line").alias("line"))
+        own = own.join(wanted, "raw").select("id", "simhash", F.array_join(words_of(F.col("line")), " ").alias("words"))
+        return stored(own, "line-texts")
 
     def far(x: Column, y: Column) -> Column:
         return F.bit_count(x.bitwiseXOR(y)) > MAX_DISTANCE
@@ -126,9 +131,15 @@ def line_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, per
         side = lambda x: table.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
         both = near.join(side("a"), "a").join(side("b"), "b")
         most = F.floor(F.greatest(F.length("wa"), F.length("wb")) * (100 - percent) / 100)
-        both = both.withColumn("most", most.cast("int"))
+        both = both.select("a", "b", "wa", "wb", most.cast("int").alias("most"))
+        # With as many words, replacing those that differ is one way to edit; often it is short enough.
+        each = F.zip_with(
+            F.split("wa", " "), F.split("wb", " "), lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y)))
+        )
+        same_size = F.size(F.split("wa", " ")) == F.size(F.split("wb", " "))
+        way = F.when(same_size, F.aggregate(each, F.lit(0), lambda s, x: s + x))
         # The distance is -1 if it is larger than that.
-        return both.where(F.expr("levenshtein(wa, wb, most)") >= 0).select("a", "b")
+        return both.where(F.when(way <= F.col("most"), F.lit(True)).otherwise(F.expr("levenshtein(wa, wb, most)") >= 0)).select("a", "b")
 
     lists = distinct.select(F.explode(_blocks(F.col("simhash"))).alias("key"), F.col("line_id").alias("id"), "simhash")
     links = linked(lists, similar, texts, lambda l, r: ~far(F.col(f"{l}.simhash"), F.col(f"{r}.simhash")))

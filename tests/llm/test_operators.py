@@ -438,9 +438,10 @@ def test_lines_by_brute_force(spark, documents, odd):
     table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("pos", F.lit(0)).repartition(3)
     lines, groups = line_dedup.line_groups(table, "doc_id", "text", 5, 80)
     hashes = {}
-    for r in line_dedup._hashed(line_dedup._lines(table, "doc_id", "text", 5)).collect():
+    raw = line_dedup._lines(table, "doc_id", "text")
+    for r in line_dedup._hashed(raw, 5).collect():
         assert hashes.setdefault(r.line_id, r.simhash) == r.simhash
-    words = {r[0]: r[1] for r in line_dedup._lines(table, "doc_id", "text", 5).select(line_dedup._line_id(), F.array_join("words", " ")).distinct().collect()}
+    words = {r[0]: r[1] for r in raw.select(line_dedup.words_of(F.col("line")).alias("words")).where("size(words) >= 5").select(line_dedup._line_id(), F.array_join("words", " ")).distinct().collect()}
     parent = {k: k for k in words}
 
     def root(x):
