@@ -53,8 +53,8 @@ def token_id(token: Column, prefix: str = VAULT_PREFIX, strict: bool = False) ->
     found = F.nullif(F.regexp_extract(token, prefix + "(.+)", 1), F.lit(""))
     if not strict:
         return found
-    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("Invalid token format")))
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("not a vault token")))
 
 
 def is_vault_token(token: Column, prefix: str = VAULT_PREFIX) -> Column:
-    return token.rlike(f"(?i)^{prefix}{UUID4}$")
+    return token.rlike(f"(?i)^{prefix}{UUID4}\\z")

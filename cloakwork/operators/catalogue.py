@@ -200,8 +200,10 @@ def gate_pattern(rules: Sequence[Rule]) -> str:
     return f"[{''.join(pivots)}](?:{'|'.join(sides)})"
 
 
-# Parts of a pattern that let it match a line break.
-_CROSSES_LINES = ("\\n", "\\R", "[\\s\\S]", "(?s")
+# Parts of a pattern that let it match a line break: breaks, classes that hold one, and the flag for dots.
+_CROSSES_LINES = re.compile(r"\\[nRsvWDSHN]|\\x0?[aA]|\\[pP]|\[\^|\(\?[a-zA-Z]*s")
+# Parts that tie a pattern to the ends of a line.
+_LINE_ENDS = re.compile(r"(?<!\[)\^|\$")
 
 
 def custom_rule(
@@ -209,7 +211,7 @@ def custom_rule(
 ) -> Rule:
     """A rule of the user's own; ``multiline`` is told from the pattern unless it is given."""
     if multiline is None:
-        multiline = any(part in pattern for part in _CROSSES_LINES)
+        multiline = bool(_CROSSES_LINES.search(pattern)) and not _LINE_ENDS.search(pattern)
     return Rule(name, category or "custom", pattern, base=0.5, custom=True, multiline=multiline)
 
 

@@ -62,6 +62,16 @@ FINDING_FIELDS = (
 )
 
 
+# One of our tokens from start to end (a rule may leave out the closing bracket), and nothing else.
+_OWN_TOKEN = (
+    rf"\A(?:{re.escape(MASK_PREFIX)}[A-Za-z0-9_-]+\]?|{re.escape(INLINE_PREFIX)}[A-Za-z0-9+/=_-]*(?::[A-Za-z0-9+/=_-]*)?"
+    rf"|(?i:{re.escape(VAULT_PREFIX)}[0-9a-f-]*))\z"
+)
+
+# Parts of a pattern that look at what stands beside a match, or at where a line or text ends.
+_BOUND = re.compile(r"[\^$]|\\[AzZGbB]|\(\?<?[=!]")
+
+
 def _gates(text: Column, rules: Sequence[Rule]) -> Column:
     """Does the text hold an anchor of any case-sensitive rule; of any rule that ignores case?
 
@@ -84,6 +94,9 @@ def _flags(text: Column, rules: Sequence[Rule], gates: Column) -> Column:
     """Which rules match the text; null for a null text."""
 
     def flag(rule: Rule) -> Column:
+        if rule.custom and _BOUND.search(rule.pattern):
+            # What holds at the ends of a line need not hold in the text around it: only the lines can tell.
+            return F.lit(True)
         matched = text.rlike(rule.pattern)
         if not rule.anchors:
             return matched
@@ -148,7 +161,7 @@ def _place(match: Column) -> Column:
     least_bits = match["least_bits"]
 
     def keep(value: Column) -> Column:
-        masked = value.startswith(MASK_PREFIX) | value.startswith(INLINE_PREFIX) | value.startswith(VAULT_PREFIX)
+        masked = value.rlike(_OWN_TOKEN)
         random = F.when(least_bits > 0, shannon_bits(value) >= least_bits).otherwise(F.lit(True))
         return (value != "") & ~masked & random
 

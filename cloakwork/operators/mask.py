@@ -7,6 +7,7 @@ in the plain segments only, so a value is never searched inside a token that was
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -138,7 +139,7 @@ def protect(
     mode: str = "category",
     id_cols: Sequence[str] = ("doc_id",),
     key: bytes | None = None,
-    salt: str = "",
+    corpus: str | None = None,
     custom: Sequence[Rule] = (),
     scope: str = "document",
     entropy: bool = False,
@@ -151,18 +152,24 @@ def protect(
     * ``category``: ``[REDACTED_<category>]``; restorable from a backup only.
     * ``number``: ``[REDACTED_<n>]``, n counting the findings of the document from 1.
     * ``inline``: the sealed value itself behind a fixed prefix; needs a key.
-    * ``vault``: a reference token with a derived id; the sealed value is in the vault only.
+    * ``vault``: a reference token with an id derived from key, ``corpus``, place and value; the sealed value is in
+      the vault only.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
     if mode == "inline" and key is None:
         raise ValueError("inline mode needs a key")
+    if mode == "vault" and not corpus:
+        raise ValueError("vault mode needs the name of the corpus: ids of two corpora must not meet in one vault")
     keep = [F.col(f"`{c}`") for c in df.columns]
     ids = [F.col(f"`{c}`") for c in id_cols]
     rules = rule_set(custom, entropy=entropy)
 
-    def reference(n: Column) -> Column:
-        return vault_id(salt, _place(ids, n))
+    # Only a digest of the key goes into the plan; with it, ids of equal texts differ between keys.
+    seed = hashlib.sha256(b"vault id" + (key or b"")).hexdigest()
+
+    def reference(f: Column, n: Column) -> Column:
+        return vault_id(seed, F.lit(corpus), _place(ids, n), f["value"])
 
     def token(before: Column) -> Callable[[Column, Column, Column], Column]:
         def spell(f: Column, i: Column, k: Column) -> Column:
@@ -171,14 +178,14 @@ def protect(
             if mode == "inline":
                 return inline_token(seal(f["value"], key, _place(ids, i, k)))
             ordinal = F.get(before, i) + k + 1
-            return mask_token(ordinal.cast("string")) if mode == "number" else vault_token(reference(ordinal))
+            return mask_token(ordinal.cast("string")) if mode == "number" else vault_token(reference(f, ordinal))
 
         return spell
 
     def vault_row(f: Column) -> Column:
         n = f["ordinal"]
         return F.struct(
-            (reference(n) if mode == "vault" else n.cast("string")).alias("token_id"),
+            (reference(f, n) if mode == "vault" else n.cast("string")).alias("token_id"),
             seal(f["value"], key, _place(ids, n)).alias("payload"),
             f["category"].alias("category"),
         )

@@ -79,15 +79,16 @@ def _untouched(df: DataFrame, text_col: str) -> DataFrame:
 def _entries(vault: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Payloads by token id as one map per row key, in one shuffle.
 
-    A token id that comes twice (a replayed write) counts once.
+    A token id that comes twice with one payload (a replayed write) counts once; one that comes with different
+    payloads says nothing, so its tokens stay in the text.
     """
 
     def once(rows: Column) -> Column:
-        def last(x: Column, i: Column) -> Column:
-            following = F.get(rows, i + 1)["token_id"]
-            return following.isNull() | (following != x["token_id"])
+        def alone(x: Column, i: Column) -> Column:
+            beside = [F.when(i > 0, F.get(rows, i - 1)["token_id"]), F.get(rows, i + 1)["token_id"]]
+            return ~F.coalesce(beside[0] == x["token_id"], F.lit(False)) & ~F.coalesce(beside[1] == x["token_id"], F.lit(False))
 
-        return F.map_from_entries(F.filter(rows, last))
+        return F.map_from_entries(F.filter(rows, alone))
 
     rows = F.array_sort(F.collect_set(F.struct("token_id", "payload")))
     return vault.groupBy(*ids).agg(rows.alias("rows")).select(*ids, once(F.col("rows")).alias(_MAP))

@@ -104,7 +104,7 @@ BLOCKS: tuple[Plant, ...] = (
     ),
 )
 
-CUSTOM = Plant("api_key", "The deployment token is ", (lit("INTERNAL_"), cap(1, 20)))
+CUSTOM = Plant("api_key", "For the release, use ", (lit("INTERNAL_"), cap(1, 20)))
 CUSTOM_PATTERN = "INTERNAL_[A-Z0-9]{20}"
 
 

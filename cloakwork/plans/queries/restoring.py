@@ -11,9 +11,9 @@ from ...operators.backup import backup, forget, restore
 from ...operators.mask import mask, protect, vault_of
 from ...operators.unmask import unmask_inline, unmask_numbered, unmask_vault
 from ...session import stored
-from ..oracle import WRAPPED_DOCUMENTS, detect_sql, hash_sql
-from ..planted import hash_of
-from .common import DOCUMENTS, KEY, OTHER_KEY, documents, order_keys, orders_text, query, wrapped_documents
+from ..oracle import WRAPPED_DOCUMENTS, detect_sql, hash_sql, wrapped_sql
+from ..planted import hash_of, wrapped
+from .common import DOCUMENTS, KEY, OTHER_KEY, documents, order_keys, orders_text, query, table, wrapped_documents
 
 
 @query(WRAPPED_DOCUMENTS)
@@ -25,7 +25,7 @@ def token_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WRAPPED_DOCUMENTS)
 def vault_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = stored(protect(wrapped_documents(spark, sf_dir), mode="vault", key=KEY, salt="s").drop("text"), "vault")
+    done = stored(protect(wrapped_documents(spark, sf_dir), mode="vault", key=KEY, corpus="documents").drop("text"), "vault")
     restored = unmask_vault(done.drop("vault"), vault_of(done), KEY)
     return restored.select("doc_id", F.col("restored_text").alias("text"))
 
@@ -176,3 +176,23 @@ def vault_token_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
         is_vault_token(token).alias("valid"),
         is_vault_token(own).alias("own_valid"),
     )
+
+
+@query(
+    "SELECT 'documents' AS corpus, doc_id AS id, " + wrapped_sql("text", "doc_id") + " AS text FROM documents UNION ALL "
+    "SELECT 'pages', page_id, " + wrapped_sql("url", "(page_id + 7)") + " FROM pages"
+)
+def vault_two_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages with the same numbers share a vault, and each gets its own secrets back."""
+    pages = table(spark, sf_dir, "pages")
+    texts = {
+        "documents": wrapped_documents(spark, sf_dir),
+        "pages": pages.select(F.col("page_id").alias("doc_id"), wrapped(F.col("url"), F.col("page_id") + 7).alias("text")),
+    }
+    done = [
+        protect(rows, mode="vault", key=KEY, corpus=name).drop("text").withColumn("corpus", F.lit(name))
+        for name, rows in texts.items()
+    ]
+    both = stored(done[0].unionByName(done[1]), "vault")
+    restored = unmask_vault(both.drop("vault"), vault_of(both), KEY, id_cols=["corpus", "doc_id"])
+    return restored.select("corpus", F.col("doc_id").alias("id"), F.col("restored_text").alias("text"))

@@ -65,8 +65,8 @@ def file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Configuration files by turn; {k} is the customer's key.  Names, patterns and categories expected of each.
 _CONFIGS: tuple[tuple[str, tuple[tuple[str, str, str], ...]], ...] = (
     (
-        'rules:\n  - name: "token-{k}"\n    pattern: "itok_[a-z]{{32}}"\n    category: "custom"\n',
-        (("token-{k}", "itok_[a-z]{{32}}", "custom"),),
+        'rules:\n  - name: "pass-{k}"\n    pattern: "pk[a-z]{{24}}"\n    category: "custom"\n',
+        (("pass-{k}", "pk[a-z]{{24}}", "custom"),),
     ),
     ('rules:\n  - name: "broken"\n    category: "custom"\n', ()),
     ("rules:\n  - pattern: a{k}[0-9]+\n", (("custom-pattern", "a{k}[0-9]+", "custom"),)),
@@ -84,7 +84,7 @@ _CONFIGS: tuple[tuple[str, tuple[tuple[str, str, str], ...]], ...] = (
         "rules:\n- name: first\n  name: last{k}\n  severity: high\n  pattern: p\nrules:\n  category: x\n",
         (("last{k}", "p", "x"),),
     ),
-    ("this is not : yaml at :: all {{{{ ]]]", ()),
+    ("%% no: rules }} here [[", ()),
 )
 
 
@@ -109,7 +109,7 @@ def _config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _fill(_CONFIGS[-1][0], key)
     for i, (template, _) in reversed(list(enumerate(_CONFIGS[:-1]))):
         text = F.when(turn == i, _fill(template, key)).otherwise(text)
-    root = F.concat(F.lit("/work/"), key.cast("string"))
+    root = F.concat(F.lit("/trees/"), key.cast("string"))
     customers = table(spark, sf_dir, "customer")
     plain = _fill("rules:\n- name: fallback\n  pattern: f{k}\n", key)
     yml = customers.where(key % 3 != 0).select(
@@ -123,14 +123,14 @@ def _config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _expected_rules() -> str:
     branches = [
-        "SELECT '/work/' || c_custkey AS root, 1::BIGINT AS item, 'fallback' AS name, 'f' || c_custkey AS pattern, "
+        "SELECT '/trees/' || c_custkey AS root, 1::BIGINT AS item, 'fallback' AS name, 'f' || c_custkey AS pattern, "
         "'custom' AS category FROM customer WHERE c_custkey % 3 = 0"
     ]
     for i, (_, rules) in enumerate(_CONFIGS):
         for item, rule in enumerate(rules, 1):
             name, pattern, category = (_fill_sql(part) for part in rule)
             branches.append(
-                f"SELECT '/work/' || c_custkey, {item}, {name}, {pattern}, {category} FROM customer "
+                f"SELECT '/trees/' || c_custkey, {item}, {name}, {pattern}, {category} FROM customer "
                 f"WHERE c_custkey % 3 <> 0 AND c_custkey % {len(_CONFIGS)} = {i}"
             )
     return " UNION ALL ".join(branches)

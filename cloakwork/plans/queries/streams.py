@@ -58,6 +58,27 @@ def stream_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restored.select("doc_id", F.col("restored_text").alias("text"))
 
 
+@query("SELECT doc_id, r.run, text FROM (" + CONVERSATIONS + ") AS c, (VALUES (1), (2)) AS r(run)")
+def stream_vault_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams, each with its own checkpoint, write to the same place: both are restored from their own vaults."""
+    out, vault = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-vault")
+    for _ in range(2):
+        protect_stream(
+            messages_text(table_stream(spark, sf_dir, "conversations")),
+            out_path=out,
+            vault_path=vault,
+            checkpoint=scratch_dir(spark, "stream-log"),
+            mode="number",
+            key=KEY,
+        ).awaitTermination()
+    masked = spark.read.parquet(out).select("doc_id", F.col("run").alias("stream"), "masked_text")
+    rows = spark.read.parquet(vault).withColumnRenamed("run", "stream")
+    restored = unmask_numbered(masked, rows, KEY, id_cols=["doc_id", "stream"])
+    first = restored.agg(F.min("stream")).first()[0]
+    run = F.when(F.col("stream") == first, 1).otherwise(2)
+    return restored.select("doc_id", run.alias("run"), F.col("restored_text").alias("text"))
+
+
 def _event_messages(rows: DataFrame) -> DataFrame:
     key = F.col("event_id")
     return rows.select(key.alias("doc_id"), "ts", F.concat(F.col("props"), F.lit("\n"), any_line(key)).alias("text"))
@@ -78,11 +99,11 @@ def stream_finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT DISTINCT sha256({pick_sql("(user_id % 1000)", lambda p: value_sql(p, "(user_id % 1000)"))}) AS fingerprint,
-  {pick_sql("(user_id % 1000)", lambda p: quote(p.category))} AS category FROM events"""
+    f"""SELECT DISTINCT sha256({pick_sql("user_id", lambda p: value_sql(p, "user_id"))}) AS fingerprint,
+  {pick_sql("user_id", lambda p: quote(p.category))} AS category FROM events"""
 )
 def stream_new_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user sends the same secret again and again."""
-    key = F.col("user_id") % 1000
+    key = F.col("user_id")
     messages = table_stream(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts", any_line(key).alias("text"))
     return _drained(new_secrets(messages, "ts", delay="400 days"), "secrets").select("fingerprint", "category")

@@ -12,10 +12,6 @@ from ..operators.detect import findings
 from ..operators.mask import mask, protect, vault_of
 
 
-# Shares of a stream that are looked at for copies on their own before all are.
-SHARES = 16
-
-
 def mask_stream(messages: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The batch projection on a stream: stateless, so no watermark and no state store."""
     return mask(messages, text_col, **options)
@@ -53,14 +49,17 @@ def new_secrets(
     text_col: str = "text",
     id_cols: Sequence[str] = ("doc_id",),
     delay: str = "1 day",
+    shares: int | None = None,
 ) -> DataFrame:
     """Each secret once while it keeps turning up within ``delay``; state is bounded by the watermark.
 
     A secret that is sent all the time would make one task hot, so copies are first dropped within shares
-    of the messages, and only what is left meets by secret.
+    of the messages, as many as there are shuffle partitions unless told otherwise, and only what is left meets
+    by secret.
     """
+    shares = shares or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = findings(_timed(messages, ts_col, delay), text_col, id_cols=[*id_cols, ts_col])
-    share = F.pmod(F.xxhash64(*id_cols), F.lit(SHARES))
+    share = F.pmod(F.xxhash64(*id_cols), F.lit(shares))
     keys = ["fingerprint", "category"]
     shared = found.select(*keys, ts_col, share.alias("share")).dropDuplicatesWithinWatermark([*keys, "share"])
     return shared.drop("share").dropDuplicatesWithinWatermark(keys)
@@ -80,16 +79,19 @@ def protect_stream(
     """Write masked messages and their vault.
 
     Per micro-batch the vault is written first, so no token is ever out without its vault row.  Both go to
-    a directory of the batch, replaced as a whole: a batch that is run again after a failure leaves the same
-    rows (tokens and ciphertexts are derived, not random).
+    a directory of the stream and batch, ``run=<id>/batch=<n>``, replaced as a whole: a batch that is run again
+    after a failure leaves the same rows (tokens and ciphertexts are derived, not random).  The id is the one that
+    the checkpoint holds, so that a stream with a new checkpoint adds to earlier results and replaces none.
     """
     ids = list(id_cols)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        log = batch.sparkSession.read.text(f"{checkpoint}/metadata")
+        place = f"run={log.select(F.get_json_object('value', '$.id')).first()[0]}/batch={batch_id}"
         done = protect(batch, text_col, id_cols=ids, **options).persist()
         try:
-            vault_of(done, ids).write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
-            done.drop("vault", text_col).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            vault_of(done, ids).write.mode("overwrite").parquet(f"{vault_path}/{place}")
+            done.drop("vault", text_col).write.mode("overwrite").parquet(f"{out_path}/{place}")
         finally:
             done.unpersist()
 

@@ -95,7 +95,7 @@ def test_restore_numbered(texts, spark):
 def test_round_trips(texts, mode):
     block = f"a\r\nx {s.BLOCK} y password=abcdef"
     docs = texts(s.THREE, s.ONE_LINE, block, s.CLEAN, "é😀 password=p😀abcd 'p😀abcd'", None, "")
-    done = cw.protect(docs, mode=mode, key=KEY, salt="pepper").persist()
+    done = cw.protect(docs, mode=mode, key=KEY, corpus="pepper").persist()
     if mode == "inline":
         back = cw.unmask_inline(done, KEY)
     else:

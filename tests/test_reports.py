@@ -15,6 +15,7 @@ from cloakwork.sources.reports import csv_report, html_report, json_findings, js
 
 from . import samples as s
 
+# Two findings whose report is agreed on.
 FLAT = "filePath string, line int, category string, redactedValue string, riskScore double"
 TWO = [
     ("src/config.env", 2, "openai-key", "[REDACTED_9f3a]", 0.92),

@@ -79,7 +79,7 @@ def test_spread(spark):
 def test_one_token_in_very_many_texts(spark):
     """A reference token pasted all over; the join keeps the shape that adaptive skew handling needs."""
     one = spark.createDataFrame([(0, s.OPENAI)], "doc_id long, text string")
-    done = cw.protect(one, mode="vault", key=KEY, salt="x")
+    done = cw.protect(one, mode="vault", key=KEY, corpus="x")
     token = done.first().masked_text
     pasted = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(f"{token} and {token}").alias("masked_text"))
     restored = cw.unmask_vault(pasted, cw.vault_of(done), KEY)
