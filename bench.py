@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cloakwork import mask
 from cloakwork.plans.queries import QUERIES
-from cloakwork.session import local_session
+from cloakwork.session import local_session, scratch_dir
 
 HEADLINE = (
     "findings_by_category",
@@ -38,10 +38,16 @@ RUNS = 2
 
 
 def large_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text of 20,000 short lines and a key, per region."""
-    text = F.concat(F.repeat(F.lit("const x = 1;\n"), 20000), F.lit("OPENAI_API_KEY=sk-live-a8f9d7e6b5c4d3e2f1a0"))
-    regions = spark.read.parquet(f"{sf_dir}/region.parquet")
-    return mask(regions.select(F.col("r_regionkey").alias("doc_id"), text.alias("text")))
+    """One file of 20,000 short lines and a key."""
+    global _large
+    if _large is None:
+        _large = scratch_dir(spark, "large-document")
+        text = "const x = 1;\n" * 20000 + "OPENAI_API_KEY=sk-live-a8f9d7e6b5c4d3e2f1a0"
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(_large)
+    return mask(spark.read.text(_large, wholetext=True).withColumnRenamed("value", "text"))
+
+
+_large: str | None = None
 
 
 def timed(spark: SparkSession, query, sf_dir: str) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -28,19 +30,35 @@ def local_session(name: str = "cloakwork", cores: str = "*", memory: str = "8g")
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder that all executors see, below the one the session names.
+    """A new folder that all executors see, below the one that ``spark.checkpoint.dir`` names.
 
-    Only where none is named and the session runs on this machine, a temporary folder is used.
+    A local session without that setting, as in tests, gets one of its own, which goes when the process ends.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None) or _local_folder(spark.conf.get("spark.master", "local"))
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    base = spark.conf.get(CHECKPOINT_DIR, None) or _own_folder(spark.conf.get("spark.master", "local"))
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+# Folders handed out by this process and not released yet.
+_made: list[str] = []
 
 
 @lru_cache(maxsize=1)
-def _local_folder(master: str) -> str:
-    if not master.startswith("local"):
+def _own_folder(master: str) -> str:
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="cloakwork-")
+    path = tempfile.mkdtemp(prefix="cloakwork-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch folders handed out so far; to be called when no result that rests on them is needed."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
