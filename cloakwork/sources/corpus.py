@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
+
 # Extensions that are scanned, and directories that are not.
 EXTENSIONS = (
     "ts", "tsx", "js", "jsx", "py", "java", "go", "rb", "sh", "bash", "json", "md", "env", "txt",
@@ -18,12 +21,6 @@ EXTENSIONS = (
 )
 SKIPPED_DIRS = ("node_modules", "out", "dist", "build", ".git", "venv", "env")
 
-# A cap is carried out by handing the chosen paths to the reader, so it has to stay small.
-MAX_CAPPED_PATHS = 100_000
-
-# Folders to find from the driver before the rest of a tree is walked by tasks.
-WALK_WIDTH = 256
-
 _SCHEMA = "root string, path string, text string"
 
 
@@ -63,6 +60,11 @@ def _plain(root: str) -> str:
     return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
 
 
+def _scheme(root: str) -> str:
+    """What stands before a root's plain path."""
+    return root.rstrip("/")[: len(root.rstrip("/")) - len(_plain(root))]
+
+
 def _located(path: Column, roots: Sequence[str]) -> tuple[Column, Column]:
     known = "|".join(re.escape(r) for r in sorted({_plain(r) for r in roots}, key=len, reverse=True))
     pattern = f"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?({known})/(.*)$"
@@ -96,53 +98,68 @@ def _open(spark: SparkSession, roots: Sequence[str]) -> tuple[list[str], DataFra
     return present, load(present) if present else None
 
 
-def _look_into(folder: str) -> tuple[list[str], list[str]]:
-    """The ``.env`` file of a folder, if any, and the folders below it that are scanned."""
+def _qualified(spark: SparkSession, roots: Sequence[str]) -> list[str]:
+    """Roots without a scheme as absolute paths, as the session's file system understands them."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def whole(root: str) -> str:
+        if root.startswith("/") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root):
+            return root
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        return re.sub("^file:/+", "/", path.getFileSystem(hadoop).makeQualified(path).toString())
+
+    return [whole(root) for root in roots]
+
+
+def _arrow_place(path: str):
+    """The file system and inner path of a path or URI; Hadoop's names of stores stand for Arrow's."""
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(folder)
-    files, folders = [], []
-    for info in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
-        path = f"{folder.rstrip('/')}/{info.base_name}"
-        if info.type == fs.FileType.Directory and info.base_name not in SKIPPED_DIRS:
-            folders.append(path)
-        elif info.type == fs.FileType.File and info.base_name == ".env":
-            files.append(path)
-    return files, folders
+    path = re.sub("^file:/+", "/", path)
+    remote = re.match("([A-Za-z][A-Za-z0-9+.-]*://[^/]*)(/.*)?$", path, re.DOTALL)
+    if remote is None:
+        return fs.FileSystem.from_uri(path)
+    # Only the store's own name is a URI: names of files may hold any character.
+    system, top = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", remote[1]) + "/")
+    return system, f"{top.rstrip('/')}{remote[2] or '/'}"
+
 
+_ENTRIES = "root string, path string, length long, folder boolean, hidden boolean"
+
+
+def _look_into(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What lies in some folders, except for folders that are not scanned."""
+    from pyarrow import fs
 
-def _dot_env_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame | None:
-    """``.env`` files below the roots; null if there are certainly none.
+    for batch in batches:
+        rows = []
+        for root, folder, hidden in zip(batch["root"], batch["path"], batch["hidden"], strict=True):
+            system, inner = _arrow_place(folder)
+            for info in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+                inside = bool(hidden) or info.base_name[0] in "._"
+                is_folder = info.type == fs.FileType.Directory
+                if not (is_folder and info.base_name in SKIPPED_DIRS):
+                    rows.append((root, f"{folder.rstrip('/')}/{info.base_name}", info.size or 0, is_folder, inside))
+        yield pd.DataFrame(rows, columns=["root", "path", "length", "folder", "hidden"])
 
-    Spark's file listing leaves out names with a leading dot.  The top of the trees is looked through here;
-    once there are enough folders, what lies below them is left to tasks.
+
+def _hidden_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame | None:
+    """Files that Spark's own listing leaves out, ``(root, path, length)``: their name, or that of a folder above them
+    below the root, begins with a dot or an underscore.
+
+    The folders are looked through by tasks, level by level, each of them on its own, so that neither a wide nor a
+    deep tree is left to one task.
     """
-    pending = [(root, root) for root in roots]
-    found: list[tuple[str, str]] = []
-    while pending and len(pending) < WALK_WIDTH:
-        level, pending = pending, []
-        for root, folder in level:
-            files, folders = _look_into(folder)
-            found += [(root, path) for path in files]
-            pending += [(root, path) for path in folders]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for root, top in zip(batch["root"], batch["path"]):
-                folders = [top]
-                while folders:
-                    files, more = _look_into(folders.pop())
-                    folders += more
-                    rows += [(root, path) for path in files]
-            yield pd.DataFrame(rows, columns=["root", "path"])
-
-    schema = "root string, path string"
-    here = spark.createDataFrame(found, schema) if found else None
-    if not pending:
-        return here
-    below = spark.createDataFrame(pending, schema).repartition(len(pending)).mapInPandas(walk, schema)
-    return below if here is None else here.unionByName(below)
+    level = spark.createDataFrame([(root, root, False) for root in roots], "root string, path string, hidden boolean")
+    width, found = len(roots), []
+    while width:
+        # At most as many tasks as folders: a listing is a wait, not a computation.
+        spread_out = level.repartition(min(width, 4 * spark.sparkContext.defaultParallelism))
+        entries = stored(spread_out.mapInPandas(_look_into, _ENTRIES), "listing")
+        found.append(entries.where("hidden and not folder").select("root", "path", "length"))
+        level = entries.where("folder").select("root", "path", "hidden")
+        width = level.count()
+    return reduce(DataFrame.unionByName, found) if found else None
 
 
 def read_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
@@ -150,19 +167,17 @@ def read_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
     fields = [f for f in paths.schema.fields if f.name != "text"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
-            texts = []
-            for path in batch[path_col]:
+            # One file's text at a time is held besides the row that it goes into.
+            for at in range(len(batch)):
+                row = batch.iloc[at : at + 1].copy()
                 try:
-                    system, inner = fs.FileSystem.from_uri(path)
+                    system, inner = _arrow_place(row[path_col].iloc[0])
                     with system.open_input_stream(inner) as stream:
-                        texts.append(stream.readall().decode("utf-8", errors="replace"))
+                        row["text"] = [stream.readall().decode("utf-8", errors="replace")]
                 except OSError:
-                    texts.append(None)
-            batch["text"] = texts
-            yield batch[batch["text"].notna()]
+                    continue
+                yield row
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return paths.select(*[f.name for f in fields]).mapInPandas(read, f"{schema}, text string")
@@ -189,12 +204,21 @@ def _names(roots: str | Sequence[str]) -> list[str]:
     return [roots] if isinstance(roots, str) else list(roots)
 
 
-def list_corpus(spark: SparkSession, roots: str | Sequence[str]) -> DataFrame:
-    """Every file below the roots with its size and whether it would be scanned; contents are not read."""
-    present, files = _open(spark, _names(roots))
+def _all_listed(spark: SparkSession, present: Sequence[str], files: DataFrame, hidden: bool) -> DataFrame:
+    listing = _listing(files, present)
+    unseen = _hidden_files(spark, present) if hidden else None
+    return listing if unseen is None else listing.unionByName(_listing(unseen, present))
+
+
+def list_corpus(spark: SparkSession, roots: str | Sequence[str], *, hidden: bool = True) -> DataFrame:
+    """Every file below the roots with its size and whether it would be scanned; contents are not read.
+
+    Folders that are not scanned are not looked into for hidden files.
+    """
+    present, files = _open(spark, _qualified(spark, _names(roots)))
     if files is None:
         return spark.createDataFrame([], "root string, path string, length long, scanned boolean")
-    return _listing(files, present)
+    return _all_listed(spark, present, files, hidden)
 
 
 def load_corpus(
@@ -203,36 +227,35 @@ def load_corpus(
     *,
     max_files: int | None = None,
     max_files_per_root: int | None = None,
-    dot_env: bool = True,
+    hidden: bool = True,
 ) -> DataFrame:
     """Scannable files below the roots as ``(root, path, text)``.
 
     Directories and file types that are not scanned are pruned from the file list before anything is read.
-    A cap keeps the first files by path; it is worked out on the list of paths, also before reading.
-    Roots that do not exist count as empty.
+    A cap keeps the first files by path; it is worked out on the list of paths, also before reading, and only
+    tasks see that list.  ``hidden`` takes in names that begin with a dot or an underscore, and what lies below
+    such folders.  Roots that do not exist count as empty; relative ones lie below the working directory.
     """
-    present, files = _open(spark, _names(roots))
+    present, files = _open(spark, _qualified(spark, _names(roots)))
     if files is None:
         return spark.createDataFrame([], _SCHEMA)
-
-    def capped(df: DataFrame) -> DataFrame:
-        if max_files_per_root is not None:
-            df = cap_per_root(df, max_files_per_root)
-        return df if max_files is None else cap(df, max_files)
-
     if max_files is not None or max_files_per_root is not None:
-        paths = capped(_listing(files, present).where("scanned").select("root", "path"))
-        wanted = [row.path for row in paths.limit(MAX_CAPPED_PATHS + 1).collect()]
-        if len(wanted) > MAX_CAPPED_PATHS:
-            raise ValueError(f"a cap may keep at most {MAX_CAPPED_PATHS} files")
-        files = _reader(spark).load(wanted) if wanted else None
-    corpus = spark.createDataFrame([], _SCHEMA) if files is None else _contents(files, present)
-    hidden = _dot_env_files(spark, present) if dot_env else None
-    if hidden is None:
+        paths = _all_listed(spark, present, files, hidden).where("scanned").select("root", "path")
+        if max_files_per_root is not None:
+            paths = cap_per_root(paths, max_files_per_root)
+        if max_files is not None:
+            paths = cap(paths, max_files)
+        # The listing has plain paths; a file is opened where its root says.
+        place = F.coalesce(*[F.when(F.col("root") == _plain(r), F.lit(_scheme(r))) for r in present])
+        named = paths.withColumn("place", F.concat(place, "path"))
+        return read_paths(named.repartition(spark.sparkContext.defaultParallelism), "place").select("root", "path", "text")
+    corpus = _contents(files, present)
+    unseen = _hidden_files(spark, present) if hidden else None
+    if unseen is None:
         return corpus
     root, below = _located(F.col("path"), present)
-    extra = read_paths(hidden).select(root.alias("root"), F.concat_ws("/", root, below).alias("path"), "text")
-    return capped(corpus.unionByName(extra))
+    extra = read_paths(unseen.where(is_scannable(below)).select("path"))
+    return corpus.unionByName(extra.select(root.alias("root"), F.concat_ws("/", root, below).alias("path"), "text"))
 
 
 def unread_files(listing: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import split_lines, trim_space
 from ..operators.catalogue import Rule, custom_rule
-from .corpus import read_paths
+from .corpus import _qualified, read_paths
 
 # In order of preference.
 CONFIG_NAMES = (".cloakwork.yml", ".cloakwork.yaml")
@@ -50,7 +50,7 @@ def read_config_files(
     spark: SparkSession, roots: Sequence[str], names: Sequence[str] = CONFIG_NAMES
 ) -> DataFrame:
     """The preferred readable configuration file of each root; roots without one give no row."""
-    candidates = [(r, f"{r.rstrip('/')}/{n}") for r, n in product(roots, names)]
+    candidates = [(r, f"{r.rstrip('/')}/{n}") for r, n in product(_qualified(spark, roots), names)]
     return first_candidate(read_paths(spark.createDataFrame(candidates, "root string, path string")), names)
 
 

@@ -66,23 +66,33 @@ def test_what_is_scanned(spark, tmp_path):
     assert listed["a.ts"] and not listed["node_modules/x/d.js"] and not listed["logo.png"]
 
 
-def test_dot_env_files_of_wide_trees(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("cloakwork.sources.corpus.WALK_WIDTH", 3)
-    for name in (".env", "a/.env", "b/x/.env", "c/y/z/.env", "d/venv/.env", "e/out/q/.env"):
-        path = tmp_path / name
+def test_hidden_files(spark, tmp_path):
+    names = {
+        "a.ts", ".env", "a/.env", "b/x/.env", "__init__.py", "_config.yml", ".eslintrc.json", "__tests__/t.ts",
+        ".github/workflows/d.yml", "_x/.y/z.md", "pages/[id].tsx", "q{1}*?.py",
+    }
+    for name in names | {"d/venv/.env", "e/out/q/.env", ".git/config.yml", ".hidden.png"}:
+        path = tmp_path / "tree" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(s.OPENAI)
-    for root in (str(tmp_path), f"file://{tmp_path}"):
+    base = f"{tmp_path}/tree"
+    for root in (base, f"file://{base}", f"file:{base}/"):
         rows = cw.load_corpus(spark, root).collect()
-        assert {r.path.removeprefix(f"{tmp_path}/") for r in rows} == {".env", "a/.env", "b/x/.env", "c/y/z/.env"}
-        assert {(r.root, r.text) for r in rows} == {(str(tmp_path), s.OPENAI)}
+        assert {r.path.removeprefix(f"{base}/") for r in rows} == names and {(r.root, r.text) for r in rows} == {(base, s.OPENAI)}
+        listed = {r.path.removeprefix(f"{base}/") for r in list_corpus(spark, root).where("scanned").collect()}
+        assert listed == names
+        capped = cw.load_corpus(spark, root, max_files=50)
+        assert {r.path.removeprefix(f"{base}/") for r in capped.collect()} == names
+        first = cw.load_corpus(spark, root, max_files_per_root=4).collect()
+        assert [r.path.removeprefix(f"{base}/") for r in sorted(first, key=lambda r: r.path)] == sorted(names)[:4]
+    assert cw.unread_files(list_corpus(spark, base), cw.load_corpus(spark, base, max_files=5)).count() == len(names) - 5
 
 
 def test_skipped_files_are_not_read(spark, tmp_path):
     root = tmp_path / "w"
     tree(root, 3, True)
     tree(root / "node_modules", 20, True)
-    corpus = cw.load_corpus(spark, str(root), dot_env=False)
+    corpus = cw.load_corpus(spark, str(root), hidden=False)
     corpus.collect()
     plan = corpus._jdf.queryExecution().executedPlan()
     while plan.children().size():
