@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +84,8 @@ def linked(
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     prepare: Callable[[DataFrame], DataFrame],
     may: Callable[[str, str], Column],
+    of_list: Sequence[Column] = (),
+    worth: Column | None = None,
 ) -> DataFrame:
     """Links ``(a, b)`` that join up all similar members of any list of ``(key, id, ...)``.
 
@@ -92,10 +94,12 @@ def linked(
     So a large list of copies costs a pair per member, and no two similar members stay in different components.
 
     ``prepare(ids)`` makes the table that ``verify(pairs, table)`` decides with; ``may(l, r)`` is a cheap test of
-    two members by their further columns.
+    two members by their further columns.  ``worth`` tells by further aggregates ``of_list`` which lists may hold
+    similar members at all.
     """
-    hubs = lists.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub <> other")
-    hubs = stored(hubs, "hubs")
+    hubs = lists.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other"), *of_list)
+    hubs = hubs.where("hub <> other") if worth is None else hubs.where("hub <> other").where(worth)
+    hubs = stored(hubs.select("key", "hub", "other"), "hubs")
     members = stored(lists.join(hubs, "key"), "members")
     table = prepare(members.select("id").distinct())
 

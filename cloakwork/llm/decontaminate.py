@@ -39,8 +39,11 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     cut = items.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
 
     def windows(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda at: F.slice(words, at, size))
+        n = F.size(words)
+        starts = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))
+        # Word by word: a slice would go through the whole array for each window.
+        places = F.sequence(F.lit(0), F.least(n, F.lit(size)) - 1)
+        return F.transform(starts, lambda at: F.transform(places, lambda j: F.get(words, at + j)))
 
     return cut.select("item", F.explode(F.array_distinct(let(F.col("words"), windows))).alias("window")).distinct()
 

@@ -142,7 +142,12 @@ def line_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, per
         return both.where(F.when(way <= F.col("most"), F.lit(True)).otherwise(F.expr("levenshtein(wa, wb, most)") >= 0)).select("a", "b")
 
     lists = distinct.select(F.explode(_blocks(F.col("simhash"))).alias("key"), F.col("line_id").alias("id"), "simhash")
-    links = linked(lists, similar, texts, lambda l, r: ~far(F.col(f"{l}.simhash"), F.col(f"{r}.simhash")))
+    # Most lists have two members that met by chance: these are told by their hashes before anything else.
+    of_list = [F.count(F.lit(1)).alias("n"), F.min("simhash").alias("s1"), F.max("simhash").alias("s2")]
+    worth = (F.col("n") > 2) | ~far(F.col("s1"), F.col("s2"))
+    links = linked(
+        lists, similar, texts, lambda l, r: ~far(F.col(f"{l}.simhash"), F.col(f"{r}.simhash")), of_list, worth
+    )
     found = components(links).select(F.col("node").alias("line_id"), F.col("component").alias("group"))
     repeated = distinct.where("copies > 1").select("line_id").join(found, "line_id", "left_anti")
     groups = found.unionByName(repeated.select("line_id", F.col("line_id").alias("group")))

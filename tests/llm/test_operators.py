@@ -280,7 +280,7 @@ def test_contamination_by_brute_force(spark, documents, odd, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     order = lambda rows: sorted(rows, key=repr)
     want = order(brute_hits(docs, items))
-    for block in (decontaminate.BLOCK_BYTES, 2000):
+    for block in (decontaminate.BLOCK_BYTES, 200_000):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
         got = decontaminate.contamination(table, benchmark).collect()
         assert order([(r["__id"], r.n_words, r.hits, sorted(r["items"])) for r in got]) == want
