@@ -99,6 +99,29 @@ def _blocks(simhash: Column) -> Column:
     return F.array(*keys)
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """``struct<x, y>``: two lines without the words that both begin and end with; the edit distance stays the same."""
+
+    def common(x: Column, y: Column) -> Column:
+        """How many words two lists begin with alike."""
+        same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
+        first = F.array_position(same, False).cast("int")
+        return F.when(first == 0, F.size(same)).otherwise(first - 1)
+
+    def middle(words: Column, before: Column, after: Column) -> Column:
+        return F.array_join(F.slice(words, before + 1, F.size(words) - before - after), " ")
+
+    def cut(x: Column, y: Column) -> Column:
+        def behind(n: Column) -> Column:
+            # What the beginnings have taken is not there for the ends.
+            rest = lambda w: F.reverse(F.slice(w, n + 1, F.size(w) - n))
+            return let(common(rest(x), rest(y)), lambda m: F.struct(middle(x, n, m).alias("x"), middle(y, n, m).alias("y")))
+
+        return let(common(x, y), behind)
+
+    return let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: cut(x, y)))
+
+
 def line_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """All lines ``(k1, k2, pos, line_id)``, and the group of each line that is not alone ``(line_id, group)``."""
     lines = _lines(docs, id_col, text_col)
@@ -131,15 +154,12 @@ def line_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, per
         side = lambda x: table.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
         both = near.join(side("a"), "a").join(side("b"), "b")
         most = F.floor(F.greatest(F.length("wa"), F.length("wb")) * (100 - percent) / 100)
-        both = both.select("a", "b", "wa", "wb", most.cast("int").alias("most"))
-        # With as many words, replacing those that differ is one way to edit; often it is short enough.
-        each = F.zip_with(
-            F.split("wa", " "), F.split("wb", " "), lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y)))
-        )
-        same_size = F.size(F.split("wa", " ")) == F.size(F.split("wb", " "))
-        way = F.when(same_size, F.aggregate(each, F.lit(0), lambda s, x: s + x))
-        # The distance is -1 if it is larger than that.
-        return both.where(F.when(way <= F.col("most"), F.lit(True)).otherwise(F.expr("levenshtein(wa, wb, most)") >= 0)).select("a", "b")
+        both = both.select("a", "b", most.cast("int").alias("most"), F.explode_outer(F.array(_apart(F.col("wa"), F.col("wb")))).alias("m"))
+        # What is left in the middle can be replaced as a whole; only if that is too much, its distance is worked out.  It
+        # is -1 if it is larger than that.
+        whole = F.greatest(F.length("m.x"), F.length("m.y"))
+        distance = F.expr("levenshtein(m.x, m.y, most)")
+        return both.where(F.when(whole <= F.col("most"), F.lit(True)).otherwise(distance >= 0)).select("a", "b")
 
     lists = distinct.select(F.explode(_blocks(F.col("simhash"))).alias("key"), F.col("line_id").alias("id"), "simhash")
     # Most lists have two members that met by chance: these are told by their hashes before anything else.
