@@ -36,8 +36,9 @@ def words_of(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(k1, k2, pos, line)``."""
-    return docs.select(*row_key(id_col, text_col), F.posexplode_outer(F.split(text_col, "\n")).alias("pos", "line"))
+    """``(k1, k2, pos, line)``, and ``row``, which tells repeated rows apart."""
+    rows = docs.select(*row_key(id_col, text_col), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    return rows.select(*KEY, "row", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
 
 
 def _line_id() -> Column:
@@ -57,31 +58,31 @@ def _majority(sums: list[Column], total: Column) -> Column:
 def _hashed(lines: DataFrame, min_words: int) -> DataFrame:
     """``(k1, k2, pos, line_id, raw, simhash)``: one row per line that has enough words.
 
-    ``line_id`` stands for the words of a line, ``raw`` for the line as it is.
+    ``line_id`` stands for the words of a line, ``raw`` for the line as it is.  Repeated rows are added up apart.
     """
     # The arrays of one element keep the words from being worked out once more for every mention.
-    own = lines.select(*KEY, "pos", F.xxhash64("line").alias("raw"), F.explode_outer(F.array(words_of(F.col("line")))).alias("words"))
+    own = lines.select(*KEY, "row", "pos", F.xxhash64("line").alias("raw"), F.explode_outer(F.array(words_of(F.col("line")))).alias("words"))
     long_words = F.filter("words", lambda w: F.octet_length(w) > 3)
     # Short words are in every line and say little; a line of nothing else has to do with them.
     features = let(long_words, lambda some: F.when(F.size(some) > 0, some).otherwise(F.col("words")))
     own = own.where(F.size("words") >= min_words)
-    words = own.select(*KEY, "pos", "raw", _line_id(), F.explode_outer(F.array(features)).alias("features"))
-    words = words.select(*KEY, "pos", "raw", "line_id", F.size("features").alias("total"), F.posexplode_outer("features").alias("at", "word"))
+    words = own.select(*KEY, "row", "pos", "raw", _line_id(), F.explode_outer(F.array(features)).alias("features"))
+    words = words.select(*KEY, "row", "pos", "raw", "line_id", F.size("features").alias("total"), F.posexplode_outer("features").alias("at", "word"))
     part = F.floor(F.col("at") / _AT_ONCE).cast("int").alias("part")
-    words = words.select(*KEY, "pos", "raw", "line_id", "total", part, F.xxhash64("word").alias("h"))
-    sums = words.groupBy(*KEY, "pos", "raw", "line_id", "total", "part").agg(
+    words = words.select(*KEY, "row", "pos", "raw", "line_id", "total", part, F.xxhash64("word").alias("h"))
+    sums = words.groupBy(*KEY, "row", "pos", "raw", "line_id", "total", "part").agg(
         *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_ONES))).alias(f"s{k}") for k in range(_SUMS)]
     )
     names = [f"s{k}" for k in range(_SUMS)]
     whole = F.col("total") <= _AT_ONCE
     bits = _majority([F.col(n) for n in names], F.col("total"))
-    found = sums.select(*KEY, "pos", "raw", "line_id", "total", F.when(whole, bits).alias("simhash"), F.when(~whole, F.array(*names)).alias("sums"))
+    found = sums.select(*KEY, "row", "pos", "raw", "line_id", "total", F.when(whole, bits).alias("simhash"), F.when(~whole, F.array(*names)).alias("sums"))
     found = stored(found, "lines")
     one = found.where("simhash is not null").select(*KEY, "pos", "raw", "line_id", "simhash")
     # Lines of more words: their parts are added up bit by bit.
     field = lambda k, j: F.shiftrightunsigned(F.get("sums", F.lit(k)), _FIELD * j).bitwiseAND(F.lit(2**_FIELD - 1))
     places = [(k, j) for k in range(_SUMS) for j in range(_FIELDS)]
-    many = found.where("simhash is null").groupBy(*KEY, "pos", "raw", "line_id", "total")
+    many = found.where("simhash is null").groupBy(*KEY, "row", "pos", "raw", "line_id", "total")
     many = many.agg(*[F.sum(field(k, j)).alias(f"c{k}_{j}") for k, j in places])
     each = [F.when(F.col(f"c{k}_{j}") * 2 > F.col("total"), F.lit(1 << (_FIELD * j + k))).otherwise(F.lit(0).cast("long")) for k, j in places]
     many = many.select(*KEY, "pos", "raw", "line_id", reduce(lambda x, y: x.bitwiseOR(y), each).alias("simhash"))

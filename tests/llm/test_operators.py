@@ -487,6 +487,20 @@ def test_long_line_is_hashed_whole(spark):
     assert 1 in kept and 2 not in kept
 
 
+def test_repeated_row_with_a_near_line_elsewhere(spark):
+    line = "seventeen quick brown foxes jumped over sleeping guard dogs beside yonder river bank this morning"
+    words = line.split()
+    near = " ".join([words[1], words[0], *words[2:]])
+    rows = [(1, "one text of its own\n" + near)] + [(2, "another text of its own\n" + line)] * 4
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {}
+    for r in line_dedup._hashed(line_dedup._lines(table, "doc_id", "text"), 5).collect():
+        hashes.setdefault(r.line_id, set()).add(r.simhash)
+    assert all(len(h) == 1 for h in hashes.values())
+    left = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(table).collect()}
+    assert left == {(1, rows[0][1]), (2, "another text of its own")}
+
+
 # 10. Lists of addresses
 
 
