@@ -4,6 +4,8 @@ A line is compared by its words, in lower case and without punctuation.  Its Sim
 longer words; equal pairs of blocks of two SimHashes make candidates, as two hashes that differ in at most
 ``MAX_DISTANCE`` of their bits must agree in two of five blocks.  The edit distance of the words decides, and one
 occurrence per connected group is kept: the first by document id and position.
+
+With ``whole`` no SimHash is used: lines are candidates if a part of their words is the same (``_part_keys``).
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ MAX_DISTANCE = 3
 # Bits by block: 63 in all.
 BLOCKS = (13, 13, 13, 12, 12)
 
+# Up to so many long words, lines that lack one or two of their words are looked up; up to so many, and where words are
+# longer than that on average (scripts without spaces), also parts of their runs of three characters.
+_FEW, _FEWER, _LONG_WORDS = 9, 6, 12
+
 # The hash bits of words are added up in fields of nine bits, seven to a number, nine numbers.  At most 255 words at a
 # time, so that the top bit of each field stays free for comparing.
 _FIELD, _FIELDS, _SUMS = 9, 7, 9
@@ -123,6 +129,106 @@ def _apart(a: Column, b: Column) -> Column:
     return let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: cut(x, y)))
 
 
+def _parts(hashes: Column, bits: Column) -> Column:
+    """Keys of the parts of sorted hashes that begin with the same ``bits`` bits; parts of a single hash have none."""
+    part = lambda i: F.call_function("shiftrightunsigned", F.get(hashes, i), 64 - bits)
+
+    def cut(starts: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(hashes))
+        sizes = F.transform(starts, lambda s, j: F.struct(s.alias("s"), (end(j) - s).alias("n")))
+        some = F.filter(sizes, lambda x: x["n"] >= 2)
+        return F.transform(some, lambda x: F.xxhash64(bits, F.slice(hashes, x["s"] + 1, x["n"])))
+
+    first = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: (i == 0) | (part(i) != part(i - 1)))
+    return let(first, cut)
+
+
+def _part_keys(words: Column) -> Column:
+    """The keys by which a line meets those that are near it, from its words joined by blanks.
+
+    Hashes of its longer words are dealt into parts by their first bits, two to four to a part, and into four parts;
+    an edit changes two parts at most, and lines with any part in common meet.  Of few words, all but any one or two
+    make a key, and of very few or very long words the runs of three characters are dealt out.  The number of parts
+    goes by the number of words; near its steps a line has the keys of both.
+    """
+    none = F.array().cast("array<bigint>")
+    listed = F.split(words, " ")
+    longer = F.filter(listed, lambda w: F.octet_length(w) > 3)
+    chosen = let(longer, lambda some: F.when(F.size(some) > 0, some).otherwise(listed))
+    hashes = F.array_sort(F.array_distinct(F.transform(chosen, lambda w: F.xxhash64(w))))
+    few = lambda n, least: F.greatest(F.floor(F.log2(n)), F.lit(least)).cast("int")
+
+    def levels(n: Column, each: float, least: int, *more: Column) -> Column:
+        return F.array_distinct(F.array(*more, few(n * 0.9 / each, least), few(n * 1.12 / each, least)))
+
+    def of_words(h: Column) -> Column:
+        n = F.size(h)
+        every = F.aggregate(h, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+        one = lambda all_: F.transform(h, lambda x: all_.bitwiseXOR(x))
+        two = lambda all_: F.flatten(
+            F.transform(h, lambda x, i: F.transform(F.slice(h, F.lit(1), i), lambda y: all_.bitwiseXOR(x).bitwiseXOR(y)))
+        )
+        lacking = let(every, lambda e: F.concat(F.array(e), one(e), F.when(n >= 5, two(e)).otherwise(none)))
+        parts = F.flatten(F.transform(levels(n, 2, 2, F.lit(2)), lambda bits: _parts(h, bits)))
+        return F.concat(F.when(n.between(3, _FEW), lacking).otherwise(none), F.when(n >= _FEW - 1, parts).otherwise(none))
+
+    def runs(chars: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(chars) - 3, F.lit(0)))
+        return F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(chars, i + k) for k in range(3)]))))
+
+    def of_chars(h: Column) -> Column:
+        return F.flatten(F.transform(levels(F.size(h), 1, 3), lambda bits: _parts(h, bits)))
+
+    chars = let(let(F.split(words, ""), runs), of_chars)
+    short = lambda h: (F.size(h) <= _FEWER) | (F.length(words) > _LONG_WORDS * F.size(listed))
+    return let(hashes, lambda h: F.array_distinct(F.concat(of_words(h), F.when(short(h), chars).otherwise(none))))
+
+
+def _whole_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """As ``line_groups``, of all lines that share a part of their words."""
+    lines = _lines(docs, id_col, text_col)
+    lines = lines.select(*KEY, "pos", F.explode_outer(F.array(words_of(F.col("line")))).alias("words"))
+    lines = lines.where(F.size("words") >= min_words)
+    line_id = _line_id()
+    every = stored(lines.select(*KEY, "pos", line_id), "lines")
+    repeated = every.groupBy("line_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("line_id")
+
+    own = lines.select(line_id, F.array_join("words", " ").alias("words")).distinct()
+    own = own.select(F.col("line_id").alias("id"), "words", F.length("words").alias("n"), _part_keys(F.col("words")).alias("keys"))
+    own = stored(own, "line-texts")
+
+    def may(x: Column, y: Column) -> Column:
+        """Whether two lengths are near enough."""
+        return F.abs(x - y) <= F.floor(F.greatest(x, y) * (100 - percent) / 100)
+
+    def texts(ids: DataFrame) -> DataFrame:
+        return stored(own.select("id", "words").join(ids, "id", "left_semi"), "line-texts")
+
+    def similar(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        side = lambda x: table.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return _edited(both.where(may(F.length("wa"), F.length("wb"))), percent)
+
+    lists = own.select(F.explode("keys").alias("key"), "id", "n")
+    of_list = [F.count(F.lit(1)).alias("m"), F.min("n").alias("n1"), F.max("n").alias("n2")]
+    worth = (F.col("m") > 2) | may(F.col("n1"), F.col("n2"))
+    links = linked(lists, similar, texts, lambda l, r: may(F.col(f"{l}.n"), F.col(f"{r}.n")), of_list, worth)
+    found = components(links).select(F.col("node").alias("line_id"), F.col("component").alias("group"))
+    alone = repeated.join(found, "line_id", "left_anti")
+    return every, stored(found.unionByName(alone.select("line_id", F.col("line_id").alias("group"))), "line-groups")
+
+
+def _edited(both: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of ``(a, b, wa, wb)`` of which few enough characters have to be edited."""
+    most = F.floor(F.greatest(F.length("wa"), F.length("wb")) * (100 - percent) / 100)
+    both = both.select("a", "b", most.cast("int").alias("most"), F.explode_outer(F.array(_apart(F.col("wa"), F.col("wb")))).alias("m"))
+    # What is left in the middle can be replaced as a whole; only if that is too much, its distance is worked out.  It
+    # is -1 if it is larger than that.
+    whole = F.greatest(F.length("m.x"), F.length("m.y"))
+    distance = F.expr("levenshtein(m.x, m.y, most)")
+    return both.where(F.when(whole <= F.col("most"), F.lit(True)).otherwise(distance >= 0)).select("a", "b")
+
+
 def line_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """All lines ``(k1, k2, pos, line_id)``, and the group of each line that is not alone ``(line_id, group)``."""
     lines = _lines(docs, id_col, text_col)
@@ -154,13 +260,7 @@ def line_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, per
         )
         side = lambda x: table.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
         both = near.join(side("a"), "a").join(side("b"), "b")
-        most = F.floor(F.greatest(F.length("wa"), F.length("wb")) * (100 - percent) / 100)
-        both = both.select("a", "b", most.cast("int").alias("most"), F.explode_outer(F.array(_apart(F.col("wa"), F.col("wb")))).alias("m"))
-        # What is left in the middle can be replaced as a whole; only if that is too much, its distance is worked out.  It
-        # is -1 if it is larger than that.
-        whole = F.greatest(F.length("m.x"), F.length("m.y"))
-        distance = F.expr("levenshtein(m.x, m.y, most)")
-        return both.where(F.when(whole <= F.col("most"), F.lit(True)).otherwise(distance >= 0)).select("a", "b")
+        return _edited(both, percent)
 
     lists = distinct.select(F.explode(_blocks(F.col("simhash"))).alias("key"), F.col("line_id").alias("id"), "simhash")
     # Most lists have two members that met by chance: these are told by their hashes before anything else.
@@ -176,10 +276,11 @@ def line_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, per
 
 
 def repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, percent: int = 80
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, percent: int = 80, whole: bool = False
 ) -> DataFrame:
     """``(k1, k2, gone)``: for each document with lines to go, their positions, counted from 0."""
-    lines, groups = line_groups(docs, id_col, text_col, min_words, percent)
+    found = _whole_groups if whole else line_groups
+    lines, groups = found(docs, id_col, text_col, min_words, percent)
     grouped = lines.join(groups, "line_id")
     order = F.struct(*KEY, "pos")
     first = grouped.groupBy("group").agg(F.min(order).alias("first"))
@@ -193,8 +294,8 @@ def dedup_lines(
 ) -> DataFrame:
     """The rows with the repeated lines taken out of their texts; rows of which nothing is left go.
 
-    Lines of fewer than ``min_words`` words are never taken out.  Two lines are linked if their SimHashes differ in
-    at most three bits and at most a fifth of the longer one has to be edited; a group is connected by links, and
+    Lines of fewer than ``min_words`` words are never taken out.  With ``whole``, two lines are linked if at most a fifth of the longer one has to be edited and a part of their
+    words is the same; without it, if their SimHashes also differ in at most three bits.  A group is connected by links, and
     its first line by document id (null first), text hash and position stays.  Repeated rows (same id, same text)
     are one document: they lose the same lines.  Null and empty texts and texts without repeated lines stay as they
     are.  ``removed_col`` adds the number of lines taken out, and then keeps rows of which nothing is left.

@@ -122,7 +122,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = line_dedup.dedup_lines(docs, removed_col="n_removed")
+    found = line_dedup.dedup_lines(docs, removed_col="n_removed", whole=True)
     return found.select(
         "doc_id",
         F.col("n_removed").cast("long").alias("n_removed"),

@@ -501,6 +501,45 @@ def test_repeated_row_with_a_near_line_elsewhere(spark):
     assert left == {(1, rows[0][1]), (2, "another text of its own")}
 
 
+def test_near_lines_by_edit_distance_alone(spark, documents):
+    from corpus_pipeline import line_dedup_stage
+
+    draw = random.Random(4)
+    own = {" ".join(x for x in re.split(r"[^\w]+|_", line.lower()) if x) for d in documents for line in (d["text"] or "").split("\n")}
+    own = sorted(line for line in own if len(line.split()) >= 5)
+    some = draw.sample(own, 250)
+    edited = []
+    for i, line in enumerate(some):
+        words = line.split()
+        at = draw.randrange(len(words))
+        typo = draw.randrange(len(words[at]))
+        words[at] = words[at][:typo] + "q" + words[at][typo + 1 :] if i % 2 else draw.choice(own).split()[0]
+        edited.append(" ".join(words))
+    lines = sorted({*some, *edited})
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    longest = F.greatest(F.length("a.text"), F.length("b.text"))
+    near = (F.abs(F.length("a.text") - F.length("b.text")) <= F.floor(longest / 5)) & (
+        F.levenshtein("a.text", "b.text") <= F.floor(longest / 5)
+    )
+    pairs = table.alias("a").join(table.alias("b"), (F.col("a.doc_id") < F.col("b.doc_id")) & near).select("a.doc_id", F.col("b.doc_id").alias("other")).collect()
+    linked = {n for p in pairs for n in p}
+    parent = {n: n for n in linked}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        p, q = root(a), root(b)
+        parent[max(p, q)] = min(p, q)
+    assert len(pairs) > 200
+    want = {n for n in linked if root(n) != n}
+    gone = set(range(len(lines))) - {r.doc_id for r in line_dedup_stage(spark, table, "").collect()}
+    # Nothing else goes, and next to nothing of it stays.
+    assert gone <= want and len(gone) >= 0.97 * len(want)
+
+
 # 10. Lists of addresses
 
 
