@@ -5,7 +5,8 @@ longer words; equal pairs of blocks of two SimHashes make candidates, as two has
 ``MAX_DISTANCE`` of their bits must agree in two of five blocks.  The edit distance of the words decides, and one
 occurrence per connected group is kept: the first by document id and position.
 
-With ``whole`` no SimHash is used: lines are candidates if a part of their words is the same (``_part_keys``).
+With ``whole`` no SimHash is used: lines are candidates if a part of their words is the same (``_part_keys``), and
+exact copies of every line with text go, however short it is.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ MAX_DISTANCE = 3
 # Bits by block: 63 in all.
 BLOCKS = (13, 13, 13, 12, 12)
 
+# With ``whole``: lines of fewer words than asked for are compared nearly from so many characters on.
+MIN_CHARS = 20
+
 # Up to so many long words, lines that lack one or two of their words are looked up; up to so many, and where words are
 # longer than that on average (scripts without spaces), also parts of their runs of three characters.
 _FEW, _FEWER, _LONG_WORDS = 9, 6, 12
@@ -185,15 +189,17 @@ def _part_keys(words: Column) -> Column:
 
 
 def _whole_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """As ``line_groups``, of all lines that share a part of their words."""
-    lines = _lines(docs, id_col, text_col)
-    lines = lines.select(*KEY, "pos", F.explode_outer(F.array(words_of(F.col("line")))).alias("words"))
-    lines = lines.where(F.size("words") >= min_words)
-    line_id = _line_id()
+    """As ``line_groups``, of all lines with text."""
+    # A line without words is told by its characters.
+    bare = F.xxhash64(F.regexp_replace("line", r"\s+", ""))
+    lines = _lines(docs, id_col, text_col).where(F.col("line").rlike(r"\S"))
+    lines = lines.select(*KEY, "pos", bare.alias("bare"), F.explode_outer(F.array(words_of(F.col("line")))).alias("words"))
+    line_id = F.when(F.size("words") > 0, F.xxhash64("words")).otherwise(F.col("bare")).alias("line_id")
     every = stored(lines.select(*KEY, "pos", line_id), "lines")
     repeated = every.groupBy("line_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("line_id")
 
-    own = lines.select(line_id, F.array_join("words", " ").alias("words")).distinct()
+    enough = (F.size("words") >= min_words) | (F.length(F.array_join("words", " ")) >= MIN_CHARS)
+    own = lines.where((F.size("words") > 0) & enough).select(line_id, F.array_join("words", " ").alias("words")).distinct()
     own = own.select(F.col("line_id").alias("id"), "words", F.length("words").alias("n"), _part_keys(F.col("words")).alias("keys"))
     own = stored(own, "line-texts")
 
@@ -294,8 +300,10 @@ def dedup_lines(
 ) -> DataFrame:
     """The rows with the repeated lines taken out of their texts; rows of which nothing is left go.
 
-    Lines of fewer than ``min_words`` words are never taken out.  With ``whole``, two lines are linked if at most a fifth of the longer one has to be edited and a part of their
-    words is the same; without it, if their SimHashes also differ in at most three bits.  A group is connected by links, and
+    With ``whole``, two lines are linked if at most a fifth of the longer one has to be edited and a part of their
+    words is the same; lines of fewer than ``min_words`` words and of fewer than ``MIN_CHARS`` characters only lose
+    their exact copies (case and punctuation aside; of a line without words, white space aside).  Without it, lines of
+    fewer words are never taken out, and the SimHashes of linked lines differ in at most three bits.  A group is connected by links, and
     its first line by document id (null first), text hash and position stays.  Repeated rows (same id, same text)
     are one document: they lose the same lines.  Null and empty texts and texts without repeated lines stay as they
     are.  ``removed_col`` adds the number of lines taken out, and then keeps rows of which nothing is left.

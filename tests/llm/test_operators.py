@@ -540,6 +540,23 @@ def test_near_lines_by_edit_distance_alone(spark, documents):
     assert gone <= want and len(gone) >= 0.97 * len(want)
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    from corpus_pipeline import line_dedup_stage
+
+    han = "我们在北京的公园里散步看见了许多美丽的花朵和高大的树木还有孩子们在草地上快乐地奔跑玩耍"
+    thai = "วันนี้อากาศดีมากเราจึงไปเดินเล่นที่สวนสาธารณะกับเพื่อนและครอบครัว"
+    rows = [
+        (1, f"All rights reserved.\n{han}\none of its own\n\n***"),
+        (2, f"another of its own\n  all rights reserved\n{han[:20]}雨{han[21:]}\n* * *\n\n---"),
+        (3, f"{thai}\nthird"),
+        (4, f"fourth\n{thai}\n短い行"),
+        (5, "短い行\nfifth"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup_stage(spark, table, "").collect()}
+    assert got == {1: rows[0][1], 2: "another of its own\n\n---", 3: rows[2][1], 4: "fourth\n短い行", 5: "fifth"}
+
+
 # 10. Lists of addresses
 
 
