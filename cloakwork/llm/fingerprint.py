@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over the sections, paragraphs and clauses of a text.
 
 A paragraph is a line; a section is a run of paragraphs that ends where a paragraph's hash says so, so that an
-edit moves no boundary but its own; a paragraph's leaves are its clauses, cut after punctuation.  Each node's hash
+edit moves no boundary but its own; a paragraph's leaves are its clauses, cut after punctuation, long ones further where their characters say so.  Each node's hash
 is made from those below it.  Equal roots mean equal texts; where roots differ, the branches that differ lead to
 the edit, without the texts.
 
@@ -20,16 +20,34 @@ from .common import NO_ID
 # One paragraph in so many ends a section.
 SECTION = 8
 _LEAF = 8
+# A clause of more characters is cut where the hash of the four characters before says so, one place in so many, and
+# after so many characters at the latest.
+_LONG, _WINDOW, _PLACES, _LATEST = 128, 4, 32, 256
+# ASCII marks end a clause before white space, those of other scripts anywhere.
+_ENDS = r"(?<=[.,;:!?|])(?=\s)|(?<=[。、，；：！？｡､।॥؟،؛۔])"
+
+
+def _pieces(clause: Column) -> Column:
+    """A clause, or the pieces of a long one; they hold every character of it."""
+
+    def cut(chars: Column) -> Column:
+        seen = lambda i: F.xxhash64(*[F.get(chars, i - k) for k in range(1, _WINDOW + 1)])
+        at = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: (i == 0) | (F.pmod(seen(i), F.lit(_PLACES)) == 0))
+        until = lambda starts, j: F.coalesce(F.get(starts, j + 1), F.size(chars))
+        every = lambda a: F.flatten(F.transform(a, lambda s, j: F.sequence(s, until(a, j) - 1, F.lit(_LATEST))))
+        slices = lambda b: F.transform(b, lambda s, j: F.array_join(F.slice(chars, s + 1, until(b, j) - s), ""))
+        return let(let(at, every), slices)
+
+    return F.when(F.length(clause) <= _LONG, F.array(clause)).otherwise(let(F.split(clause, ""), cut))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; null counts as empty.  Equal texts have equal fingerprints, and different texts
     different roots but for collisions of a 128-bit hash: every node hashes the whole hashes below it."""
-    # A cut behind punctuation that white space follows; the pieces hold every character of the paragraph.
     digest = lambda x: F.md5(x.cast("binary"))
 
     def paragraph(line: Column) -> Column:
-        digests = F.transform(F.split(line, r"(?<=[.,;:!?|])(?=\s)"), digest)
+        digests = F.transform(F.flatten(F.transform(F.split(line, _ENDS), _pieces)), digest)
         return let(digests, node)
 
     def node(digests: Column) -> Column:

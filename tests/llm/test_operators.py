@@ -411,6 +411,28 @@ def test_fingerprint_odd(odd, empty):
     assert fingerprint.with_next(empty.select("doc_id", "text"), "doc_id", ["text"], 4).count() == 0
 
 
+def test_fingerprint_of_text_without_clauses(spark):
+    draw = random.Random(8)
+    plain = " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9))) for _ in range(600))
+    smile = "".join(chr(draw.randint(0x1F600, 0x1F64F)) for _ in range(1000))
+    han = "。".join("".join(chr(draw.randint(0x4E00, 0x9FFF)) for _ in range(12)) for _ in range(60))
+    texts = [plain, smile, han, "a" * 2000]
+    rows = []
+    for text in texts:
+        at = len(text) // 2
+        rows.append((text, text[:at] + ("b" if text[at] != "b" else "c") + text[at + 1 :], text[: len(text) // 2] + "q" * 500))
+    table = spark.createDataFrame(rows, "a string, b string, c string")
+    marks = {c: fingerprint.fingerprint(F.col(c)) for c in "abc"}
+    got = table.select(
+        fingerprint.likeness(marks["a"], marks["b"]), fingerprint.likeness(marks["a"], marks["c"]), fingerprint.root(marks["a"]) == fingerprint.root(marks["b"])
+    ).collect()
+    for one, half, same in got[:3]:
+        assert 0.8 < one < 1 and 0.3 < half < 0.9 and not same
+    assert not got[3][2]
+    count = table.select(F.size(fingerprint.leaves(marks["a"]))).collect()
+    assert all(r[0] >= len(t) / 256 for r, t in zip(count, texts, strict=True))
+
+
 # 9. Lines
 
 
