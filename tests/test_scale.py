@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import cloakwork as cw
 from cloakwork.functions.bind import let, walk
-from cloakwork.session import CHECKPOINT_DIR, _local_folder, scratch_dir
+from cloakwork.session import CHECKPOINT_DIR, _own_folder, scratch_dir
 
 from . import samples as s
 
@@ -95,9 +95,9 @@ def test_block_escapes(texts):
 
 
 def test_scratch_space(spark):
-    base = spark.conf.get(CHECKPOINT_DIR, None) or _local_folder("local")
+    base = spark.conf.get(CHECKPOINT_DIR, None) or _own_folder("local")
     first, second = scratch_dir(spark, "a"), scratch_dir(spark, "a")
     assert first != second and first.startswith(base.rstrip("/") + "/a-")
-    _local_folder.cache_clear()
+    _own_folder.cache_clear()
     with pytest.raises(ValueError):
-        _local_folder("yarn")
+        _own_folder("yarn")
