@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and the SQL that checks those that SQL can express."""
+"""The operators as queries over whole tables, and the SQL that checks those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,8 +7,20 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
-from . import bpe, decontaminate, fingerprint, langid, licenses, line_dedup, masked_lm, near_dedup, secrets, url_lists
+from ..session import scratch_dir, stored
+from . import (
+    bpe,
+    decontaminate,
+    fingerprint,
+    langid,
+    licenses,
+    line_dedup,
+    masked_lm,
+    near_dedup,
+    secrets,
+    token_files,
+    url_lists,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -315,3 +327,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("probability", 6).alias("probability"),
         "is_secret",
     )
+
+
+@query()
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch_dir(spark, "token-files")
+    token_files.write(docs, path, vocabulary())
+    found = token_files.read(docs.select("doc_id"), path)
+    return found.select(
+        F.nullif("key", F.lit(token_files.NO_ID)).alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "row"
+    )
