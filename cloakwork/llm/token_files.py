@@ -48,8 +48,8 @@ KEYS_PER_PART = 1 << 18
 # Text that is encoded at a time, and ids that are read at a time, in bytes.
 AT_ONCE = 8 << 20
 
-# Distinct words whose encodings a task keeps; beyond it they are worked out anew.
-MAX_WORDS = 200_000
+# Distinct words whose encodings a worker keeps; beyond it they are worked out anew.
+MAX_WORDS = 600_000
 
 SLOT = np.dtype(
     [("mark", "<u4"), ("shard", "<u4"), ("last", "<u4"), ("copies", "<u8"), ("first", "<u8"), ("offset", "<u8"), ("length", "<u8")]
@@ -64,54 +64,81 @@ _READ = "key long, row long, start long, n_tokens long, ids binary"
 # Encoding
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Tokenizer:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has the cores that Spark gives it
-    own = Tokenizer.from_file(path)
-    own.no_truncation()
-    own.no_padding()
-    return own
+# A cut between these is one between tokens: a run of letters ends, and one of marks begins.  Letters are those of
+# which every version of Unicode says so.
+_LETTER, _MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", ".,;:!?"
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, which sees every distinct word once.
 
-    Blanks and line feeds are cut at and dropped by this vocabulary's own rules, and no normalisation or token
-    reaches across them, so the ids of a text are those of its words in a row.
+    Blanks and line feeds are cut at and dropped by this vocabulary's own rules, as is any text before marks, and
+    no normalisation or token reaches across such places, so the ids of a text are those of its words in a row.  Words
+    of ASCII letters are looked up in lower case, which is what they are normalised to.
     """
 
     def __init__(self, path: str):
-        self.library = _tokenizer(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has the cores that Spark gives it
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if any(m in t for t in self.special for m in _MARK + " \n"):
+            raise ValueError("an added token holds a blank or a mark that texts are cut at")
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[str, int] = {"": 0}
-        self.lengths, self.flat = [0], [np.empty(0, np.uint32)]
+        self._forget()
 
-    def _codes(self, words: list[str]) -> np.ndarray:
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.lengths, self.flat = np.zeros(1, np.int32), np.empty(0, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        flat, lengths = [], []
+        for coded in self.library.encode_batch_fast(words, add_special_tokens=False):
+            ids = coded.ids
+            flat += ids
+            lengths.append(len(ids))
+        at = len(self.known)
+        self.known.update(zip(words, range(at, at + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, np.asarray(flat, np.uint32)])
+        self.lengths = np.concatenate([self.lengths, np.asarray(lengths, np.int32)])
+
+    def _codes(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words, which are learnt if they are new."""
+        low = pc.ascii_lower(words)
+        plain = pc.string_is_ascii(words)
+        for token in self.special:
+            plain = pc.and_not(plain, pc.match_substring(low, token.lower()))
+        spelt = pc.if_else(plain, low, words).dictionary_encode()
+        names = spelt.dictionary.to_pylist()
         if len(self.known) > MAX_WORDS:
-            self.known, self.lengths, self.flat = {"": 0}, [0], [np.empty(0, np.uint32)]
-        new = [w for w in words if w not in self.known]
-        for word, coded in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[word] = len(self.lengths)
-            self.lengths.append(len(coded.ids))
-            self.flat.append(np.asarray(coded.ids, np.uint32))
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+            self._forget()
+        new = [w for w in names if w not in self.known]
+        for at in range(0, len(new), 1 << 14):
+            self._learn(new[at : at + (1 << 14)])
+        codes = np.fromiter(map(self.known.__getitem__, names), np.int32, len(names))
+        return codes[spelt.indices.to_numpy()]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin and end, and all ids in a row."""
-        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        apart = pc.replace_substring_regex(texts, f"([{_LETTER}])([{_MARK}])", r"\1 \2")
+        words = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
-        codes = self._codes(coded.dictionary.to_pylist())
-        flat, lengths = np.concatenate(self.flat), np.asarray(self.lengths, np.int64)
-        self.flat = [flat]
-        starts = np.cumsum(lengths) - lengths
-        each = codes[coded.indices.to_numpy()]
-        n = lengths[each]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(starts[each] - ends[:-1], n) + np.arange(ends[-1])]
+        each = self._codes(coded.dictionary)[coded.indices.to_numpy()]
+        starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        n = self.lengths[each]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        ids = self.flat[np.repeat(starts[each] - ends[:-1], n) + np.arange(ends[-1])]
         places = words.offsets.to_numpy().astype(np.int64)
         return ends[places - places[0]], ids
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def _pieces(text: str, size: int) -> Iterator[str]:
     """A long text in parts that end before a blank, where there is one."""
     at = 0
@@ -177,7 +204,7 @@ class _Shard:
 
 def _written(path: str, vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard = Encoder(vocabulary), None
+        own, shard = encoder(vocabulary), None
         for whole in batches:
             for batch in _runs(whole, "text", AT_ONCE):
                 shard = shard or _Shard(path, TaskContext.get().partitionId(), own.width)
