@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir, stored
 from . import (
     bpe,
+    conversations,
     decontaminate,
     fingerprint,
     langid,
@@ -338,3 +339,93 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.nullif("key", F.lit(token_files.NO_ID)).alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "row"
     )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns as a careless export leaves them, by a hash of their numbers; missing values are one blank."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), (F.crc32(key) % 20).alias("harm"))
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("harm") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("harm") == 0, 0).when(F.col("harm") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), times))).drop("col")
+
+
+@query(
+    r"""
+    WITH RECURSIVE t AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS named FROM conversations
+    ), hashed AS (
+      SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(named, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS harm
+      FROM t
+    ), d AS (
+      SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+        CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM hashed, unnest(range(0, CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS r(i)
+    ), o AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(md5(role) || text)) AS i,
+        NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS is_blank,
+        regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*\z') AS is_cut FROM d
+    ), f AS (
+      SELECT *, substr(role, 1, 1) AS initial, NOT is_blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS is_again FROM o
+    ), g AS (
+      SELECT *, NOT is_blank AND NOT is_again AND is_cut AS is_truncated,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS is_illegal FROM f
+    ), counts AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank,
+        count(*) FILTER (is_again) AS duplicate, count(*) FILTER (is_truncated) AS truncated,
+        count(*) FILTER (coalesce(is_illegal, false)) AS illegal, count(*) AS n FROM g GROUP BY conv_id
+    ), steps AS (
+      -- After each turn, for every state of the pattern, least cost, first audit and repaired text.
+      SELECT conv_id, CAST(0 AS BIGINT) AS i,
+        CAST({c: 0, a: '', r: []} AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS q0,
+        CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS q1,
+        CAST({c: 5, a: 'I', r: ['user:']} AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS q2,
+        CAST({c: 10, a: 'II', r: ['user:', 'assistant:']} AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR[])) AS q3
+      FROM counts
+      UNION ALL
+      SELECT conv_id, i, w0, w1, v2, least(w3, CASE WHEN v2 IS NOT NULL THEN {c: v2.c + 5, a: v2.a || 'I', r: list_append(v2.r, 'assistant:')} END)
+      FROM (
+        SELECT *, least(w2, CASE WHEN w0 IS NOT NULL THEN {c: w0.c + 5, a: w0.a || 'I', r: list_append(w0.r, 'user:')} END,
+          CASE WHEN w1 IS NOT NULL THEN {c: w1.c + 5, a: w1.a || 'I', r: list_append(w1.r, 'user:')} END,
+          CASE WHEN w3 IS NOT NULL THEN {c: w3.c + 5, a: w3.a || 'I', r: list_append(w3.r, 'user:')} END) AS v2
+        FROM (
+          SELECT s.conv_id, g.i,
+            {c: q0.c + 2, a: q0.a || 'D', r: q0.r} AS w0,
+            least(CASE WHEN q1 IS NOT NULL THEN {c: q1.c + 2, a: q1.a || 'D', r: q1.r} END,
+              CASE WHEN keeps AND initial = 's' THEN {c: q0.c + more, a: q0.a || 'K', r: list_append(q0.r, role || ':' || text)} END) AS w1,
+            least(CASE WHEN q2 IS NOT NULL THEN {c: q2.c + 2, a: q2.a || 'D', r: q2.r} END,
+              CASE WHEN keeps AND initial = 'u' THEN {c: q0.c + more, a: q0.a || 'K', r: list_append(q0.r, role || ':' || text)} END,
+              CASE WHEN keeps AND initial = 'u' AND q1 IS NOT NULL THEN {c: q1.c + more, a: q1.a || 'K', r: list_append(q1.r, role || ':' || text)} END,
+              CASE WHEN keeps AND initial = 'u' AND q3 IS NOT NULL THEN {c: q3.c + more, a: q3.a || 'K', r: list_append(q3.r, role || ':' || text)} END,
+              CASE WHEN keeps THEN {c: q0.c + more + 1, a: q0.a || 'R', r: list_append(q0.r, 'user:' || text)} END,
+              CASE WHEN keeps AND q1 IS NOT NULL THEN {c: q1.c + more + 1, a: q1.a || 'R', r: list_append(q1.r, 'user:' || text)} END,
+              CASE WHEN keeps AND q3 IS NOT NULL THEN {c: q3.c + more + 1, a: q3.a || 'R', r: list_append(q3.r, 'user:' || text)} END) AS w2,
+            least(CASE WHEN q3 IS NOT NULL THEN {c: q3.c + 2, a: q3.a || 'D', r: q3.r} END,
+              CASE WHEN keeps AND initial = 'a' AND q2 IS NOT NULL THEN {c: q2.c + more, a: q2.a || 'K', r: list_append(q2.r, role || ':' || text)} END,
+              CASE WHEN keeps AND q2 IS NOT NULL THEN {c: q2.c + more + 1, a: q2.a || 'R', r: list_append(q2.r, 'assistant:' || text)} END) AS w3
+          FROM steps s JOIN (SELECT *, NOT is_blank AND NOT is_again AS keeps, CASE WHEN is_truncated THEN 5 ELSE 0 END AS more FROM g) g
+            ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.i = s.i + 1
+        )
+      )
+    ), ends AS (
+      SELECT c.*, least(q0, q3) AS e FROM steps s JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.i
+    )
+    SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+      coalesce(illegal, 0) AS illegal, coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(array_to_string(e.r, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM k.conv_id
+    """
+)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    done = conversations.repair(damaged(turns), with_turns=False).drop("repaired")
+    every = turns.select("conv_id").distinct()
+    met = every.alias("k").join(done.alias("d"), F.col("k.conv_id").eqNullSafe(F.col("d.conv_id")), "left")
+    counts = [F.coalesce(f"d.{c}", F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return met.select(
+        "k.conv_id", *counts, F.coalesce("d.audit", F.lit("")).alias("audit"), F.coalesce("d.repaired_sha256", nothing).alias("repaired_sha256")
+    )
