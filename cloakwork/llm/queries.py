@@ -18,6 +18,7 @@ from . import (
     line_dedup,
     masked_lm,
     near_dedup,
+    phrases,
     secrets,
     token_files,
     url_lists,
@@ -429,3 +430,47 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select(
         "k.conv_id", *counts, F.coalesce("d.audit", F.lit("")).alias("audit"), F.coalesce("d.repaired_sha256", nothing).alias("repaired_sha256")
     )
+
+
+@query(
+    r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+    ), w AS (
+      SELECT lang, row_number() OVER () AS p, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces
+    ), t AS (
+      SELECT lang, p, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM w
+    ), ahead AS (
+      SELECT lang, w AS w1, lead(w, 1) OVER v AS w2, lead(w, 2) OVER v AS w3, lead(w, 3) OVER v AS w4 FROM t WINDOW v AS (PARTITION BY p ORDER BY i)
+    ), f AS (
+      SELECT lang, [w1] AS words, w1 AS phrase, 1 AS size, count(*) AS c FROM ahead GROUP BY ALL
+      UNION ALL SELECT lang, [w1, w2], concat_ws(' ', w1, w2), 2, count(*) FROM ahead WHERE w2 IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT lang, [w1, w2, w3], concat_ws(' ', w1, w2, w3), 3, count(*) FROM ahead WHERE w3 IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT lang, [w1, w2, w3, w4], concat_ws(' ', w1, w2, w3, w4), 4, count(*) FROM ahead WHERE w4 IS NOT NULL GROUP BY ALL
+    ), n AS (
+      SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+    ), keyed AS (
+      SELECT lang || chr(9) || phrase AS key, c FROM f
+    ), candidates AS (
+      SELECT * FROM f WHERE size > 1 AND c >= 30
+    ), cuts AS (
+      SELECT *, array_to_string(words[1 : k], ' ') AS head, array_to_string(words[k + 1 : size], ' ') AS tail
+      FROM candidates, unnest(range(1, size)) AS t(k)
+    ), scores AS (
+      SELECT u.lang, u.phrase, u.size, u.c AS a, p.c AS l, q.c AS r, k, CAST(2000000::HUGEINT * u.c // (p.c + q.c) AS BIGINT) AS score
+      FROM cuts u JOIN keyed p ON p.key = u.lang || chr(9) || head JOIN keyed q ON q.key = u.lang || chr(9) || tail
+    ), lowest AS (
+      SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+    ), inside AS (
+      SELECT lang, array_to_string(words[i : i + part - 1], ' ') AS phrase, max(c) AS most
+      FROM candidates, unnest([1, 2, 3]) AS s(i), unnest([2, 3]) AS t(part) WHERE part < size AND i + part - 1 <= size GROUP BY ALL
+    ), ranked AS (
+      SELECT o.*, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, o.phrase) AS rank
+      FROM lowest o LEFT JOIN inside USING (lang, phrase) WHERE coalesce(100 * most < 80 * a, true)
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+    """
+)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
