@@ -26,7 +26,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,7 +40,7 @@ NO_LANGUAGE = "und"
 PIECES = r"[.,;:!?\x0A-\x0D]"
 
 # Text that is counted at a time, in bytes, and the largest filter.
-AT_ONCE, FILTER_BYTES = 16 << 20, 1 << 25
+AT_ONCE, FILTER_BYTES = 6 << 20, 1 << 25
 
 # Phrases that the first limit of a language lets grow, in multiples of those asked for; each further round takes
 # GROWTH times as many.
@@ -74,24 +73,22 @@ def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(hashes & mask).astype(np.int64), (other & mask).astype(np.int64)]
 
 
-def _word_hashes(langs: list[str], words: list[str]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(f"{a}\n{w}") for a, w in zip(langs, words, strict=True)), np.uint64, len(words))
+def _hashes(texts: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(texts.to_numpy(zero_copy_only=False), categorize=False)
 
 
 def _joined(left: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The hash of a phrase one word longer."""
+    """The hash of a phrase one word longer; that of no words is its language's."""
     x = (left ^ (left >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + word
     return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
-def _phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
-    words = [p.split(" ") for p in phrases]
-    sizes = np.asarray([len(w) for w in words], np.int64)
-    flat = _word_hashes([a for a, w in zip(langs, words, strict=True) for _ in w], [x for w in words for x in w])
-    starts = np.cumsum(sizes) - sizes
-    out = flat[starts]
-    for i in range(1, sizes.max(initial=1)):
+def phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
+    words = pc.split_pattern(phrases, " ")
+    flat, starts = _hashes(words.flatten()), words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    out = _hashes(langs)
+    for i in range(sizes.max(initial=0)):
         more = sizes > i
         out[more] = _joined(out[more], flat[starts[more] + i])
     return out
@@ -105,7 +102,7 @@ def filter_of(phrases: DataFrame) -> Filter:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = _phrase_hashes(batch["lang"].to_pylist(), batch["phrase"].to_pylist())
+            hashes = phrase_hashes(batch["lang"], batch["phrase"])
             place = np.concatenate(_places(hashes, size * 8))
             yield pa.RecordBatch.from_pydict({"block": pa.array(place // (block * 8)), "place": pa.array(place % (block * 8))})
 
@@ -133,34 +130,41 @@ class Words:
         apart = pc.binary_join_element_wise(pc.replace_substring(apart, "\t", " "), _BREAK, " ")
         lists = pc.split_pattern(apart, " ")
         flat = lists.flatten().dictionary_encode()
-        names = flat.dictionary.to_pylist()
+        names = flat.dictionary
         code = flat.indices.to_numpy().astype(np.int64)
         lang = np.repeat(own.indices.to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()))
-        kind = np.asarray([0 if w == "" else 1 if w == _BREAK else 2 for w in names], np.int8)[code]
-        key = np.where(kind == 2, lang * len(names) + code, -1)[kind > 0]
+        blank, gap = (pc.equal(names, x).to_numpy(zero_copy_only=False)[code] for x in ("", _BREAK))
+        key = np.where(gap, -1, lang * len(names) + code)[~blank]
         self.code, keys = pd.factorize(key)
         self.word = key >= 0
-        langs_of = own.dictionary.to_pylist()
-        self.langs = [langs_of[k // len(names)] if k >= 0 else "" for k in keys.tolist()]
-        self.names = [names[k % len(names)] if k >= 0 else "" for k in keys.tolist()]
+        # The break has a number too, and some language and name, which nothing asks for.
+        self.name, self.lang = keys % len(names), np.maximum(keys, 0) // len(names)
+        self.names, self.langs = names, own.dictionary
 
-    def totals(self) -> Iterator[tuple[str, str, int]]:
+    def _called(self, codes: np.ndarray) -> pa.Array:
+        return self.names.take(pa.array(self.name[codes]))
+
+    def _spoken(self, codes: np.ndarray) -> pa.Array:
+        return self.langs.take(pa.array(self.lang[codes]))
+
+    def totals(self) -> dict[str, pa.Array]:
         """Every word with its count, and all words of a language under the empty one."""
-        counts = np.bincount(self.code[self.word], minlength=len(self.names)).tolist()
-        whole: dict[str, int] = {}
-        for lang, name, count in zip(self.langs, self.names, counts, strict=True):
-            if count:
-                whole[lang] = whole.get(lang, 0) + count
-                yield lang, name, count
-        for lang, count in whole.items():
-            yield lang, "", count
-
-    def phrases(self, size: int, may: dict[str, Filter]) -> Iterator[tuple[str, str, int]]:
+        counts = np.bincount(self.code[self.word], minlength=len(self.name))
+        there = np.flatnonzero(counts)
+        whole = np.bincount(self.lang, weights=counts, minlength=len(self.langs)).astype(np.int64)
+        return {
+            "lang": pa.concat_arrays([self._spoken(there), self.langs]),
+            "phrase": pa.concat_arrays([self._called(there), pa.array([""] * len(whole), pa.string())]),
+            "c": pa.array(np.append(counts[there], whole), pa.int64()),
+        }
+
+    def phrases(self, size: int, may: dict[str, Filter]) -> dict[str, pa.Array]:
         """Phrases of ``size`` words with their counts.  Of the filters in ``may``, ``words`` and ``pairs`` have to hold
         all words and pairs in a phrase, ``whole`` the phrase; ``begin`` has to hold all but its last
         word, or ``end`` all but its first."""
-        hashes = single = _word_hashes(self.langs, self.names)
-        ids, here = self.code, self.word & may["words"].holds(single)[self.code]
+        single = _hashes(self.names)[self.name]
+        hashes = _joined(_hashes(self.langs)[self.lang], single)
+        ids, here = self.code, self.word & may["words"].holds(hashes)[self.code]
         first = np.empty(0, np.int64)
         for k in range(2, size + 1):
             both = here[:-1] & here[1:]
@@ -181,9 +185,10 @@ class Words:
             here = np.zeros(len(self.code), bool)
             here[at] = True
         counts = np.bincount(new, minlength=len(first))
-        for i in np.flatnonzero(counts).tolist():
-            codes = self.code[first[i] : first[i] + size].tolist()
-            yield self.langs[codes[0]], " ".join([self.names[c] for c in codes]), int(counts[i])
+        there = np.flatnonzero(counts)
+        words = [self.code[first[there] + i] for i in range(size)]
+        phrase = pc.binary_join_element_wise(*[self._called(w) for w in words], " ")
+        return {"lang": self._spoken(words[0]), "phrase": phrase, "c": pa.array(counts[there], pa.int64())}
 
 
 _PIECE_END, _BLANK = re.compile(PIECES), re.compile(r"[\x20\x09]")
@@ -247,10 +252,7 @@ def counted(texts: DataFrame, size: int, may: dict[str, Filter], least: int) ->
         for batch in batches:
             for langs, part in _parts(batch, size):
                 words = Words(langs, part)
-                rows = list(words.totals() if size == 1 else words.phrases(size, own))
-                columns = zip(*rows, strict=True) if rows else ([], [], [])
-                lang, phrase, c = (list(x) for x in columns)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "phrase": pa.array(phrase, pa.string()), "c": pa.array(c, pa.int64())})
+                yield pa.RecordBatch.from_pydict(words.totals() if size == 1 else words.phrases(size, own))
 
     found = texts.mapInArrow(run, _COUNT).groupBy("lang", "phrase").agg(F.sum("c").alias("c"))
     return stored(found.where((F.col("c") >= least) | (F.col("phrase") == "")), f"phrases-{size}")
