@@ -5,6 +5,7 @@ from .operators.catalogue import BUILTIN_RULES, CATEGORIES, Rule, custom_rule
 from .operators.detect import detect, findings
 from .operators.mask import mask, protect, redact, vault_of
 from .operators.normalise import normalise, redact_findings
+from .operators.rule_index import RuleIndex, rule_index
 from .operators.score import classify
 from .operators.unmask import unmask_inline, unmask_numbered, unmask_vault
 from .plans.evaluate import confusion, evaluate, missed
@@ -18,6 +19,7 @@ __all__ = [
     "BUILTIN_RULES",
     "CATEGORIES",
     "Rule",
+    "RuleIndex",
     "backup",
     "by_category",
     "classify",
@@ -45,6 +47,7 @@ __all__ = [
     "redact_findings",
     "repeated_secrets",
     "restore",
+    "rule_index",
     "spread",
     "summary",
     "unmask_inline",

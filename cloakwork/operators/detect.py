@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache, reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,9 @@ from .catalogue import (
 )
 from .score import confidence_of, context_of, entropy_of, features_of, risk_of
 
+if TYPE_CHECKING:
+    from .rule_index import RuleIndex
+
 # Beyond this many custom rules their patterns travel as one array literal instead of one expression each.
 COMPILED_LIMIT = 200
 
@@ -69,7 +73,7 @@ _OWN_TOKEN = (
 )
 
 # Parts of a pattern that look at what stands beside a match, or at where a line or text ends.
-_BOUND = re.compile(r"[\^$]|\\[AzZGbB]|\(\?<?[=!]")
+BOUND = r"[\^$]|\\[AzZGbB]|\(\?<?[=!]"
 
 
 def _gates(text: Column, rules: Sequence[Rule]) -> Column:
@@ -94,7 +98,7 @@ def _flags(text: Column, rules: Sequence[Rule], gates: Column) -> Column:
     """Which rules match the text; null for a null text."""
 
     def flag(rule: Rule) -> Column:
-        if rule.custom and _BOUND.search(rule.pattern):
+        if rule.custom and re.search(BOUND, rule.pattern):
             # What holds at the ends of a line need not hold in the text around it: only the lines can tell.
             return F.lit(True)
         matched = text.rlike(rule.pattern)
@@ -107,11 +111,21 @@ def _flags(text: Column, rules: Sequence[Rule], gates: Column) -> Column:
     return F.when(text.isNotNull(), F.array(*[flag(rule) for rule in rules]))
 
 
-def _as_data(rules: Sequence[Rule]) -> Column:
+# Rules as data; those that look at what stands beside a match can only be told by lines.
+RULE_DATA = (
+    "array<struct<prio:int,name:string,category:string,pattern:string,group:int,base:double,"
+    "severity:double,min_entropy:double,bound:boolean>>"
+)
+
+# Priorities of built-in rules where custom ones have numbers of their own.
+_BUILTIN_FIRST = 1 << 30
+
+
+def _as_data(rules: Sequence[Rule], orders: Sequence[int] | None = None) -> Column:
     """The rules as one array literal (folded once by the optimizer)."""
     rows = [
         {
-            "prio": i,
+            "prio": i if orders is None else orders[i],
             "name": r.name,
             "category": r.category,
             "pattern": r.pattern,
@@ -119,14 +133,11 @@ def _as_data(rules: Sequence[Rule]) -> Column:
             "base": r.base,
             "severity": r.severity,
             "min_entropy": r.min_entropy,
+            "bound": re.search(BOUND, r.pattern) is not None,
         }
         for i, r in enumerate(rules)
     ]
-    schema = (
-        "array<struct<prio:int,name:string,category:string,pattern:string,group:int,base:double,"
-        "severity:double,min_entropy:double>>"
-    )
-    return F.from_json(F.lit(json.dumps(rows)), schema)
+    return F.from_json(F.lit(json.dumps(rows)), RULE_DATA)
 
 
 def _match(text: Column, rule: Column) -> Column:
@@ -205,7 +216,7 @@ def _merge(spans: Column) -> Column:
     return F.filter(whole, lambda span: span["s"] >= 0)
 
 
-def _describe(text: Column, span: Column, many_lines: Column, rules: Column) -> Column:
+def _describe(text: Column, span: Column, many_lines: Column, rule_of: Callable[[Column], Column]) -> Column:
     """One finding inside a unit; ``line`` is still relative to the unit (0 = its first line)."""
 
     def finding(x: Column) -> Column:
@@ -228,7 +239,7 @@ def _describe(text: Column, span: Column, many_lines: Column, rules: Column) ->
         )
 
     parts = F.struct(
-        F.get(rules, span["prio"]).alias("rule"),
+        rule_of(span["prio"]).alias("rule"),
         F.coalesce(span["v"], F.substring(text, span["s"] + 1, span["e"] - span["s"])).alias("value"),
     )
     return let(parts, finding)
@@ -282,26 +293,51 @@ def _chunks(rules: Sequence[Rule]) -> list[range]:
     return chunks
 
 
-def scan_of(text: Column, rules: Sequence[Rule] = BUILTIN_RULES, scope: str = "document") -> Column:
-    """Units of a text with their findings, ``array<struct<text, found>>``; null for a text without hits."""
+def scan_of(
+    text: Column,
+    rules: Sequence[Rule] = BUILTIN_RULES,
+    scope: str = "document",
+    met: Column | None = None,
+    orders: Sequence[int] = (),
+) -> Column:
+    """Units of a text with their findings, ``array<struct<text, found>>``; null for a text without hits.
+
+    ``met`` are more custom rules as data, other ones for every text, which rank by their numbers among the custom
+    rules of ``rules``, whose numbers ``orders`` gives.
+    """
     if scope not in ("document", "line"):
         raise ValueError(f"scope must be 'document' or 'line', not {scope!r}")
     custom = [r for r in rules if r.custom]
-    bulk = custom if len(custom) > COMPILED_LIMIT else []
+    indexed = met is not None
+    bulk = custom if indexed or len(custom) > COMPILED_LIMIT else []
     if list(rules[: len(bulk)]) != bulk:
         raise ValueError("custom rules must come before the built-in ones")
     single = list(rules)[len(bulk) :]
-    data = _as_data(rules)
+    numbers = [*orders, *range(_BUILTIN_FIRST, _BUILTIN_FIRST + len(single))] if indexed else None
+    data = _as_data(rules, numbers)
 
     def bulk_hits(part: Column, candidates: Column) -> Column:
         return F.filter(candidates, lambda rule: F.rlike(part, rule["pattern"]))
 
+    def in_text(candidates: Column) -> Column:
+        return F.filter(candidates, lambda rule: rule["bound"] | F.rlike(text, rule["pattern"]))
+
     def bulk_of(chunk: range) -> Column:
+        own = F.slice(data, chunk[0] + 1, len(chunk))
+        if any(re.search(BOUND, bulk[i].pattern) for i in chunk):
+            return in_text(own)
         either = "|".join(f"(?:{bulk[i].pattern})" for i in chunk)
         some = text.rlike(either if len(chunk) > 1 else bulk[chunk[0]].pattern)
-        own = F.slice(data, chunk[0] + 1, len(chunk))
         return F.when(some, bulk_hits(text, own)).otherwise(F.slice(data, 1, 0))
 
+    def rule_of(hits: Column) -> Callable[[Column], Column]:
+        """A rule by its priority."""
+        if not indexed:
+            return lambda prio: F.get(data, prio)
+        builtin = F.slice(data, len(bulk) + 1, max(len(single), 1))
+        own = lambda prio: F.get(F.filter(hits["bulk"], lambda rule: rule["prio"] == prio), F.lit(0))
+        return lambda prio: F.when(prio >= _BUILTIN_FIRST, F.get(builtin, prio - _BUILTIN_FIRST)).otherwise(own(prio))
+
     anchored = [r for r in single if r.anchors]
 
     none = F.array().cast("array<int>")
@@ -322,14 +358,14 @@ def scan_of(text: Column, rules: Sequence[Rule] = BUILTIN_RULES, scope: str = "d
             gated = F.when(unit.rlike(gate_pattern(anchored)), matching(unit, hits, True)).otherwise(none)
             here = gated if len(anchored) == len(single) else F.concat(here, gated)
         chosen = F.transform(here, lambda i: F.get(data, i))
-        if bulk:
+        if bulk or indexed:
             chosen = F.concat(bulk_hits(unit, hits["bulk"]), chosen)
 
         def found(rules_here: Column) -> Column:
             spans = F.flatten(F.transform(rules_here, lambda rule: let(_match(unit, rule), _place)))
             return let(
                 F.contains(unit, F.lit("\n")),
-                lambda many: F.transform(_merge(spans), lambda span: _describe(unit, span, many, data)),
+                lambda many: F.transform(_merge(spans), lambda span: _describe(unit, span, many, rule_of(hits))),
             )
 
         return let(chosen, lambda c: F.when(F.size(c) > 0, found(c)).otherwise(F.array().cast(_FOUND)))
@@ -344,7 +380,7 @@ def scan_of(text: Column, rules: Sequence[Rule] = BUILTIN_RULES, scope: str = "d
 
     def scan(hits: Column) -> Column:
         some = F.array_contains(hits["one"], True)
-        if bulk:
+        if bulk or indexed:
             some = some | (F.size(hits["bulk"]) > 0)
         return F.when(
             some, F.transform(units(hits), lambda u: F.struct(u.alias("text"), find(u, hits).alias("found")))
@@ -352,8 +388,8 @@ def scan_of(text: Column, rules: Sequence[Rule] = BUILTIN_RULES, scope: str = "d
 
     def hits(gates: Column) -> Column:
         fields = [_flags(text, single, gates).alias("one")]
-        if bulk:
-            chunks = [bulk_of(chunk) for chunk in _chunks(bulk)]
+        if bulk or indexed:
+            chunks = [bulk_of(chunk) for chunk in _chunks(bulk)] + ([in_text(met)] if indexed else [])
             fields.append(F.when(text.isNotNull(), F.flatten(F.array(*chunks))).alias("bulk"))
         return F.struct(*fields)
 
@@ -458,6 +494,20 @@ def found_in(
     return let(scan, lambda x: finding_list(x, min_confidence))
 
 
+def scan_with(
+    df: DataFrame, text_col: str, custom: Sequence[Rule], rules: RuleIndex | None, scope: str, entropy: bool
+) -> tuple[DataFrame, Column]:
+    """A table and the scan of its text column, by the custom rules given or by an indexed table of rules."""
+    if rules is None:
+        return df, scan_column(text_col, rule_set(custom, entropy=entropy), scope)
+    if custom:
+        raise ValueError("custom rules stand in the rule table or are given, not both")
+    own = rule_set(rules.direct, entropy=entropy)
+    met = F.col("__cw_met")
+    scan = let(F.col(f"`{text_col}`"), lambda text: scan_of(text, own, scope, met, rules.orders))
+    return rules.attach(df, text_col), scan
+
+
 def detect(
     df: DataFrame,
     text_col: str = "text",
@@ -466,10 +516,11 @@ def detect(
     scope: str = "document",
     entropy: bool = False,
     min_confidence: float = 0.0,
+    rules: RuleIndex | None = None,
 ) -> DataFrame:
     """Per text: its findings, how many, the highest risk and a one-line summary.
 
-    ``min_confidence`` only narrows this report; masking never filters on confidence.
+    ``rules`` is a table of custom rules of any size, see ``rule_index``.  ``min_confidence`` only narrows this report; masking never filters on confidence.
     """
 
     def result(found: Column) -> Column:
@@ -482,8 +533,9 @@ def detect(
         )
 
     keep = [F.col(f"`{c}`") for c in df.columns]
-    found = found_in(text_col, custom, scope, entropy, min_confidence)
-    return df.select(*keep, let(found, result).alias("__cw")).select(*keep, "__cw.*")
+    rows, scan = scan_with(df, text_col, custom, rules, scope, entropy)
+    found = let(scan, lambda x: finding_list(x, min_confidence))
+    return rows.select(*keep, let(found, result).alias("__cw")).select(*keep, "__cw.*")
 
 
 def findings(
@@ -496,16 +548,18 @@ def findings(
     scope: str = "document",
     entropy: bool = False,
     min_confidence: float = 0.0,
+    rules: RuleIndex | None = None,
 ) -> DataFrame:
     """One row per finding, in the canonical schema."""
     ids = [F.col(f"`{c}`") for c in id_cols if c != "path"]
     if path_col is None and "path" in id_cols:
         path_col = "path"
     path = F.col(path_col) if path_col else F.lit(None).cast("string")
-    found = found_in(text_col, custom, scope, entropy, min_confidence)
+    scanned, scan = scan_with(df, text_col, custom, rules, scope, entropy)
+    found = let(scan, lambda x: finding_list(x, min_confidence))
     # An outer explode: for the plain one the optimizer would test "has findings" in a filter of its own,
     # and so run the detection twice.
-    rows = df.select(*ids, path.alias("path"), F.explode_outer(found).alias("f"))
+    rows = scanned.select(*ids, path.alias("path"), F.explode_outer(found).alias("f"))
     return rows.where(F.col("f").isNotNull()).select(
         *ids,
         F.col("path"),

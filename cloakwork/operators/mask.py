@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,11 @@ from ..functions.bind import let, walk
 from ..functions.crypto import seal
 from ..functions.text import join_lines, quote_literal
 from ..functions.tokens import inline_token, mask_token, vault_id, vault_token
-from .catalogue import Rule, rule_set
-from .detect import finding_list, scan_column
+from .catalogue import Rule
+from .detect import finding_list, scan_with
+
+if TYPE_CHECKING:
+    from .rule_index import RuleIndex
 
 MODES = ("category", "number", "inline", "vault")
 
@@ -143,9 +147,12 @@ def protect(
     custom: Sequence[Rule] = (),
     scope: str = "document",
     entropy: bool = False,
+    rules: RuleIndex | None = None,
 ) -> DataFrame:
     """Mask a text column in one pass.
 
+    ``rules`` is a table of custom rules of any size, see ``rule_index``.
+
     Adds ``masked_text``, ``n_findings``, ``secret_lines`` (units with a finding) and ``vault``: the rows
     needed to restore the text later (``number`` and ``vault`` mode with a key; empty otherwise).
 
@@ -163,7 +170,6 @@ def protect(
         raise ValueError("vault mode needs the name of the corpus: ids of two corpora must not meet in one vault")
     keep = [F.col(f"`{c}`") for c in df.columns]
     ids = [F.col(f"`{c}`") for c in id_cols]
-    rules = rule_set(custom, entropy=entropy)
 
     # Only a digest of the key goes into the plan; with it, ids of equal texts differ between keys.
     seed = hashlib.sha256(b"vault id" + (key or b"")).hexdigest()
@@ -212,8 +218,9 @@ def protect(
             return result(scan, F.lit(None))
         return let(_found_before(scan), lambda before: result(scan, before))
 
-    done = let(scan_column(text_col, rules, scope), whole)
-    return df.select(*keep, done.alias("__cw")).select(*keep, "__cw.*")
+    rows, scan = scan_with(df, text_col, custom, rules, scope, entropy)
+    done = let(scan, whole)
+    return rows.select(*keep, done.alias("__cw")).select(*keep, "__cw.*")
 
 
 def mask(df: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -9,6 +9,7 @@ from ...functions.text import decode_entities, shannon_bits
 from ...operators.catalogue import BUILTIN_RULES, custom_rule, rule_set
 from ...operators.detect import detect, findings
 from ...operators.mask import mask, redact
+from ...operators.rule_index import rule_index
 from ...operators.score import classify
 from ...sources.corpus import spread
 from .. import report
@@ -214,6 +215,27 @@ def many_custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "rule_id", "value")
 
 
+def word_rules(docs: DataFrame) -> DataFrame:
+    """A rule for every longer word that stands at the end of a sentence or clause; the table grows with the texts."""
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_CLAUSE_END), F.lit(1))).alias("name")).distinct()
+    pattern = F.concat(F.lit(" "), F.col("name"), F.lit("[.,]"))
+    return words.select(F.col("name").alias("item"), "name", pattern.alias("pattern"), F.lit("custom").alias("category"))
+
+
+_CLAUSE_END = " ([A-Za-z]{8,})[.,]"
+
+
+@query(
+    f"""SELECT doc_id, rule_id, count(*) AS n
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_CLAUSE_END}', 1)) AS rule_id FROM documents) GROUP BY ALL"""
+)
+def rule_table_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of rules in a table, found by an index of their literals."""
+    docs = documents(spark, sf_dir)
+    found = findings(docs, rules=rule_index(word_rules(docs)))
+    return found.where("category = 'custom'").groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     f"""SELECT o_orderkey AS doc_id, 'custom' AS category,
   CASE WHEN o_orderkey % 2 = 0 THEN '/page/p' || o_orderkey ELSE '/page/=' || o_orderkey END AS value,

@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +22,7 @@ from pyspark.sql.window import Window
 from ..functions.text import split_lines, trim_space
 from ..operators.catalogue import Rule, custom_rule
 from .corpus import _qualified, read_paths
+from .patterns import compiles
 
 # In order of preference.
 CONFIG_NAMES = (".cloakwork.yml", ".cloakwork.yaml")
@@ -109,15 +109,6 @@ def load_rules(spark: SparkSession, roots: Sequence[str], names: Sequence[str] =
     return parse_rules(read_config_files(spark, roots, names))
 
 
-def compiles(spark: SparkSession, pattern: str) -> bool:
-    """Whether the regular expression is valid, asked of the library that will run it."""
-    try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except IllegalArgumentException:
-        return False
-    return True
-
-
 def usable_rules(rules: DataFrame, order_cols: Sequence[str] = ("item",)) -> tuple[list[Rule], DataFrame]:
     """Split rules into those that can run, in order, and a table of rejected ones.
 
