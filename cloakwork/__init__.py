@@ -10,6 +10,7 @@ from .operators.score import classify
 from .operators.unmask import unmask_inline, unmask_numbered, unmask_vault
 from .plans.evaluate import confusion, evaluate, missed
 from .plans.report import by_category, max_risk, per_file, repeated_secrets, summary
+from .sources.chunks import chunk_findings, load_chunks, protect_chunks, split_long
 from .sources.corpus import list_corpus, load_corpus, spread, unread_files
 from .sources.reports import write_redacted, write_report
 from .sources.rule_config import load_rules, parse_rules, usable_rules
@@ -22,6 +23,7 @@ __all__ = [
     "RuleIndex",
     "backup",
     "by_category",
+    "chunk_findings",
     "classify",
     "confusion",
     "custom_rule",
@@ -31,6 +33,7 @@ __all__ = [
     "findings",
     "forget",
     "list_corpus",
+    "load_chunks",
     "load_corpus",
     "load_rules",
     "mask",
@@ -42,12 +45,14 @@ __all__ = [
     "parse_rules",
     "per_file",
     "protect",
+    "protect_chunks",
     "protect_stream",
     "redact",
     "redact_findings",
     "repeated_secrets",
     "restore",
     "rule_index",
+    "split_long",
     "spread",
     "summary",
     "unmask_inline",

@@ -148,10 +148,12 @@ def protect(
     scope: str = "document",
     entropy: bool = False,
     rules: RuleIndex | None = None,
+    numbered_after: str | None = None,
 ) -> DataFrame:
     """Mask a text column in one pass.
 
-    ``rules`` is a table of custom rules of any size, see ``rule_index``.
+    ``rules`` is a table of custom rules of any size, see ``rule_index``; ``numbered_after`` a column with the number
+    of findings before the text, where it is a part of one.
 
     Adds ``masked_text``, ``n_findings``, ``secret_lines`` (units with a finding) and ``vault``: the rows
     needed to restore the text later (``number`` and ``vault`` mode with a key; empty otherwise).
@@ -171,6 +173,7 @@ def protect(
     keep = [F.col(f"`{c}`") for c in df.columns]
     ids = [F.col(f"`{c}`") for c in id_cols]
 
+    past = F.col(numbered_after) if numbered_after else F.lit(0)
     # Only a digest of the key goes into the plan; with it, ids of equal texts differ between keys.
     seed = hashlib.sha256(b"vault id" + (key or b"")).hexdigest()
 
@@ -183,13 +186,13 @@ def protect(
                 return mask_token(f["category"])
             if mode == "inline":
                 return inline_token(seal(f["value"], key, _place(ids, i, k)))
-            ordinal = F.get(before, i) + k + 1
+            ordinal = F.get(before, i) + k + 1 + past
             return mask_token(ordinal.cast("string")) if mode == "number" else vault_token(reference(f, ordinal))
 
         return spell
 
     def vault_row(f: Column) -> Column:
-        n = f["ordinal"]
+        n = f["ordinal"] + past
         return F.struct(
             (reference(f, n) if mode == "vault" else n.cast("string")).alias("token_id"),
             seal(f["value"], key, _place(ids, n)).alias("payload"),

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ...operators.detect import findings
 from ...session import scratch_dir
+from ...sources.chunks import chunk_findings, joined, load_chunks, protect_chunks, split_long
 from ...sources.corpus import cap, cap_per_root, is_scannable, load_corpus
 from ...sources.rule_config import CONFIG_NAMES, first_candidate, parse_rules, usable_rules
 from .. import report
-from ..oracle import WRAPPED_DOCUMENTS, detect_sql, quote
+from ..oracle import WRAPPED_DOCUMENTS, detect_sql, masked_sql, quote
 from .common import documents, query, table, wrapped_documents
 
 
@@ -22,6 +23,33 @@ def corpus_tree_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.by_category(findings(load_corpus(spark, root), id_cols=["path"]))
 
 
+_BY_SOURCE = f"SELECT source AS doc_id, string_agg(t.text, chr(10) ORDER BY t.doc_id) AS text FROM ({WRAPPED_DOCUMENTS}) t JOIN documents USING (doc_id) GROUP BY source"
+
+
+@query(detect_sql(_BY_SOURCE) + "SELECT doc_id AS source, line, col, ordinal, category, md5(value) AS value_md5 FROM found")
+def long_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a source as one file, read and scanned in chunks of at most 64 KB or so."""
+    root = scratch_dir(spark, "long-files")
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
+    rows = wrapped_documents(spark, sf_dir).join(sources, "doc_id").repartition("source").sortWithinPartitions("source", "doc_id")
+    rows.select("source", "text").write.partitionBy("source").text(root)
+    found = chunk_findings(load_chunks(spark, root, chunk_bytes=1 << 16))
+    source = F.regexp_extract("path", "/source=([^/]*)/", 1)
+    return found.select(
+        source.alias("source"), F.col("line").cast("int").alias("line"), F.col("column").alias("col"), "ordinal", "category",
+        F.md5("value").alias("value_md5"),
+    )
+
+
+@query(masked_sql(WRAPPED_DOCUMENTS, "'[REDACTED_'||ordinal||']'") + "SELECT doc_id, md5(masked_text) AS masked_md5, n_findings FROM masked")
+def long_text_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of more than a thousand characters in chunks, masked with numbers that go through the whole text."""
+    done = protect_chunks(split_long(wrapped_documents(spark, sf_dir), chunk_chars=1000), mode="number", id_cols=["doc_id"])
+    whole = joined(done, "masked_text", ["doc_id"])
+    counts = done.groupBy("doc_id").agg(F.sum("n_findings").cast("int").alias("n_findings"))
+    return whole.join(counts, "doc_id").select("doc_id", F.md5("text").alias("masked_md5"), "n_findings")
+
+
 # Path below a root, and whether it is scanned.
 _PATHS = (
     ("src/a.ts", True),
