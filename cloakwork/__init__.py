@@ -14,7 +14,7 @@ from .sources.chunks import chunk_findings, load_chunks, protect_chunks, split_l
 from .sources.corpus import list_corpus, load_corpus, spread, unread_files
 from .sources.reports import write_redacted, write_report
 from .sources.rule_config import load_rules, parse_rules, usable_rules
-from .streaming.live import finding_counts, mask_stream, new_secrets, protect_stream
+from .streaming.live import finding_counts, mask_stream, new_secrets, protect_stream, unmask_stream
 
 __all__ = [
     "BUILTIN_RULES",
@@ -57,6 +57,7 @@ __all__ = [
     "summary",
     "unmask_inline",
     "unmask_numbered",
+    "unmask_stream",
     "unmask_vault",
     "unread_files",
     "usable_rules",

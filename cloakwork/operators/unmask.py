@@ -12,7 +12,7 @@ from ..functions.crypto import unseal
 from ..functions.tokens import INLINE_TOKEN, MASK_TOKEN, UUID4
 from .catalogue import VAULT_PREFIX
 
-_MAP = "__cw_map"
+MAP = "__cw_map"
 
 
 def _weave(text: Column, pattern: str, restore: Callable[[Column], Column]) -> Column:
@@ -58,16 +58,16 @@ def unmask_inline(df: DataFrame, key: bytes, text_col: str = "masked_text") -> D
     return df.select(*keep, restored.alias("__cw")).select(*keep, "__cw.*")
 
 
-def _restored(df: DataFrame, pattern: str, token_id: Callable[[Column], Column], key: bytes, text_col: str):
+def restored_by_map(df: DataFrame, pattern: str, token_id: Callable[[Column], Column], key: bytes, text_col: str):
     def restore(token: Column) -> Column:
-        return unseal(F.element_at(F.col(_MAP), token_id(token)), key)
+        return unseal(F.element_at(F.col(MAP), token_id(token)), key)
 
-    keep = [F.col(f"`{c}`") for c in df.columns if c != _MAP]
+    keep = [F.col(f"`{c}`") for c in df.columns if c != MAP]
     restored = _weave(F.col(text_col), pattern, restore)
     return df.select(*keep, restored.alias("__cw")).select(*keep, "__cw.*")
 
 
-def _untouched(df: DataFrame, text_col: str) -> DataFrame:
+def untouched(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(
         *[F.col(f"`{c}`") for c in df.columns],
         F.col(text_col).alias("restored_text"),
@@ -76,22 +76,24 @@ def _untouched(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-def _entries(vault: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Payloads by token id as one map per row key, in one shuffle.
+def payload_map(rows: Column) -> Column:
+    """Sorted distinct ``(token_id, payload)`` as a map.
 
     A token id that comes twice with one payload (a replayed write) counts once; one that comes with different
     payloads says nothing, so its tokens stay in the text.
     """
 
-    def once(rows: Column) -> Column:
-        def alone(x: Column, i: Column) -> Column:
-            beside = [F.when(i > 0, F.get(rows, i - 1)["token_id"]), F.get(rows, i + 1)["token_id"]]
-            return ~F.coalesce(beside[0] == x["token_id"], F.lit(False)) & ~F.coalesce(beside[1] == x["token_id"], F.lit(False))
+    def alone(x: Column, i: Column) -> Column:
+        beside = [F.when(i > 0, F.get(rows, i - 1)["token_id"]), F.get(rows, i + 1)["token_id"]]
+        return ~F.coalesce(beside[0] == x["token_id"], F.lit(False)) & ~F.coalesce(beside[1] == x["token_id"], F.lit(False))
+
+    return F.map_from_entries(F.filter(rows, alone))
 
-        return F.map_from_entries(F.filter(rows, alone))
 
+def _entries(vault: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Payloads by token id as one map per row key, in one shuffle."""
     rows = F.array_sort(F.collect_set(F.struct("token_id", "payload")))
-    return vault.groupBy(*ids).agg(rows.alias("rows")).select(*ids, once(F.col("rows")).alias(_MAP))
+    return vault.groupBy(*ids).agg(rows.alias("rows")).select(*ids, payload_map(F.col("rows")).alias(MAP))
 
 
 def unmask_numbered(
@@ -110,11 +112,11 @@ def unmask_numbered(
     has_token = F.coalesce(F.col(text_col).rlike(MASK_TOKEN), F.lit(False))
     maps = _entries(vault, ids)
     joined = df.where(has_token).join(maps, ids, "left")
-    ordered = joined.select(*[F.col(f"`{c}`") for c in df.columns], F.col(_MAP))
-    done = _restored(
+    ordered = joined.select(*[F.col(f"`{c}`") for c in df.columns], F.col(MAP))
+    done = restored_by_map(
         ordered, MASK_TOKEN, lambda token: F.regexp_extract(token, MASK_TOKEN, 1), key, text_col
     )
-    return done.unionByName(_untouched(df.where(~has_token), text_col))
+    return done.unionByName(untouched(df.where(~has_token), text_col))
 
 
 def unmask_vault(
@@ -144,6 +146,6 @@ def unmask_vault(
     # Joined as they are, without an aggregate on either side: so a token that turns up in very many texts
     # is split over several tasks by the adaptive skew handling of the join.
     maps = _entries(pairs.join(vault.select("token_id", "payload"), "token_id"), ids)
-    joined = masked.join(maps, ids, "left").select(*[F.col(f"`{c}`") for c in df.columns], F.col(_MAP))
-    done = _restored(joined, pattern, name, key, text_col)
-    return done.unionByName(_untouched(df.where(~has_token), text_col))
+    joined = masked.join(maps, ids, "left").select(*[F.col(f"`{c}`") for c in df.columns], F.col(MAP))
+    done = restored_by_map(joined, pattern, name, key, text_col)
+    return done.unionByName(untouched(df.where(~has_token), text_col))

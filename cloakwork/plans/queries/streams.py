@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ...operators.mask import protect, vault_of
 from ...operators.unmask import unmask_numbered
 from ...session import scratch_dir
-from ...streaming.live import finding_counts, mask_stream, new_secrets, protect_stream
-from ..oracle import masked_sql, pick_sql, quote, value_sql
+from ...streaming.live import finding_counts, mask_stream, new_secrets, protect_stream, unmask_stream
+from ..oracle import line_sql, masked_sql, pick_sql, quote, value_sql
 from ..planted import any_line
 from .common import CONVERSATIONS, KEY, messages_text, query, table
 
@@ -107,3 +108,33 @@ def stream_new_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("user_id")
     messages = table_stream(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts", any_line(key).alias("text"))
     return _drained(new_secrets(messages, "ts", delay="400 days"), "secrets").select("fingerprint", "category")
+
+
+# Minutes between a message and its vault row: some come before it, some after it, some too late to be waited for.
+_LATER = (0, 30, -20, 55, 5, 24 * 60)
+
+
+@query(
+    f"""SELECT event_id AS doc_id, 1::INTEGER AS tokens_seen, CASE WHEN event_id % {len(_LATER)} = 5 THEN 0 ELSE 1 END::INTEGER AS tokens_restored,
+  CASE WHEN event_id % {len(_LATER)} <> 5 THEN md5(props || chr(10) || {pick_sql("event_id", lambda p: line_sql(p, "event_id"))}) END AS text_md5 FROM events"""
+)
+def stream_restored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked messages restored from a stream of vault rows; those whose row comes too late stay masked."""
+    messages = _event_messages(table(spark, sf_dir, "events"))
+    done = protect(messages, mode="vault", key=KEY, corpus="events").drop("text")
+    later = F.make_dt_interval(mins=F.get(F.array(*[F.lit(m) for m in _LATER]), (F.col("doc_id") % len(_LATER)).cast("int")))
+    rows = vault_of(done, ["doc_id", "ts"]).withColumn("vault_ts", F.col("ts") + later)
+    # A last row in either stream, years later, lets the watermark pass all others.
+    end = F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), end.alias("ts"), F.lit("").alias("masked_text"))
+    texts = done.select("doc_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "masked_text").unionByName(last)
+    last = spark.range(1).select(F.lit("none").alias("token_id"), F.lit("").alias("payload"), end.alias("vault_ts"))
+    vault = rows.select("token_id", "payload", F.col("vault_ts").cast("timestamp_ntz").alias("vault_ts")).unionByName(last)
+    streams = []
+    for df in (texts, vault):
+        path = scratch_dir(spark, "restore-in")
+        df.write.parquet(path)
+        streams.append(spark.readStream.schema(df.schema).parquet(path))
+    restored = unmask_stream(*streams, KEY, ts_col="ts", vault_ts_col="vault_ts")
+    text = F.when(F.col("tokens_restored") == F.col("tokens_seen"), F.md5("restored_text"))
+    return _drained(restored, "restored").where("doc_id >= 0").select("doc_id", "tokens_seen", "tokens_restored", text.alias("text_md5"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.tokens import MASK_TOKEN, UUID4
+from ..operators.catalogue import VAULT_PREFIX
 from ..operators.detect import findings
 from ..operators.mask import mask, protect, vault_of
+from ..operators.unmask import MAP, payload_map, restored_by_map, untouched
 
 
 def mask_stream(messages: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -65,6 +69,62 @@ def new_secrets(
     return shared.drop("share").dropDuplicatesWithinWatermark(keys)
 
 
+def unmask_stream(
+    messages: DataFrame,
+    vault: DataFrame,
+    key: bytes,
+    *,
+    ts_col: str,
+    vault_ts_col: str,
+    text_col: str = "masked_text",
+    id_cols: Sequence[str] = ("doc_id",),
+    mode: str = "vault",
+    early: str = "1 hour",
+    wait: str = "1 hour",
+    delay: str = "10 minutes",
+    prefix: str = VAULT_PREFIX,
+) -> DataFrame:
+    """Restore the tokens in a stream of messages from a stream of vault rows, whichever comes first.
+
+    A token takes the vault row of its id (``mode="vault"``) or of its message and number (``mode="number"``) whose
+    time is at most ``early`` before and ``wait`` after the message's.  What has no vault row in time goes out
+    unchanged once the watermark has passed, and is counted: ``tokens_seen`` less ``tokens_restored``.  Messages without
+    a token pass at once.  Both streams may be late by ``delay``; state is dropped when no row can meet it any more.
+
+    ``id_cols`` and ``ts_col`` tell messages apart.  A text is kept once while it waits, however many tokens it
+    has.  Gives ``id_cols``, ``ts_col``, ``text_col``, ``restored_text`` and the counts, in append mode.
+    """
+    if mode not in ("vault", "number"):
+        raise ValueError(f"mode must be 'vault' or 'number', not {mode!r}")
+    ids = list(id_cols)
+    pattern = f"(?i){prefix}({UUID4})" if mode == "vault" else MASK_TOKEN
+
+    def name(token: Column) -> Column:
+        found = F.regexp_extract(token, pattern, 1)
+        return F.lower(found) if mode == "vault" else found
+
+    timed = _timed(messages, ts_col, delay).select(*ids, ts_col, text_col)
+    has_token = F.coalesce(F.col(text_col).rlike(pattern), F.lit(False))
+    tokens = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)), name))
+    asked = timed.where(has_token).select(*ids, ts_col, text_col, F.posexplode(tokens).alias("__cw_at", "__cw_token"))
+    asked = asked.withColumn(text_col, F.when(F.col("__cw_at") == 0, F.col(text_col))).drop("__cw_at")
+
+    rows = _timed(vault, vault_ts_col, delay).select(
+        *([F.col(c).alias(f"__cw_{i}") for i, c in enumerate(ids)] if mode == "number" else []),
+        F.col("token_id").alias("__cw_id"), F.col("payload").alias("__cw_payload"), F.col(vault_ts_col).alias("__cw_ts"),
+    )
+    same = F.col("__cw_token") == F.col("__cw_id")
+    if mode == "number":
+        same = reduce(lambda x, y: x & y, [F.col(c) == F.col(f"__cw_{i}") for i, c in enumerate(ids)], same)
+    in_time = F.expr(f"__cw_ts >= `{ts_col}` - interval {early} and __cw_ts <= `{ts_col}` + interval {wait}")
+    met = asked.join(rows, same & in_time, "leftOuter")
+
+    entry = F.when(F.col("__cw_payload").isNotNull(), F.struct(F.col("__cw_token").alias("token_id"), F.col("__cw_payload").alias("payload")))
+    whole = met.groupBy(*ids, ts_col).agg(F.max(text_col).alias(text_col), F.array_sort(F.collect_set(entry)).alias("__cw_rows"))
+    known = whole.select(*ids, ts_col, text_col, payload_map(F.col("__cw_rows")).alias(MAP))
+    return restored_by_map(known, pattern, name, key, text_col).unionByName(untouched(timed.where(~has_token), text_col))
+
+
 def protect_stream(
     messages: DataFrame,
     *,
