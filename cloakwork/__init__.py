@@ -9,10 +9,20 @@ from .operators.rule_index import RuleIndex, rule_index
 from .operators.score import classify
 from .operators.unmask import unmask_inline, unmask_numbered, unmask_vault
 from .plans.evaluate import confusion, evaluate, missed
-from .plans.report import by_category, max_risk, per_file, repeated_secrets, summary
+from .plans.report import (
+    by_category,
+    max_risk,
+    merge_states,
+    per_file,
+    repeated_secrets,
+    report_state,
+    riskiest,
+    state_summary,
+    summary,
+)
 from .sources.chunks import chunk_findings, load_chunks, protect_chunks, split_long
 from .sources.corpus import list_corpus, load_corpus, spread, unread_files
-from .sources.reports import write_redacted, write_report
+from .sources.reports import html_tables, write_redacted, write_report
 from .sources.rule_config import load_rules, parse_rules, usable_rules
 from .streaming.live import finding_counts, mask_stream, new_secrets, protect_stream, unmask_stream
 
@@ -32,6 +42,7 @@ __all__ = [
     "finding_counts",
     "findings",
     "forget",
+    "html_tables",
     "list_corpus",
     "load_chunks",
     "load_corpus",
@@ -39,6 +50,7 @@ __all__ = [
     "mask",
     "mask_stream",
     "max_risk",
+    "merge_states",
     "missed",
     "new_secrets",
     "normalise",
@@ -50,10 +62,13 @@ __all__ = [
     "redact",
     "redact_findings",
     "repeated_secrets",
+    "report_state",
     "restore",
+    "riskiest",
     "rule_index",
     "split_long",
     "spread",
+    "state_summary",
     "summary",
     "unmask_inline",
     "unmask_numbered",

@@ -30,6 +30,8 @@ _SOURCES = {
     "features": ("features", "detection.features"),
 }
 
+NORMAL_COLUMNS = tuple(_SOURCES)
+
 _TYPES = {
     "value": "string",
     "category": "string",

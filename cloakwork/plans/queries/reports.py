@@ -131,6 +131,51 @@ def json_report_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_RANKED = "ORDER BY risk DESC, path NULLS FIRST, line NULLS FIRST, category, value, confidence"
+
+
+@query(
+    _LOOSE
+    + f"""SELECT category, path, coalesce(line, 0)::INTEGER AS line, value, risk, rank::INTEGER AS rank, n_findings FROM (
+  SELECT *, row_number() OVER (PARTITION BY category {_RANKED}) AS rank, count(*) OVER (PARTITION BY category) AS n_findings FROM safe)
+WHERE rank <= 25"""
+)
+def riskiest_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = redact_findings(normalise(_loose(spark, sf_dir)))
+    best = report.riskiest(safe, 25, by=["category"])
+    return best.select("category", "path", _shown_line(), "value", "risk", "rank", "n_findings")
+
+
+@query(
+    _LOOSE
+    + f"""SELECT '<tr><td>' || category || '</td><td>' || value || '</td><td>' || {_plain_sql("risk")} || '</td><td>' ||
+  {_plain_sql("confidence")} || '</td><td>' || replace(path, '"', '&quot;') || '</td></tr>' AS text
+FROM (SELECT * FROM safe {_RANKED} LIMIT 100)"""
+)
+def html_report_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of readable size: the hundred findings of highest risk."""
+    return html_report(_loose(spark, sf_dir), top=100).where("section = 1").select("text")
+
+
+_STATES = 5
+
+
+@query(
+    detect_sql(WRAPPED_DOCUMENTS)
+    + """SELECT count(*)::BIGINT AS total_findings, round(100 - least(100, sum(round(risk * 100)) / count(*)), 2) AS score, max(risk) AS max_risk,
+  count(DISTINCT category)::INTEGER AS categories, TRUE AS secrets_close FROM found"""
+)
+def merged_report_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of five parts of the corpus, merged; the number of distinct secrets is within 3 percent of the count."""
+    found = findings(wrapped_documents(spark, sf_dir))
+    parts = report.report_state(found.withColumn("run", F.pmod("doc_id", F.lit(_STATES))), by=["run"])
+    one = report.state_summary(parts.drop("run"))
+    exact = found.agg(F.count_distinct("fingerprint").alias("exact")).withColumn("k", F.lit(1))
+    both = one.withColumn("k", F.lit(1)).join(exact, "k")
+    close = F.abs(F.col("distinct_secrets") - F.col("exact")) <= F.col("exact") * 0.03
+    return both.select("total_findings", "score", "max_risk", F.size("risk_distribution").alias("categories"), close.alias("secrets_close"))
+
+
 def _flat_summary(found: DataFrame) -> DataFrame:
     one = report.summary(found)
     pairs = F.transform(

@@ -6,13 +6,16 @@ Every report runs through normalisation and redaction, so no raw value reaches a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import encode_entities, plain_number
 from ..operators.mask import protect
-from ..operators.normalise import csv_line, normalise, redact_findings
-from ..plans.report import generated_text, summary
+from ..operators.normalise import NORMAL_COLUMNS, csv_line, normalise, redact_findings
+from ..plans.report import generated_text, riskiest, summary
 from ..session import stored
 
 FORMATS = ("json", "csv", "html")
@@ -89,12 +92,16 @@ def html_row(category: Column, value: Column, risk: Column, confidence: Column,
     return F.concat(F.lit("<tr>"), *shown, F.lit("</tr>"))
 
 
-def html_report(findings: DataFrame) -> DataFrame:
-    """Lines of the HTML report, with every finding; values are escaped."""
+def html_report(findings: DataFrame, top: int | None = None) -> DataFrame:
+    """Lines of the HTML report; values are escaped.  ``top`` shows the riskiest findings only, below figures that
+    count all of them."""
     known = normalise(findings)
     safe = redact_findings(known)
+    if top is not None:
+        # In the order of their ranks.
+        safe = riskiest(safe, top).withColumn("place", F.lpad(F.col("rank").cast("string"), 10, "0"))
     rows = safe.select(
-        "path",
+        F.col("path" if top is None else "place").alias("path"),
         "line",
         "column",
         html_row(*[F.col(c) for c in ("category", "value", "risk", "confidence", "path")]).alias("text"),
@@ -109,6 +116,7 @@ def html_report(findings: DataFrame) -> DataFrame:
         F.col("total_findings").cast("string"),
         F.lit("</p>\n<p>Security score: "),
         plain_number(F.col("score")),
+        _shown(F.col("total_findings"), top),
         F.lit(
             "</p>\n<table><thead><tr><th>Category</th><th>Value</th><th>Risk</th><th>Confidence</th>"
             "<th>Location</th></tr></thead><tbody>"
@@ -119,8 +127,32 @@ def html_report(findings: DataFrame) -> DataFrame:
     return _framed(rows, head, tail)
 
 
-def write_report(findings: DataFrame, fmt: str, path: str, mode: str = "errorifexists") -> None:
-    """Write findings as ``json`` (``summary`` and ``findings`` below the path), ``csv`` or ``html``.
+def _shown(total: Column, top: int | None) -> Column:
+    if top is None:
+        return F.lit("")
+    few = F.concat(F.lit(f"</p>\n<p>Shown: the {top} of highest risk; "), (total - top).cast("string"), F.lit(" more in the full report"))
+    return F.when(total > top, few).otherwise(F.lit(""))
+
+
+def html_tables(findings: DataFrame, by: Sequence[str], top: int) -> DataFrame:
+    """A short report for each group of columns ``by``, one row each: ``n_findings``, ``score`` and ``html`` with the
+    ``top`` riskiest findings of the group."""
+    groups = list(by)
+    safe = redact_findings(normalise(findings, [c for c in groups if c not in NORMAL_COLUMNS]))
+    best = riskiest(safe, top, groups)
+    row = html_row(*[F.col(c) for c in ("category", "value", "risk", "confidence", "path")])
+    listed = F.array_sort(F.collect_list(F.struct("rank", row.alias("row"))))
+    body = best.groupBy(*groups, "n_findings").agg(F.array_join(F.transform(listed, lambda x: x["row"]), "\n").alias("rows"))
+    score = F.round(100 - F.least(F.lit(100.0), F.avg(F.col("risk") * 100)), 2)
+    scores = safe.groupBy(*groups).agg(score.alias("score"))
+    same = reduce(lambda x, y: x & y, [F.col(f"b.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in groups])
+    html = F.concat(F.lit("<table><tbody>\n"), F.col("rows"), F.lit("\n</tbody></table>"))
+    return body.alias("b").join(scores.alias("s"), same).select("b.*", "s.score").withColumn("html", html).drop("rows")
+
+
+def write_report(findings: DataFrame, fmt: str, path: str, mode: str = "errorifexists", top: int | None = None) -> None:
+    """Write findings as ``json`` (``summary`` and ``findings`` below the path), ``csv`` or ``html``, the last of them
+    with the ``top`` riskiest findings only if that is given.
 
     Findings feed both the summary and the details, so they are stored once, redacted, before either.
     """
@@ -131,7 +163,7 @@ def write_report(findings: DataFrame, fmt: str, path: str, mode: str = "errorife
         json_findings(findings).write.mode(mode).json(f"{path}/findings")
         json_summary(findings).write.mode(mode).text(f"{path}/summary")
         return
-    lines = csv_report(findings) if fmt == "csv" else html_report(findings)
+    lines = csv_report(findings) if fmt == "csv" else html_report(findings, top)
     lines.orderBy(*_ORDER).select("text").write.mode(mode).text(path)
 
 
