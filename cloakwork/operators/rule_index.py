@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.patterns import compiles
+from ..sources.patterns import runnable
 from .catalogue import Rule, custom_rule, severity_of
 from .detect import BOUND, RULE_DATA
 
@@ -294,9 +294,9 @@ def rule_index(rules: DataFrame, order_col: str = "item") -> RuleIndex:
     rest = alone.select("order", "name", "pattern", "category").limit(MAX_DIRECT + 1).collect()
     if len(rest) > MAX_DIRECT:
         raise ValueError(f"more than {MAX_DIRECT} rules without a literal of {GRAM} characters")
-    good = [(r, compiles(spark, r.pattern)) for r in rest]
-    direct = [(r.order, custom_rule(r.name, r.pattern, r.category)) for r, fine in good if fine]
-    rejected = [(r.name, r.pattern, r.category) for r, fine in good if not fine]
+    good = [(r, runnable(spark, r.pattern)) for r in rest]
+    direct = [(r.order, custom_rule(r.name, pattern, r.category)) for r, pattern in good if pattern is not None]
+    rejected = [(r.name, r.pattern, r.category) for r, pattern in good if pattern is None]
 
     data = F.struct(
         F.col("order").cast("int").alias("prio"), "name", "category", "pattern", F.lit(0).alias("group"), F.lit(0.5).alias("base"),

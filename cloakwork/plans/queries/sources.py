@@ -12,7 +12,7 @@ from ...sources.corpus import cap, cap_per_root, is_scannable, load_corpus
 from ...sources.rule_config import CONFIG_NAMES, first_candidate, parse_rules, usable_rules
 from .. import report
 from ..oracle import WRAPPED_DOCUMENTS, detect_sql, masked_sql, quote
-from .common import documents, query, table, wrapped_documents
+from .common import documents, orders_text, query, table, wrapped_documents
 
 
 @query(detect_sql(WRAPPED_DOCUMENTS) + "SELECT category, count(*) AS n_findings FROM found GROUP BY category")
@@ -186,3 +186,37 @@ def rule_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("usable", F.lit(True)).unionByName(
         rejected.select("name", "pattern", F.lit(False).alias("usable"))
     )
+
+
+# Patterns in JavaScript's spelling, and the text that each matches in, with {k} for the order's key.
+_RESPELT = (
+    ("braces", "cfg{[0-9]+}", "cfg{{{k}}}"),
+    ("anything", "key[^]val[0-9]+", "key:val{k}"),
+    ("bracket", "slot[[(][0-9]+", "slot[{k}"),
+    ("group", r"(?<the_id>tenant)=\k<the_id>[0-9]+", "tenant=tenant{k}"),
+)
+
+
+def _filled(text: str, sql: bool = False):
+    before, after = text.format(k="\0").split("\0")
+    return f"'{before}' || o_orderkey || '{after}'" if sql else (before, after)
+
+
+@query(
+    "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 "
+    + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _, _) in enumerate(_RESPELT))
+    + " END AS rule_id, CASE o_orderkey % 4 "
+    + " ".join(f"WHEN {i} THEN {_filled(text, sql=True)}" for i, (_, _, text) in enumerate(_RESPELT))
+    + " END AS value FROM orders"
+)
+def respelt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Custom rules that are valid in JavaScript's spelling only."""
+    rows = [(i, name, pattern, "custom") for i, (name, pattern, _) in enumerate(_RESPELT)]
+    good, _ = usable_rules(spark.createDataFrame(rows, "item int, name string, pattern string, category string"))
+
+    def text(key: Column) -> Column:
+        parts = [_filled(text) for _, _, text in _RESPELT]
+        spelt = [F.concat(F.lit(f"see {before}"), key.cast("string"), F.lit(f"{after} here")) for before, after in parts]
+        return F.get(F.array(*spelt), F.pmod(key, F.lit(4)).cast("int"))
+
+    return findings(orders_text(spark, sf_dir, text), custom=good).select("doc_id", "rule_id", "value")

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from ..functions.text import split_lines, trim_space
 from ..operators.catalogue import Rule, custom_rule
 from .corpus import _qualified, read_paths
-from .patterns import compiles
+from .patterns import runnable
 
 # In order of preference.
 CONFIG_NAMES = (".cloakwork.yml", ".cloakwork.yaml")
@@ -112,15 +112,16 @@ def load_rules(spark: SparkSession, roots: Sequence[str], names: Sequence[str] =
 def usable_rules(rules: DataFrame, order_cols: Sequence[str] = ("item",)) -> tuple[list[Rule], DataFrame]:
     """Split rules into those that can run, in order, and a table of rejected ones.
 
+    Patterns that are valid in JavaScript's spelling only are respelt.
     A rule table is small by nature; one beyond ``MAX_RULES`` is refused rather than collected.
     """
     spark = rules.sparkSession
     rows = rules.orderBy(*order_cols).select("name", "pattern", "category").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} custom rules")
-    checked = [(row, compiles(spark, row.pattern)) for row in rows]
-    rejected = [tuple(row) for row, good in checked if not good]
+    checked = [(row, runnable(spark, row.pattern)) for row in rows]
+    rejected = [tuple(row) for row, pattern in checked if pattern is None]
     return (
-        [custom_rule(row.name, row.pattern, row.category) for row, good in checked if good],
+        [custom_rule(row.name, pattern, row.category) for row, pattern in checked if pattern is not None],
         spark.createDataFrame(rejected, "name string, pattern string, category string"),
     )

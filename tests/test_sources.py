@@ -6,7 +6,8 @@ import pytest
 
 import cloakwork as cw
 from cloakwork.sources.corpus import cap_per_root, list_corpus
-from cloakwork.sources.rule_config import compiles, first_candidate, parse_rules
+from cloakwork.sources.patterns import compiles, respelt, runnable
+from cloakwork.sources.rule_config import first_candidate, parse_rules
 
 from . import samples as s
 
@@ -171,3 +172,51 @@ def test_too_many_rules_are_refused(spark, monkeypatch):
     rules = spark.range(3).selectExpr("id item", "'n' name", "'p' pattern", "'c' category")
     with pytest.raises(ValueError):
         cw.usable_rules(rules)
+
+
+# Patterns in JavaScript's spelling that are not valid as they stand, a text, and what they match in it.
+SPELLINGS = [
+    ("cfg{[0-9]+}", "a cfg{12} b", ["cfg{12}"]),
+    ("a{,3}", "x a{,3} aaa", ["a{,3}"]),
+    ("x{2}y{", "xxy{ xy{", ["xxy{"]),
+    ("k[^]v", "k=v k\tv kv", ["k=v", "k\tv"]),
+    ("t[[a]x", "t[x tax tbx", ["t[x", "tax"]),
+    ("(?<the_id>id)=\\k<the_id>", "id=id id=ix", ["id=id"]),
+    ("(?<$a>x)(?<_a>y)\\k<$a>\\k<_a>", "xyxy xyyx", ["xyxy"]),
+    (r"\u{41}\u{1F600}", "A\U0001F600 B", ["A\U0001F600"]),
+    (r"\y\i-key_[0-9]", "yi-key_7", ["yi-key_7"]),
+    (r"a\0{1}b|c{x}", "c{x} a", ["c{x}"]),
+    (r"\cj{z|ab{c", "ab{c", ["ab{c"]),
+    ("[a&&[b]x{y", "[x{y &x{y cx{y", ["[x{y", "&x{y"]),
+]
+
+
+def test_other_spellings(spark, texts):
+    assert not any(compiles(spark, pattern) for pattern, _, _ in SPELLINGS)
+    rows = [(i, f"r{i}", pattern, "custom") for i, (pattern, _, _) in enumerate(SPELLINGS)]
+    rules = spark.createDataFrame(rows, "item int, name string, pattern string, category string")
+    good, rejected = cw.usable_rules(rules)
+    index = cw.rule_index(rules)
+    assert rejected.count() == index.rejected.count() == 0
+    docs = texts(*[text for _, text, _ in SPELLINGS])
+    for found in (cw.findings(docs, custom=good), cw.findings(docs, rules=index)):
+        got: dict = {}
+        for r in found.orderBy("doc_id", "ordinal").collect():
+            if r.rule_id == f"r{r.doc_id}":
+                got.setdefault(r.doc_id, []).append(r.value)
+        assert got == {i: values for i, (_, _, values) in enumerate(SPELLINGS)}
+
+
+@pytest.mark.parametrize("pattern", ["(abc", "abc)", "[abc", "*a", "a**", "a{3,2}", "(?<1a>x)", "\\", "{2}abc", "[z-a]{"])
+def test_broken_in_any_spelling(spark, pattern):
+    assert runnable(spark, pattern) is None
+
+
+def test_valid_patterns_stay_as_they_are(spark):
+    for pattern in (r"[a-z&&[^b]]", r"\v\h+", "a{2,3}+", r"(?<name>a)\k<name>", r"\p{IsGreek}"):
+        assert runnable(spark, pattern) == pattern
+
+
+def test_respelling_keeps_common_patterns():
+    for pattern in (r"[A-Za-z0-9+/=_-]{24,}", r"\bKEY_[0-9]{6}\b$", r"(?:a|b)+?[^\s'\";,]{8,}", r"\x41\u0042\p{L}\1(?=x)(?<!y)", r"[\]\\\-]"):
+        assert respelt(pattern) == pattern
