@@ -25,6 +25,7 @@ from .sources.corpus import list_corpus, load_corpus, spread, unread_files
 from .sources.reports import html_tables, write_redacted, write_report
 from .sources.rule_config import load_rules, parse_rules, usable_rules
 from .streaming.live import finding_counts, mask_stream, new_secrets, protect_stream, unmask_stream
+from .streaming.vault import compact_vault, read_vault
 
 __all__ = [
     "BUILTIN_RULES",
@@ -35,6 +36,7 @@ __all__ = [
     "by_category",
     "chunk_findings",
     "classify",
+    "compact_vault",
     "confusion",
     "custom_rule",
     "detect",
@@ -59,6 +61,7 @@ __all__ = [
     "protect",
     "protect_chunks",
     "protect_stream",
+    "read_vault",
     "redact",
     "redact_findings",
     "repeated_secrets",

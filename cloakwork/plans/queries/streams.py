@@ -9,6 +9,7 @@ from ...operators.mask import protect, vault_of
 from ...operators.unmask import unmask_numbered
 from ...session import scratch_dir
 from ...streaming.live import finding_counts, mask_stream, new_secrets, protect_stream, unmask_stream
+from ...streaming.vault import compact_vault, read_vault
 from ..oracle import line_sql, masked_sql, pick_sql, quote, value_sql
 from ..planted import any_line
 from .common import CONVERSATIONS, KEY, messages_text, query, table
@@ -138,3 +139,23 @@ def stream_restored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     restored = unmask_stream(*streams, KEY, ts_col="ts", vault_ts_col="vault_ts")
     text = F.when(F.col("tokens_restored") == F.col("tokens_seen"), F.md5("restored_text"))
     return _drained(restored, "restored").where("doc_id >= 0").select("doc_id", "tokens_seen", "tokens_restored", text.alias("text_md5"))
+
+
+@query(CONVERSATIONS)
+def stream_vault_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream in micro-batches of some messages, whose vault is compacted before its texts are restored."""
+    source = scratch_dir(spark, "messages")
+    messages = messages_text(table(spark, sf_dir, "conversations"))
+    messages.repartition(6).write.parquet(source)
+    out, vault = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-vault")
+    protect_stream(
+        spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(source),
+        out_path=out,
+        vault_path=vault,
+        checkpoint=scratch_dir(spark, "stream-log"),
+        mode="number",
+        key=KEY,
+    ).awaitTermination()
+    compact_vault(spark, vault)
+    restored = unmask_numbered(spark.read.parquet(out).select("doc_id", "masked_text"), read_vault(spark, vault), KEY)
+    return restored.select("doc_id", F.col("restored_text").alias("text"))
