@@ -1,6 +1,7 @@
 """Finding, masking and reporting secrets in text, as Spark DataFrame operations."""
 
 from .operators.backup import backup, forget, restore
+from .operators.backup_log import BackupLog
 from .operators.catalogue import BUILTIN_RULES, CATEGORIES, Rule, custom_rule
 from .operators.detect import detect, findings
 from .operators.mask import mask, protect, redact, vault_of
@@ -21,7 +22,7 @@ from .plans.report import (
     summary,
 )
 from .sources.chunks import chunk_findings, load_chunks, protect_chunks, split_long
-from .sources.corpus import list_corpus, load_corpus, spread, unread_files
+from .sources.corpus import list_corpus, load_checked, load_corpus, read_outcomes, spread, unread_files
 from .sources.reports import html_tables, write_redacted, write_report
 from .sources.rule_config import load_rules, parse_rules, usable_rules
 from .streaming.live import finding_counts, mask_stream, new_secrets, protect_stream, unmask_stream
@@ -29,6 +30,7 @@ from .streaming.vault import compact_vault, read_vault
 
 __all__ = [
     "BUILTIN_RULES",
+    "BackupLog",
     "CATEGORIES",
     "Rule",
     "RuleIndex",
@@ -46,6 +48,7 @@ __all__ = [
     "forget",
     "html_tables",
     "list_corpus",
+    "load_checked",
     "load_chunks",
     "load_corpus",
     "load_rules",
@@ -61,6 +64,7 @@ __all__ = [
     "protect",
     "protect_chunks",
     "protect_stream",
+    "read_outcomes",
     "read_vault",
     "redact",
     "redact_findings",

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ...functions.crypto import fingerprint, seal, unseal
 from ...functions.tokens import UUID4, is_vault_token, token_id, vault_id, vault_token
 from ...operators.backup import backup, forget, restore
+from ...operators.backup_log import BackupLog
 from ...operators.mask import mask, protect, vault_of
 from ...operators.unmask import unmask_inline, unmask_numbered, unmask_vault
-from ...session import stored
+from ...session import scratch_dir, stored
 from ..oracle import WRAPPED_DOCUMENTS, detect_sql, hash_sql, wrapped_sql
 from ..planted import hash_of, wrapped
 from .common import DOCUMENTS, KEY, OTHER_KEY, documents, order_keys, orders_text, query, table, wrapped_documents
@@ -120,6 +121,22 @@ def backup_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forget(backup(docs, only_masked=False), done)
 
 
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 1 THEN text WHEN doc_id % 6 = 0 THEN text || ' edited' END AS original_text
+FROM documents"""
+)
+def backup_log_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put, clear, put again, compact, clear, restore."""
+    docs = documents(spark, sf_dir)
+    log = BackupLog(spark, scratch_dir(spark, "backup"), buckets=8)
+    log.put(docs)
+    log.clear(docs.where("doc_id % 2 = 0"))
+    log.put(docs.where("doc_id % 6 = 0").select("doc_id", F.concat("text", F.lit(" edited")).alias("text")))
+    log.compact()
+    log.clear(docs.where("doc_id % 5 = 0"))
+    return log.restore(docs.select("doc_id"))
+
+
 @query(
     """SELECT o_orderkey AS doc_id, md5(CAST(o_orderkey AS VARCHAR)) AS plain, TRUE AS other_key_fails, TRUE AS garbage_fails,
   80::INTEGER AS payload_length, sha256(md5(CAST(o_orderkey AS VARCHAR))) AS fingerprint FROM orders"""

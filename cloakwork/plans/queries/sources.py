@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ...functions.text import count_newlines
 from ...operators.detect import findings
 from ...session import scratch_dir
 from ...sources.chunks import chunk_findings, joined, load_chunks, protect_chunks, split_long
-from ...sources.corpus import cap, cap_per_root, is_scannable, load_corpus
+from ...sources.corpus import cap, cap_per_root, is_scannable, list_corpus, load_corpus, read_outcomes
 from ...sources.rule_config import CONFIG_NAMES, first_candidate, parse_rules, usable_rules
 from .. import report
 from ..oracle import WRAPPED_DOCUMENTS, detect_sql, masked_sql, quote
@@ -188,6 +189,25 @@ def rule_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """SELECT 'text' AS outcome, (SELECT count(DISTINCT source) FROM documents) AS n_files,
+  (SELECT sum(len(string_split(text, chr(10))))::BIGINT FROM documents) AS n_lines
+UNION ALL SELECT 'missing', count(*), 0 FROM customer"""
+)
+def files_read_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each source, and as many that are not there as there are customers, in one read."""
+    root = scratch_dir(spark, "files")
+    rows = table(spark, sf_dir, "documents").select("source", "text").repartition("source")
+    rows.write.partitionBy("source").text(root)
+    there = list_corpus(spark, root).where("scanned").select("path")
+    gone = table(spark, sf_dir, "customer").select(F.concat(F.lit(f"{root}/gone/"), "c_custkey", F.lit(".txt")).alias("path"))
+    outcome = read_outcomes(there.unionByName(gone))
+    lines = F.coalesce(count_newlines(F.col("text")), F.lit(0))
+    return outcome.groupBy(F.coalesce("reason", F.lit("text")).alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum(lines).cast("long").alias("n_lines")
+    )
+
+
 # Patterns in JavaScript's spelling, and the text that each matches in, with {k} for the order's key.
 _RESPELT = (
     ("braces", "cfg{[0-9]+}", "cfg{{{k}}}"),

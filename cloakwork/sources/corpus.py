@@ -183,6 +183,33 @@ def read_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
     return paths.select(*[f.name for f in fields]).mapInPandas(read, f"{schema}, text string")
 
 
+def read_outcomes(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """The named files with ``text``, or with the ``reason`` why there is none: ``missing``, ``unreadable`` or ``not
+    text`` (a zero byte among the first 8000).  Each file is opened once."""
+    fields = [f for f in paths.schema.fields if f.name not in ("text", "reason")]
+
+    def look(path: str) -> tuple[str | None, str | None]:
+        try:
+            system, inner = _arrow_place(path)
+            with system.open_input_stream(inner) as stream:
+                body = stream.readall()
+        except FileNotFoundError:
+            return None, "missing"
+        except OSError:
+            return None, "unreadable"
+        return (None, "not text") if b"\0" in body[:8000] else (body.decode("utf-8", errors="replace"), None)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(len(batch)):
+                row = batch.iloc[at : at + 1].copy()
+                row["text"], row["reason"] = ([x] for x in look(row[path_col].iloc[0]))
+                yield row
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return paths.select(*[f.name for f in fields]).mapInPandas(read, f"{schema}, text string, reason string")
+
+
 def _listing(files: DataFrame, roots: Sequence[str]) -> DataFrame:
     root, below = _located(F.col("path"), roots)
     path = F.concat_ws("/", root, below)
@@ -258,6 +285,27 @@ def load_corpus(
     return corpus.unionByName(extra.select(root.alias("root"), F.concat_ws("/", root, below).alias("path"), "text"))
 
 
+def load_checked(spark: SparkSession, roots: str | Sequence[str], *, hidden: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Scannable files below the roots, ``(root, path, text)``, and those that gave none, ``(root, path, reason)``; a root
+    that does not exist is missing.
+
+    Both come from one read, whose outcome is stored: a file that fails is not opened again to find out why.
+    """
+    named = _qualified(spark, _names(roots))
+    present, files = _open(spark, named)
+    gone = [(r, r, "missing") for r in named if r not in present]
+    errors = spark.createDataFrame(gone, "root string, path string, reason string")
+    if files is None:
+        return spark.createDataFrame([], _SCHEMA), errors
+    listed = stored(_all_listed(spark, present, files, hidden).where("scanned").select("root", "path"), "listing")
+    place = F.coalesce(*[F.when(F.col("root") == _plain(r), F.lit(_scheme(r))) for r in present])
+    tasks = max(spark.sparkContext.defaultParallelism, listed.count() // 1000)
+    named_files = listed.withColumn("place", F.concat(place, "path")).repartition(tasks, "path")
+    outcome = stored(read_outcomes(named_files, "place"), "files")
+    corpus = outcome.where("reason is null").select("root", "path", "text")
+    return corpus, errors.unionByName(outcome.where("reason is not null").select("root", "path", "reason"))
+
+
 def unread_files(listing: DataFrame, corpus: DataFrame) -> DataFrame:
     """Files that were to be scanned but could not be read, or were left out by a cap."""
     return listing.where("scanned").join(corpus.select("path"), "path", "left_anti")
