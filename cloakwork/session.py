@@ -61,8 +61,30 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+# Spark's own setting by which a query's shuffle files go when it has ended; what follows reads the written table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to shared scratch space and read it back: what follows starts from the files."""
-    path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no plan still to run reads."""
+    for table in tables:
+        place = getattr(table, "_scratch_path", None)
+        if place in _made:
+            _made.remove(place)
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 import cloakwork as cw
 from cloakwork.functions.bind import let, walk
-from cloakwork.session import CHECKPOINT_DIR, _own_folder, scratch_dir
+from cloakwork.session import _CLEANUP, CHECKPOINT_DIR, _own_folder, discard, scratch_dir, stored
 
 from . import samples as s
 
@@ -101,3 +103,10 @@ def test_scratch_space(spark):
     _own_folder.cache_clear()
     with pytest.raises(ValueError):
         _own_folder("yarn")
+
+
+def test_discarded_tables(spark):
+    first, second = stored(spark.range(5), "a"), stored(spark.range(7).groupBy("id").count(), "b")
+    path = second._scratch_path.removeprefix("file:")
+    discard(second, spark.range(1))
+    assert first.count() == 5 and not os.path.exists(path) and spark.conf.get(_CLEANUP, "false") == "false"
