@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,7 +56,7 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
             .distinct()
         )
-        large = stored(large, "links")
+        large, old = stored(large, "links"), links
         least = large.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("u2"), "low")
         small = (
             large.join(least, F.col("u") == F.col("u2"))
@@ -64,6 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         links = stored(small, "links")
+        discard(large, old)
         after = _mark(links)
         if after == before:
             break
@@ -79,6 +80,11 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), *halves).first())
 
 
+# Lists of up to so many members are compared within themselves; larger ones first meet one member after another.
+SMALL_LIST = 64
+MOST_ROUNDS = 12
+
+
 def linked(
     lists: DataFrame,
     verify: Callable[[DataFrame, DataFrame], DataFrame],
@@ -90,8 +96,10 @@ def linked(
     """Links ``(a, b)`` that join up all similar members of any list of ``(key, id, ...)``.
 
     First every member meets the smallest and the largest of its lists, of each the one that it shares most
-    lists with, and similar ones become groups.  Then members of one list in different groups meet each other.
-    So a large list of copies costs a pair per member, and no two similar members stay in different components.
+    lists with, and similar ones become groups.  What is left of a large list, members of several groups, then meets one
+    member after another, drawn by hash, for as long as that joins groups up.  At last members of one list in
+    different groups meet each other.  So a large list of copies costs some pairs per member, and no two
+    similar members stay in different components.
 
     ``prepare(ids)`` makes the table that ``verify(pairs, table)`` decides with; ``may(l, r)`` is a cheap test of
     two members by their further columns.  ``worth`` tells by further aggregates ``of_list`` which lists may hold
@@ -101,20 +109,39 @@ def linked(
     hubs = hubs.where("hub <> other") if worth is None else hubs.where("hub <> other").where(worth)
     hubs = stored(hubs.select("key", "hub", "other"), "hubs")
     members = stored(lists.join(hubs, "key"), "members")
+    discard(hubs)
     table = prepare(members.select("id").distinct())
 
-    def met(hub: str) -> DataFrame:
-        counted = members.where(F.col("id") != F.col(hub)).groupBy("id", hub).agg(F.count(F.lit(1)).alias("shared"))
+    def met(rows: DataFrame, hub: str) -> DataFrame:
+        counted = rows.where(F.col("id") != F.col(hub)).groupBy("id", hub).agg(F.count(F.lit(1)).alias("shared"))
         top = counted.groupBy("id").agg(F.max(F.struct("shared", hub)).alias("top"))
         return top.select(F.least("id", f"top.{hub}").alias("a"), F.greatest("id", f"top.{hub}").alias("b"))
 
-    tried = stored(met("hub").unionByName(met("other")).distinct(), "pairs")
+    tried = stored(met(members, "hub").unionByName(met(members, "other")).distinct(), "pairs")
     links = stored(verify(tried, table), "links")
-    group = components(links).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    grouped = members.drop("hub", "other").join(group, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    grouped = stored(grouped, "members")
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
-    apart = grouped.join(mixed.select("key"), "key", "left_semi")
+    before = members.drop("hub", "other")
+    for turn in range(MOST_ROUNDS + 1):
+        group = components(links).select(F.col("node").alias("id"), F.col("component").alias("group"))
+        grouped = before.drop("group").join(group, "id", "left").withColumn("group", F.coalesce("group", "id"))
+        grouped = stored(grouped, "members")
+        sizes = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("size"))
+        mixed = sizes.where("lo <> hi")
+        apart = stored(grouped.join(mixed.select("key", "size"), "key"), "members")
+        discard(grouped, before if turn else members)
+        before = apart.drop("size")
+        large = apart.where(F.col("size") > SMALL_LIST)
+        if turn == MOST_ROUNDS or large.isEmpty():
+            break
+        drawn = large.groupBy("key").agg(F.min_by(F.struct("id", "group"), F.xxhash64("id", F.lit(turn))).alias("hub"))
+        asked = large.join(drawn, "key").where(F.col("group") != F.col("hub.group")).select("id", F.col("hub.id").alias("hub"))
+        new = stored(met(asked, "hub").join(tried, ["a", "b"], "left_anti").distinct(), "pairs")
+        found = stored(verify(new, table), "links")
+        if found.isEmpty():
+            break
+        links, tried = stored(links.unionByName(found), "links"), stored(tried.unionByName(new), "pairs")
+        discard(new, found)
+        before = apart.drop("size")
+        before._scratch_path = apart._scratch_path
     condition = (F.col("l.key") == F.col("r.key")) & (F.col("l.group") < F.col("r.group")) & may("l", "r")
     rest = (
         apart.alias("l")
@@ -123,4 +150,6 @@ def linked(
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    return stored(links.unionByName(verify(rest, table)), "links")
+    done = stored(links.unionByName(verify(rest, table)), "links")
+    discard(apart, tried, links)
+    return done

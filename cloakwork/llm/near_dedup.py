@@ -3,7 +3,7 @@
 Documents with the same shingle set are one class from the start.  The sketch of a class is its k smallest
 shingle hashes.  Inverted lists of retained values bring classes together: long documents meet on four
 neighbouring values of their sketches, short ones on one value of the part of their set that two similar sets
-cannot both miss.  The sketch of the union estimates the similarity of a pair, and the full sets decide.
+cannot both miss, or on two values where one is in many sets.  The sketch of the union estimates the similarity of a pair, and the full sets decide.
 
 Nothing is cut off in a large list: every class first meets one class of the list, the hub, and all that are
 similar to it become one group; only classes of different groups are then compared with each other.
@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
-from .common import components, linked
+from ..session import discard, stored
+from .common import SMALL_LIST, components, linked
 
 # Values kept of a set, and neighbouring values that make a key.  At a similarity of exactly 0.8, two long
 # documents share no key with a probability of 6e-7.
@@ -99,13 +99,19 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     step = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(percent / 100)) + 1e-9)
     short = classes.where((F.col("n") > 1) & (F.col("n") <= SHORT)).select(
-        F.explode(F.slice("sketch", F.lit(1), first.cast("int"))).alias("value"),
-        "id",
-        "n",
-        F.array(step, step + 1).alias("steps"),
-    )
-    short = short.select("value", "id", "n", F.explode("steps").alias("step"))
-    return long.unionByName(short.select(F.xxhash64("value", "step", F.lit(1)).alias("key"), "id", "n"))
+        "id", "n", F.slice("sketch", F.lit(1), first.cast("int")).alias("values"),
+        F.slice("sketch", F.lit(1), (first + 1).cast("int")).alias("wider"), F.array(step, step + 1).alias("steps"),
+    )
+    single = short.select(F.explode("values").alias("value"), "id", "n", "steps").select("value", "id", "n", F.explode("steps").alias("step"))
+    single = single.withColumn("key", F.xxhash64("value", "step", F.lit(1)))
+    # With one value more of either set, two similar sets share two values.  So where a value is in many sets, those meet
+    # on that value and a second one.
+    common = single.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SMALL_LIST).select("key")
+    plain = single.join(common, "key", "left_anti").select("key", "id", "n")
+    wide = single.join(common, "key", "left_semi").join(short.select("id", "wider"), "id")
+    wide = wide.select("value", "step", "id", "n", F.explode("wider").alias("second")).where("value <> second")
+    pair = F.xxhash64(F.least("value", "second"), F.greatest("value", "second"), "step", F.lit(2))
+    return long.unionByName(plain).unionByName(wide.select(pair.alias("key"), "id", "n").distinct())
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,10 +153,13 @@ def near_duplicates(
     classes = some.groupBy("high", "low", "n").agg(F.first("sketch").alias("sketch")).select(number.alias("id"), "n", "sketch")
     classes = stored(classes, "classes")
 
+    used: list[DataFrame] = []
+
     def tables(involved: DataFrame) -> tuple[DataFrame, DataFrame]:
         sets = _sets_of(rows, named, involved, number, shingle_words)
         sketches = classes.select("id", "sketch").join(involved, "id", "left_semi")
-        return stored(sketches, "sketches"), sets
+        used.extend([stored(sketches, "sketches"), sets])
+        return used[0], sets
 
     def close(l: str, r: str) -> Column:
         n, m = F.col(f"{l}.n"), F.col(f"{r}.n")
@@ -159,7 +168,9 @@ def near_duplicates(
     def similar(pairs: DataFrame, own: tuple[DataFrame, DataFrame]) -> DataFrame:
         return _verified(pairs, *own, percent)
 
-    links = linked(_lists(classes, percent), similar, tables, close)
+    lists = stored(_lists(classes, percent), "lists")
+    links = linked(lists, similar, tables, close)
+    discard(lists, classes, named, *used)
 
     # Classes become documents again: rows of one class, and rows of one id, are together.
     by_class = components(links).select(F.col("node").alias("class"), F.col("component").alias("group"))
