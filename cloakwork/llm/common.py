@@ -82,7 +82,7 @@ def _mark(links: DataFrame) -> tuple:
 
 # Lists of up to so many members are compared within themselves; larger ones first meet one member after another.
 SMALL_LIST = 64
-MOST_ROUNDS = 12
+MOST_ROUNDS, LEAST_YIELD = 12, 0.1
 
 
 def linked(
@@ -97,7 +97,7 @@ def linked(
 
     First every member meets the smallest and the largest of its lists, of each the one that it shares most
     lists with, and similar ones become groups.  What is left of a large list, members of several groups, then meets one
-    member after another, drawn by hash, for as long as that joins groups up.  At last members of one list in
+    member after another, drawn by hash, for as long as a tenth of them prove similar.  At last members of one list in
     different groups meet each other.  So a large list of copies costs some pairs per member, and no two
     similar members stay in different components.
 
@@ -136,10 +136,12 @@ def linked(
         asked = large.join(drawn, "key").where(F.col("group") != F.col("hub.group")).select("id", F.col("hub.id").alias("hub"))
         new = stored(met(asked, "hub").join(tried, ["a", "b"], "left_anti").distinct(), "pairs")
         found = stored(verify(new, table), "links")
-        if found.isEmpty():
-            break
+        # Where members are like few others, drawing more of them finds little: the last step compares them all.
+        yields = found.count() >= new.count() * LEAST_YIELD
         links, tried = stored(links.unionByName(found), "links"), stored(tried.unionByName(new), "pairs")
         discard(new, found)
+        if not yields:
+            break
         before = apart.drop("size")
         before._scratch_path = apart._scratch_path
     condition = (F.col("l.key") == F.col("r.key")) & (F.col("l.group") < F.col("r.group")) & may("l", "r")
