@@ -1,12 +1,11 @@
 """Lines that repeat, exactly or nearly, across and within documents: one of each group stays.
 
-A line is compared by its words, in lower case and without punctuation.  Its SimHash adds up the hash bits of its
-longer words; equal pairs of blocks of two SimHashes make candidates, as two hashes that differ in at most
-``MAX_DISTANCE`` of their bits must agree in two of five blocks.  The edit distance of the words decides, and one
-occurrence per connected group is kept: the first by document id and position.
-
-With ``whole`` no SimHash is used: lines are candidates if a part of their words is the same (``_part_keys``), and
-exact copies of every line with text go, however short it is.
+A line is compared by its words, in lower case and without punctuation.  Its SimHash has five blocks.  Each word adds
+its hash bits to the block that its hash names, and a block has the bits that more than half of its words have; so an
+edited word changes two blocks at most.  Lines that agree in two blocks meet: by the pigeonhole principle these are all
+lines that differ in at most three blocks, which one replaced word never exceeds and two seldom.  The distance of whole
+SimHashes is looked at next, then the edit distance of the words decides.  One occurrence per connected group is kept:
+the first by document id and position.  Exact copies of every line with text go, however short it is.
 """
 
 from __future__ import annotations
@@ -18,27 +17,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
-from ..session import stored
+from ..session import discard, stored
 from .common import KEY, components, linked, row_key
 
-MAX_DISTANCE = 3
-
-# Bits by block: 63 in all.
-BLOCKS = (13, 13, 13, 12, 12)
+# A SimHash has so many blocks, of 18 bits each, and linked lines differ in at most so many of the 90 bits.
+BLOCKS = 5
+MAX_DISTANCE = 24
 
-# With ``whole``: lines of fewer words than asked for are compared nearly from so many characters on.
+# Lines of fewer words than asked for are compared nearly from so many characters on.
 MIN_CHARS = 20
 
-# Up to so many long words, lines that lack one or two of their words are looked up; up to so many, and where words are
-# longer than that on average (scripts without spaces), also parts of their runs of three characters.
-_FEW, _FEWER, _LONG_WORDS = 9, 6, 12
+# In lines of up to so many words, short words count as well; words longer than that on average (scripts without
+# spaces) are cut at one character in four.
+_FEW_WORDS, _LONG_WORDS, _CUT = 12, 12, 4
 
-# The hash bits of words are added up in fields of nine bits, seven to a number, nine numbers.  At most 255 words at a
-# time, so that the top bit of each field stays free for comparing.
-_FIELD, _FIELDS, _SUMS = 9, 7, 9
+# The hash bits of words are added up in fields of seven bits, nine to a number, two numbers to a block.  At most 63
+# words at a time, so that the top bit of each field stays free for comparing.
+_FIELD, _FIELDS, _SUMS = 7, 9, 2
 _AT_ONCE = 2 ** (_FIELD - 1) - 1
 _ONES = sum(1 << (_FIELD * i) for i in range(_FIELDS))
 _TOPS = _ONES << (_FIELD - 1)
+_BITS = _ONES | _ONES << 1
+# Three blocks lie in the first number of a SimHash, two in the second; the numbers of their words have 12 bits each.
+_PLACES = [("h1", 0), ("h1", 2), ("h1", 4), ("h2", 0), ("h2", 2)]
+_SIZE = 12
 
 
 def words_of(line: Column) -> Column:
@@ -51,63 +53,93 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(*KEY, "row", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
 
 
-def _line_id() -> Column:
-    return F.xxhash64("words").alias("line_id")
+def _features(words: Column) -> Column:
+    """The distinct hashes of what a line's SimHash is made of: its longer words, or all of few, or pieces of runs."""
+    longer = F.filter(words, lambda w: F.octet_length(w) > 3)
+    chosen = F.when(F.size(words) <= _FEW_WORDS, words).otherwise(let(longer, lambda some: F.when(F.size(some) > 0, some).otherwise(words)))
+
+    def pieces(chars: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(chars) - 1), lambda i: (i == 0) | (F.pmod(F.xxhash64(F.get(chars, i - 1)), F.lit(_CUT)) == 0)
+        )
+        until = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(chars))
+        return let(starts, lambda at: F.transform(at, lambda i, j: F.array_join(F.slice(chars, i + 1, until(at, j) - i), "")))
+
+    text = F.array_join(words, "")
+    runs = F.length(text) > _LONG_WORDS * F.size(words)
+    some = F.when(runs, let(F.split(text, ""), pieces)).otherwise(chosen)
+    return F.array_distinct(F.transform(some, lambda w: F.xxhash64(w)))
+
+
+def _block(hashes: Column) -> Column:
+    """The bits that more than half of the hashes have, at every seventh place and the one above it."""
+
+    def added(k: int) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.aggregate(hashes, zero, lambda s, h: s + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES)))
+
+    # All fields of a number are compared at once.
+    least = (F.floor(F.size(hashes) / 2) + 1).cast("long")
+    over = lambda k: F.shiftrightunsigned((added(k) + F.lit(_TOPS) - least * F.lit(_ONES)).bitwiseAND(F.lit(_TOPS)), _FIELD - 1 - k)
+    # More words than a field can count are counted bit by bit.
+    places = F.array(*[F.lit(_FIELD * i + k) for i in range(_FIELDS) for k in range(_SUMS)])
+    bit = lambda h, p: F.call_function("shiftrightunsigned", h, p).bitwiseAND(F.lit(1).cast("long"))
+    count = lambda p: F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + bit(h, p))
+    one = lambda p: F.when(count(p) * 2 > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), p))
+    slow = F.aggregate(places, F.lit(0).cast("long"), lambda s, p: s.bitwiseOR(F.coalesce(one(p), F.lit(0).cast("long"))))
+    return F.when(F.size(hashes) <= _AT_ONCE, reduce(lambda x, y: x.bitwiseOR(y), [over(k) for k in range(_SUMS)])).otherwise(slow)
 
 
-def _majority(sums: list[Column], total: Column) -> Column:
-    """The bits that more than half of ``total`` words have: all fields of a number are compared at once."""
-    least = (F.floor(total / 2) + 1).cast("long")
-    bits = [
-        F.shiftrightunsigned((s + F.lit(_TOPS) - least * F.lit(_ONES)).bitwiseAND(F.lit(_TOPS)), _FIELD - 1 - k)
-        for k, s in enumerate(sums)
+def simhash(words: Column) -> Column:
+    """``struct<h1, h2, sizes>``: the SimHash of a line's words in two numbers, and how many words each block has."""
+
+    def made(hashes: Column) -> Column:
+        def block(b: int) -> Column:
+            own = F.filter(hashes, lambda h: F.pmod(h, F.lit(BLOCKS)) == b)
+            return let(own, lambda x: F.struct(_block(x).alias("bits"), F.size(x).cast("long").alias("n")))
+
+        blocks = F.array(*[block(b) for b in range(BLOCKS)])
+
+        def packed(found: Column) -> Column:
+            either = lambda columns: reduce(lambda x, y: x.bitwiseOR(y), columns)
+            number = lambda name: either([F.shiftleft(found[b]["bits"], s) for b, (h, s) in enumerate(_PLACES) if h == name])
+            most = F.lit(2**_SIZE - 1).cast("long")
+            sizes = either([F.shiftleft(F.least(found[b]["n"], most), _SIZE * b) for b in range(BLOCKS)])
+            return F.struct(number("h1").alias("h1"), number("h2").alias("h2"), sizes.alias("sizes"))
+
+        return let(blocks, packed)
+
+    return let(_features(words), made)
+
+
+def _block_keys(h1: Column, h2: Column, sizes: Column) -> Column:
+    """A key for each pair of blocks, if it has two words and a quarter of all words."""
+    number = {"h1": h1, "h2": h2}
+    block = [F.shiftrightunsigned(number[h], s).bitwiseAND(F.lit(_BITS)) for h, s in _PLACES]
+    size = [F.shiftrightunsigned(sizes, _SIZE * b).bitwiseAND(F.lit(2**_SIZE - 1)) for b in range(BLOCKS)]
+    total = reduce(lambda x, y: x + y, size)
+    keys = [
+        F.when((size[i] + size[j] >= 2) & ((size[i] + size[j]) * 4 >= total), F.xxhash64(F.lit(n), block[i], block[j]))
+        for n, (i, j) in enumerate(combinations(range(BLOCKS), 2))
     ]
-    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+    return F.array_compact(F.array(*keys))
 
 
 def _hashed(lines: DataFrame, min_words: int) -> DataFrame:
-    """``(k1, k2, pos, line_id, raw, simhash)``: one row per line that has enough words.
+    """``(k1, k2, pos, raw, line_id, n, h1, h2, sizes)`` of every line with text.
 
-    ``line_id`` stands for the words of a line, ``raw`` for the line as it is.  Repeated rows are added up apart.
+    ``line_id`` stands for the words of a line (of one without words, for its characters), ``raw`` for the line as it
+    is, ``n`` is the length of its words joined by blanks.  Lines too short for near copies have no SimHash.
     """
-    # The arrays of one element keep the words from being worked out once more for every mention.
-    own = lines.select(*KEY, "row", "pos", F.xxhash64("line").alias("raw"), F.explode_outer(F.array(words_of(F.col("line")))).alias("words"))
-    long_words = F.filter("words", lambda w: F.octet_length(w) > 3)
-    # Short words are in every line and say little; a line of nothing else has to do with them.
-    features = let(long_words, lambda some: F.when(F.size(some) > 0, some).otherwise(F.col("words")))
-    own = own.where(F.size("words") >= min_words)
-    words = own.select(*KEY, "row", "pos", "raw", _line_id(), F.explode_outer(F.array(features)).alias("features"))
-    words = words.select(*KEY, "row", "pos", "raw", "line_id", F.size("features").alias("total"), F.posexplode_outer("features").alias("at", "word"))
-    part = F.floor(F.col("at") / _AT_ONCE).cast("int").alias("part")
-    words = words.select(*KEY, "row", "pos", "raw", "line_id", "total", part, F.xxhash64("word").alias("h"))
-    sums = words.groupBy(*KEY, "row", "pos", "raw", "line_id", "total", "part").agg(
-        *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_ONES))).alias(f"s{k}") for k in range(_SUMS)]
-    )
-    names = [f"s{k}" for k in range(_SUMS)]
-    whole = F.col("total") <= _AT_ONCE
-    bits = _majority([F.col(n) for n in names], F.col("total"))
-    found = sums.select(*KEY, "row", "pos", "raw", "line_id", "total", F.when(whole, bits).alias("simhash"), F.when(~whole, F.array(*names)).alias("sums"))
-    found = stored(found, "lines")
-    one = found.where("simhash is not null").select(*KEY, "pos", "raw", "line_id", "simhash")
-    # Lines of more words: their parts are added up bit by bit.
-    field = lambda k, j: F.shiftrightunsigned(F.get("sums", F.lit(k)), _FIELD * j).bitwiseAND(F.lit(2**_FIELD - 1))
-    places = [(k, j) for k in range(_SUMS) for j in range(_FIELDS)]
-    many = found.where("simhash is null").groupBy(*KEY, "row", "pos", "raw", "line_id", "total")
-    many = many.agg(*[F.sum(field(k, j)).alias(f"c{k}_{j}") for k, j in places])
-    each = [F.when(F.col(f"c{k}_{j}") * 2 > F.col("total"), F.lit(1 << (_FIELD * j + k))).otherwise(F.lit(0).cast("long")) for k, j in places]
-    many = many.select(*KEY, "pos", "raw", "line_id", reduce(lambda x, y: x.bitwiseOR(y), each).alias("simhash"))
-    return one.unionByName(many)
-
-
-def _blocks(simhash: Column) -> Column:
-    """A key for each pair of blocks."""
-    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    block = [F.shiftrightunsigned(simhash, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, BLOCKS, strict=True)]
-    keys = [
-        F.lit(n << 26).bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j])
-        for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))
-    ]
-    return F.array(*keys)
+    bare = F.xxhash64(F.regexp_replace("line", r"\s+", ""))
+    # The arrays of one element keep the words and hashes from being worked out once more for every mention.
+    own = lines.where(F.col("line").rlike(r"\S"))
+    own = own.select(*KEY, "pos", F.xxhash64("line").alias("raw"), bare.alias("bare"), F.explode_outer(F.array(words_of(F.col("line")))).alias("words"))
+    n = F.length(F.array_join("words", " "))
+    line_id = F.when(F.size("words") > 0, F.xxhash64("words")).otherwise(F.col("bare")).alias("line_id")
+    enough = (F.size("words") > 0) & ((F.size("words") >= min_words) | (n >= MIN_CHARS))
+    own = own.select(*KEY, "pos", "raw", line_id, n.alias("n"), F.explode_outer(F.array(F.when(enough, simhash(F.col("words"))))).alias("s"))
+    return own.select(*KEY, "pos", "raw", "line_id", "n", "s.h1", "s.h2", "s.sizes")
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -133,97 +165,6 @@ def _apart(a: Column, b: Column) -> Column:
     return let(F.split(a, " "), lambda x: let(F.split(b, " "), lambda y: cut(x, y)))
 
 
-def _parts(hashes: Column, bits: Column) -> Column:
-    """Keys of the parts of sorted hashes that begin with the same ``bits`` bits; parts of a single hash have none."""
-    part = lambda i: F.call_function("shiftrightunsigned", F.get(hashes, i), 64 - bits)
-
-    def cut(starts: Column) -> Column:
-        end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(hashes))
-        sizes = F.transform(starts, lambda s, j: F.struct(s.alias("s"), (end(j) - s).alias("n")))
-        some = F.filter(sizes, lambda x: x["n"] >= 2)
-        return F.transform(some, lambda x: F.xxhash64(bits, F.slice(hashes, x["s"] + 1, x["n"])))
-
-    first = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: (i == 0) | (part(i) != part(i - 1)))
-    return let(first, cut)
-
-
-def _part_keys(words: Column) -> Column:
-    """The keys by which a line meets those that are near it, from its words joined by blanks.
-
-    Hashes of its longer words are dealt into parts by their first bits, two to four to a part, and into four parts;
-    an edit changes two parts at most, and lines with any part in common meet.  Of few words, all but any one or two
-    make a key, and of very few or very long words the runs of three characters are dealt out.  The number of parts
-    goes by the number of words; near its steps a line has the keys of both.
-    """
-    none = F.array().cast("array<bigint>")
-    listed = F.split(words, " ")
-    longer = F.filter(listed, lambda w: F.octet_length(w) > 3)
-    chosen = let(longer, lambda some: F.when(F.size(some) > 0, some).otherwise(listed))
-    hashes = F.array_sort(F.array_distinct(F.transform(chosen, lambda w: F.xxhash64(w))))
-    few = lambda n, least: F.greatest(F.floor(F.log2(n)), F.lit(least)).cast("int")
-
-    def levels(n: Column, each: float, least: int, *more: Column) -> Column:
-        return F.array_distinct(F.array(*more, few(n * 0.9 / each, least), few(n * 1.12 / each, least)))
-
-    def of_words(h: Column) -> Column:
-        n = F.size(h)
-        every = F.aggregate(h, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
-        one = lambda all_: F.transform(h, lambda x: all_.bitwiseXOR(x))
-        two = lambda all_: F.flatten(
-            F.transform(h, lambda x, i: F.transform(F.slice(h, F.lit(1), i), lambda y: all_.bitwiseXOR(x).bitwiseXOR(y)))
-        )
-        lacking = let(every, lambda e: F.concat(F.array(e), one(e), F.when(n >= 5, two(e)).otherwise(none)))
-        parts = F.flatten(F.transform(levels(n, 2, 2, F.lit(2)), lambda bits: _parts(h, bits)))
-        return F.concat(F.when(n.between(3, _FEW), lacking).otherwise(none), F.when(n >= _FEW - 1, parts).otherwise(none))
-
-    def runs(chars: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.size(chars) - 3, F.lit(0)))
-        return F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(chars, i + k) for k in range(3)]))))
-
-    def of_chars(h: Column) -> Column:
-        return F.flatten(F.transform(levels(F.size(h), 1, 3), lambda bits: _parts(h, bits)))
-
-    chars = let(let(F.split(words, ""), runs), of_chars)
-    short = lambda h: (F.size(h) <= _FEWER) | (F.length(words) > _LONG_WORDS * F.size(listed))
-    return let(hashes, lambda h: F.array_distinct(F.concat(of_words(h), F.when(short(h), chars).otherwise(none))))
-
-
-def _whole_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """As ``line_groups``, of all lines with text."""
-    # A line without words is told by its characters.
-    bare = F.xxhash64(F.regexp_replace("line", r"\s+", ""))
-    lines = _lines(docs, id_col, text_col).where(F.col("line").rlike(r"\S"))
-    lines = lines.select(*KEY, "pos", bare.alias("bare"), F.explode_outer(F.array(words_of(F.col("line")))).alias("words"))
-    line_id = F.when(F.size("words") > 0, F.xxhash64("words")).otherwise(F.col("bare")).alias("line_id")
-    every = stored(lines.select(*KEY, "pos", line_id), "lines")
-    repeated = every.groupBy("line_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("line_id")
-
-    enough = (F.size("words") >= min_words) | (F.length(F.array_join("words", " ")) >= MIN_CHARS)
-    own = lines.where((F.size("words") > 0) & enough).select(line_id, F.array_join("words", " ").alias("words")).distinct()
-    own = own.select(F.col("line_id").alias("id"), "words", F.length("words").alias("n"), _part_keys(F.col("words")).alias("keys"))
-    own = stored(own, "line-texts")
-
-    def may(x: Column, y: Column) -> Column:
-        """Whether two lengths are near enough."""
-        return F.abs(x - y) <= F.floor(F.greatest(x, y) * (100 - percent) / 100)
-
-    def texts(ids: DataFrame) -> DataFrame:
-        return stored(own.select("id", "words").join(ids, "id", "left_semi"), "line-texts")
-
-    def similar(pairs: DataFrame, table: DataFrame) -> DataFrame:
-        side = lambda x: table.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return _edited(both.where(may(F.length("wa"), F.length("wb"))), percent)
-
-    lists = own.select(F.explode("keys").alias("key"), "id", "n")
-    of_list = [F.count(F.lit(1)).alias("m"), F.min("n").alias("n1"), F.max("n").alias("n2")]
-    worth = (F.col("m") > 2) | may(F.col("n1"), F.col("n2"))
-    links = linked(lists, similar, texts, lambda l, r: may(F.col(f"{l}.n"), F.col(f"{r}.n")), of_list, worth)
-    found = components(links).select(F.col("node").alias("line_id"), F.col("component").alias("group"))
-    alone = repeated.join(found, "line_id", "left_anti")
-    return every, stored(found.unionByName(alone.select("line_id", F.col("line_id").alias("group"))), "line-groups")
-
-
 def _edited(both: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of ``(a, b, wa, wb)`` of which few enough characters have to be edited."""
     most = F.floor(F.greatest(F.length("wa"), F.length("wb")) * (100 - percent) / 100)
@@ -235,58 +176,61 @@ def _edited(both: DataFrame, percent: int) -> DataFrame:
     return both.where(F.when(whole <= F.col("most"), F.lit(True)).otherwise(distance >= 0)).select("a", "b")
 
 
-def line_groups(docs: DataFrame, id_col: str, text_col: str, min_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All lines ``(k1, k2, pos, line_id)``, and the group of each line that is not alone ``(line_id, group)``."""
+def _distance(a: str, b: str) -> Column:
+    """In how many bits two SimHashes differ."""
+    apart = lambda h: F.bit_count(F.col(f"{a}.{h}").bitwiseXOR(F.col(f"{b}.{h}")))
+    return apart("h1") + apart("h2")
+
+
+def line_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, percent: int = 80
+) -> tuple[DataFrame, DataFrame]:
+    """All lines with text ``(k1, k2, pos, line_id)``, and the group of each that is not alone ``(line_id, group)``."""
     lines = _lines(docs, id_col, text_col)
     hashed = stored(_hashed(lines, min_words), "line-hashes")
     # Equal words have equal hashes, so any of them will do; of lines with equal words, so will any.
     distinct = hashed.groupBy("line_id").agg(
-        F.max("simhash").alias("simhash"), F.min("raw").alias("raw"), F.count(F.lit(1)).alias("copies")
+        *[F.max(c).alias(c) for c in ("n", "h1", "h2", "sizes")], F.min("raw").alias("raw"), F.count(F.lit(1)).alias("copies")
     )
     distinct = stored(distinct, "distinct-lines")
 
+    def may(x: Column, y: Column) -> Column:
+        """Whether two lengths are near enough."""
+        return F.abs(x - y) <= F.floor(F.greatest(x, y) * (100 - percent) / 100)
+
     def texts(ids: DataFrame) -> DataFrame:
         wanted = distinct.join(ids.withColumnRenamed("id", "line_id"), "line_id", "left_semi")
-        wanted = stored(wanted.select(F.col("line_id").alias("id"), "raw", "simhash"), "wanted-lines")
+        wanted = stored(wanted.select(F.col("line_id").alias("id"), "raw"), "wanted-lines")
         own = lines.select(F.xxhash64("line").alias("raw"), "line").join(wanted.select("raw"), "raw", "left_semi")
         own = own.groupBy("raw").agg(F.first("line").alias("line"))
-        own = own.join(wanted, "raw").select("id", "simhash", F.array_join(words_of(F.col("line")), " ").alias("words"))
-        return stored(own, "line-texts")
-
-    def far(x: Column, y: Column) -> Column:
-        return F.bit_count(x.bitwiseXOR(y)) > MAX_DISTANCE
+        found = own.join(wanted, "raw").select("id", F.array_join(words_of(F.col("line")), " ").alias("words"))
+        found = stored(found, "line-texts")
+        discard(wanted)
+        return found
 
     def similar(pairs: DataFrame, table: DataFrame) -> DataFrame:
-        sims = distinct.select("line_id", "simhash")
-        near = (
-            pairs.join(sims.select(F.col("line_id").alias("a"), F.col("simhash").alias("sa")), "a")
-            .join(sims.select(F.col("line_id").alias("b"), F.col("simhash").alias("sb")), "b")
-            .where(~far(F.col("sa"), F.col("sb")))
-            .select("a", "b")
-        )
+        hashes = lambda x: distinct.select(F.col("line_id").alias(x), F.struct("h1", "h2").alias(f"s{x}"))
+        near = pairs.join(hashes("a"), "a").join(hashes("b"), "b").where(_distance("sa", "sb") <= MAX_DISTANCE).select("a", "b")
         side = lambda x: table.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
-        both = near.join(side("a"), "a").join(side("b"), "b")
-        return _edited(both, percent)
-
-    lists = distinct.select(F.explode(_blocks(F.col("simhash"))).alias("key"), F.col("line_id").alias("id"), "simhash")
-    # Most lists have two members that met by chance: these are told by their hashes before anything else.
-    of_list = [F.count(F.lit(1)).alias("n"), F.min("simhash").alias("s1"), F.max("simhash").alias("s2")]
-    worth = (F.col("n") > 2) | ~far(F.col("s1"), F.col("s2"))
-    links = linked(
-        lists, similar, texts, lambda l, r: ~far(F.col(f"{l}.simhash"), F.col(f"{r}.simhash")), of_list, worth
-    )
+        return _edited(near.join(side("a"), "a").join(side("b"), "b"), percent)
+
+    keys = _block_keys(F.col("h1"), F.col("h2"), F.col("sizes"))
+    lists = distinct.where("h1 is not null").select(F.explode(keys).alias("key"), F.col("line_id").alias("id"), "n")
+    of_list = [F.count(F.lit(1)).alias("m"), F.min("n").alias("n1"), F.max("n").alias("n2")]
+    worth = (F.col("m") > 2) | may(F.col("n1"), F.col("n2"))
+    links = linked(lists, similar, texts, lambda l, r: may(F.col(f"{l}.n"), F.col(f"{r}.n")), of_list, worth)
     found = components(links).select(F.col("node").alias("line_id"), F.col("component").alias("group"))
     repeated = distinct.where("copies > 1").select("line_id").join(found, "line_id", "left_anti")
-    groups = found.unionByName(repeated.select("line_id", F.col("line_id").alias("group")))
-    return hashed.select(*KEY, "pos", "line_id"), stored(groups, "line-groups")
+    groups = stored(found.unionByName(repeated.select("line_id", F.col("line_id").alias("group"))), "line-groups")
+    discard(distinct, links)
+    return hashed.select(*KEY, "pos", "line_id"), groups
 
 
 def repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, percent: int = 80, whole: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, percent: int = 80
 ) -> DataFrame:
     """``(k1, k2, gone)``: for each document with lines to go, their positions, counted from 0."""
-    found = _whole_groups if whole else line_groups
-    lines, groups = found(docs, id_col, text_col, min_words, percent)
+    lines, groups = line_groups(docs, id_col, text_col, min_words, percent)
     grouped = lines.join(groups, "line_id")
     order = F.struct(*KEY, "pos")
     first = grouped.groupBy("group").agg(F.min(order).alias("first"))
@@ -300,10 +244,10 @@ def dedup_lines(
 ) -> DataFrame:
     """The rows with the repeated lines taken out of their texts; rows of which nothing is left go.
 
-    With ``whole``, two lines are linked if at most a fifth of the longer one has to be edited and a part of their
-    words is the same; lines of fewer than ``min_words`` words and of fewer than ``MIN_CHARS`` characters only lose
-    their exact copies (case and punctuation aside; of a line without words, white space aside).  Without it, lines of
-    fewer words are never taken out, and the SimHashes of linked lines differ in at most three bits.  A group is connected by links, and
+    Two lines are linked if at most a fifth of the longer one has to be edited, their SimHashes agree in two blocks and
+    differ in at most ``MAX_DISTANCE`` bits; lines of fewer than ``min_words`` words and of fewer than ``MIN_CHARS``
+    characters only lose their exact copies (case and punctuation aside; of a line without words, white space aside).
+    Lines with edits in most of their words can be missed.  A group is connected by links, and
     its first line by document id (null first), text hash and position stays.  Repeated rows (same id, same text)
     are one document: they lose the same lines.  Null and empty texts and texts without repeated lines stay as they
     are.  ``removed_col`` adds the number of lines taken out, and then keeps rows of which nothing is left.

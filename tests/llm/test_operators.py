@@ -459,11 +459,12 @@ def test_lines_by_brute_force(spark, documents, odd):
         docs.append((5000 + i, f"Own words of text number {i} {i * 7} {i * 13} only\n{' '.join(words)}!\nshort line\n\n"))
     table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("pos", F.lit(0)).repartition(3)
     lines, groups = line_dedup.line_groups(table, "doc_id", "text", 5, 80)
-    hashes = {}
     raw = line_dedup._lines(table, "doc_id", "text")
+    hashes = {}
     for r in line_dedup._hashed(raw, 5).collect():
-        assert hashes.setdefault(r.line_id, r.simhash) == r.simhash
-    words = {r[0]: r[1] for r in raw.select(line_dedup.words_of(F.col("line")).alias("words")).where("size(words) >= 5").select(line_dedup._line_id(), F.array_join("words", " ")).distinct().collect()}
+        assert hashes.setdefault(r.line_id, (r.h1, r.h2, r.sizes)) == (r.h1, r.h2, r.sizes)
+    split = raw.select(line_dedup.words_of(F.col("line")).alias("words")).where("size(words) > 0")
+    words = {r[0]: r[1] for r in split.select(F.xxhash64("words"), F.array_join("words", " ")).distinct().collect()}
     parent = {k: k for k in words}
 
     def root(x):
@@ -471,14 +472,22 @@ def test_lines_by_brute_force(spark, documents, odd):
             x = parent[x]
         return x
 
-    known = sorted(words)
+    def agree(p, q):
+        """Whether two lines have the same two blocks, of a quarter of the words of each."""
+        blocks = [[((h1, h1 >> 2, h1 >> 4, h2, h2 >> 2)[i] & line_dedup._BITS, sizes >> 12 * i & 4095) for i in range(5)] for h1, h2, sizes in (p, q)]
+        same = [i for i in range(5) if blocks[0][i][0] == blocks[1][i][0]]
+        enough = lambda x, i, j: x[i][1] + x[j][1] >= max(2, sum(n for _, n in x) / 4)
+        return any(enough(x, i, j) and enough(y, i, j) for x, y in [blocks] for i in same for j in same if i < j)
+
+    known = sorted(k for k in words if hashes[k][0] is not None)
     for i, a in enumerate(known):
         for b in known[i + 1 :]:
-            if (hashes[a] ^ hashes[b]).bit_count() <= 3:
-                x, y = words[a], words[b]
-                if edit_distance(x, y) <= max(len(x), len(y)) * 20 // 100:
-                    p, q = root(a), root(b)
-                    parent[max(p, q)] = min(p, q)
+            x, y = words[a], words[b]
+            most = max(len(x), len(y)) * 20 // 100
+            bits = sum((p ^ q).bit_count() for p, q in zip(hashes[a][:2], hashes[b][:2], strict=True))
+            if abs(len(x) - len(y)) <= most and bits <= 24 and agree(hashes[a], hashes[b]) and edit_distance(x, y) <= most:
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
     got = {r.line_id: r.group for r in groups.collect()}
     assert all(got.get(k, k) == root(k) for k in words) and len(set(map(root, words))) < len(words)
     # One occurrence of each group stays, the first.
@@ -517,7 +526,7 @@ def test_repeated_row_with_a_near_line_elsewhere(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     hashes = {}
     for r in line_dedup._hashed(line_dedup._lines(table, "doc_id", "text"), 5).collect():
-        hashes.setdefault(r.line_id, set()).add(r.simhash)
+        hashes.setdefault(r.line_id, set()).add((r.h1, r.h2))
     assert all(len(h) == 1 for h in hashes.values())
     left = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(table).collect()}
     assert left == {(1, rows[0][1]), (2, "another text of its own")}
@@ -562,6 +571,39 @@ def test_near_lines_by_edit_distance_alone(spark, documents):
     assert gone <= want and len(gone) >= 0.97 * len(want)
 
 
+def test_near_lines_by_number_of_edits(spark, documents):
+    """The share of lines with so many replaced words that is found, of those that the edit distance links."""
+    draw = random.Random(14)
+    own = {" ".join(x for x in re.split(r"[^\w]+|_", line.lower()) if x) for d in documents for line in (d["text"] or "").split("\n")}
+    own = sorted(line for line in own if len(line.split()) >= 12)
+    other = sorted({w for line in own for w in line.split()})
+    rows, asked = [], {}
+    for n in range(300):
+        line, edits = draw.choice(own).split(), 1 + n % 3
+        changed = list(line)
+        for at in draw.sample(range(len(line)), edits):
+            changed[at] = draw.choice(other)
+        x, y = " ".join(line), " ".join(changed)
+        if x != y and edit_distance(x, y) <= max(len(x), len(y)) // 5:
+            # Words of its own keep each pair apart from the others.
+            asked[n] = edits
+            rows += [(2 * n, f"{x} pair{n}x"), (2 * n + 1, f"{y} pair{n}x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in line_dedup.dedup_lines(table).collect()}
+    share = {e: [2 * n + 1 not in kept for n, k in asked.items() if k == e] for e in (1, 2, 3)}
+    share = {e: sum(found) / len(found) for e, found in share.items()}
+    assert share[1] >= 0.97 and share[2] >= 0.75 and share[3] >= 0.4, share
+
+
+def test_bits_of_many_words_are_counted_alike(spark):
+    """A block of more words than its fields can count has the same bits by the other way."""
+    hashes = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(i))
+    got = spark.createDataFrame([(1,), (7,), (63,), (64,), (500,)], "n int").select(hashes.alias("h"), line_dedup._block(hashes).alias("bits")).collect()
+    for r in got:
+        want = sum(1 << p for i in range(9) for p in (7 * i, 7 * i + 1) if 2 * sum(h >> p & 1 for h in r.h) > len(r.h))
+        assert r.bits == want
+
+
 def test_short_lines_and_scripts_without_spaces(spark):
     from corpus_pipeline import line_dedup_stage
 
