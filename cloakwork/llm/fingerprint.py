@@ -5,8 +5,9 @@ edit moves no boundary but its own; a paragraph's leaves are its clauses, cut af
 is made from those below it.  Equal roots mean equal texts; where roots differ, the branches that differ lead to
 the edit, without the texts.
 
-The fingerprint is a string: the root in 32 hexadecimal digits, then the sections, each as ``/`` and its
-paragraphs, each of these as ``:`` and its leaves in eight digits.
+The fingerprint is a string: the root in 32 hexadecimal digits, then the paragraphs, each as a mark (``/`` where a
+section begins, else ``:``), its node in 32 digits and its leaves in eight digits each.  A section's node is the hash of
+the nodes of its paragraphs, and the root that of the sections' nodes, so both follow from what is there.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import NO_ID
 
 # One paragraph in so many ends a section.
 SECTION = 8
-_LEAF = 8
+_LEAF, _NODE = 8, 32
 # A clause of more characters is cut where the hash of the four characters before says so, one place in so many, and
 # after so many characters at the latest.
 _LONG, _WINDOW, _PLACES, _LATEST = 128, 4, 32, 256
@@ -41,82 +42,152 @@ def _pieces(clause: Column) -> Column:
     return F.when(F.length(clause) <= _LONG, F.array(clause)).otherwise(let(F.split(clause, ""), cut))
 
 
+def _digest(x: Column) -> Column:
+    return F.md5(x.cast("binary"))
+
+
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; null counts as empty.  Equal texts have equal fingerprints, and different texts
     different roots but for collisions of a 128-bit hash: every node hashes the whole hashes below it."""
-    digest = lambda x: F.md5(x.cast("binary"))
-
     def paragraph(line: Column) -> Column:
-        digests = F.transform(F.flatten(F.transform(F.split(line, _ENDS), _pieces)), digest)
+        digests = F.transform(F.flatten(F.transform(F.split(line, _ENDS), _pieces)), _digest)
         return let(digests, node)
 
     def node(digests: Column) -> Column:
         short = F.transform(digests, lambda d: F.substring(d, 1, _LEAF))
-        return F.struct(digest(F.array_join(digests, "")).alias("hash"), F.array_join(short, "").alias("leaves"))
+        return F.struct(_digest(F.array_join(digests, "")).alias("hash"), F.array_join(short, "").alias("leaves"))
 
     def tree(nodes: Column) -> Column:
         # A mark before each paragraph: a new section where its hash begins with one of two digits.
         mark = lambda n: F.when(F.substring(n["hash"], 1, 1).isin(*"0123456789abcdef"[: 16 // SECTION]), "/").otherwise(":")
         whole = F.array_join(F.transform(nodes, lambda n: F.concat(mark(n), n["hash"])), "")
-        top = digest(F.array_join(F.transform(F.split(whole, "/"), digest), ""))
-        return F.concat(top, F.array_join(F.transform(nodes, lambda n: F.concat(mark(n), n["leaves"])), ""))
+        top = _digest(F.array_join(F.transform(F.split(whole, "/"), _digest), ""))
+        return F.concat(top, F.array_join(F.transform(nodes, lambda n: F.concat(mark(n), n["hash"], n["leaves"])), ""))
 
     return let(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), paragraph), tree)
 
 
 def root(mark: Column) -> Column:
-    return F.substring(mark, 1, 32)
+    return F.substring(mark, 1, _NODE)
+
+
+def _below(mark: Column) -> Column:
+    return F.substring(mark, _NODE + 1, 2**31 - 1)
+
+
+def _of_sections(mark: Column) -> Column:
+    """For each section the marks and nodes of its paragraphs."""
+    return F.split(F.regexp_replace(_below(mark), f"([:/][0-9a-f]{{{_NODE}}})[0-9a-f]*", "$1"), "/")
 
 
 def sections(mark: Column) -> Column:
-    """The nodes of the sections: a hash of all below each."""
-    return F.transform(F.split(F.substring(mark, 33, 2**31 - 1), "/"), lambda s: F.xxhash64(s))
+    """The nodes of the sections, in order; the root is the hash of these.  The first is empty where the first paragraph
+    begins a section."""
+    return F.transform(_of_sections(mark), _digest)
 
 
 def paragraphs(mark: Column) -> Column:
-    """The nodes of the paragraphs, in order: a hash of the leaves of each."""
-    nodes = F.split(F.substring(mark, 34, 2**31 - 1), "[:/]")
-    return F.transform(nodes, lambda s: F.xxhash64(s))
+    """The nodes of the paragraphs, in order."""
+    return F.regexp_extract_all(_below(mark), F.lit(f"[:/]([0-9a-f]{{{_NODE}}})"), F.lit(1))
 
 
 def leaves(mark: Column) -> Column:
     """The leaves in order, eight digits each."""
-    return F.regexp_extract_all(F.translate(F.substring(mark, 33, 2**31 - 1), ":/", ""), F.lit(f"(.{{{_LEAF}}})"), F.lit(1))
+    only = F.regexp_replace(_below(mark), f"[:/][0-9a-f]{{{_NODE}}}", "")
+    return F.regexp_extract_all(only, F.lit(f"(.{{{_LEAF}}})"), F.lit(1))
+
+
+def _counted(nodes: Column) -> Column:
+    """``(label, at)`` for each ``(node, at)``: the label has the node and how many equal ones are before it."""
+
+    def numbered(ordered: Column) -> Column:
+        node = lambda i: F.get(ordered, i)["node"]
+        first = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (node(i) != node(i - 1)))
+
+        def runs(starts: Column) -> Column:
+            until = lambda j: F.coalesce(F.get(starts, j + 1), F.size(ordered))
+            label = lambda s, i: F.struct(F.concat_ws("#", node(i), (i - s).cast("string")).alias("label"), F.get(ordered, i)["at"].alias("at"))
+            return F.flatten(F.transform(starts, lambda s, j: F.transform(F.sequence(s, until(j) - 1), lambda i: label(s, i))))
+
+        return let(first, runs)
+
+    none = F.array().cast("array<struct<label:string,at:int>>")
+    return let(F.sort_array(nodes), lambda some: F.when(F.size(some) == 0, none).otherwise(numbered(some)))
+
+
+def _placed(nodes: Column) -> Column:
+    return F.transform(nodes, lambda n, i: F.struct(n.alias("node"), i.alias("at")))
 
 
 def likeness(mark: Column, other: Column) -> Column:
-    """From 0 to 1: twice the distinct leaves in common, by the distinct leaves of both; 1 for equal roots."""
+    """From 0 to 1: twice the leaves in common, as often as both have them, by the leaves of both.  It is 1 for equal
+    roots only: where the same leaves stand in another order, it lacks the share of one leaf."""
 
     def share(a: Column, b: Column) -> Column:
-        return F.size(F.array_intersect(a, b)) * 2.0 / (F.size(a) + F.size(b))
+        total = F.size(a) + F.size(b)
+        return F.least(F.size(F.array_intersect(a, b)) * 2.0, total - 1.0) / total
 
-    apart = let(F.array_distinct(leaves(mark)), lambda a: let(F.array_distinct(leaves(other)), lambda b: share(a, b)))
+    labels = lambda m: F.transform(_counted(_placed(leaves(m))), lambda x: x["label"])
+    apart = let(labels(mark), lambda a: let(labels(other), lambda b: share(a, b)))
     return F.when(root(mark) == root(other), F.lit(1.0)).otherwise(apart)
 
 
+def _unmatched(own: Column, theirs: Column) -> Column:
+    """The places of the own ``(node, at)`` that have no equal among theirs, or not in the same order."""
+    side = lambda nodes, n: F.transform(_counted(nodes), lambda x: F.struct(x["label"].alias("label"), F.lit(n).alias("side"), x["at"].alias("at")))
+
+    def compared(both: Column) -> Column:
+        after = lambda i: F.get(both, i + 1)
+        # Labels are unlike each other on either side, so equal ones are neighbours, the own first.
+        mine = F.filter(F.transform(both, lambda x, i: F.struct(x["at"].alias("at"), x["side"].alias("side"), F.when(after(i)["label"] == x["label"], after(i)["at"]).alias("to"))), lambda x: x["side"] == 0)
+
+        def found(rows: Column) -> Column:
+            alone = F.transform(F.filter(rows, lambda x: x["to"].isNull()), lambda x: x["at"])
+            met = F.sort_array(F.filter(rows, lambda x: x["to"].isNotNull()))
+            order = F.sort_array(F.transform(F.filter(rows, lambda x: x["to"].isNotNull()), lambda x: x["to"]))
+            moved = let(order, lambda o: F.filter(F.transform(met, lambda x, i: F.when(x["to"] != F.get(o, i), x["at"])), lambda x: x.isNotNull()))
+            return F.sort_array(F.concat(alone, moved))
+
+        return let(mine, found)
+
+    return let(F.sort_array(F.concat(side(own, 0), side(theirs, 1))), compared)
+
+
 def differing(mark: Column, other: Column) -> Column:
-    """Where two texts differ: the positions of the first one's paragraphs (from 0) that the other has not, found by
-    going down only into sections that differ.  Equal roots have none."""
+    """Where two texts differ: the positions of the first one's paragraphs (from 0) that the other has not, has fewer
+    times, or has in another order.  Equal roots have none; else the sections are compared, and only the paragraphs
+    of those that differ."""
+
+    # Bound side by side: every level of nested lambdas costs the analyzer a round.
+    return let(F.struct(mark.alias("a"), other.alias("b")), lambda both: _differing(both["a"], both["b"]))
+
+
+def _differing(mark: Column, other: Column) -> Column:
+    def inside(m: Column, chosen: Column) -> Column:
+        """``(node, at)`` of the paragraphs of the chosen sections."""
+        listed = F.transform(_of_sections(m), lambda s: F.regexp_extract_all(s, F.lit(f"([0-9a-f]{{{_NODE}}})"), F.lit(1)))
+        numbered = F.flatten(F.transform(listed, lambda nodes, i: F.transform(nodes, lambda n: F.struct(n.alias("node"), i.alias("section")))))
+        placed = F.transform(numbered, lambda n, at: F.struct(n["node"].alias("node"), at.alias("at"), n["section"].alias("section")))
+        some = F.filter(placed, lambda n: F.array_contains(chosen, n["section"]))
+        return F.transform(some, lambda n: F.struct(n["node"].alias("node"), n["at"].alias("at")))
 
-    def changed(theirs: Column) -> Column:
-        return F.filter(
-            F.transform(paragraphs(mark), lambda p, i: F.when(~F.array_contains(theirs, p), i)), lambda i: i.isNotNull()
-        )
+    def changed(s: Column) -> Column:
+        sides = F.struct(_unmatched(s["a"], s["b"]).alias("mine"), _unmatched(s["b"], s["a"]).alias("theirs"))
+        return let(sides, lambda u: _unmatched(inside(mark, u["mine"]), inside(other, u["theirs"])))
 
-    none = F.array().cast("array<int>")
-    same = (root(mark) == root(other)) | (F.size(F.array_except(sections(mark), sections(other))) == 0)
-    return F.when(same, none).otherwise(let(paragraphs(other), changed))
+    found = let(F.struct(_placed(sections(mark)).alias("a"), _placed(sections(other)).alias("b")), changed)
+    return F.when(root(mark) == root(other), F.array().cast("array<int>")).otherwise(found)
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], parts: int) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, columns: list[str], parts: int, tie: list[str] | None = None) -> DataFrame:
     """Rows with ``next_<column>``: the values of the next row by descending id, after the last those of the first.
 
     The ids are cut into ``parts`` ranges by their quantiles, and each row goes to its range once; the largest id of
     a range is also sent to the one before, where it follows the last.  Rows without an id come last; rows of one id
-    go by the columns' hash, and equal rows are each other's next.
+    go by the hash of ``tie`` (the columns, if not given), and equal rows are each other's next.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rows = docs.select(id_col, *columns, key.alias("__id"), F.xxhash64(*columns).alias("__tie"))
+    rows = docs.select(id_col, *columns, key.alias("__id"), F.xxhash64(*(tie or columns)).alias("__tie"))
     places = [i / parts for i in range(1, parts)]
     cuts = rows.agg(F.percentile_approx("__id", places, 10 * parts)).first()[0] if places else []
     cuts = sorted(set(cuts or []))

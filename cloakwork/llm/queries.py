@@ -149,28 +149,27 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = fingerprint.with_next(docs, "doc_id", ["text"], parts)
+    # Each text's own fingerprint is made once, before it goes to its neighbour with the text.
+    docs = docs.withColumn("mark", fingerprint.fingerprint(F.col("text")))
+    rows = fingerprint.with_next(docs, "doc_id", ["text", "mark"], parts, tie=["text"])
     edited = fingerprint.edited_text(F.col("text"), F.col("next_text"))
-    rows = rows.select("doc_id", "text", "next_text", F.explode_outer(F.array(edited)).alias("edited"))
-    marks = F.struct(
-        fingerprint.fingerprint(F.col("text")).alias("own"),
-        fingerprint.fingerprint(F.col("edited")).alias("edited"),
-        fingerprint.fingerprint(F.col("next_text")).alias("following"),
-    )
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "mark", "next_mark", F.explode_outer(F.array(edited)).alias("edited"))
     rows = rows.select(
         "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
+        "n_chars",
         sha256(F.col("edited")).alias("edited_sha256"),
-        F.explode_outer(F.array(marks)).alias("m"),
+        "mark",
+        "next_mark",
+        F.explode_outer(F.array(fingerprint.fingerprint(F.col("edited")))).alias("edited_mark"),
     )
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.col("m.own").alias("fingerprint"),
-        F.col("m.edited").alias("edited_fingerprint"),
-        fingerprint.likeness(F.col("m.own"), F.col("m.edited")).alias("near_edited"),
-        fingerprint.likeness(F.col("m.own"), F.col("m.following")).alias("near_next"),
+        F.col("mark").alias("fingerprint"),
+        F.col("edited_mark").alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("mark"), F.col("edited_mark")).alias("near_edited"),
+        fingerprint.likeness(F.col("mark"), F.col("next_mark")).alias("near_next"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 import re
@@ -402,6 +403,46 @@ def test_fingerprint_locates_edits(spark):
     assert (there, back, same) == ([7], [7, 20], []) and 0.9 < near < 1
 
 
+def test_fingerprint_nodes_follow_from_each_other(spark):
+    text = "\n".join(f"paragraph {i % 17}, with {i} clauses; or so" for i in range(60))
+    mark = spark.createDataFrame([(text,)], "a string").select(fingerprint.fingerprint(F.col("a")).alias("m"))
+    m, top, sections, paragraphs, leaves = mark.select(
+        "m", fingerprint.root(F.col("m")), fingerprint.sections(F.col("m")), fingerprint.paragraphs(F.col("m")), fingerprint.leaves(F.col("m"))
+    ).first()
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    pieces = [re.split(r"(?<=[,;])(?=\s)", line) for line in text.split("\n")]
+    assert paragraphs == [md5("".join(map(md5, p))) for p in pieces]
+    assert leaves == [md5(c)[:8] for p in pieces for c in p] and len(sections) > 2
+    assert top == md5("".join(sections)) and m.startswith(top)
+
+
+def test_fingerprint_repeats_and_moves(spark):
+    draw = random.Random(18)
+    rows = [("x\nx\ny", "x\ny"), ("a\nb", "b\na"), ("a", "a"), ("", "a"), ("", ""), ("x\n\nx", "x\n\n")]
+    for _ in range(60):
+        lines = [draw.choice(["p", "q", "r", "s, t", "t; s"]) + str(draw.randrange(9)) for _ in range(draw.randint(1, 40))]
+        other = list(lines)
+        for _ in range(draw.randrange(4)):
+            at = draw.randrange(len(other) + 1)
+            other[at : at + draw.randrange(3)] = draw.choices(lines, k=draw.randrange(3))
+        rows.append(("\n".join(lines), "\n".join(other)))
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    a, b = fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b"))
+    table = table.select("i", "a", "b", a.alias("x"), b.alias("y"))
+    x, y = F.col("x"), F.col("y")
+    got = table.select("i", fingerprint.likeness(x, y), fingerprint.differing(x, y), fingerprint.differing(y, x)).orderBy("i").collect()
+    for (_, near, there, back), (p, q) in zip(got, rows, strict=True):
+        cut = lambda t: collections.Counter(c for line in t.split("\n") for c in re.split(r"(?<=[,;])(?=\s)", line))
+        u, v = cut(p), cut(q)
+        total = u.total() + v.total()
+        assert near == (1.0 if p == q else min(2.0 * (u & v).total(), total - 1) / total)
+        # Equal texts differ nowhere, others somewhere, and without what differs both are the same.
+        rest = lambda t, gone: [line for i, line in enumerate(t.split("\n")) if i not in gone]
+        assert (p == q) == (not there and not back)
+        assert rest(p, there) == rest(q, back)
+    assert [r[2] for r in got[:2]] == [[1], [0, 1]] or got[0][2] in ([0], [1])
+
+
 def test_fingerprint_odd(odd, empty):
     rows = fingerprint.fingerprints(odd).collect()
     assert len(rows) == 12 and rows[0].fingerprint == rows[1].fingerprint and rows[5] == rows[6]
