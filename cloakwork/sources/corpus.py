@@ -24,14 +24,30 @@ SKIPPED_DIRS = ("node_modules", "out", "dist", "build", ".git", "venv", "env")
 _SCHEMA = "root string, path string, text string"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a corpus that was read in fewer partitions than there are cores out to all of them.
+# Rows that one task scans at most: a small text takes some tenth of a millisecond.
+ROWS_PER_TASK = 200_000
 
-    Detection is bound by computing, so a small corpus gains from it; one of the size of a cluster has more
-    partitions than cores and is returned as it is, without a shuffle.
+# Files that one task opens at most.
+FILES_PER_TASK = 10_000
+
+
+def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Deal a corpus whose rows lie in fewer partitions than there are cores out to all of them.
+
+    Detection is bound by computing.  The number of partitions does not tell: a Parquet file is cut into splits by size,
+    but a row group goes to one of them as a whole and the others stay empty.  So rows are counted by partition, for
+    which a table's footers do.  Rows are also dealt out where one partition has more than ``rows_per_task``; a corpus
+    that is read evenly by as many tasks as there are cores, or more, is returned as it is, without a shuffle, and so is
+    a stream.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    filled, most, rows = sizes.agg(F.count("n"), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if filled >= cores and most <= rows_per_task:
+        return df
+    return df.repartition(max(cores, -(-rows // rows_per_task)))
 
 
 def is_scannable(path: Column) -> Column:
@@ -111,8 +127,11 @@ def _qualified(spark: SparkSession, roots: Sequence[str]) -> list[str]:
     return [whole(root) for root in roots]
 
 
-def _arrow_place(path: str):
-    """The file system and inner path of a path or URI; Hadoop's names of stores stand for Arrow's."""
+def _arrow_place(path: str, stores: dict | None = None):
+    """The file system and inner path of a path or URI; Hadoop's names of stores stand for Arrow's.
+
+    ``stores`` keeps the remote file systems that were opened, by name.
+    """
     from pyarrow import fs
 
     path = re.sub("^file:/+", "/", path)
@@ -120,7 +139,10 @@ def _arrow_place(path: str):
     if remote is None:
         return fs.FileSystem.from_uri(path)
     # Only the store's own name is a URI: names of files may hold any character.
-    system, top = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", remote[1]) + "/")
+    stores = {} if stores is None else stores
+    if remote[1] not in stores:
+        stores[remote[1]] = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", remote[1]) + "/")
+    system, top = stores[remote[1]]
     return system, f"{top.rstrip('/')}{remote[2] or '/'}"
 
 
@@ -162,52 +184,60 @@ def _hidden_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame | None
     return reduce(DataFrame.unionByName, found) if found else None
 
 
-def read_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
-    """Contents of the named files; files that are missing or cannot be read are left out."""
-    fields = [f for f in paths.schema.fields if f.name != "text"]
+# Characters of text that one batch of files holds, but for the last file of it.
+_BATCH_CHARS = 1 << 22
+
+
+def _read_files(paths: DataFrame, path_col: str, fields: Sequence, with_reason: bool) -> DataFrame:
+    """The named files with ``text``; those without are left out, or kept with the ``reason``.
+
+    Names are dealt out first: each costs a look at the store, however few partitions they come in.
+    """
+    dealt = spread(paths.select(*[f.name for f in fields]), FILES_PER_TASK)
+    new = ["text", "reason"] if with_reason else ["text"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stores: dict = {}
+
+        def look(path: str) -> tuple[str | None, str | None]:
+            try:
+                system, inner = _arrow_place(path, stores)
+                with system.open_input_stream(inner) as stream:
+                    body = stream.readall()
+            except FileNotFoundError:
+                return None, "missing"
+            except OSError:
+                return None, "unreadable"
+            return (None, "not text") if with_reason and b"\0" in body[:8000] else (body.decode("utf-8", errors="replace"), None)
+
         for batch in batches:
-            # One file's text at a time is held besides the row that it goes into.
-            for at in range(len(batch)):
-                row = batch.iloc[at : at + 1].copy()
-                try:
-                    system, inner = _arrow_place(row[path_col].iloc[0])
-                    with system.open_input_stream(inner) as stream:
-                        row["text"] = [stream.readall().decode("utf-8", errors="replace")]
-                except OSError:
-                    continue
-                yield row
+            at, found, held = [], [], 0
+            for i, path in enumerate(batch[path_col]):
+                one = look(path)
+                if with_reason or one[1] is None:
+                    at.append(i)
+                    found.append(one[: len(new)])
+                    held += len(one[0] or "")
+                if at and (held >= _BATCH_CHARS or i == len(batch) - 1):
+                    rows = batch.iloc[at].reset_index(drop=True)
+                    for name, values in zip(new, zip(*found, strict=True), strict=True):
+                        rows[name] = pd.Series(values, dtype=object)
+                    yield rows
+                    at, found, held = [], [], 0
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{name} string" for name in new])
+    return dealt.mapInPandas(read, schema)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return paths.select(*[f.name for f in fields]).mapInPandas(read, f"{schema}, text string")
+
+def read_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """Contents of the named files; files that are missing or cannot be read are left out."""
+    return _read_files(paths, path_col, [f for f in paths.schema.fields if f.name != "text"], False)
 
 
 def read_outcomes(paths: DataFrame, path_col: str = "path") -> DataFrame:
     """The named files with ``text``, or with the ``reason`` why there is none: ``missing``, ``unreadable`` or ``not
     text`` (a zero byte among the first 8000).  Each file is opened once."""
-    fields = [f for f in paths.schema.fields if f.name not in ("text", "reason")]
-
-    def look(path: str) -> tuple[str | None, str | None]:
-        try:
-            system, inner = _arrow_place(path)
-            with system.open_input_stream(inner) as stream:
-                body = stream.readall()
-        except FileNotFoundError:
-            return None, "missing"
-        except OSError:
-            return None, "unreadable"
-        return (None, "not text") if b"\0" in body[:8000] else (body.decode("utf-8", errors="replace"), None)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(len(batch)):
-                row = batch.iloc[at : at + 1].copy()
-                row["text"], row["reason"] = ([x] for x in look(row[path_col].iloc[0]))
-                yield row
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return paths.select(*[f.name for f in fields]).mapInPandas(read, f"{schema}, text string, reason string")
+    return _read_files(paths, path_col, [f for f in paths.schema.fields if f.name not in ("text", "reason")], True)
 
 
 def _listing(files: DataFrame, roots: Sequence[str]) -> DataFrame:

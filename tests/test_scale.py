@@ -78,6 +78,29 @@ def test_spread(spark):
     assert cw.spread(wide) is wide
 
 
+def test_spread_counts_rows_not_splits(spark, tmp_path):
+    """One row group cut into many splits lies in one of them."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(20_000).selectExpr("id", "md5(string(id)) as text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10000")
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/t")
+        assert rows.rdd.getNumPartitions() > cores
+        dealt = cw.spread(rows.select("text"))
+        assert min(dealt.rdd.glom().map(len).collect()) > 0 and dealt.count() == 20_000
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    cores = spark.sparkContext.defaultParallelism
+    uneven = spark.range(0, 100, 1, cores).union(spark.range(0, 100 * cores, 1, 1))
+    assert cw.spread(uneven, 50).rdd.getNumPartitions() == -(-(100 + 100 * cores) // 50)
+    assert cw.spread(spark.range(0), 50).count() == 0
+
+
 def test_one_token_in_very_many_texts(spark):
     """A reference token pasted all over; the join keeps the shape that adaptive skew handling needs."""
     one = spark.createDataFrame([(0, s.OPENAI)], "doc_id long, text string")
