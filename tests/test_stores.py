@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import cloakwork as cw
 from cloakwork.session import scratch_dir
+from cloakwork.sources.corpus import read_paths
 
 from . import samples as s
 
@@ -59,3 +60,21 @@ def test_files_that_give_no_text(spark, tmp_path):
     assert got == {paths[0]: "missing", paths[1]: "unreadable", paths[2]: None}
     corpus, errors = cw.load_checked(spark, f"{tmp_path}/nowhere")
     assert corpus.count() == 0 and errors.count() == 1
+
+
+def test_names_of_files_are_dealt_out(spark, tmp_path):
+    """Many names in one partition, most of them of nothing; long files end a batch."""
+    (tmp_path / "a.txt").write_text("a\n" * 3_000_000)
+    (tmp_path / "b.txt").write_text("é" * 10)
+    (tmp_path / "c.txt").write_text("")
+    names = [f"{tmp_path}/gone{i}.txt" for i in range(50)] + [f"{tmp_path}/{x}.txt" for x in "abc"]
+    paths = spark.createDataFrame([(i, p) for i, p in enumerate(names)], "n long, path string").coalesce(1)
+    for read, kept in ((cw.read_outcomes, range(53)), (read_paths, range(50, 53))):
+        got = read(paths)
+        assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        rows = sorted(got.collect())
+        assert [r.n for r in rows] == list(kept)
+        assert [len(r.text) for r in rows[-3:]] == [6_000_000, 10, 0]
+        assert [r.text is None for r in rows] == [i < 50 for i in kept]
+        if read is cw.read_outcomes:
+            assert [r.reason for r in rows] == ["missing"] * 50 + [None] * 3
