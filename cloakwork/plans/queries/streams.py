@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ...operators.mask import protect, vault_of
 from ...operators.unmask import unmask_numbered
-from ...session import scratch_dir
+from ...session import scratch_dir, stored
+from ...sources.corpus import spread
 from ...streaming.live import finding_counts, mask_stream, new_secrets, protect_stream, unmask_stream
 from ...streaming.vault import compact_vault, read_vault
 from ..oracle import line_sql, masked_sql, pick_sql, quote, value_sql
@@ -121,8 +122,9 @@ _LATER = (0, 30, -20, 55, 5, 24 * 60)
 )
 def stream_restored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked messages restored from a stream of vault rows; those whose row comes too late stay masked."""
-    messages = _event_messages(table(spark, sf_dir, "events"))
-    done = protect(messages, mode="vault", key=KEY, corpus="events").drop("text")
+    messages = _event_messages(spread(table(spark, sf_dir, "events")))
+    # Both streams are fed from what is masked once.
+    done = stored(protect(messages, mode="vault", key=KEY, corpus="events").drop("text"), "protected")
     later = F.make_dt_interval(mins=F.get(F.array(*[F.lit(m) for m in _LATER]), (F.col("doc_id") % len(_LATER)).cast("int")))
     rows = vault_of(done, ["doc_id", "ts"]).withColumn("vault_ts", F.col("ts") + later)
     # A last row in either stream, years later, lets the watermark pass all others.

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import cloakwork as cw
+from cloakwork.plans.queries import streams
 from cloakwork.session import scratch_dir
 
 from . import samples as s
@@ -82,3 +83,27 @@ def test_conflicting_rows(spark, texts):
     assert (row.tokens_seen, row.tokens_restored) == (1, 0) and row.restored_text == row.masked_text
     with pytest.raises(ValueError, match="mode"):
         cw.unmask_stream(masked, rows, KEY, ts_col="ts", vault_ts_col="vault_ts", mode="inline")
+
+
+def test_restored_messages_are_masked_once_by_all_tasks(spark, tmp_path, monkeypatch):
+    """The table lies in one partition; both streams come from one stored table."""
+    seen = {}
+
+    def protect(df, **options):
+        seen["parts"] = df.rdd.getNumPartitions()
+        return cw.protect(df, **options)
+
+    def vault_of(df, *args):
+        seen["files"] = df.inputFiles()
+        return cw.vault_of(df, *args)
+
+    monkeypatch.setattr(streams, "protect", protect)
+    monkeypatch.setattr(streams, "vault_of", vault_of)
+    events = spark.range(24).selectExpr(
+        "id as event_id", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, int(id)) as ts", "'{}' as props"
+    )
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    rows = streams.stream_restored_messages(spark, str(tmp_path)).collect()
+    assert seen["parts"] >= spark.sparkContext.defaultParallelism
+    assert seen["files"] and all("/protected-" in f for f in seen["files"])
+    assert sorted((r.doc_id, r.tokens_restored) for r in rows) == [(i, int(i % 6 != 5)) for i in range(24)]
