@@ -2,10 +2,15 @@
 
 Up to a few hundred custom rules are compiled into the projection that scans every text; with tens of
 thousands each text would pay for each rule.  Here every pattern gives literals that no match can lack, and one
-gram of each of them, ``LONG_GRAM`` or at least ``GRAM`` characters in a row, goes into an index: the gram that
-fewest rules have, of those the one least usual in text.  Texts are cut into the same grams, ASCII letters in lower case on both sides, and meet
-the index in a hash join; only rules that met a text are tried on it, in the same scan as built-in ones.
-So the cost of a text follows its length and the rules it meets, not the number of rules.
+gram of each of them goes into an index: the whole literal, or of a longer one those ``LONG_GRAM`` characters in a row
+that fewest rules have, of those the ones least usual in text.  Texts are looked through for the same grams, ASCII letters
+in lower case on both sides, and meet the index in a join; only rules that met a text are tried on it, in the same
+scan as built-in ones.  So the cost of a text follows its length and the rules it meets, not the number of rules.
+
+A gram's key is made of its first and last ``HEAD`` bytes (or ``SHORT``) and its size.  Tasks look at all places of a batch
+of texts at once in numpy and ask a filter of fixed size (``FILTER_BITS`` at most) where a gram may begin, and there, for
+every size that grams have, whether it may be one; only the keys of those are shuffled.  What the filter lets through
+beside them finds no partner in the join, so it costs time at worst, not results.
 
 Nothing of the rule table is collected but patterns without such a literal, patterns that may span lines and those
 that ``literals_of`` does not fully understand: these are compiled into the projection like other custom rules.
@@ -17,16 +22,27 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.corpus import spread
 from ..sources.patterns import runnable
 from .catalogue import Rule, custom_rule, severity_of
 from .detect import BOUND, RULE_DATA
 
-GRAM, LONG_GRAM = 4, 8
+GRAM, LONG_GRAM = 4, 16
+
+# Bytes at either end of a gram that its key is made of, and of a gram that has fewer than HEAD.
+HEAD, SHORT = 8, 4
+
+# The largest filter, places of texts that are looked at at a time, and rules that one task reads.
+FILTER_BITS, AT_ONCE, RULES_PER_TASK = 1 << 28, 1 << 20, 20_000
 
 # Rules that have to be tried on every text; more than that are refused.
 MAX_DIRECT = 2000
@@ -222,10 +238,97 @@ def _commonness(gram: str) -> int:
 
 
 def _grams(literal: str) -> set[str]:
-    size = LONG_GRAM if len(literal) >= LONG_GRAM else GRAM
+    size = min(len(literal), LONG_GRAM)
     return {literal[k : k + size] for k in range(len(literal) - size + 1)}
 
 
+def _mixed(x: np.ndarray, y: np.ndarray | int) -> np.ndarray:
+    """Hashes of pairs of unsigned 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(y, np.uint64)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+
+def _windows(data: np.ndarray, width: int) -> np.ndarray:
+    """The bytes from every place on as one number; ``data`` has ``HEAD`` bytes more than places."""
+    return np.ndarray((len(data) - HEAD,), f"<u{width}", data, strides=(1,))
+
+
+def _begins(windows: np.ndarray, width: int) -> np.ndarray:
+    return _mixed(windows.astype(np.uint64), width)
+
+
+def _keys(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    return _mixed(_mixed(first.astype(np.uint64), size << 8), last)
+
+
+def _width(size: int) -> int:
+    return HEAD if size >= HEAD else SHORT
+
+
+def _padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(HEAD, np.uint8)])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams with their size in bytes, their key and the hash of their beginning."""
+    for batch in batches:
+        sizes, keys, begins = [], [], []
+        for gram in batch["gram"].to_pylist():
+            data = np.frombuffer(gram.encode("utf-8", "surrogatepass"), np.uint8)
+            size, width = len(data), _width(len(data))
+            windows = _windows(_padded(data), width)
+            sizes.append(size)
+            keys.append(_keys(windows[:1], windows[size - width : size - width + 1], size)[0])
+            begins.append(_begins(windows[:1], width)[0])
+        made = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, begins)]
+        yield pa.RecordBatch.from_arrays([batch["gram"], batch["order"], pa.array(sizes, pa.int32()), *made], names=["gram", "order", "size", "key", "begin"])
+
+
+def _filter(grams: DataFrame) -> np.ndarray:
+    """The keys and beginnings of grams as bits, 16 for each while there is room."""
+    bits = min(FILTER_BITS, 1 << max(13, (32 * grams.count()).bit_length()))
+    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    hashes = grams.select(F.explode(F.array("key", "begin")).alias("hash")).select(F.shiftright(place, 3).alias("at"), place.bitwiseAND(F.lit(7)).alias("bit"))
+    found = hashes.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, int(bit))")).alias("byte")).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    out[found["at"].to_numpy()] = found["byte"].to_numpy()
+    return out
+
+
+def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & np.uint64(len(bits) * 8 - 1)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def _met_keys(texts: pa.Array, sizes: tuple[int, ...], bits: np.ndarray) -> pd.DataFrame:
+    """The keys of grams that texts may hold, ``text, key``, each once a text."""
+    body = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    ends = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
+    raw = np.frombuffer(body.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    data = _padded(_LOWER[raw])
+    found: list[pd.DataFrame] = []
+    for width in (HEAD, SHORT):
+        own = [size for size in sizes if _width(size) == width]
+        windows = _windows(data, width)
+        for start in range(0, len(raw) if own else 0, AT_ONCE):
+            at = start + np.flatnonzero(_holds(bits, _begins(windows[start : start + AT_ONCE], width)))
+            text = np.searchsorted(ends, at, "right") - 1
+            for size in own:
+                # A gram ends in the text in which it begins.
+                inside = at + size <= ends[text + 1]
+                here = at[inside]
+                keys = _keys(windows[here], windows[here + (size - width)], size)
+                met = _holds(bits, keys)
+                found.append(pd.DataFrame({"text": text[inside][met], "key": keys[met].view(np.int64)}))
+    return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"text": np.zeros(0, np.int64), "key": np.zeros(0, np.int64)})
+
+
 def _literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every literal of every rule its grams; a rule without any gives a row without."""
     kinds = {"order": pa.int64(), "literal": pa.int32(), "gram": pa.string(), "common": pa.int32()}
@@ -244,8 +347,8 @@ def _literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class RuleIndex:
-    """An indexed rule table: ``grams`` (gram, order), ``rules`` (order, rule), what is tried on every text, and
-    ``rejected`` patterns that are no regular expressions."""
+    """An indexed rule table: ``grams`` (gram, order, key), ``rules`` (order, rule), what is tried on every text,
+    ``rejected`` patterns that are no regular expressions, the grams' ``sizes`` in bytes and their filter."""
 
     grams: DataFrame
     rules: DataFrame
@@ -253,16 +356,22 @@ class RuleIndex:
     orders: tuple[int, ...]
     rejected: DataFrame
     sizes: tuple[int, ...]
+    bits: Broadcast
 
     def met(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """Rules that may match, by hash of the text: ``h, met``.  Equal texts meet once they are grouped, within
         tasks first; a text is looked up in the index by its distinct grams."""
-        # Line ends are part of no gram: rules of the index look at one line at a time.
-        lower = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        grams = [F.regexp_extract_all(lower, F.lit(f"(?=([^\\n]{{{size}}}))"), F.lit(1)) for size in self.sizes]
-        every = F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
-        cut = df.select(F.xxhash64(text_col).alias("h"), F.explode(every).alias("gram"))
-        pairs = cut.join(self.grams, "gram").select("h", "order").distinct()
+        sizes, bits = self.sizes, self.bits
+
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = _met_keys(batch["text"], sizes, bits.value)
+                hashes = batch["h"].take(pa.array(found["text"].to_numpy()))
+                yield pa.RecordBatch.from_arrays([hashes, pa.array(found["key"].to_numpy())], names=["h", "key"])
+
+        texts = df.select(F.xxhash64(text_col).alias("h"), F.col(f"`{text_col}`").alias("text"))
+        cut = texts.mapInArrow(keys, "h long, key long")
+        pairs = cut.join(self.grams.select("key", "order"), "key").select("h", "order").distinct()
         return pairs.join(self.rules, "order").groupBy("h").agg(F.sort_array(F.collect_list("rule")).alias("met"))
 
     def attach(self, df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -283,12 +392,13 @@ def rule_index(rules: DataFrame, order_col: str = "item") -> RuleIndex:
     rows = rules.where("pattern <> ''").select(
         F.col(order_col).alias("key"), F.coalesce("name", F.lit("custom-pattern")).alias("name"), "pattern", category.alias("category")
     )
-    numbered = stored(_numbered(rows.distinct()), "rules")
+    numbered = spread(stored(_numbered(rows.distinct()), "rules"), RULES_PER_TASK)
     cut = stored(numbered.mapInArrow(_literals, "order long, literal int, gram string, common int"), "grams")
     sharing = cut.where("gram is not null").groupBy("gram").agg(F.count_distinct("order").alias("sharing"))
     best = F.min(F.struct("sharing", "common", "gram")).alias("best")
     grams = cut.join(sharing, "gram").groupBy("order", "literal").agg(best)
-    grams = stored(grams.select(F.col("best.gram").alias("gram"), "order").distinct(), "index")
+    chosen = grams.select(F.col("best.gram").alias("gram"), "order").distinct()
+    grams = stored(chosen.mapInArrow(_keyed, "gram string, order long, size int, key long, begin long"), "index")
 
     alone = numbered.join(cut.where("gram is null").select("order"), "order").orderBy("order")
     rest = alone.select("order", "name", "pattern", "category").limit(MAX_DIRECT + 1).collect()
@@ -309,14 +419,21 @@ def rule_index(rules: DataFrame, order_col: str = "item") -> RuleIndex:
         tuple(rule for _, rule in direct),
         tuple(order for order, _ in direct),
         spark.createDataFrame(rejected, "name string, pattern string, category string"),
-        tuple(sorted(r[0] for r in grams.select(F.length("gram")).distinct().collect())),
+        tuple(sorted(r[0] for r in grams.select("size").distinct().collect())),
+        spark.sparkContext.broadcast(_filter(grams)),
     )
 
 
 def _numbered(rules: DataFrame) -> DataFrame:
-    """Rules with a running number from 0.  A rule table is no text: one sort of it is a small job."""
-    order = Window.orderBy("key", "name", "pattern", "category")
-    return rules.select((F.row_number().over(order) - 1).cast("long").alias("order"), "name", "pattern", "category")
+    """Rules with a running number from 0: sorted by ranges and counted in each, the ranges before it added."""
+    from ..session import stored
+
+    ordered = rules.orderBy("key", "name", "pattern", "category").withColumn("at", F.monotonically_increasing_id())
+    ordered = stored(ordered, "sorted-rules").withColumn("part", F.shiftright("at", 33))
+    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.join(before, "part").select((F.col("before") + within).cast("long").alias("order"), "name", "pattern", "category")
 
 
 def _severity(category: Column) -> Column:

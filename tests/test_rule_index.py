@@ -151,3 +151,17 @@ def test_rules_that_share_their_beginning_get_other_grams(spark):
     rules = spark.range(500).select(F.col("id").alias("item"), F.lit("r").alias("name"), F.format_string("tenant-key-%04d=[a-z]+", "id").alias("pattern"), F.lit("c").alias("category"))
     index = cw.rule_index(rules)
     assert index.grams.groupBy("gram").count().agg(F.max("count")).first()[0] <= 10
+
+
+def test_a_text_meets_only_rules_whose_literal_it_holds(spark, texts):
+    """Rules that share all grams of eight characters with a text, but not the whole literal, are not tried on it."""
+    words = [f"ofthing{a}{b}{c}" for a in "abcd" for b in "abcd" for c in "abcd"]
+    rules = spark.createDataFrame([(i, w, f" {w}[.,]", "custom") for i, w in enumerate(words)] + [(99, "é", "é<Ü>é!", "custom"), (100, "s", "abÇ:", "custom")], RULES)
+    index = cw.rule_index(rules)
+    docs = texts("see ofthingaab, so", "Ofthing ofthingddd; É<ü>é! É<Ü>é! x abç: aBÇ: ", " é<Ü>é", "!", "", None)
+    met = {r.doc_id: len(r["__cw_met"]) for r in index.attach(docs).collect()}
+    assert met == {0: 1, 1: 2, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert sorted(r.order for r in index.rules.select("order").collect()) == list(range(66))
+    usable, _ = cw.usable_rules(rules)
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "rule_id", "column").collect()))
+    assert key(cw.findings(docs, rules=index)) == key(cw.findings(docs, custom=usable))
