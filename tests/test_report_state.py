@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import cloakwork as cw
 from cloakwork.operators.normalise import normalise
+from cloakwork.plans.queries import reports
 from cloakwork.sources.reports import html_report
 
 ROW = "root string, path string, line int, category string, value string, risk double, confidence double, fingerprint string"
@@ -76,3 +77,12 @@ def test_states_add_up(spark, some):
     assert (empty.total_findings, empty.score, empty.distinct_secrets) == (0, 100.0, 0)
     by_root = {r.root: r.total_findings for r in cw.state_summary(cw.report_state(some, by=["root"]), by=["root"]).collect()}
     assert sum(by_root.values()) == 400
+
+
+def test_merged_state_looks_for_findings_once(spark, small, monkeypatch):
+    seen = []
+    state = reports.report.report_state
+    monkeypatch.setattr(reports.report, "report_state", lambda df, **by: seen.append(df.inputFiles()) or state(df, **by))
+    row = reports.merged_report_state(spark, small).first()
+    assert seen[0] and all("/findings-" in f for f in seen[0])
+    assert row.secrets_close and row.total_findings >= spark.read.parquet(f"{small}/documents.parquet").count()
