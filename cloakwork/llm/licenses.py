@@ -55,24 +55,20 @@ def _lines(files: DataFrame, path_col: str, text_col: str) -> DataFrame:
 def statements(files: DataFrame, known: DataFrame, path_col: str = "path", text_col: str = "text", least: float = 0.6) -> DataFrame:
     """``(path, line, license, cosine)``: every line that is close to a template, with the closest.
 
-    A word of a line weighs its count times ``log((1 + lines) / (1 + lines with it)) + 1``, words that no template has
-    as one of a single line.  Ties go to the smaller name.
+    A word, of a line or a template, weighs its count times ``log((1 + lines) / (1 + lines with it)) + 1``.  Ties go to
+    the smaller name.
     """
-    spark = files.sparkSession
     lines = _lines(files, path_col, text_col)
     parts = known.select("license", "statement", F.explode(words_of(F.col("statement"))).alias("word"))
     tf = stored(parts.groupBy("license", "statement", "word").agg(F.count(F.lit(1)).alias("tf")), "templates")
-    words = [r.word for r in tf.select("word").distinct().limit(MAX_VOCABULARY + 1).collect()]
-    if len(words) > MAX_VOCABULARY:
+    if tf.select("word").distinct().limit(MAX_VOCABULARY + 1).count() > MAX_VOCABULARY:
         raise ValueError(f"templates of more than {MAX_VOCABULARY} words")
-    vocabulary = F.array(*map(F.lit, sorted(words))) if words else F.array().cast("array<string>")
 
-    # One pass over all text counts the lines, and those with each template word.  The mark "" is every line's.
-    seen = lines.select(F.explode(F.concat(F.array_intersect("words", vocabulary), F.array(F.lit("")))).alias("word"))
+    # One pass over all text counts the lines, and those with each word.  The mark "" is every line's.
+    seen = lines.select(F.explode(F.concat(F.array_distinct("words"), F.array(F.lit("")))).alias("word"))
     df = stored(seen.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "line-counts")
     total = df.where("word = ''").agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
     idf = lambda n: F.log((1.0 + total) / (1.0 + n)) + 1
-    one = F.lit(float(spark.range(1).select(idf(F.lit(1.0))).first()[0]))
     weighed = tf.join(df, "word", "left").withColumn("w", F.col("tf") * idf(F.coalesce("df", F.lit(0))))
     # A line with none of a template's heaviest words cannot be that close to it: the rest is too short a vector.
     by_weight = Window.partitionBy("license", "statement").orderBy(F.desc("w"), "word")
@@ -87,7 +83,7 @@ def statements(files: DataFrame, known: DataFrame, path_col: str = "path", text_
     open_lines = lines.where(gate).select("path", "line", F.explode("words").alias("word"))
     counted = open_lines.groupBy("path", "line", "word").agg(F.count(F.lit(1)).alias("n"))
     weights = df.where("word <> ''").select("word", idf(F.col("df")).alias("idf"))
-    counted = stored(counted.join(weights, "word", "left").withColumn("lw", F.col("n") * F.coalesce("idf", one)), "license-lines")
+    counted = stored(counted.join(weights, "word").withColumn("lw", F.col("n") * F.col("idf")), "license-lines")
     norms = counted.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("lw") * F.col("lw"))).alias("line_norm"))
     dots = (
         counted.select("path", "line", "word", "lw")

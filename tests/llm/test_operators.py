@@ -218,6 +218,19 @@ def test_license_cosine_by_hand(spark):
     assert row.license == "CC" and abs(row.cosine - want) < 1e-9
 
 
+def test_license_words_that_no_template_has_weigh_by_their_lines(spark):
+    import math
+
+    texts = ["Licensed under CC BY 4.0 often often"] + ["often seen"] * 6
+    files = spark.createDataFrame([(f"{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    known = licenses.templates(spark, [("CC", "Licensed under CC BY 4.0")])
+    rare = math.log((1 + 7) / (1 + 1)) + 1
+    often = math.log((1 + 7) / (1 + 7)) + 1
+    want = math.sqrt(5) * rare / math.sqrt(5 * rare**2 + (2 * often) ** 2)
+    row = licenses.statements(files, known, least=0.5).first()
+    assert row.license == "CC" and abs(row.cosine - want) < 1e-9
+
+
 # 5. Secrets
 
 
