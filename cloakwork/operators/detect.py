@@ -397,7 +397,7 @@ def scan_of(
 
 
 def _numbered(scan: Column) -> Column:
-    """Findings of a document in text order, with document-wide line number and ordinal."""
+    """Findings of a document in text order, with document-wide line number and ordinal, and what their scores need."""
     # Units of more than one line shift the numbers of everything after them.
     long_units = F.filter(
         F.transform(scan, lambda x, i: F.struct(i.alias("i"), count_newlines(x["text"]).alias("n"))),
@@ -408,33 +408,39 @@ def _numbered(scan: Column) -> Column:
         before = F.filter(shifts, lambda x: x["i"] < i)
         return i + 1 + F.aggregate(before, F.lit(0), lambda total, x: total + x["n"])
 
-    def scored(text: Column, f: Column, line: Column) -> Column:
+    def placed(text: Column, f: Column, line: Column) -> Column:
         window = F.substring(text, f["context_from"] + 1, f["s"] - f["context_from"])
-        scores = F.struct(
-            line.alias("line"),
-            f.alias("f"),
-            entropy_of(f["value"]).alias("entropy"),
-            context_of(window).alias("context"),
-        )
-        return let(scores, rated)
-
-    def rated(x: Column) -> Column:
-        f = x["f"]
-        confidence = confidence_of(f["value"], f["category"], f["base"], x["entropy"], x["context"])
-        return x.withField("confidence", confidence)
+        return F.struct(line.alias("line"), f.alias("f"), window.alias("window"))
 
     def of_unit(shifts: Column, x: Column, i: Column) -> Column:
-        return F.transform(x["found"], lambda f: scored(x["text"], f, first_line(shifts, i) + f["line"]))
+        return F.transform(x["found"], lambda f: placed(x["text"], f, first_line(shifts, i) + f["line"]))
 
     def finish(x: Column, k: Column) -> Column:
         f = x["f"]
         return F.struct(
             (k + 1).alias("ordinal"),
             x["line"].alias("line"),
-            f["column"].alias("column"),
-            f["rule_id"].alias("rule_id"),
-            f["category"].alias("category"),
-            f["value"].alias("value"),
+            *[f[name].alias(name) for name in ("column", "rule_id", "category", "value", "base", "severity")],
+            x["window"].alias("window"),
+        )
+
+    def all_of(shifts: Column) -> Column:
+        return F.flatten(F.transform(scan, lambda x, i: of_unit(shifts, x, i)))
+
+    return let(long_units, lambda shifts: F.transform(all_of(shifts), finish))
+
+
+def _scored(found: Column) -> Column:
+    """A numbered finding in the canonical schema."""
+
+    def rated(x: Column) -> Column:
+        f = x["f"]
+        return x.withField("confidence", confidence_of(f["value"], f["category"], f["base"], x["entropy"], x["context"]))
+
+    def finish(x: Column) -> Column:
+        f = x["f"]
+        return F.struct(
+            *[f[name].alias(name) for name in ("ordinal", "line", "column", "rule_id", "category", "value")],
             F.lit(True).alias("regex_match"),
             x["entropy"].alias("entropy_score"),
             x["context"].alias("context_score"),
@@ -443,10 +449,10 @@ def _numbered(scan: Column) -> Column:
             features_of(F.lit(True), x["entropy"], x["context"]).alias("features"),
         )
 
-    def all_of(shifts: Column) -> Column:
-        return F.flatten(F.transform(scan, lambda x, i: of_unit(shifts, x, i)))
-
-    return let(long_units, lambda shifts: F.transform(all_of(shifts), finish))
+    scores = F.struct(
+        found.alias("f"), entropy_of(found["value"]).alias("entropy"), context_of(found["window"]).alias("context")
+    )
+    return let(let(scores, rated), finish)
 
 
 _EMPTY = (
@@ -457,7 +463,7 @@ _EMPTY = (
 
 
 def finding_list(scan: Column, min_confidence: float = 0.0) -> Column:
-    found = F.when(scan.isNotNull(), _numbered(scan)).otherwise(F.array().cast(_EMPTY))
+    found = F.when(scan.isNotNull(), F.transform(_numbered(scan), _scored)).otherwise(F.array().cast(_EMPTY))
     if min_confidence > 0:
         found = F.filter(found, lambda f: f["confidence"] >= min_confidence)
     return found
@@ -556,13 +562,18 @@ def findings(
         path_col = "path"
     path = F.col(path_col) if path_col else F.lit(None).cast("string")
     scanned, scan = scan_with(df, text_col, custom, rules, scope, entropy)
-    found = let(scan, lambda x: finding_list(x, min_confidence))
+    # Scores are a column of their own beside what they rest on: where nobody asks for them they are not worked out.
+    filtered = min_confidence > 0
+    found = let(scan, lambda x: finding_list(x, min_confidence) if filtered else F.when(x.isNotNull(), _numbered(x)))
     # An outer explode: for the plain one the optimizer would test "has findings" in a filter of its own,
     # and so run the detection twice.
-    rows = scanned.select(*ids, path.alias("path"), F.explode_outer(found).alias("f"))
-    return rows.where(F.col("f").isNotNull()).select(
+    rows = scanned.select(*ids, path.alias("path"), F.explode_outer(found).alias("f")).where(F.col("f").isNotNull())
+    scores = F.col("f") if filtered else _scored(F.col("f"))
+    scored = rows.select(*ids, F.col("path"), F.col("f"), scores.alias("scores"))
+    plain = ("ordinal", "line", "column", "rule_id", "category", "value")
+    return scored.select(
         *ids,
         F.col("path"),
-        *[F.col(f"f.{name}").alias(name) for name in FINDING_FIELDS],
+        *[F.col(f"{'f' if name in plain else 'scores'}.{name}").alias(name) for name in FINDING_FIELDS],
         fingerprint(F.col("f.value")).alias("fingerprint"),
     )

@@ -133,3 +133,16 @@ def test_discarded_tables(spark):
     path = second._scratch_path.removeprefix("file:")
     discard(second, spark.range(1))
     assert first.count() == 5 and not os.path.exists(path) and spark.conf.get(_CLEANUP, "false") == "false"
+
+
+def test_scores_are_worked_out_where_they_are_asked_for(spark, texts):
+    """Scores stand beside the findings: a query that leaves them out does not pay for them."""
+    docs = texts(f"password = {s.OPENAI}\nx /a/b/c", "nothing", None)
+    found = cw.findings(docs, custom=[cw.custom_rule("path", "/a/b/c")])
+    words = "passw|pwd|credential"
+    assert words in plan_of(found.select("doc_id", "risk"))
+    assert words not in plan_of(found.select("doc_id", "value", "line", "column"))
+    listed = cw.detect(docs, custom=[cw.custom_rule("path", "/a/b/c")]).selectExpr("inline(findings)").collect()
+    assert len(listed) == 2 and [tuple(r) for r in found.select(*listed[0].__fields__).collect()] == [tuple(r) for r in listed]
+    kept = cw.findings(docs, custom=[cw.custom_rule("path", "/a/b/c")], min_confidence=0.5).collect()
+    assert kept == [r for r in found.collect() if r.confidence >= 0.5] and len(kept) == 1
