@@ -162,6 +162,26 @@ def test_masked_scores_by_plain_loops(spark, small, odd):
     assert mean(some) > mean(mixed)
 
 
+def test_masked_steps_by_plain_loops():
+    """The steps of a batch against their plain forms, to the last bit."""
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    x = draw.normal(0, 9, (300, masked_lm.CLASSES)).astype(np.float32)
+    x[0], x[1, 3] = 0, 80
+    plain = x - x.max(axis=1, keepdims=True)
+    plain = plain - np.log(np.exp(plain).sum(axis=1, keepdims=True))
+    at = draw.integers(0, masked_lm.CLASSES, 300)
+    assert (masked_lm._log_chosen(x.copy(), at) == plain[np.arange(300), at]).all()
+    assert (masked_lm._log_softmax(x.copy()) == plain).all()
+    near = draw.integers(0, masked_lm.WORDS + 1, (2 * masked_lm.SIDE, 300))
+    rows = draw.normal(0, 1, (300, masked_lm.VECTOR)).astype(np.float32)
+    sums = np.zeros((2 * masked_lm.SIDE, masked_lm.WORDS + 1, masked_lm.VECTOR))
+    for j, places in enumerate(near):
+        np.add.at(sums[j], places, rows.astype(np.float64))
+    assert (masked_lm._scatter(near, rows) == sums.astype(np.float32)).all()
+
+
 def test_masked_model_of_nothing(empty):
     network = masked_lm.train(empty)
     assert masked_lm.score(empty, network).count() == 0
