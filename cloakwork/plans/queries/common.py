@@ -44,8 +44,12 @@ def wrapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", wrapped(F.col("text"), F.col("doc_id")).alias("text"))
 
 
+# Keys of which one task makes texts at most: a key is cheap to move, what is made of it as dear to scan as any text.
+KEYS_PER_TASK = 20_000
+
+
 def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"), KEYS_PER_TASK)
 
 
 def orders_text(spark: SparkSession, sf_dir: str, text: Callable[[Column], Column]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import cloakwork as cw
 from cloakwork.functions.bind import let, walk
+from cloakwork.plans.queries.common import KEYS_PER_TASK, order_keys
 from cloakwork.session import _CLEANUP, CHECKPOINT_DIR, _own_folder, discard, scratch_dir, stored
 
 from . import samples as s
@@ -101,6 +102,17 @@ def test_spread_bounds_the_rows_of_a_task(spark):
     assert cw.spread(spark.range(0), 50).count() == 0
 
 
+def test_texts_made_from_keys_go_in_small_shares(spark, tmp_path):
+    """As many row groups as cores, each within what a task may read of texts, were scanned as they lay."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = 30_000 * cores
+    spark.range(0, rows, 1, cores).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    keys = order_keys(spark, str(tmp_path))
+    sizes = keys.rdd.glom().map(len).collect()
+    assert sum(sizes) == rows and max(sizes) <= KEYS_PER_TASK * 1.01
+    assert sorted(r.o_orderkey for r in keys.collect()) == list(range(rows))
+
+
 def test_one_token_in_very_many_texts(spark):
     """A reference token pasted all over; the join keeps the shape that adaptive skew handling needs."""
     one = spark.createDataFrame([(0, s.OPENAI)], "doc_id long, text string")
