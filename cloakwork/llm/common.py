@@ -92,6 +92,8 @@ def linked(
     may: Callable[[str, str], Column],
     of_list: Sequence[Column] = (),
     worth: Column | None = None,
+    marks: Callable[[DataFrame], DataFrame] | None = None,
+    near: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """Links ``(a, b)`` that join up all similar members of any list of ``(key, id, ...)``.
 
@@ -103,7 +105,8 @@ def linked(
 
     ``prepare(ids)`` makes the table that ``verify(pairs, table)`` decides with; ``may(l, r)`` is a cheap test of
     two members by their further columns.  ``worth`` tells by further aggregates ``of_list`` which lists may hold
-    similar members at all.
+    similar members at all.  ``marks(table)`` is a table ``(id, ...)`` of what ``near(l, r)`` needs, a test that all
+    similar members pass: the last step asks it where members meet, so that other pairs are never written.
     """
     hubs = lists.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other"), *of_list)
     hubs = hubs.where("hub <> other") if worth is None else hubs.where("hub <> other").where(worth)
@@ -145,6 +148,10 @@ def linked(
         before = apart.drop("size")
         before._scratch_path = apart._scratch_path
     condition = (F.col("l.key") == F.col("r.key")) & (F.col("l.group") < F.col("r.group")) & may("l", "r")
+    if marks is not None:
+        bare, apart = apart, stored(apart.join(marks(table), "id"), "members")
+        discard(bare)
+        condition = condition & near("l", "r")
     rest = (
         apart.alias("l")
         .join(apart.alias("r"), condition)

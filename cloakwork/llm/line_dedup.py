@@ -176,6 +176,27 @@ def _edited(both: DataFrame, percent: int) -> DataFrame:
     return both.where(F.when(whole <= F.col("most"), F.lit(True)).otherwise(distance >= 0)).select("a", "b")
 
 
+# Letters that are counted before lines are compared.  An edited character changes the count of one letter by one, or of
+# two letters, one up and one down.
+_LETTERS = "etaoinsrhldcum"
+
+
+def _letters(words: Column) -> list[Column]:
+    """How often each of ``_LETTERS`` is in a line's words."""
+    bare = lambda c: F.length(F.replace(words, F.lit(c), F.lit("")))
+    return [(F.length(words) - bare(c)).alias(f"c{i}") for i, c in enumerate(_LETTERS)]
+
+
+def _few_letters_apart(l: str, r: str, most: Column) -> Column:
+    """Whether two lines can be ``most`` edits apart, by their letters."""
+
+    def over(a: str, b: str) -> Column:
+        more = [F.greatest(F.col(f"{a}.c{i}") - F.col(f"{b}.c{i}"), F.lit(0)) for i in range(len(_LETTERS))]
+        return reduce(lambda x, y: x + y, more)
+
+    return (over(l, r) <= most) & (over(r, l) <= most)
+
+
 def _distance(a: str, b: str) -> Column:
     """In how many bits two SimHashes differ."""
     apart = lambda h: F.bit_count(F.col(f"{a}.{h}").bitwiseXOR(F.col(f"{b}.{h}")))
@@ -218,7 +239,17 @@ def line_groups(
     lists = distinct.where("h1 is not null").select(F.explode(keys).alias("key"), F.col("line_id").alias("id"), "n")
     of_list = [F.count(F.lit(1)).alias("m"), F.min("n").alias("n1"), F.max("n").alias("n2")]
     worth = (F.col("m") > 2) | may(F.col("n1"), F.col("n2"))
-    links = linked(lists, similar, texts, lambda l, r: may(F.col(f"{l}.n"), F.col(f"{r}.n")), of_list, worth)
+
+    def marks(table: DataFrame) -> DataFrame:
+        hashes = distinct.select(F.col("line_id").alias("id"), "h1", "h2")
+        return table.select("id", *_letters(F.col("words"))).join(hashes, "id")
+
+    def near(l: str, r: str) -> Column:
+        most = F.floor(F.greatest(F.col(f"{l}.n"), F.col(f"{r}.n")) * (100 - percent) / 100)
+        return (_distance(l, r) <= MAX_DISTANCE) & _few_letters_apart(l, r, most)
+
+    close = lambda l, r: may(F.col(f"{l}.n"), F.col(f"{r}.n"))
+    links = linked(lists, similar, texts, close, of_list, worth, marks, near)
     found = components(links).select(F.col("node").alias("line_id"), F.col("component").alias("group"))
     repeated = distinct.where("copies > 1").select("line_id").join(found, "line_id", "left_anti")
     groups = stored(found.unionByName(repeated.select("line_id", F.col("line_id").alias("group"))), "line-groups")

@@ -726,3 +726,47 @@ def test_url_lists(spark):
 def test_address_keys(spark):
     row = spark.createDataFrame([("https://me@A.b.example:8080/x//y/?q#f",)], "u string").select(url_lists.address_keys(F.col("u"))).first()
     assert [tuple(k) for k in row[0]] == [("example", 1), ("b.example", 2), ("a.b.example", 3), ("a.b.example/x", 5), ("a.b.example/x/", 6), ("a.b.example/x//y", 7)]
+
+
+def test_unlike_lines_of_a_list_are_told_apart_where_they_meet(spark, monkeypatch):
+    """Lines that share words, and so keys, were all paired before any of them was looked at."""
+    rng = random.Random(5)
+
+    def made() -> str:
+        few = rng.sample("etaoinsrhldcum", 3)
+        return " ".join("".join(rng.choice(few) for _ in range(15)) for _ in range(3))
+
+    lines = [f"shared opening words found everywhere among these {made()}" for _ in range(60)]
+    lines += [lines[7].replace("opening", "openings"), lines[30][:-1] + "#" + lines[30][-1]]
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    asked = []
+    real = line_dedup.linked
+
+    def linked(lists, verify, *rest):
+        def counted(pairs, own):
+            asked.append(pairs.count())
+            return verify(pairs, own)
+
+        return real(lists, counted, *rest)
+
+    monkeypatch.setattr(line_dedup, "linked", linked)
+    left = {r.doc_id for r in line_dedup.dedup_lines(table).collect()}
+    assert left == set(range(60))
+    assert len(asked) > 1 and asked[-1] <= len(lines), asked
+
+
+def test_letters_tell_no_similar_lines_apart(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        a = "".join(rng.choice("etaoinsrhldcum xyzäß") for _ in range(rng.randint(20, 80)))
+        b = list(a)
+        for _ in range(rng.randint(1, 16)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "e", "t", "zz", " "])
+        rows.append((i, a, "".join(b)))
+    both = spark.createDataFrame(rows, "id int, a string, b string")
+    side = lambda c: both.select("id", *line_dedup._letters(F.col(c))).alias(c)
+    met = both.join(side("a"), "id").join(side("b"), "id").withColumn("apart", F.levenshtein(both["a"], both["b"]))
+    assert met.where(~line_dedup._few_letters_apart("a", "b", F.col("apart"))).count() == 0
+    assert met.where(line_dedup._few_letters_apart("a", "b", F.lit(0))).count() < 150
