@@ -94,6 +94,7 @@ def linked(
     worth: Column | None = None,
     marks: Callable[[DataFrame], DataFrame] | None = None,
     near: Callable[[str, str], Column] | None = None,
+    every: bool = False,
 ) -> DataFrame:
     """Links ``(a, b)`` that join up all similar members of any list of ``(key, id, ...)``.
 
@@ -107,6 +108,9 @@ def linked(
     two members by their further columns.  ``worth`` tells by further aggregates ``of_list`` which lists may hold
     similar members at all.  ``marks(table)`` is a table ``(id, ...)`` of what ``near(l, r)`` needs, a test that all
     similar members pass: the last step asks it where members meet, so that other pairs are never written.
+    With ``every``, for tests that few unlike members pass, a large list asks it of all members and the one drawn, and
+    verifies all that pass; members are drawn until what passes foretells few pairs of the last step, a tenth of the
+    number of members.
     """
     hubs = lists.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other"), *of_list)
     hubs = hubs.where("hub <> other") if worth is None else hubs.where("hub <> other").where(worth)
@@ -135,12 +139,23 @@ def linked(
         large = apart.where(F.col("size") > SMALL_LIST)
         if turn == MOST_ROUNDS or large.isEmpty():
             break
-        drawn = large.groupBy("key").agg(F.min_by(F.struct("id", "group"), F.xxhash64("id", F.lit(turn))).alias("hub"))
-        asked = large.join(drawn, "key").where(F.col("group") != F.col("hub.group")).select("id", F.col("hub.id").alias("hub"))
-        new = stored(met(asked, "hub").join(tried, ["a", "b"], "left_anti").distinct(), "pairs")
+        if every:
+            asked = stored(_near_drawn(large, marks(table), turn, may, near), "asked")
+            ahead = asked.agg(F.sum(F.col("size") / 2)).first()[0] or 0
+            if ahead <= apart.count() * LEAST_YIELD:
+                discard(asked)
+                break
+            pairs = asked.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        else:
+            drawn = large.groupBy("key").agg(F.min_by(F.struct("id", "group"), F.xxhash64("id", F.lit(turn))).alias("hub"))
+            asked = large.join(drawn, "key").where(F.col("group") != F.col("hub.group")).select("id", F.col("hub.id").alias("hub"))
+            pairs = met(asked, "hub")
+        new = stored(pairs.join(tried, ["a", "b"], "left_anti").distinct(), "pairs")
+        if every:
+            discard(asked)
         found = stored(verify(new, table), "links")
         # Where members are like few others, drawing more of them finds little: the last step compares them all.
-        yields = found.count() >= new.count() * LEAST_YIELD
+        yields = every or found.count() >= new.count() * LEAST_YIELD
         links, tried = stored(links.unionByName(found), "links"), stored(tried.unionByName(new), "pairs")
         discard(new, found)
         if not yields:
@@ -162,3 +177,15 @@ def linked(
     done = stored(links.unionByName(verify(rest, table)), "links")
     discard(apart, tried, links)
     return done
+
+
+def _near_drawn(
+    large: DataFrame, marks: DataFrame, turn: int, may: Callable[[str, str], Column], near: Callable[[str, str], Column]
+) -> DataFrame:
+    """``(id, hub, size)``: of each list one member drawn by hash, and those of other groups that may be like it."""
+    member = F.struct(*[c for c in large.columns if c != "key"])
+    drawn = large.groupBy("key").agg(F.min_by(member, F.xxhash64("id", F.lit(turn))).alias("hub"))
+    others = large.join(drawn.select("key", F.col("hub.group").alias("own")), "key").where("group <> own").drop("own")
+    l, r = others.join(marks, "id").alias("l"), drawn.select("key", "hub.*").join(marks, "id").alias("r")
+    condition = (F.col("l.key") == F.col("r.key")) & may("l", "r") & near("l", "r")
+    return l.join(r, condition).select("l.id", F.col("r.id").alias("hub"), "l.size")

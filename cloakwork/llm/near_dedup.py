@@ -4,6 +4,7 @@ Documents with the same shingle set are one class from the start.  The sketch of
 shingle hashes.  Inverted lists of retained values bring classes together: long documents meet on four
 neighbouring values of their sketches, short ones on one value of the part of their set that two similar sets
 cannot both miss, or on two values where one is in many sets.  The sketch of the union estimates the similarity of a pair, and the full sets decide.
+Where members of a list meet, the parities of their sets tell most unlike pairs apart before they are written.
 
 Nothing is cut off in a large list: every class first meets one class of the list, the hub, and all that are
 similar to it become one group; only classes of different groups are then compared with each other.
@@ -12,6 +13,7 @@ similar to it become one group; only classes of different groups are then compar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,9 @@ RUN = 4
 # Sets up to SHORT meet on single values, sets from SKETCH on neighbours: similar sets always have one in common.
 SHORT = SKETCH * 5 // 4
 
+# A set's parities: one bit for each of 64 times so many places, set if an odd number of its hashes fall there.
+PARITIES = 16
+
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LONGS = pa.list_(pa.int64())
 
@@ -58,15 +63,22 @@ def _digest(hashes: np.ndarray) -> tuple[int, int]:
     return (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """``PARITIES`` numbers.  Each hash that only one of two sets has changes one bit, so two sets have at least as many
+    hashes apart as their parities have bits."""
+    bits = np.bincount(hashes & (64 * PARITIES - 1), minlength=64 * PARITIES).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _sketches(size: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch["text"].to_pylist():
                 hashes = shingle_hashes(text, size)
-                rows.append((len(hashes), *_digest(hashes), hashes[:k]))
-            columns = [pa.array([r[i] for r in rows], _LONGS if i == 3 else pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch["id"], *columns], names=["id", "n", "high", "low", "sketch"])
+                rows.append((len(hashes), *_digest(hashes), hashes[:k], parities(hashes)))
+            columns = [pa.array([r[i] for r in rows], _LONGS if i >= 3 else pa.int64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([batch["id"], *columns], names=["id", "n", "high", "low", "sketch", "parity"])
 
     return run
 
@@ -114,6 +126,15 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     return long.unionByName(plain).unionByName(wide.select(pair.alias("key"), "id", "n").distinct())
 
 
+def _few_apart(l: str, r: str, percent: int) -> Column:
+    """Whether two sets can be similar, by their sizes and parities; similar sets always pass.
+
+    Sets of n and m values with a share J of their union in common have (n + m) * (1 - J) / (1 + J) values apart.
+    """
+    bits = [F.bit_count(F.col(f"{l}.p{i}").bitwiseXOR(F.col(f"{r}.p{i}"))) for i in range(PARITIES)]
+    return reduce(lambda x, y: x + y, bits) * (100 + percent) <= (F.col(f"{l}.n") + F.col(f"{r}.n")) * (100 - percent)
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that are similar: estimated on the sketch of the union, decided on the full sets."""
     own = lambda side, table, column: table.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}"))
@@ -142,7 +163,7 @@ def near_duplicates(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = rows.mapInArrow(
-        _sketches(shingle_words, SKETCH), "id long, n long, high long, low long, sketch array<long>"
+        _sketches(shingle_words, SKETCH), "id long, n long, high long, low long, sketch array<long>, parity array<long>"
     )
     sketched = stored(sketched, "sketches")
     some = sketched.where("n > 0 and id is not null")
@@ -150,8 +171,9 @@ def near_duplicates(
     named = stored(named, "classes")
     # One row per class; rows of one id may hold several texts, so a class is named by its own number.
     number = F.xxhash64("high", "low", "n")
-    classes = some.groupBy("high", "low", "n").agg(F.first("sketch").alias("sketch")).select(number.alias("id"), "n", "sketch")
-    classes = stored(classes, "classes")
+    alike = some.groupBy("high", "low", "n").agg(F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
+    parity = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITIES)]
+    classes = stored(alike.select(number.alias("id"), "n", "sketch", *parity), "classes")
 
     used: list[DataFrame] = []
 
@@ -165,11 +187,17 @@ def near_duplicates(
         n, m = F.col(f"{l}.n"), F.col(f"{r}.n")
         return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
+    def marks(own: tuple[DataFrame, DataFrame]) -> DataFrame:
+        return classes.select("id", *[f"p{i}" for i in range(PARITIES)])
+
+    def near(l: str, r: str) -> Column:
+        return _few_apart(l, r, percent)
+
     def similar(pairs: DataFrame, own: tuple[DataFrame, DataFrame]) -> DataFrame:
         return _verified(pairs, *own, percent)
 
     lists = stored(_lists(classes, percent), "lists")
-    links = linked(lists, similar, tables, close)
+    links = linked(lists, similar, tables, close, marks=marks, near=near, every=True)
     discard(lists, classes, named, *used)
 
     # Classes become documents again: rows of one class, and rows of one id, are together.

@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -770,3 +771,47 @@ def test_letters_tell_no_similar_lines_apart(spark):
     met = both.join(side("a"), "id").join(side("b"), "id").withColumn("apart", F.levenshtein(both["a"], both["b"]))
     assert met.where(~line_dedup._few_letters_apart("a", "b", F.col("apart"))).count() == 0
     assert met.where(line_dedup._few_letters_apart("a", "b", F.lit(0))).count() < 150
+
+
+def test_unlike_sets_of_a_list_are_told_apart_where_they_meet(spark, monkeypatch):
+    """Copies of one text with too many words changed share keys; all of them were paired before any was looked at."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(least: int, most: int) -> str:
+        words = list(base)
+        for at in rng.sample(range(300), rng.randint(least, most)):
+            words[at] = f"v{rng.randint(0, 10**9)}"
+        return " ".join(words)
+
+    docs = [(i, changed(4, 14)) for i in range(150)] + [(1000 + i, changed(26, 34)) for i in range(100)]
+    docs.append((2000, docs[170][1] + " end"))
+    asked = []
+    real = near_dedup._verified
+
+    def verified(pairs, *rest):
+        asked.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_verified", verified)
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle_words=2).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_groups(docs, 2, 80))
+    assert sum(asked) <= 6 * len(docs), asked
+
+
+def test_parities_tell_no_similar_sets_apart(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(400):
+        n = rng.choice([1, 5, 30, 200, 3000])
+        a = [rng.getrandbits(63) - 2**62 for _ in range(n)]
+        b = a[rng.randint(0, n // 5) :] + [rng.getrandbits(63) - 2**62 for _ in range(rng.randint(0, n // 5))]
+        similar = len({*a} & {*b}) * 100 >= 80 * len({*a, *b})
+        marks = [near_dedup.parities(np.unique(np.array(x, np.int64))).tolist() for x in (a, b)]
+        rows.append((i, similar, len({*a}), marks[0], len({*b}), marks[1]))
+    table = spark.createDataFrame(rows, "id int, similar boolean, n long, x array<long>, m long, y array<long>")
+    side = lambda n, p: table.select("id", F.col(n).alias("n"), *[F.col(p)[i].alias(f"p{i}") for i in range(near_dedup.PARITIES)])
+    met = side("n", "x").alias("l").join(side("m", "y").alias("r"), "id").select("id", near_dedup._few_apart("l", "r", 80).alias("pass"))
+    told = table.select("id", "similar").join(met, "id").groupBy("similar", "pass").count().collect()
+    found = {(r["similar"], r["pass"]): r["count"] for r in told}
+    assert (True, False) not in found and found[True, True] > 50 and found[False, False] > 50
