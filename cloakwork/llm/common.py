@@ -109,8 +109,8 @@ def linked(
     similar members at all.  ``marks(table)`` is a table ``(id, ...)`` of what ``near(l, r)`` needs, a test that all
     similar members pass: the last step asks it where members meet, so that other pairs are never written.
     With ``every``, for tests that few unlike members pass, a large list asks it of all members and the one drawn, and
-    verifies all that pass; members are drawn until what passes foretells few pairs of the last step, a tenth of the
-    number of members.
+    verifies all that pass; members are drawn until what passes foretells no more pairs of the last step than there
+    are members in lists.
     """
     hubs = lists.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("other"), *of_list)
     hubs = hubs.where("hub <> other") if worth is None else hubs.where("hub <> other").where(worth)
@@ -142,7 +142,7 @@ def linked(
         if every:
             asked = stored(_near_drawn(large, marks(table), turn, may, near), "asked")
             ahead = asked.agg(F.sum(F.col("size") / 2)).first()[0] or 0
-            if ahead <= apart.count() * LEAST_YIELD:
+            if ahead <= apart.count():
                 discard(asked)
                 break
             pairs = asked.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
