@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...operators.mask import protect, vault_of
 from ...operators.unmask import unmask_numbered
-from ...session import scratch_dir, stored
+from ...session import discard, scratch_dir, stored
 from ...sources.corpus import spread
 from ...streaming.live import finding_counts, mask_stream, new_secrets, protect_stream, unmask_stream
 from ...streaming.vault import compact_vault, read_vault
 from ..oracle import line_sql, masked_sql, pick_sql, quote, value_sql
 from ..planted import any_line
-from .common import CONVERSATIONS, KEY, messages_text, query, table
+from .common import CONVERSATIONS, KEY, KEYS_PER_TASK, messages_text, query, table
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,22 +25,60 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.[p]arquet")
 
 
-def _drained(stream: DataFrame, purpose: str) -> DataFrame:
-    """Everything the stream has to give, through a file sink."""
+def _drained(stream: DataFrame, purpose: str, settings: dict[str, int] | None = None) -> DataFrame:
+    """Everything the stream has to give, through a file sink; a stream keeps the settings that it was started with."""
     spark = stream.sparkSession
     path = scratch_dir(spark, purpose)
-    running = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", scratch_dir(spark, f"{purpose}-log"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    before = {name: spark.conf.get(name) for name in settings or {}}
+    for name, value in (settings or {}).items():
+        spark.conf.set(name, value)
+    try:
+        running = (
+            stream.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", scratch_dir(spark, f"{purpose}-log"))
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
+# Rows of a file that feeds a stream, about; a micro-batch takes as many files as there are cores.
+ROWS_PER_FILE = 25_000
+
+
+def _in_turn(df: DataFrame, time_col: str, files: int, purpose: str) -> DataFrame:
+    """A stream of a table by time: micro-batches take its files one after the other, and no row comes behind a later one.
+
+    So a watermark passes what waits in state after each of them, and state is bounded by a micro-batch.  Files are taken
+    by their dates, which are set here; where the store does not keep them, all rows come in one micro-batch.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    (df.repartitionByRange(files, time_col) if files > 1 else df.coalesce(1)).write.parquet(path)
+    reader = spark.readStream.schema(df.schema)
+    if files > 1 and _dated(spark, path):
+        reader = reader.option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism)
+    return reader.parquet(path)
+
+
+def _dated(spark: SparkSession, path: str) -> bool:
+    """Date the files of a written table a second apart, by their numbers; whether the store has kept that."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    parts.sort(key=lambda p: (int(re.match(r"part-([0-9]+)", p.getName())[1]), p.getName()))
+    first = (int(time.time()) - len(parts)) * 1000
+    for i, part in enumerate(parts):
+        store.setTimes(part, first + 1000 * i, -1)
+    return all(store.getFileStatus(part).getModificationTime() == first + 1000 * i for i, part in enumerate(parts))
+
+
 @query(masked_sql(CONVERSATIONS) + "SELECT * FROM masked")
 def stream_masked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(mask_stream(messages_text(table_stream(spark, sf_dir, "conversations"))).drop("text"), "masked")
@@ -122,7 +163,7 @@ _LATER = (0, 30, -20, 55, 5, 24 * 60)
 )
 def stream_restored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked messages restored from a stream of vault rows; those whose row comes too late stay masked."""
-    messages = _event_messages(spread(table(spark, sf_dir, "events")))
+    messages = _event_messages(spread(table(spark, sf_dir, "events"), KEYS_PER_TASK))
     # Both streams are fed from what is masked once.
     done = stored(protect(messages, mode="vault", key=KEY, corpus="events").drop("text"), "protected")
     later = F.make_dt_interval(mins=F.get(F.array(*[F.lit(m) for m in _LATER]), (F.col("doc_id") % len(_LATER)).cast("int")))
@@ -133,14 +174,20 @@ def stream_restored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = done.select("doc_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "masked_text").unionByName(last)
     last = spark.range(1).select(F.lit("none").alias("token_id"), F.lit("").alias("payload"), end.alias("vault_ts"))
     vault = rows.select("token_id", "payload", F.col("vault_ts").cast("timestamp_ntz").alias("vault_ts")).unionByName(last)
-    streams = []
-    for df in (texts, vault):
-        path = scratch_dir(spark, "restore-in")
-        df.write.parquet(path)
-        streams.append(spark.readStream.schema(df.schema).parquet(path))
+    files = max(1, -(-done.count() // ROWS_PER_FILE))
+    streams = [_in_turn(df, name, files, "restore-in") for df, name in ((texts, "ts"), (vault, "vault_ts"))]
     restored = unmask_stream(*streams, KEY, ts_col="ts", vault_ts_col="vault_ts")
     text = F.when(F.col("tokens_restored") == F.col("tokens_seen"), F.md5("restored_text"))
-    return _drained(restored, "restored").where("doc_id >= 0").select("doc_id", "tokens_seen", "tokens_restored", text.alias("text_md5"))
+    discard(done)
+    # What waits is a micro-batch's, so a partition of state for each core will do.  The stream is read once: no old state is kept.
+    settings = {
+        "spark.sql.shuffle.partitions": spark.sparkContext.defaultParallelism,
+        "spark.sql.streaming.maxBatchesToRetainInMemory": 1,
+        "spark.sql.streaming.minBatchesToRetain": 2,
+        "spark.sql.streaming.stateStore.minDeltasForSnapshot": 2,
+    }
+    out = _drained(restored, "restored", settings)
+    return out.where("doc_id >= 0").select("doc_id", "tokens_seen", "tokens_restored", text.alias("text_md5"))
 
 
 @query(CONVERSATIONS)

@@ -6,6 +6,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 import cloakwork as cw
 from cloakwork.plans.queries import streams
@@ -107,3 +108,43 @@ def test_restored_messages_are_masked_once_by_all_tasks(spark, tmp_path, monkeyp
     assert seen["parts"] >= spark.sparkContext.defaultParallelism
     assert seen["files"] and all("/protected-" in f for f in seen["files"])
     assert sorted((r.doc_id, r.tokens_restored) for r in rows) == [(i, int(i % 6 != 5)) for i in range(24)]
+
+
+def _hourly(spark, folder, n):
+    """Events an hour apart, the last ones first; one without a text."""
+    rows = spark.range(n - 1, -1, -1, 1).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, int(id)) as ts", "if(id = 7, null, '{}') as props"
+    )
+    rows.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return sorted((i, int(i != 7), int(i % 6 != 5 and i != 7)) for i in range(n))
+
+
+def test_restored_messages_wait_for_a_micro_batch_only(spark, tmp_path, monkeypatch):
+    """State is given up as time goes on, not when all messages are in it; nothing is late, and all is restored as before."""
+    held, late = [], []
+
+    def wait(self, *args):
+        ended = finish(self, *args)
+        for progress in self.recentProgress:
+            held.append(sum(o["numRowsTotal"] for o in progress["stateOperators"]))
+            late.extend(o["numRowsDroppedByWatermark"] for o in progress["stateOperators"])
+        return ended
+
+    finish = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", wait)
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 1, raising=False)
+    want = _hourly(spark, tmp_path, 120)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = streams.stream_restored_messages(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.tokens_seen, r.tokens_restored) for r in rows) == want
+    # A message, its vault row and its group; all at once they are some 340.
+    assert len(held) > 3 and max(held) < 120 and not any(late)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_restored_messages_where_the_store_keeps_no_dates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "_dated", lambda *_: False)
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 1)
+    want = _hourly(spark, tmp_path, 30)
+    rows = streams.stream_restored_messages(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.tokens_seen, r.tokens_restored) for r in rows) == want
