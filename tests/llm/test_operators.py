@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -188,6 +190,59 @@ def test_masked_model_of_nothing(empty):
     assert masked_lm.score(empty, network).count() == 0
 
 
+@pytest.mark.parametrize("common", [4, masked_lm.COMMON])
+def test_masked_scores_tell_words_of_one_place_apart(spark, odd, monkeypatch, common):
+    """A rare word has its part of its place: by plain loops, whether its count is at hand or comes by the join."""
+    monkeypatch.setattr(masked_lm, "COMMON", common)
+    monkeypatch.setattr(masked_lm, "vocabulary", lambda counts: {b"the": 0, b"of": 1})
+    texts = ["The amber of\tthe quartz", "amber amber quartz \u0391\u03a3 basalt", None, "", "the amber of basalt slate", "amber amber quartz \u0391\u03a3 basalt"]
+    docs = spark.createDataFrame([(i // 2 if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    seen = collections.Counter(w for t in texts for w in (t or "").lower().split())
+    places = collections.Counter()
+    for w, n in seen.items():
+        places[zlib.crc32(w.encode()) % masked_lm.RARE] += n * (w not in ("the", "of"))
+    counts = masked_lm.word_counts(docs)
+    assert {r.word: r.n for r in counts.collect()} == seen
+    network = masked_lm.train(docs, counts=counts)
+
+    def want(text):
+        words = (text or "").lower().split()
+        rare = [w for w in words if w not in ("the", "of")]
+        own = sum(math.log(seen.get(w, 1) / max(places[zlib.crc32(w.encode()) % masked_lm.RARE], 1)) for w in rare)
+        return float(network.log_probabilities(network.ids(text)).sum(dtype="float64")) + own
+
+    # Also words that were not counted.
+    more = docs.unionByName(spark.createDataFrame([(9, "of unheard obsidian amber")], docs.schema))
+    got = masked_lm.score(more, network, counts=counts).collect()
+    wanted = [(i // 2 if i else None, len((t or "").split()), want(t)) for i, t in enumerate(texts)] + [(9, 4, want("of unheard obsidian amber"))]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    for r, w in zip(sorted(got, key=order), sorted(wanted, key=order), strict=True):
+        assert r[:2] == w[:2] and abs(r[2] - w[2]) < 1e-6
+        assert r.perplexity is None if not w[1] else abs(r.perplexity - math.exp(-w[2] / w[1])) < 1e-4 * r.perplexity
+    assert len({r.log_likelihood for r in got if r.n_words == 5 and abs(r.log_likelihood - want(texts[1])) < 1e-6}) == 1
+    empty_counts = masked_lm.word_counts(docs.limit(0))
+    assert masked_lm.score(odd, network, counts=empty_counts).count() == odd.count()
+
+
+def test_masked_query_scores_words_and_not_places(spark, tmp_path):
+    """Words beyond the vocabulary that share a place are told apart by the query too."""
+    def sharing():
+        first = {}
+        for i in range(10_000):
+            place = zlib.crc32(b"zz%d" % i) % masked_lm.RARE
+            if place in first:
+                return first[place], f"zz{i}"
+            first[place] = f"zz{i}"
+
+    often, once = sharing()
+    usual = [f"w{i}" for i in range(masked_lm.WORDS - masked_lm.RARE)]
+    rows = [(0, " ".join(usual * 20)), (1, " ".join([often] * 9)), (2, f"w1 {often} w2"), (3, f"w1 {once} w2")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_likelihood for r in queries.op3_lm_scoring(spark, str(tmp_path)).collect()}
+    # Ten occurrences of the one, one of the other; the network has the same for both.
+    assert abs(got[2] - got[3] - math.log(10)) < 1e-6
+
+
 # 4. Licences
 
 
