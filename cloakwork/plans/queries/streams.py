@@ -48,7 +48,7 @@ def _drained(stream: DataFrame, purpose: str, settings: dict[str, int] | None =
     return spark.read.schema(stream.schema).parquet(path)
 
 
-# Rows of a file that feeds a stream, about; a micro-batch takes as many files as there are cores.
+# Rows of a file that feeds a stream, about; a micro-batch takes the rows of as many files as there are cores.
 ROWS_PER_FILE = 25_000
 
 
@@ -62,13 +62,14 @@ def _in_turn(df: DataFrame, time_col: str, files: int, purpose: str) -> DataFram
     path = scratch_dir(spark, purpose)
     (df.repartitionByRange(files, time_col) if files > 1 else df.coalesce(1)).write.parquet(path)
     reader = spark.readStream.schema(df.schema)
-    if files > 1 and _dated(spark, path):
-        reader = reader.option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism)
+    batches = -(-files // spark.sparkContext.defaultParallelism)
+    if batches > 1 and (written := _dated(spark, path)):
+        reader = reader.option("maxFilesPerTrigger", -(-written // batches))
     return reader.parquet(path)
 
 
-def _dated(spark: SparkSession, path: str) -> bool:
-    """Date the files of a written table a second apart, by their numbers; whether the store has kept that."""
+def _dated(spark: SparkSession, path: str) -> int:
+    """Date the files of a written table a second apart, by their numbers; how many there are, or 0 if the store does not keep that."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     parts = [f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")]
@@ -76,7 +77,8 @@ def _dated(spark: SparkSession, path: str) -> bool:
     first = (int(time.time()) - len(parts)) * 1000
     for i, part in enumerate(parts):
         store.setTimes(part, first + 1000 * i, -1)
-    return all(store.getFileStatus(part).getModificationTime() == first + 1000 * i for i, part in enumerate(parts))
+    kept = all(store.getFileStatus(part).getModificationTime() == first + 1000 * i for i, part in enumerate(parts))
+    return len(parts) if kept else 0
 
 
 @query(masked_sql(CONVERSATIONS) + "SELECT * FROM masked")
